@@ -3,7 +3,26 @@
 from __future__ import annotations
 
 from marginalia.llm.bpe import op2_bpe
+from marginalia.llm.extract import op1_html
+from marginalia.llm.innerproduct import OP3_SQL, op3_topk
+from marginalia.llm.lines import op5_lines
+from marginalia.llm.minhash import op9_minhash
 from marginalia.llm.packing import op10_packing
+from marginalia.llm.quality import op6_quality
+from marginalia.llm.suffixes import op7_suffixes
+from marginalia.llm.urls import op8_urls
+from marginalia.llm.vptree import op4_vptree
 
-QUERIES = {"op2_bpe": op2_bpe, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_html": op1_html,
+    "op2_bpe": op2_bpe,
+    "op3_topk": op3_topk,
+    "op4_vptree": op4_vptree,
+    "op5_lines": op5_lines,
+    "op6_quality": op6_quality,
+    "op7_suffixes": op7_suffixes,
+    "op8_urls": op8_urls,
+    "op9_minhash": op9_minhash,
+    "op10_packing": op10_packing,
+}
+ORACLES = {"op3_topk": OP3_SQL}
