@@ -1,23 +1,65 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept. All but the last return the columns of `documents`, with n_chars of
+the text as it is then.
+"""
 
 from __future__ import annotations
 
-from marginalia.llm import packing
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm import lines, minhash, packing, quality, suffixes
 from marginalia.llm.bpe import vocabulary
 from marginalia.session import keep, table
 
+#: Words of a shingle and least similarity in percent of near duplicates.
+SHINGLE, SIMILAR = 5, 80
+
+
+def _changed(after: DataFrame) -> DataFrame:
+    """`after` without the documents that had words and lost all of them to earlier documents, n_chars brought up to date."""
+    out = after.where("_had is null or not _had or text rlike '[^\\\\s]'").drop("_had")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not predict to be good go."""
+    net = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, net, score_col="_score").where(F.col("_score") >= quality.GOOD).drop("_score")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document holds go from the later one."""
+    marked = docs.withColumn("_had", F.col("text").rlike(r"[^\s]"))
+    return _changed(lines.dedup_lines(marked))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the least id."""
+    found = minhash.near_duplicates(docs, SHINGLE, SIMILAR).where("not kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that an earlier document holds go."""
+    marked = docs.withColumn("_had", F.col("text").rlike(r"[^\s]"))
+    return _changed(suffixes.remove_repeats(marked))
+
 
-def pack(spark, docs, sf_dir):
-    """Best-fit packing of what the stages before it kept."""
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as token pieces packed into sequences."""
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("pack", pack)]
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_stage), ("suffixes", suffix_stage), ("packing", pack_stage)]
+#: Tokens, signatures and a trained network are beyond SQL; tests/llm holds each stage to a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -122,7 +122,8 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, words: int, per
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document.
 
-    Ids are distinct and not null. Null, empty and all-white texts have no
+    Ids are distinct; equal rows with one id are one document and keep a row
+    each, and rows with a null id are linked with nothing and kept. Null, empty and all-white texts have no
     shingles and stay alone; texts with fewer words than a shingle are one
     shingle of all their words. Documents with equal sets are one class and
     only its least id takes part in the search. An empty table gives an empty
@@ -130,7 +131,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sigs = keep(signatures(source, words, bands, rows, "id", "text"), "signatures")
-    classes = sigs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
+    classes = sigs.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
     heads = keep(sigs.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig"), "heads")
     members = banded(heads, bands, rows)
     shared = keep(members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "buckets")
@@ -147,8 +148,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     components = connected_components(links.unionByName(more))
     named = classes.join(components, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     out = sigs.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
