@@ -3,11 +3,10 @@
 A byte pair that occurs inside no vocabulary token can never be merged over, so
 a cut between its two bytes is certain: both sides are encoded alone and the
 ids are concatenated. The cuts used here are the forced pairs whose second
-byte is ASCII white space, because every splitting pattern of such
-vocabularies also starts a new piece there or keeps the cut inside a run whose
-bytes the forced pair separates. Texts of natural language fall into about one
-fragment a word; fragments repeat, so a bounded table of encoded fragments
-does most of the work and the tokenizers library encodes the rest.
+byte is ASCII white space: splitting patterns of such vocabularies start a new
+piece there, so that splitting a fragment alone gives the same pieces. Texts
+fall into about one fragment a word; fragments repeat, and a bounded table of
+encoded fragments does most of the work.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,13 @@ from marginalia.session import table
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Encoded fragments that a Python worker holds; the table starts anew beyond it.
-FRAGMENTS_HELD = 200_000
+FRAGMENTS_HELD = 400_000
+#: Pieces of a lower-cased text of the word vocabulary (a fixed value of that file).
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces of a text of the byte-level vocabulary (a fixed value of that file).
+GPT_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A byte that UTF-8 never uses stands for the end of a word.
+END = b"\xff"
 
 
 def vocabulary(name: str) -> str:
@@ -48,15 +53,18 @@ def byte_symbols() -> dict[str, int]:
 
 
 class ForcedBoundaryBPE:
-    """Encodes and decodes whole texts with one vocabulary file of the tokenizers library.
+    """Encodes and decodes whole texts, given as UTF-8 bytes, with one vocabulary file of the tokenizers library.
 
-    drop_space: the vocabulary's own splitting removes white space, so that
-    fragments are the runs between it; else a fragment carries the white space
-    before it.
+    Fragments of Latin letters, digits and punctuation are split and merged by
+    rank; others, and texts that may hold a special token, go through the
+    tokenizers library itself. A vocabulary with an end-of-word suffix drops
+    white space and lower-cases; its fragments are the runs between white space.
     """
 
-    def __init__(self, path: str, drop_space: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,51 +73,86 @@ class ForcedBoundaryBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols, suffix = byte_symbols(), spec["model"].get("end_of_word_suffix") or ""
+        vocab = spec["model"]["vocab"]
+
+        def raw(token: str) -> bytes:
+            ends = bool(suffix) and token.endswith(suffix)
+            return bytes(symbols[c] for c in (token[: len(token) - len(suffix)] if ends else token)) + END * ends
+
         self.tokens: list[bytes] = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         inside = np.zeros((256, 256), bool)
-        for token, i in spec["model"]["vocab"].items():
-            whole = token.removesuffix(suffix) if suffix and len(token) > len(suffix) else token
-            raw = bytes(symbols[c] for c in whole)
-            self.tokens[i] = raw
-            b = np.frombuffer(raw, np.uint8)
+        for token, i in vocab.items():
+            self.tokens[i] = raw(token).removesuffix(END)
+            b = np.frombuffer(self.tokens[i], np.uint8)
             inside[b[:-1], b[1:]] = True
+        self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
         for x in spec.get("added_tokens", []):
             self.tokens[x["id"]] = x["content"].encode()
         #: forced[a, b]: no token holds byte a followed by byte b.
         self.forced = ~inside
-        cut = [w for w in SPACE if self.forced[[b for b in range(256) if b not in SPACE], w].all()]
-        space = "".join(re.escape(chr(w)) for w in cut)
-        if drop_space:
-            space = "".join(re.escape(chr(w)) for w in SPACE)
-            self.fragments: Callable[[str], list[str]] = re.compile(f"[^{space}]+").findall
-        elif cut:
-            self.fragments = re.compile(f"[{space}]*[^{space}]+|[{space}]+").findall
+        # Ranks: bytes, bytes that end a word, merges in their order.
+        ranks = {bytes([b]): b for b in range(256)}
+        if suffix:
+            ranks |= {bytes([b]) + END: 256 + b for b in range(255)}
+        for k, (x, y) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
+            ranks.setdefault(raw(x + y), 1000 + k)
+        by_raw = {raw(t): i for t, i in vocab.items()}
+        self.of_rank = np.zeros(max(ranks.values()) + 1, "<u4")
+        for token, rank in ranks.items():
+            self.of_rank[rank] = by_raw.get(token, 0)
+        merge = tiktoken.Encoding("own", pat_str=GPT_PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.drop_space, self.held = bool(suffix), {}
+        if suffix:
+            pieces, single = regex.compile(WORD_PIECES).findall, merge._core_bpe.encode_single_piece
+            self.merge = lambda text: [r for piece in pieces(text) for r in single(piece.encode() + END)]
         else:
-            self.fragments = lambda text: [text] if text else []
-        self.held: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.held) + len(missing) > FRAGMENTS_HELD:
-            self.held.clear()
-        for fragment, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.held[fragment] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
+            self.merge = merge.encode_ordinary
+        # A fragment ends before white space, unless its last byte and that make a pair that some token holds.
+        space = "".join(f"\\x{w:02x}" for w in SPACE)
+        held = [b for b in range(256) if b not in SPACE and not self.forced[b, list(SPACE)].all()]
+        word, last = f"[{space}]*+[^{space}]++", "".join(f"\\x{b:02x}" for b in held)
+        joined = f"(?:{word}(?<=[{last}])(?=[{space}]))*+" if held else ""
+        self.fragments = bytes.split if suffix else re.compile(f"{joined}(?:{word}|[{space}]++)".encode()).findall
+
+    def _ids(self, fragment: bytes) -> bytes:
+        text = fragment.decode()
+        plain = text.isascii()
+        if not plain:
+            plain = max(text) < "\u0250" and "\x85" not in text and "\xa0" not in text
+            if plain and self.drop_space:
+                text = "".join(c.lower() for c in text)
+        if not plain or any("\x1c" <= c <= "\x1f" for c in text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.of_rank[self.merge(text)].tobytes()
+
+    def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        fragments = self.fragments(text)
-        parts = list(map(self.held.get, fragments))
+        if any(x in text for x in self.special):
+            return np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        fragments = self.fragments(text.lower() if self.drop_space else text)
+        held = self.held
+        parts = list(map(held.get, fragments))
         if None in parts:
-            self._learn(list(dict.fromkeys(f for f, p in zip(fragments, parts, strict=True) if p is None)))
-            parts = [p if p is not None else self.held.get(f) for f, p in zip(fragments, parts, strict=True)]
-            if None in parts:  # the table was cleared while it held some of them
-                self._learn(list(dict.fromkeys(f for f, p in zip(fragments, parts, strict=True) if p is None)))
-                parts = [p if p is not None else self.held[f] for f, p in zip(fragments, parts, strict=True)]
+            if len(held) > FRAGMENTS_HELD:
+                held.clear()
+            for k, part in enumerate(parts):
+                if part is None:
+                    fragment = fragments[k]
+                    part = held.get(fragment)
+                    if part is None:
+                        part = held[fragment] = self._ids(fragment)
+                    parts[k] = part
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def texts_of(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of a string column; null counts as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the encoded ids (binary, little-endian uint32) and the decoded text.
 
@@ -122,7 +165,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = ForcedBoundaryBPE(path)
         for whole in batches:
             for batch in text_slices(whole, 1):
-                ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+                ids = [bpe.encode(t) for t in texts_of(batch.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())],
                     ["id", "ids", "decoded"],
@@ -144,8 +187,8 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for whole in batches:
             for batch in text_slices(whole, 1):
                 n, a, b = [], [], []
-                for t in batch.column(1).to_pylist():
-                    ids = bpe.encode(t or "")
+                for t in texts_of(batch.column(1)):
+                    ids = bpe.encode(t)
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.blocks import text_slices
-from marginalia.llm.bpe import ForcedBoundaryBPE, vocabulary
+from marginalia.llm.bpe import ForcedBoundaryBPE, texts_of, vocabulary
 from marginalia.session import keep, table
 
 CAPACITY = 4096
@@ -98,12 +98,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     columns = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = ForcedBoundaryBPE(path, drop_space=True), np.asarray([end_id], "<u4").tobytes()
+        bpe, end = ForcedBoundaryBPE(path), np.asarray([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in text_slices(whole, 1):
                 out: list[list] = [[] for _ in columns]
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = bpe.encode(text or "") + end
+                for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                    ids = bpe.encode(text) + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
