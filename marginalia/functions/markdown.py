@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 # Patterns and keys of the note format.
 FRONTMATTER = r"^---\s*\n(.*?)\n---\s*\n"
@@ -26,6 +27,10 @@ EMBED = r"!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 INLINE_LINK = r"\[[^\]]*\]\(([^)\s]+)\)"
 
 
+def _rows(**fields: Y.DataType) -> Y.ArrayType:
+    return Y.ArrayType(Y.StructType([Y.StructField(k, v) for k, v in fields.items()]))
+
+
 def frontmatter_text(content: Column) -> Column:
     return F.regexp_extract(content, "(?s)" + FRONTMATTER, 1)
 
@@ -38,7 +43,7 @@ def _flat(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, default=str, ensure_ascii=False)
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(Y.MapType(Y.StringType(), Y.StringType()))
 def frontmatter(content: pd.Series) -> pd.Series:
     """Keys of the YAML front matter; values that are no strings as JSON. Broken or missing front matter is empty."""
     import yaml
@@ -129,7 +134,7 @@ def block_references(content: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x["line"], BLOCK_REFERENCE, 1).alias("id"), x["n"].alias("line_number"), F.trim(F.regexp_replace(x["line"], BLOCK_REFERENCE, "")).alias("content")))
 
 
-@F.pandas_udf("array<struct<type string, content string, start_line int, end_line int>>")
+@F.pandas_udf(_rows(type=Y.StringType(), content=Y.StringType(), start_line=Y.IntegerType(), end_line=Y.IntegerType()))
 def callouts(content: pd.Series) -> pd.Series:
     """`> [!type] head` and the quoted lines after it."""
 
@@ -152,7 +157,7 @@ def callouts(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@F.pandas_udf("array<struct<full_match string, start int, end int, line_number int>>")
+@F.pandas_udf(_rows(full_match=Y.StringType(), start=Y.IntegerType(), end=Y.IntegerType(), line_number=Y.IntegerType()))
 def link_positions(content: pd.Series) -> pd.Series:
     def one(text: str | None) -> list[dict]:
         return [{"full_match": m[0], "start": m.start(), "end": m.end(), "line_number": text.count("\n", 0, m.start()) + 1} for m in re.finditer(WIKILINK, text or "")]

@@ -82,8 +82,8 @@ def grade_level(asl: Column, awl: Column) -> Column:
 
 
 def plain_words(c: Column) -> Column:
-    """Runs of ASCII letters with no letter, digit or underscore of ASCII next to them, lower-cased."""
-    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(r"\b([a-zA-Z]+)\b"), F.lit(1))
+    """Words of ASCII letters only, lower-cased."""
+    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(r"(?U)\b([a-zA-Z]+)\b"), F.lit(1))
 
 
 def vocabulary_richness(c: Column) -> Column:
@@ -92,18 +92,18 @@ def vocabulary_richness(c: Column) -> Column:
 
 
 def technical_density(c: Column) -> Column:
-    total = sum((count_of(c, p) for p in TECHNICAL_PATTERNS[1:]), count_of(c, TECHNICAL_PATTERNS[0]))
+    total = sum((count_of(c, "(?U)" + p) for p in TECHNICAL_PATTERNS[1:]), count_of(c, "(?U)" + TECHNICAL_PATTERNS[0]))
     return F.least(F.lit(1.0), ratio(total.cast("double"), word_count(c)))
 
 
 def concept_density(c: Column) -> Column:
-    total = sum((count_of(c, "(?i)" + p) for p in CONCEPT_PATTERNS[1:]), count_of(c, "(?i)" + CONCEPT_PATTERNS[0]))
+    total = sum((count_of(c, "(?iU)" + p) for p in CONCEPT_PATTERNS[1:]), count_of(c, "(?iU)" + CONCEPT_PATTERNS[0]))
     return F.least(F.lit(1.0), ratio(total.cast("double"), word_count(c)))
 
 
 def type_scores(c: Column) -> list[tuple[str, Column]]:
     low = F.lower(text_of(c))
-    return [(name, F.regexp_count(low, F.lit(r"\b(?:" + "|".join(ws) + r")\b"))) for name, ws in CONTENT_TYPES.items()]
+    return [(name, F.regexp_count(low, F.lit(r"(?U)\b(?:" + "|".join(ws) + r")\b"))) for name, ws in CONTENT_TYPES.items()]
 
 
 def content_type(c: Column) -> Column:
@@ -197,6 +197,6 @@ def path_parts(path: Column) -> Column:
 def path_distance(a: Column, b: Column) -> Column:
     """Steps from one path up to the common part and down to the other, file names included."""
     x, y = path_parts(a), path_parts(b)
-    same = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: p[0].eqNullSafe(p[1]) & p[0].isNotNull())
+    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
     common = F.aggregate(same, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, e: F.struct((s["on"] & e).alias("on"), (s["n"] + (s["on"] & e).cast("int")).alias("n")))["n"]
     return F.size(x) + F.size(y) - 2 * common

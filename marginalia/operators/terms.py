@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"\b([a-zA-Z][a-zA-Z0-9]*)\b"
+TOKEN = r"(?U)\b([a-zA-Z][a-zA-Z0-9]*)\b"
 
 
 def tokens(text: Column) -> Column:

@@ -1,32 +1,6 @@
-"""Named queries of this library over the driver's tables, each with its DuckDB text."""
+"""All named queries of this library with their DuckDB text."""
 
-from __future__ import annotations
+from marginalia.plans import graph_queries, quality_queries, search_queries, text_queries  # noqa: F401  registers them
+from marginalia.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from marginalia.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query and, if given, the SQL that must return the same rows."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        if name in QUERIES:
-            raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
-@query("a1_note_count", "SELECT count(*) AS notes FROM documents")
-def a1(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("notes"))
+__all__ = ["ORACLES", "QUERIES"]
