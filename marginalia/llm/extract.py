@@ -40,22 +40,24 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, the regions around it, silent)."""
+    """Lines of a page: (text, tags, the region around it). Text and tags of silent parts are left out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, region, silent
         self.parents = [0]
         self.kinds = [""]
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
 
+    def silent(self) -> bool:
+        return bool(self.open) and self.open[-1][2]
+
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, region, silent = self.open[-1] if self.open else ("", 0, False)
-            self.lines.append((text, self.tags, region, silent))
+            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
             self.tags = 0
         self.text.clear()
 
@@ -63,7 +65,7 @@ class Lines(HTMLParser):
         block = tag in BLOCKS
         if block:
             self.flush()
-        self.tags += 1
+        self.tags += not self.silent()
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if tag in CLOSES.get(name, ()):
@@ -92,7 +94,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        self.tags += 1
+        self.tags += not self.silent()
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
@@ -102,7 +104,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.silent():
+            self.text.append(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -115,20 +118,21 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
+    if re.match(r"<[/a-zA-Z!?]", parser.rawdata):  # a tag or comment that the page ends in
+        parser.rawdata = ""
     parser.close()
     parser.flush()
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smoothed(np.asarray([0.0 if silent else len(text) / max(1, tags) for text, tags, _, silent in lines]))
+    ratios = smoothed(np.asarray([len(text) / max(1, tags) for text, tags, _ in lines]))
     content = ratios > ratios.std() if len(lines) > 2 else np.ones(len(lines), bool)
     # Each region's text above the threshold, its own and that of the regions inside it.
     mass = np.zeros(len(parser.parents))
     whole = np.zeros(len(parser.parents))
-    for (text, _, region, silent), on in zip(lines, content, strict=True):
-        if not silent:
-            mass[region] += len(text) * bool(on)
-            whole[region] += len(text)
+    for (text, _, region), on in zip(lines, content, strict=True):
+        mass[region] += len(text) * bool(on)
+        whole[region] += len(text)
     for k in range(len(mass) - 1, 0, -1):
         mass[parser.parents[k]] += mass[k]
         whole[parser.parents[k]] += whole[k]
@@ -144,7 +148,7 @@ def main_text(html: str | None) -> str:
                 break
             best = inner[0]
         chosen = {best}
-    keep = [text for text, _, region, silent in lines if not silent and any(_inside(parser.parents, region, k) for k in chosen)]
+    keep = [text for text, _, region in lines if any(_inside(parser.parents, region, k) for k in chosen)]
     return " ".join(keep)
 
 

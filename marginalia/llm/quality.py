@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marginalia.llm.blocks import byte_blocks
 from marginalia.session import table
@@ -172,7 +173,7 @@ def score_documents(docs: DataFrame, net: Network, text_col: str = "text", score
             parts = [scores(model, data, offsets) for _, _, data, offsets in byte_blocks(batch.column(where))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*names, score_col])
 
-    return docs.mapInArrow(run, docs.schema.add(score_col, "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(score_col, DoubleType())]))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
