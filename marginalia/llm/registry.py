@@ -7,6 +7,7 @@ from marginalia.llm.extract import op1_html
 from marginalia.llm.innerproduct import OP3_SQL, op3_topk
 from marginalia.llm.lines import op5_lines
 from marginalia.llm.minhash import op9_minhash
+from marginalia.llm.oracles import OP7_SQL, OP9_SQL
 from marginalia.llm.packing import op10_packing
 from marginalia.llm.quality import op6_quality
 from marginalia.llm.suffixes import op7_suffixes
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op3_topk": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op7_suffixes": OP7_SQL, "op9_minhash": OP9_SQL}
