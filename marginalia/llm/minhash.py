@@ -7,10 +7,12 @@ prior) is bounded, and the pair is pruned once it falls below the chosen miss
 probability. What survives all batches is verified on the full shingle sets.
 
 No bucket is paired with itself: each is linked as a star around its least
-document first, and only buckets whose members are still in different
-components after that compare members across components. So every candidate
-pair is either already joined or verified, and a group of copies costs as many
-pairs as it has members.
+document first. Members of buckets that are still in different components
+after that are paired across components where they share one of their rarest
+shingles: two sets of similarity t share one of the n - ceil(t n) + 1 rarest of
+each in any fixed order, so no pair that could be linked is left out. A group
+of copies costs as many pairs as it has members, and so does a group of texts
+that are alike but not alike enough.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from marginalia.session import keep, table
 BANDS, ROWS = 44, 6
 #: Signature positions compared at a time, and the posterior below which a pair is pruned.
 BATCH, MISS = 33, 1e-7
+#: Hashed counters that tell which shingles are rare.
+COUNTERS = 1 << 18
 
 
 def least_matches(threshold: float, total: int, batch: int, miss: float) -> list[tuple[int, int]]:
@@ -119,6 +123,41 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, words: int, per
     return pruned.join(as_("a"), "a").join(as_("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
 
 
+def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(token, id, n): of each document the n - ceil(percent n / 100) + 1 shingles that are rarest, by counts in COUNTERS hashed counters."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in byte_blocks(batch.column(1)):
+                sets = shingle_sets(data, offsets, words)
+                total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    # At most COUNTERS rows, whatever the corpus holds.
+    found = texts.select("id", "text").mapInArrow(tally, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, _, data, offsets in byte_blocks(batch.column(1)):
+                tokens, whose, sizes = [], [], []
+                for k, x in enumerate(shingle_sets(data, offsets, words)):
+                    n = len(x) + (-percent * len(x)) // 100 + 1 if len(x) else 0
+                    order = np.lexsort((x, count[(x % np.uint64(COUNTERS)).astype(np.int64)]))
+                    tokens.append(x[order[:n]])
+                    whose.append(np.full(n, ids[i + k]))
+                    sizes.append(np.full(n, len(x)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(whose)), pa.array(np.concatenate(sizes))], ["token", "id", "n"])
+
+    return texts.select("id", "text").mapInArrow(rarest, "token long, id long, n long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document.
 
@@ -141,8 +180,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     found = keep(connected_components(links), "components")
     placed = inside.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("key")
-    placed = keep(placed.join(open_, "key", "left_semi"), "open")
-    across = placed.alias("x").join(placed.alias("y"), F.expr("x.key = y.key and x.component < y.component"))
+    loose = keep(placed.join(open_, "key", "left_semi").select("id", "component").distinct(), "open")
+    rare = rare_shingles(source.join(loose, "id", "left_semi").dropDuplicates(["id"]), words, percent).join(loose, "id")
+    met = rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    rare = keep(rare.join(met, "token", "left_semi"), "rare")
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    across = rare.alias("x").join(rare.alias("y"), F.expr(f"x.token = y.token and x.component < y.component and {sizes}"))
     across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = keep(verified(across, heads, source, words, percent, bands, rows, miss), "links")
     components = connected_components(links.unionByName(more))
