@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from marginalia.llm.blocks import text_slices
 from marginalia.llm.bpe import ForcedBoundaryBPE, texts_of, vocabulary
@@ -148,7 +149,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, .
             at = np.searchsorted(keys, (n << 44) + r, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(firsts[at] + r - ranks[at]), pa.array(offsets[at])], [*names, "sequence_id", "offset"])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return ranked.mapInArrow(run, schema)
 
 
