@@ -1,6 +1,6 @@
 """Exact substring deduplication by column-wise construction of sorted suffix collections.
 
-1. Each window of `length` bytes is keyed by the least hash of the 16-byte
+1. Each window of `length` bytes is keyed by the least hash of the 24-byte
    grams inside it; neighbouring windows with one key form a span. Equal
    windows have equal keys, so spans whose key occurs in one document only
    can hold no match and go no further.
@@ -16,7 +16,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -28,11 +27,11 @@ from pyspark.sql import functions as F
 from marginalia.llm.shingles import mix
 from marginalia.session import keep, table
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Windows of a span at most, window starts of one numpy pass, bytes of strings in a shard.
 SPAN, PASS, SHARD_BYTES = 64, 1 << 20, 6 << 20
-#: A key with more spans than this is dealt window by window.
-HOT_SPANS = 50_000
+#: A key with more different strings than this is dealt window by window instead.
+HOT_STRINGS = 150_000
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +54,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM)
         b = min(a + PASS, high - length + 1)  # window starts a <= i < b
         part = data[a : b + length - 1]
         with np.errstate(over="ignore"):
-            w = words_at(part)
-            h = mix(w[: len(part) - gram + 1] * np.uint64(0x9E3779B97F4A7C15) + mix(w[gram - 8 : gram - 8 + len(part) - gram + 1]))
+            w, n = words_at(part), len(part) - gram + 1
+            h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+            for o in [*range(8, gram - 8, 8), gram - 8]:
+                h = mix(h + w[o : o + n])
         need, have = length - gram + 1, 1
         while 2 * have <= need:
             h = np.minimum(h[:-have], h[have:])
@@ -143,66 +144,131 @@ def first_documents(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, len
     return first, base
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now and not at the next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _blob(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
+    """(id, keys): each document's span keys that another document has too, as blobs of their upper 48 bits.
+
+    A batch sends each of its keys once: with the document if only one has it,
+    else as a notice, and keeps the pairs themselves, which are settled. So a
+    key that many documents have costs as many rows as there are batches.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            found = [(key.view(np.uint64) >> np.uint64(16), row) for row, _, _, key in spans(data, offsets, length)]
+            if not found:
+                continue
+            key, row = (np.concatenate([f[k] for f in found]) for k in range(2))
+            order = np.lexsort((row, key))
+            key, row = key[order], row[order]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
+            key, row = key[once], row[once]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            many = np.repeat(np.diff(np.append(begin, len(key))) > 1, np.diff(np.append(begin, len(key))))
+            ids = batch.column(0).to_numpy()[row]
+            first = np.zeros(len(key), bool)
+            first[begin] = True
+            send = ~many | first
+            notice = many[send]
+            k, i = key[send], ids[send]
+            part = (k % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            k, i, notice, part = k[order], i[order], notice[order], part[order]
+            edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+            out = [(int(part[x]), k[x:y], i[x:y], notice[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            lk, li = key[many], ids[many]
+            where = int(mix(np.asarray([ids[0]], np.int64).view(np.uint64))[0] % np.uint64(parts)) if len(ids) else 0
+            out += [(parts + (where + x) % parts, lk[x :: 8], li[x :: 8], None) for x in range(8) if len(lk) > x]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([o[0] for o in out], pa.int64()), pa.array([o[1].astype("<u4").tobytes() for o in out], pa.binary()), pa.array([(o[1] >> np.uint64(32)).astype("<u2").tobytes() for o in out], pa.binary()),
+                pa.array([o[2].astype("<i8").tobytes() for o in out], pa.binary()), pa.array([b"" if o[3] is None else np.packbits(o[3]).tobytes() for o in out], pa.binary()),
+            ], ["part", "low", "high", "ids", "notice"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        local = group.column("part")[0].as_py() >= parts if group.num_rows else True
+        key = _blob(group.column("low"), "<u4").astype(np.uint64) | (_blob(group.column("high"), "<u2").astype(np.uint64) << np.uint64(32))
+        ids = _blob(group.column("ids"), "<i8")
+        if not local and len(key):
+            sizes = [len(x) // 4 for x in group.column("low").to_pylist()]
+            notice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group.column("notice").to_pylist(), sizes, strict=True)]).astype(bool)
+            order = np.argsort(key, kind="stable")
+            key, ids, notice = key[order], ids[order], notice[order]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begin, len(key)))
+            shared = np.repeat((size > 1) | (np.add.reduceat(notice, begin) > 0), size) & ~notice
+            key, ids = key[shared], ids[shared]
+        order = np.argsort(ids, kind="stable")
+        key, ids = key[order], ids[order]
+        edges = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
+        raw = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        blobs = [raw[6 * x : 6 * y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return pa.table([pa.array(ids[edges[:-1]]) if len(ids) else pa.array([], pa.int64()), pa.array(blobs, pa.binary())], ["id", "keys"])
+
+    sent = docs.mapInArrow(find, "part long, low binary, high binary, ids binary, notice binary")
+    settled = sent.groupBy("part").applyInArrow(settle, "id long, keys binary")
+    return settled.groupBy("id").agg(F.collect_list("keys").alias("keys"))
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, spans): per document the (start, end) byte ranges to remove, unsorted and overlapping; documents without any are missing."""
     if length < GRAM + 1:
         raise ValueError(f"length must be above {GRAM}")
-    spark = docs.sparkSession
     docs = docs.where("id is not null")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 20_000) for b in batches for i in range(0, b.num_rows, 20_000)):
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
+            raw = [b"".join(blobs) for blobs in batch.column(2).to_pylist()]
+            counts = np.asarray([len(x) // 6 for x in raw])
+            six = np.zeros((int(counts.sum()), 8), np.uint8)
+            six[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+            rows = np.repeat(np.arange(len(raw), dtype=np.uint64), counts)
+            # 20,000 rows are fewer than 2**16, so a row and a key of 48 bits are one integer.
+            wanted = np.sort((rows << np.uint64(48)) | six.view("<u8")[:, 0])
+            whole = data.tobytes()
             for row, start, size, key in spans(data, offsets, length):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "id", "start", "size"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                name = (row.astype(np.uint64) << np.uint64(48)) | (key.view(np.uint64) >> np.uint64(16))
+                at = np.minimum(np.searchsorted(wanted, name), max(0, len(wanted) - 1))
+                on = wanted[at] == name if len(wanted) else np.zeros(len(name), bool)
+                row, start, size, key = row[on], start[on], size[on], key[on]
+                begin = offsets[row] + start
+                parts = [whole[a:b] for a, b in zip(begin.tolist(), (begin + size + length - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(parts, pa.binary()), pa.array(ids[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "part", "id", "start", "size"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Window by window, keyed by the window itself."""
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            whole, lists = data.tobytes(), batch.column(2)
-            flat = lists.flatten()
-            key, start, size, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            if hot.any():  # window by window; the key is then the window's own hash
-                single = np.where(hot, size, 1)
-                index = np.repeat(np.arange(len(size)), single)
-                step = np.arange(len(index)) - np.repeat(np.cumsum(single) - single, single)
-                start, row, was = start[index] + step, row[index], hot[index]
-                size, key = np.where(was, 1, size[index]), key[index].copy()
-                begin = offsets[row[was]] + start[was]
-                words = words_at(data)
+            for i in range(0, batch.num_rows, 2000):
+                rows = batch.slice(i, 2000)
+                size, start = (rows.column(k).to_numpy().astype(np.int64) for k in (4, 3))
+                index = np.repeat(np.arange(len(size)), size)
+                step = np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size)
+                strings = rows.column(1).to_pylist()
+                parts = [strings[k][j : j + length] for k, j in zip(index.tolist(), step.tolist(), strict=True)]
+                data = np.frombuffer(b"".join(parts), np.uint8)
+                words, begin = words_at(data), np.arange(len(parts)) * length
+                h = np.full(len(parts), 1, np.uint64)
                 with np.errstate(over="ignore"):
-                    h = key[was].view(np.uint64)
                     for o in [*range(0, length - 8, 8), length - 8]:
-                        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + words[begin + o])
-                key[was] = h.view(np.int64)
-            begin = offsets[row] + start
-            end = begin + size + length - 1
-            ids = batch.column(0).to_numpy()[row]
-            for i in range(0, len(key), 50_000):
-                j = min(len(key), i + 50_000)
-                parts = [whole[a:b] for a, b in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(parts, pa.binary()), pa.array(ids[i:j]), pa.array(start[i:j].astype(np.int32)), pa.array(size[i:j].astype(np.int32))], ["key", "part", "id", "start", "size"])
+                        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + (words[begin + o] if len(parts) else h))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(parts, pa.binary()), rows.column(2).take(pa.array(index)), pa.array((start[index] + step).astype(np.int32)), pa.array(np.ones(len(index), np.int32))], ["key", "part", "id", "start", "size"])
 
     def sort_shard(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
-        parts, docs_ = shard.column("part").combine_chunks().cast(pa.large_binary()), shard.column("first").to_numpy()
-        if isinstance(parts, pa.ChunkedArray):
-            parts = pa.concat_arrays(parts.chunks)
-        _, raw, data = parts.buffers()
-        offsets = np.frombuffer(raw, np.int64)[parts.offset : parts.offset + len(parts) + 1]
-        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        first, base = first_documents(data, offsets, docs_, length)
-        owner = np.repeat(np.arange(len(docs_)), np.diff(base))
-        earlier = first < docs_[owner]
+        first = shard.column("first").to_numpy()
+        column = shard.column("part").cast(pa.large_binary())
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+        _, raw, data = column.buffers()
+        offsets = np.frombuffer(raw, np.int64)[column.offset : column.offset + len(column) + 1]
+        data, offsets = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        found, base = first_documents(data, offsets, first, length)
+        owner = np.repeat(np.arange(len(first)), np.diff(base))
+        earlier = found < first[owner]
         marks = np.zeros(len(owner) + 1, bool)  # where runs of such windows or strings begin
         marks[1:-1] = earlier[1:] != earlier[:-1]
         marks[base] = True
@@ -210,25 +276,26 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         begin, end = points[:-1], points[1:]
         begin, end = begin[earlier[begin]], end[earlier[begin]]
         who = owner[begin]
-        count = np.bincount(who, minlength=len(docs_))
+        count = np.bincount(who, minlength=len(first))
         pairs = np.stack([begin - base[who], end - base[who]], 1).reshape(-1).astype(np.int32)
         early = pa.ListArray.from_arrays(pa.array((2 * np.concatenate([[0], np.cumsum(count)])).astype(np.int32)), pa.array(pairs))
-        return pa.table([shard.column("key"), shard.column("h1"), shard.column("h2"), shard.column("first"), early], names=["key", "h1", "h2", "first", "early"])
-
-    found = docs.mapInArrow(find, "key long, id long, start int, size int")
-    keys = keep(found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", (F.col("n") > HOT_SPANS).alias("hot")), "shared-keys")
-    release(spark)
-    shared = found.join(keys.hint("shuffle_hash"), "key").groupBy("id").agg(F.collect_list(F.struct("key", "start", "size", "hot")).alias("spans"))
-    shared = keep(shared, "shared-spans")
-    release(spark)
-    parts = keep(docs.join(shared, "id").select("id", "text", "spans").mapInArrow(cut, "key long, part binary, id long, start int, size int"), "parts")
-    release(spark)
+        return pa.table([*(shard.column(c) for c in ("key", "h1", "h2", "first")), early], names=["key", "h1", "h2", "first", "early"])
+
+    shared = keep(shared_keys(docs, length, max(32, docs.count() // 8000)), "shared-keys")
+    schema = "key long, part binary, id long, start int, size int"
+    parts = keep(docs.join(shared, "id").select("id", "text", "keys").mapInArrow(cut, schema), "parts")
+    busy = parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key")
+    if not busy.isEmpty():
+        busy = keep(busy, "busy-keys")
+        distinct = parts.join(busy, "key", "left_semi").select("key", F.xxhash64("part").alias("h")).distinct()
+        hot = keep(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key"), "hot-keys")
+        if not hot.isEmpty():
+            parts = keep(parts.join(hot, "key", "left_anti").unionByName(parts.join(hot, "key", "left_semi").mapInArrow(single, schema)), "parts")
     strings = parts.groupBy("key", "part").agg(F.min("id").alias("first"))
     total = parts.agg(F.sum(F.length("part"))).first()[0] or 0
     shards = max(32, 2 * total // SHARD_BYTES)
     hashed = strings.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", F.xxhash64("part").alias("h1"), F.xxhash64("part", F.lit(7)).alias("h2"), "first", "part")
     sorted_ = keep(hashed.groupBy("shard").applyInArrow(sort_shard, "key long, h1 long, h2 long, first long, early array<int>"), "strings")
-    release(spark)
     places = parts.select("key", F.xxhash64("part").alias("h1"), F.xxhash64("part", F.lit(7)).alias("h2"), "id", "start", "size")
     joined = places.join(sorted_, ["key", "h1", "h2"]).where("id > first or size(early) > 0")
     # A later document loses the whole span; the string's first document only windows found in an earlier one.
@@ -236,7 +303,6 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     some = F.expr(f"transform(sequence(0, size(early) div 2 - 1), i -> struct(start + early[2 * i] as a, start + early[2 * i + 1] + {length - 1} as b))")
     joined = joined.select("id", F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(some)).alias("span"))
     out = keep(joined.groupBy("id").agg(F.collect_list("span").alias("spans")), "removed")
-    release(spark)
     return out
 
 
