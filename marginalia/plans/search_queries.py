@@ -66,9 +66,9 @@ def threshold_first(spark, sf_dir):
     return out.orderBy(F.col("score").desc(), "vec_id").limit(5).select("vec_id", six(F.col("score"), "score"))
 
 
-@query("j2_similar_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = 1 AND b.label = 1 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2")
+@query("j2_similar_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2")
 def similar_pairs(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").where("label = 1").select(F.col("vec_id").alias("id"), "embedding")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return search.similar_pairs(v, 0.2).select("a", "b", six(F.col("similarity"), "similarity"))
 
 

@@ -184,13 +184,13 @@ def path_distance(spark, sf_dir):
     return n.join(m, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 20).alias("b"), T.path_distance(F.col("path"), F.col("other")).cast("long").alias("distance"))
 
 
-TF = r"""t AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z][a-zA-Z0-9]*'))) AS term FROM documents WHERE lang = 'en'),
-tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'),
+TF = r"""t AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z][a-zA-Z0-9]*'))) AS term FROM documents),
+tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term), n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT term, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term) x, n WHERE df >= 2 AND df <= 0.8 * n ORDER BY total DESC, term LIMIT 1000)"""
 
 
 def _weights(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     tf = terms.counts(d, "doc_id", terms.tokens(F.col("text")))
     vocab = terms.vocabulary(tf, d.count())
     return tf, vocab
@@ -211,10 +211,10 @@ def top_terms(spark, sf_dir):
     return terms.top_terms(terms.weights(tf, vocab)).select(F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "term", six(F.col("weight"), "weight"))
 
 
-@query("t3_pair_cosine", f"WITH {WEIGHTS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 5 WHERE a.lang = 'en' AND b.lang = 'en') SELECT p.a, p.b, round(coalesce(sum(x.weight * y.weight), 0), 6) AS tfidf_similarity FROM p LEFT JOIN w x ON x.id = p.a LEFT JOIN w y ON y.id = p.b AND y.term = x.term GROUP BY p.a, p.b")
+@query("t3_pair_cosine", f"WITH {WEIGHTS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 5) SELECT p.a, p.b, round(coalesce(sum(x.weight * y.weight), 0), 6) AS tfidf_similarity FROM p LEFT JOIN w x ON x.id = p.a LEFT JOIN w y ON y.id = p.b AND y.term = x.term GROUP BY p.a, p.b")
 def pair_cosine(spark, sf_dir):
     tf, vocab = _weights(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("a"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"))
     pairs = d.join(d.select((F.col("a") - 5).alias("a")), "a").select("a", (F.col("a") + 5).alias("b"))
     return terms.pair_cosine(terms.weights(tf, vocab), pairs).select("a", "b", six(F.col("tfidf_similarity"), "tfidf_similarity"))
 
