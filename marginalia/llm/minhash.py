@@ -34,7 +34,7 @@ BANDS, ROWS = 44, 6
 #: Signature positions compared at a time, and the posterior below which a pair is pruned.
 BATCH, MISS = 33, 1e-7
 #: Hashed counters that tell which shingles are rare.
-COUNTERS = 1 << 18
+COUNTERS, SLICES = 1 << 19, 64
 
 
 def least_matches(threshold: float, total: int, batch: int, miss: float) -> list[tuple[int, int]]:
@@ -52,7 +52,11 @@ def least_matches(threshold: float, total: int, batch: int, miss: float) -> list
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128-bit digest of the set), sig (16 bits of each MinHash)."""
+    """doc_id, n (set size), s1 and s2 (128-bit digest of the set), sig (8 bits of each MinHash).
+
+    Eight bits make unlike positions equal once in 256 times, which only lets
+    more pairs through to the exact check.
+    """
     a, b = permutations(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +66,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
                 with np.errstate(over="ignore"):
                     s1 = np.asarray([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                     s2 = np.asarray([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                sig = [minhash(x, a, b).astype("<u2").tobytes() if len(x) else b"" for x in sets]
+                sig = [minhash(x, a, b).astype(np.uint8).tobytes() if len(x) else b"" for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary())], ["doc_id", "n", "s1", "s2", "sig"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -76,7 +80,7 @@ def banded(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, bands, rows).astype(np.uint64)
+            m = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, bands, rows).astype(np.uint64)
             with np.errstate(over="ignore"):
                 h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (batch.num_rows, bands))
                 for k in range(rows):
@@ -95,7 +99,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, words: int, per
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
             alive, equal, at = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for n, least in steps:
                 equal[alive] += (x[alive, at:n] == y[alive, at:n]).sum(axis=1)
@@ -115,7 +119,10 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, words: int, per
                             keep_rows.append(i + r)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep_rows, pa.int64())), batch.column(1).take(pa.array(keep_rows, pa.int64()))], ["a", "b"])
 
-    of = lambda name: sigs.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
+    # Only the signatures of documents in some pair are moved to the pairs.
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    some = keep(sigs.join(ids, "id", "left_semi"), "pair-signatures")
+    of = lambda name: some.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
     pruned = keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"), "candidates")
     # Of rows with the same id one text is taken; it has the id's set by then.
     texts = docs.join(pruned.select(F.col("a").alias("id")).unionByName(pruned.select(F.col("b").alias("id"))).distinct(), "id", "left_semi")
@@ -132,14 +139,19 @@ def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
             for _, _, data, offsets in byte_blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
                 total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([x.astype("<i4").tobytes() for x in np.split(total, SLICES)], pa.binary())], ["slice", "counts"])
+
+    def add(slices: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in slices.column("counts").to_pylist())
+        return pa.table([slices.column("slice").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
-    # At most COUNTERS rows, whatever the corpus holds.
-    found = texts.select("id", "text").mapInArrow(tally, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    # SLICES rows of COUNTERS numbers in all, whatever the corpus holds.
+    found = texts.select("id", "text").mapInArrow(tally, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()
+    counts = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for r in found:
+        counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(counts.reshape(-1))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
@@ -187,6 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     across = rare.alias("x").join(rare.alias("y"), F.expr(f"x.token = y.token and x.component < y.component and {sizes}"))
     across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    across = keep(across, "across")
     more = keep(verified(across, heads, source, words, percent, bands, rows, miss), "links")
     components = connected_components(links.unionByName(more))
     named = classes.join(components, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
