@@ -28,8 +28,8 @@ from marginalia.llm.shingles import mix
 from marginalia.session import keep, table
 
 LENGTH, GRAM = 50, 24
-#: Windows of a span at most, window starts of one numpy pass, bytes of strings in a shard.
-SPAN, PASS, SHARD_BYTES = 64, 1 << 20, 6 << 20
+#: Windows of a span at most (more only share a gram where the text repeats itself), window starts of one numpy pass, bytes of strings in a shard.
+SPAN, PASS, SHARD_BYTES = LENGTH - GRAM + 1, 1 << 20, 6 << 20
 #: A key with more different strings than this is dealt window by window instead.
 HOT_STRINGS = 150_000
 
@@ -279,7 +279,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         count = np.bincount(who, minlength=len(first))
         pairs = np.stack([begin - base[who], end - base[who]], 1).reshape(-1).astype(np.int32)
         early = pa.ListArray.from_arrays(pa.array((2 * np.concatenate([[0], np.cumsum(count)])).astype(np.int32)), pa.array(pairs))
-        return pa.table([*(shard.column(c) for c in ("key", "h1", "h2", "first")), early], names=["key", "h1", "h2", "first", "early"])
+        out = pa.table([*(shard.column(c) for c in ("key", "h", "first")), early], names=["key", "h", "first", "early"])
+        # What one document alone has and holds no earlier window removes nothing.
+        return out.filter(pa.array((shard.column("n").to_numpy() > 1) | (count > 0)))
 
     shared = keep(shared_keys(docs, length, max(32, docs.count() // 8000)), "shared-keys")
     schema = "key long, part binary, id long, start int, size int"
@@ -291,13 +293,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         hot = keep(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key"), "hot-keys")
         if not hot.isEmpty():
             parts = keep(parts.join(hot, "key", "left_anti").unionByName(parts.join(hot, "key", "left_semi").mapInArrow(single, schema)), "parts")
-    strings = parts.groupBy("key", "part").agg(F.min("id").alias("first"))
+    strings = parts.groupBy("key", "part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     total = parts.agg(F.sum(F.length("part"))).first()[0] or 0
     shards = max(32, 2 * total // SHARD_BYTES)
-    hashed = strings.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", F.xxhash64("part").alias("h1"), F.xxhash64("part", F.lit(7)).alias("h2"), "first", "part")
-    sorted_ = keep(hashed.groupBy("shard").applyInArrow(sort_shard, "key long, h1 long, h2 long, first long, early array<int>"), "strings")
-    places = parts.select("key", F.xxhash64("part").alias("h1"), F.xxhash64("part", F.lit(7)).alias("h2"), "id", "start", "size")
-    joined = places.join(sorted_, ["key", "h1", "h2"]).where("id > first or size(early) > 0")
+    hashed = strings.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", F.xxhash64("part").alias("h"), "first", "n", "part")
+    sorted_ = keep(hashed.groupBy("shard").applyInArrow(sort_shard, "key long, h long, first long, early array<int>"), "strings")
+    # The key and the hash are 128 bits of a string.
+    places = parts.select("key", F.xxhash64("part").alias("h"), "id", "start", "size")
+    joined = places.join(sorted_, ["key", "h"]).where("id > first or size(early) > 0")
     # A later document loses the whole span; the string's first document only windows found in an earlier one.
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size") + (length - 1)).alias("b")))
     some = F.expr(f"transform(sequence(0, size(early) div 2 - 1), i -> struct(start + early[2 * i] as a, start + early[2 * i + 1] + {length - 1} as b))")
@@ -318,33 +321,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False,
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = removed_spans(source, length)
 
-    def merged(spans_: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        a, b = (np.asarray([s[k] for s in spans_], np.int64) for k in ("a", "b"))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], np.maximum.accumulate(b[order])
-        new = np.concatenate([[True], a[1:] > b[:-1]])
-        return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
-
-    def take(raw: bytes, spans_: list[dict] | None) -> tuple[bytes, int, int]:
-        if not spans_:
-            return raw, 0, 0
-        a, b = merged(spans_)
-        kept, at = [], 0
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            kept.append(raw[at:x])
-            at = y
-        kept.append(raw[at:])
-        return b"".join(kept), int((b - a).sum()), len(a)
+    def kept_bytes(batch: pa.RecordBatch, text: int, where: int) -> Iterator[tuple[bytes, int, int]]:
+        """(kept bytes, bytes removed, runs removed) of each row; null is empty."""
+        lists = batch.column(where)
+        counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat = lists.flatten()
+        a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+        ends = np.cumsum(counts)
+        for raw, n, end in zip(batch.column(text).cast(pa.binary()).to_pylist(), counts.tolist(), ends.tolist(), strict=True):
+            raw = raw or b""
+            if not n:
+                yield raw, 0, 0
+                continue
+            x, y = a[end - n : end], b[end - n : end]
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], np.maximum.accumulate(y[order])
+            new = np.concatenate([[True], x[1:] > y[:-1]])
+            x, y = x[new], y[np.append(np.flatnonzero(new)[1:] - 1, n - 1)]
+            pieces, at = [], 0
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                pieces.append(raw[at:i])
+                at = j
+            pieces.append(raw[at:])
+            yield b"".join(pieces), int((y - x).sum()), len(x)
 
     if digest:
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for text, spans_ in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    raw = text or b""
-                    kept, n, k = take(raw, spans_)
-                    rows.append((len(raw), n, k, hashlib.sha256(kept).hexdigest()))
+                rows = [(len(kept) + n, n, k, hashlib.sha256(kept).hexdigest()) for kept, n, k in kept_bytes(batch, 1, 2)]
                 n_bytes, n_removed, n_spans, sha = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -355,8 +360,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False,
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not s else take(t, s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(where).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            texts = [t.decode() if isinstance(t, bytes) else t for t in texts]
+            old = batch.column(where).to_pylist()
+            texts = [t if not n else kept.decode("utf-8", "ignore") for t, (kept, n, _) in zip(old, kept_bytes(batch, where, len(names)), strict=True)]
             columns = [pa.array(texts, pa.string()) if k == where else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
