@@ -1,12 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-Every line is indexed by its hash and its ordinal among the equal lines of its
-document, so an entry is unique in a document and rare in the corpus. A
-document is paired with the first document that holds an entry of its own:
-that finds all overlaps with as many pairs as there are entries, however many
-documents share a line. Each pair is aligned by patience diff over the entries
-that are unique in both, which is their longest increasing subsequence, and
-aligned runs of neighbouring lines are deleted from the later document.
+Every line is a hash of it and its ordinal among the equal lines of its
+document, so an entry is unique in a document. A block that can be deleted is
+a run of neighbouring entries of BLOCK_CHARS code points, so two documents can
+lose lines to each other only where they share a window: the shortest run of
+that length from a line on, or such a run with the short lines behind it. A
+document is first aligned with the first holder of each of its windows, by
+patience diff over all entries that both hold, which is their longest
+increasing subsequence; aligned runs of neighbouring lines are deleted from the
+later document. Where lines of a shared window are left after that, because
+they stand in another order in that holder, the document is aligned with more
+and more of the window's earlier holders, until the lines are deleted or every
+holder has been tried. The result is that of aligning all pairs.
 """
 
 from __future__ import annotations
@@ -16,15 +21,18 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.session import table
+from marginalia.session import keep, table
 
 #: Code points that a block of aligned lines must have in all to be deleted.
 BLOCK_CHARS = 30
+#: Holders of a window that are tried at once, and how many times more in each round until all are.
+HOLDERS = 8
 
 
 def entries(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -78,32 +86,118 @@ def aligned_blocks(later: list[int], earlier: list[int], sizes: list[int], least
     return out
 
 
+def windows(hashes: list[int], sizes: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(key, first place, last place) of runs of at least `least` code points; those inside a block cover all of it.
+
+    From each place the shortest such run, and longer ones while what follows
+    the place is under `least`. The whole document is a run too, so that copies
+    find each other.
+    """
+    packed = np.asarray(hashes, np.int64).tobytes()
+    out = []
+    end, total = -1, 0  # total: code points of the places from k to end
+    for k in range(len(sizes)):
+        while total < least and end + 1 < len(sizes):
+            end += 1
+            total += sizes[end]
+        if total < least:
+            break
+        last, behind = end, total - sizes[k]
+        while True:
+            out.append((xxhash.xxh3_64_intdigest(packed[8 * k : 8 * last + 8]) - (1 << 63), k, last))
+            last += 1
+            if last == len(sizes) or behind + sizes[last] >= least:
+                break
+            behind += sizes[last]
+        total -= sizes[k]
+    if out and out[0][2] < len(sizes) - 1:
+        out.append((xxhash.xxh3_64_intdigest(packed, 1) - (1 << 63), 0, len(sizes) - 1))
+    return out
+
+
+def lists(column: pa.Array) -> Iterator[list]:
+    """The lists of a column, one at a time."""
+    for k in range(len(column)):
+        yield column[k].values.to_numpy(zero_copy_only=False).tolist()
+
+
 def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
     """(id, places array<int>): places, among its lines that are not blank, that each document loses; docs has id and text."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                ids, hashes, places, sizes = [], [], [], []
+                ids, hashes, sizes = [], [], []
                 for doc, text in zip(batch.column(0).slice(i, 500).to_pylist(), batch.column(1).slice(i, 500).to_pylist(), strict=True):
                     _, h, n = entries(text or "")
-                    ids += [doc] * len(h)
-                    hashes += h
-                    places += range(len(h))
-                    sizes += n
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], ["h", "id", "place", "chars"])
+                    if h:
+                        ids.append(doc)
+                        hashes.append(h)
+                        sizes.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["id", "hashes", "sizes"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                rows = [(key, doc, a, b) for doc, h, n in zip(part.column(0).to_pylist(), lists(part.column(1)), lists(part.column(2)), strict=True) for key, a, b in windows(h, n, least)]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "id", "place", "end"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [aligned_blocks([r["place"] for r in rows], [r["first_place"] for r in rows], [r["chars"] for r in rows], least) for rows in batch.column(1).to_pylist()]
+            out = []
+            for own, sizes, theirs in zip(lists(batch.column(1)), lists(batch.column(2)), lists(batch.column(3)), strict=True):
+                at = {h: k for k, h in enumerate(theirs)}
+                met = [(k, at[h], sizes[k]) for k, h in enumerate(own) if h in at]
+                out.append(aligned_blocks([m[0] for m in met], [m[1] for m in met], [m[2] for m in met], least))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["id", "places"])
 
-    lines = docs.where("id is not null").mapInArrow(index, "h long, id long, place int, chars int")
-    firsts = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("place", F.struct("id", "place")).alias("first_place")).where("first < last").drop("last")
-    met = lines.join(firsts, "h").where("id > first")
-    pairs = met.groupBy("first", "id").agg(F.collect_list(F.struct("place", "first_place", "chars")).alias("rows"))
-    lost = pairs.select("id", "rows").mapInArrow(align, "id long, places array<int>").where("size(places) > 0")
-    return lost.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for doc, rows, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                gone = set(places or ())
+                short = {r["h"] for r in rows if not gone.issuperset(range(r["place"], r["end"] + 1))}
+                ids += [doc] * len(short)
+                keys += short
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["id", "h"])
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        first = seqs.select(F.col("id").alias("first"), F.col("hashes").alias("theirs"))
+        both = pairs.join(first.hint("merge"), "first").join(seqs.hint("merge"), "id").select("id", "hashes", "sizes", "theirs")
+        return both.mapInArrow(align, "id long, places array<int>").where("size(places) > 0")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+
+    def remaining(hits: DataFrame, lost: DataFrame) -> DataFrame:
+        return hits.join(lost.hint("merge"), "id", "left").select("id", "rows", "places").mapInArrow(left, "id long, h long")
+
+    # Joins of tables that grow are merged at any size, so that small inputs show what large ones do.
+    seqs = keep(docs.where("id is not null").mapInArrow(index, "id long, hashes array<long>, sizes array<int>"), "lines")
+    runs = seqs.mapInArrow(cut, "h long, id long, place int, end int")
+    firsts = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    met = runs.join(firsts.hint("merge"), "h").where("id > first")
+    hits = keep(met.groupBy("id").agg(F.collect_list(F.struct("place", "end", "h", "first")).alias("rows")), "shared-lines")
+    pairs = hits.select("id", F.explode(F.array_distinct("rows.first")).alias("first"))
+    lost = keep(merged(aligned(pairs)), "lost-lines")
+    rest = keep(remaining(hits, lost), "left-lines")
+    if rest.isEmpty():
+        return lost
+    held = runs.join(rest.select("h").distinct(), "h", "left_semi").select("h", F.col("id").alias("first"))
+    held = keep(held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h"), "holders")
+    most, reach = held.agg(F.max("n")).first()[0], HOLDERS
+    while True:
+        near = held.where(F.pmod(F.xxhash64("first", "h"), F.ceil(F.col("n") / reach)) == 0)
+        pairs = rest.join(near, "h").where("first < id").select("id", "first").distinct()
+        lost = keep(merged(lost.unionByName(aligned(pairs))), "lost-lines")
+        if reach >= most:
+            return lost
+        rest = keep(remaining(hits.join(rest.select("id").distinct(), "id", "left_semi"), lost), "left-lines")
+        if rest.isEmpty():
+            return lost
+        reach *= HOLDERS
 
 
 def drop_places(text: str, places: list[int] | None) -> str:
@@ -138,7 +232,7 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_CHARS, digest: bool = False,
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_lines", "n_removed", "kept_chars", "kept_sha256"])
 
-        return source.join(lost, source["id"] == lost["_id"], "left").select("id", "text", "_places").mapInArrow(sums, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
+        return source.join(lost.hint("merge"), source["id"] == lost["_id"], "left").select("id", "text", "_places").mapInArrow(sums, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
 
     names = docs.columns
     where = names.index(text_col)
@@ -148,7 +242,7 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_CHARS, digest: bool = False,
             texts = [t if not p or t is None else drop_places(t, p) for t, p in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else batch.column(k) for k in range(len(names))], names)
 
-    return docs.join(lost, F.col(id_col) == F.col("_id"), "left").select(*names, "_places").mapInArrow(strip, docs.schema)
+    return docs.join(lost.hint("merge"), F.col(id_col) == F.col("_id"), "left").select(*names, "_places").mapInArrow(strip, docs.schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,50 @@ def test_dedup_lines(spark):
     assert lines.dedup_lines(of(spark, [])).count() == 0
 
 
+
+def brute_lines(rows, least):
+    """Places each document loses when every pair is aligned."""
+    held = {i: lines.entries(t)[1:] for i, t in rows}
+    out = {}
+    for i, (own, sizes) in held.items():
+        gone = set()
+        for j, (theirs, _) in held.items():
+            if j < i:
+                at = {h: k for k, h in enumerate(theirs)}
+                met = [(k, at[h], sizes[k]) for k, h in enumerate(own) if h in at]
+                gone.update(lines.aligned_blocks([m[0] for m in met], [m[1] for m in met], [m[2] for m in met], least))
+        out[i] = gone
+    return out
+
+
+def test_lines_with_other_first_holders(spark):
+    a, b = "A line of twenty-five cp.", "B line of twenty-five cp."
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(of(spark, [(1, a), (2, f"{a}\n{b}"), (3, f"{a}\n{b}")])).collect()}
+    assert got == {1: a, 2: f"{a}\n{b}", 3: ""}
+
+
+def test_lines_like_all_pairs(spark):
+    r = random.Random(11)
+    pool = [f"{k} " + "x" * r.choice((0, 2, 8, 14, 20, 40)) for k in range(25)]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(12)))) for i in range(120)]
+    for i in range(120, 200):  # parts of earlier ones, some in another order
+        parts = [rows[r.randrange(len(rows))][1].split("\n") for _ in range(3)]
+        rows.append((i, "\n".join(line for p in parts for line in p[r.randrange(4) : r.randrange(4, 9)])))
+    got = {x["id"]: set(x["places"]) for x in lines.repeated_lines(spark.createDataFrame(rows, "id long, text string")).collect()}
+    want = {i: places for i, places in brute_lines(rows, lines.BLOCK_CHARS).items() if places}
+    assert got == want
+
+
+def test_windows_cover_blocks():
+    r = random.Random(12)
+    for _ in range(300):
+        sizes = [r.choice((1, 3, 9, 14, 29, 30, 70)) for _ in range(r.randrange(12))]
+        found = lines.windows(list(range(len(sizes))), sizes, 30)
+        for i in range(len(sizes)):
+            for j in range(i, len(sizes)):
+                if sum(sizes[i : j + 1]) >= 30:
+                    assert {p for _, a, b in found if i <= a and b <= j for p in range(a, b + 1)} == set(range(i, j + 1))
+
 # 6
 
 
