@@ -4,9 +4,12 @@ The standard library's parser streams events. Text is gathered in lines, one
 for each block element's run of text, together with the tags met in it. Each
 line's ratio of text to tags is smoothed with a Gaussian over its neighbours
 and the smoothed ratios are clustered by a threshold, their standard
-deviation. The element that holds most of the text of the lines above it is
-the content region; its lines, short ones too, are the main text, without
-parts that are marked as navigation, notices, comments and the like.
+deviation. The content region is the article or main elements of the page, if
+they hold half of the text of the lines above it: named regions go before the
+clusters. Else it is the innermost element that holds nearly all of that text
+and outside of which there are only lines of links. Its lines, short ones too,
+are the main text, without parts that are marked as navigation, notices,
+comments and the like.
 """
 
 from __future__ import annotations
@@ -40,16 +43,17 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, the region around it). Text and tags of silent parts are left out."""
+    """Lines of a page: (text, tags, the region around it, whether any of it is no link). Text and tags of silent parts are left out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, region, silent
         self.parents = [0]
         self.kinds = [""]
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
+        self.plain = False
 
     def silent(self) -> bool:
         return bool(self.open) and self.open[-1][2]
@@ -57,9 +61,10 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
+            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0, self.plain))
             self.tags = 0
         self.text.clear()
+        self.plain = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
@@ -106,6 +111,17 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent():
             self.text.append(data)
+            if not self.plain and not data.isspace():
+                self.plain = not self.linked()
+
+    def linked(self) -> bool:
+        """Whether an anchor is open in the innermost region."""
+        for name, _, _ in reversed(self.open):
+            if name == "a":
+                return True
+            if name in REGIONS:
+                return False
+        return False
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -125,30 +141,33 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smoothed(np.asarray([len(text) / max(1, tags) for text, tags, _ in lines]))
+    ratios = smoothed(np.asarray([len(text) / max(1, tags) for text, tags, _, _ in lines]))
     content = ratios > ratios.std() if len(lines) > 2 else np.ones(len(lines), bool)
     # Each region's text above the threshold, its own and that of the regions inside it.
     mass = np.zeros(len(parser.parents))
     whole = np.zeros(len(parser.parents))
-    for (text, _, region), on in zip(lines, content, strict=True):
+    plain = np.zeros(len(parser.parents), int)
+    for (text, _, region, own), on in zip(lines, content, strict=True):
         mass[region] += len(text) * bool(on)
         whole[region] += len(text)
+        plain[region] += own
     for k in range(len(mass) - 1, 0, -1):
         mass[parser.parents[k]] += mass[k]
         whole[parser.parents[k]] += whole[k]
+        plain[parser.parents[k]] += plain[k]
     named = [k for k, kind in enumerate(parser.kinds) if kind in ("article", "main") and whole[k]]
     total, best = mass[0], 0
     if named and (mass[named].sum() >= 0.5 * total or not total):
         outer = {k for k in named if not any(k != m and _inside(parser.parents, k, m) for m in named)}
         chosen = outer
     else:
-        while True:  # go down while one inner region has nearly all of the content
-            inner = [k for k in range(1, len(mass)) if parser.parents[k] == best and k != best and mass[k] >= 0.9 * mass[best] > 0]
+        while True:  # go down while one inner region has nearly all of the content and all lines that are not links
+            inner = [k for k in range(1, len(mass)) if parser.parents[k] == best and k != best and mass[k] >= 0.9 * mass[best] > 0 and plain[k] == plain[best]]
             if not inner:
                 break
             best = inner[0]
         chosen = {best}
-    keep = [text for text, _, region in lines if any(_inside(parser.parents, region, k) for k in chosen)]
+    keep = [text for text, _, region, _ in lines if any(_inside(parser.parents, region, k) for k in chosen)]
     return " ".join(keep)
 
 

@@ -56,6 +56,14 @@ def test_extract_without_article():
     assert extract.main_text(page) == long + " End."
 
 
+def test_extract_keeps_text_beside_the_inner_region():
+    intro, closing = "An intro sentence of the page. " * 10, "A closing word."
+    body = " ".join(["A sentence of the text that is long enough to matter."] * 95)
+    links = "<div><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></div>"
+    page = f"<body>{links}<div id=content><p>{intro}</p><div class=body><p>{body}</p><p>Short.</p></div><p>{closing}</p></div></body>"
+    assert extract.main_text(page) == f"{intro.strip()} {body} Short. {closing}"
+
+
 def test_extract_pages(spark, sf_dir):
     got = {r["page_id"]: r for r in registry.QUERIES["op1_html"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
