@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.operators import domains, graph, pairs
-from marginalia.plans.base import AS_OF, DENSE, NOTES, SPARSE, dense, ends, notes, query, six, sparse
+from marginalia.plans.base import AS_OF, DENSE, NOTES, SPARSE, dense, ends, notes, query, six, sparse, whole_dense, whole_sparse
 from marginalia.session import table
 
 SN = f"{SPARSE}, nodes AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse)"
@@ -47,7 +47,7 @@ def pagerank(spark, sf_dir):
 
 @query("g5_betweenness")
 def betweenness(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = whole_sparse(spark, sf_dir)
     return graph.betweenness(e, ends(e)).select("id", six(F.col("betweenness"), "betweenness"))
 
 
@@ -63,13 +63,13 @@ def path_metrics(spark, sf_dir):
 
 @query("g7_eigenvector")
 def eigenvector(spark, sf_dir):
-    e = dense(spark, sf_dir)
+    e = whole_dense(spark, sf_dir)
     return graph.eigenvector(ends(e), graph.undirected(e), 10).select("id", six(F.col("score"), "score"))
 
 
 @query("g8_katz")
 def katz(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = whole_sparse(spark, sf_dir)
     return graph.katz(ends(e), e, 8).select("id", six(F.col("score"), "score"))
 
 
@@ -112,7 +112,7 @@ def components(spark, sf_dir):
 
 @query("g15_communities")
 def communities(spark, sf_dir):
-    e = dense(spark, sf_dir)
+    e = whole_dense(spark, sf_dir)
     return graph.communities(ends(e), e, 5)
 
 
@@ -124,7 +124,7 @@ def modularity(spark, sf_dir):
 
 @query("g17_bridges")
 def bridges(spark, sf_dir):
-    e = dense(spark, sf_dir)
+    e = whole_dense(spark, sf_dir)
     n = ends(e)
     out = graph.bridges(e, n.withColumn("community", F.col("id") % 5), n.select("id", F.lit(0.0).alias("betweenness")))
     return out.select("id", "inter", "communities", six(F.col("ratio"), "ratio"), six(F.col("bridge_score"), "bridge_score"), "is_bridge")
@@ -167,7 +167,7 @@ def positives(spark, sf_dir):
 
 @query("t12_random_negatives")
 def random_negatives(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = whole_sparse(spark, sf_dir)
     p = pairs.positives(e)
     return pairs.random_negatives(ends(e), p, pairs.target_negatives(p.count(), ends(e).count(), 1.0))
 
