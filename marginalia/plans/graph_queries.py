@@ -64,7 +64,7 @@ def path_metrics(spark, sf_dir):
 @query("g7_eigenvector")
 def eigenvector(spark, sf_dir):
     e = whole_dense(spark, sf_dir)
-    return graph.eigenvector(ends(e), graph.undirected(e), 10).select("id", six(F.col("score"), "score"))
+    return graph.eigenvector(ends(e), graph.undirected(e), 1000, tolerance=1e-8).select("id", six(F.col("score"), "score"))
 
 
 @query("g8_katz")
@@ -113,7 +113,7 @@ def components(spark, sf_dir):
 @query("g15_communities")
 def communities(spark, sf_dir):
     e = whole_dense(spark, sf_dir)
-    return graph.communities(ends(e), e, 5)
+    return graph.communities(ends(e), e)
 
 
 @query("g16_a13_modularity", f"WITH {DENSE}, lab AS (SELECT id, id % 5 AS community FROM deg), m AS (SELECT count(*)::DOUBLE AS m FROM dense), d AS (SELECT community, sum(k) AS degree, count(*) AS size FROM deg JOIN lab USING (id) GROUP BY community), i AS (SELECT a.community, count(*) AS internal FROM dense JOIN lab a ON a.id = src JOIN lab b ON b.id = dst WHERE a.community = b.community GROUP BY a.community) SELECT community, size, coalesce(internal, 0) AS internal, degree::BIGINT AS degree, round(coalesce(internal, 0) / m - (degree / (2 * m)) ** 2, 6) AS modularity FROM d LEFT JOIN i USING (community), m")

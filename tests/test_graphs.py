@@ -70,3 +70,27 @@ def test_negatives_of_all_orders(spark, lines_dir):
 
 def test_communities_of_all_lines(spark, lines_dir):
     assert {r["id"] for r in QUERIES["g15_communities"](spark, lines_dir).collect()} == set(range(1, 8))
+
+
+def test_eigenvector_has_converged(spark, lines_dir):
+    ids, m = matrix(LINKS)
+    x = np.abs(np.linalg.eigh(m + m.T)[1][:, -1])
+    got = {r["id"]: r["score"] for r in QUERIES["g7_eigenvector"](spark, lines_dir).collect()}
+    assert got == pytest.approx(dict(zip(ids, x)), abs=2e-6)
+
+
+def test_communities_run_ten_rounds(spark, tmp_path):
+    links = [(k, k + 1) for k in range(1, 24)]
+    rows = [(k, 1, k, supplier, "R") for k, link in enumerate(links) for supplier in link]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {k: [x for e in links for x in e if k in e and x != k] for k in range(1, 25)}
+
+    def propagated(rounds):
+        labels = {k: k for k in near}
+        for _ in range(rounds):
+            votes = {k: [labels[x] for x in [*near[k], k]] for k in near}
+            labels = {k: min(v, key=lambda c: (-v.count(c), c)) for k, v in votes.items()}
+        return labels
+
+    assert propagated(5) != propagated(10)
+    assert {r["id"]: r["community"] for r in QUERIES["g15_communities"](spark, str(tmp_path)).collect()} == propagated(10)
