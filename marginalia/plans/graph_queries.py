@@ -126,7 +126,7 @@ def modularity(spark, sf_dir):
 def bridges(spark, sf_dir):
     e = whole_dense(spark, sf_dir)
     n = ends(e)
-    out = graph.bridges(e, n.withColumn("community", F.col("id") % 5), n.select("id", F.lit(0.0).alias("betweenness")))
+    out = graph.bridges(e, graph.communities(n, e), graph.betweenness(graph.undirected(e), n))
     return out.select("id", "inter", "communities", six(F.col("ratio"), "ratio"), six(F.col("bridge_score"), "bridge_score"), "is_bridge")
 
 

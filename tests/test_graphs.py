@@ -94,3 +94,19 @@ def test_communities_run_ten_rounds(spark, tmp_path):
 
     assert propagated(5) != propagated(10)
     assert {r["id"]: r["community"] for r in QUERIES["g15_communities"](spark, str(tmp_path)).collect()} == propagated(10)
+
+
+def test_bridges_use_communities_and_betweenness(spark, lines_dir):
+    between = brute_betweenness([*LINKS, *[(b, a) for a, b in LINKS]])
+    near = {k: {x for e in LINKS for x in e if k in e and x != k} for k in between}
+    labels = {r["id"]: r["community"] for r in QUERIES["g15_communities"](spark, lines_dir).collect()}
+    got = {r["id"]: r for r in QUERIES["g17_bridges"](spark, lines_dir).collect()}
+    assert set(got) == set(near)
+    for k, around in near.items():
+        far = [labels[x] for x in around if labels[x] != labels[k]]
+        links = sum(y in near[x] for x in around for y in around if x < y)
+        size = len(around) - links / len(around) if len(around) > 1 else 1
+        score = 0.3 * len(far) / len(around) + 0.2 * min(1, len(set(far)) / 3) + 0.3 * between[k] + 0.2 * min(1, size / 5)
+        assert (got[k]["inter"], got[k]["communities"]) == (len(far), len(set(far)))
+        assert got[k]["bridge_score"] == pytest.approx(score, abs=2e-6)
+        assert got[k]["is_bridge"] == (score > 0.25 and bool(far) and len(far) / len(around) >= 0.1)
