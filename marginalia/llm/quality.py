@@ -22,8 +22,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from marginalia.llm.blocks import byte_blocks
 from marginalia.session import table
 
-#: Filters, their width in bytes, positions a step; chunk length and step in bytes.
-FILTERS, WIDTH, STRIDE = 24, 8, 2
+#: Filters and their width in bytes; chunk length and step in bytes.
+FILTERS, WIDTH = 24, 8
 CHUNK, CHUNK_STEP = 512, 448
 #: Labelled documents that are learned from at most, chosen by the hash of their id, and passes over them.
 TRAIN_ROWS, EPOCHS = 2500, 10
@@ -47,19 +47,27 @@ def chunk_starts(size: int) -> np.ndarray:
     return np.append(starts, size - CHUNK)
 
 
+def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes with WIDTH zeros behind each, so that no filter reaches into the next row, and where each row begins."""
+    begin = offsets[:-1] + WIDTH * np.arange(len(offsets) - 1)
+    out = np.zeros(int(offsets[-1]) + WIDTH * len(begin), np.uint8)
+    for b, i, j in zip(begin, offsets[:-1], offsets[1:], strict=True):
+        out[b : b + j - i] = data[i:j]
+    return out, begin
+
+
 def pooled(net: Network, data: np.ndarray, begin: np.ndarray, size: np.ndarray, positions: bool = False):
-    """Each chunk's greatest rectified response per filter and, if asked, the byte where it was."""
+    """Each chunk's greatest rectified response per filter and, if asked, the byte where it was; data is that of apart()."""
     top = np.zeros((len(begin), FILTERS), np.float32)
     best = np.zeros((len(begin), FILTERS), np.int64)
-    padded = np.concatenate([data, np.zeros(WIDTH + STRIDE, np.uint8)])
     for i in range(0, len(begin), 64):
         b, s = begin[i : i + 64], size[i : i + 64]
-        at = b[:, None] + np.arange(0, max(1, int(s.max())), STRIDE)[None, :]
+        at = b[:, None] + np.arange(max(1, int(s.max())))[None, :]
         inside = at < (b + np.maximum(s, 1))[:, None]
-        at = np.minimum(at, len(data))
+        at = np.minimum(at, len(data) - WIDTH)
         total = np.broadcast_to(net.bias, (*at.shape, FILTERS)).copy()
         for k in range(WIDTH):
-            total += net.tables[k][padded[at + k]]
+            total += net.tables[k][data[at + k]]
         total[~inside] = -np.inf
         where = total.argmax(axis=1)
         value = np.take_along_axis(total, where[:, None, :], axis=1)[:, 0, :]
@@ -73,8 +81,9 @@ def document_vectors(net: Network, data: np.ndarray, offsets: np.ndarray) -> tup
     """(mean and greatest of the pooled responses of each row, first chunk of each row)."""
     starts = [chunk_starts(int(n)) for n in np.diff(offsets)]
     first = np.concatenate([[0], np.cumsum([len(s) for s in starts])])
-    begin = np.concatenate([s + o for s, o in zip(starts, offsets[:-1], strict=True)])
-    end = np.minimum(begin + CHUNK, np.repeat(offsets[1:], np.diff(first)))
+    data, rows = apart(data, offsets)
+    begin = np.concatenate([s + o for s, o in zip(starts, rows, strict=True)])
+    end = np.minimum(begin + CHUNK, np.repeat(rows + np.diff(offsets), np.diff(first)))
     top = pooled(net, data, begin, end - begin)
     mean = np.add.reduceat(top, first[:-1], axis=0) / np.diff(first)[:, None]
     return np.concatenate([mean, np.maximum.reduceat(top, first[:-1], axis=0)], axis=1), first
@@ -107,8 +116,9 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             offsets = np.concatenate([[0], np.cumsum([len(texts[k]) for k in batch])])
             starts = [chunk_starts(int(n)) for n in np.diff(offsets)]
             first = np.concatenate([[0], np.cumsum([len(s) for s in starts])])
-            begin = np.concatenate([s + o for s, o in zip(starts, offsets[:-1], strict=True)])
-            end = np.minimum(begin + CHUNK, np.repeat(offsets[1:], np.diff(first)))
+            data, rows = apart(data, offsets)
+            begin = np.concatenate([s + o for s, o in zip(starts, rows, strict=True)])
+            end = np.minimum(begin + CHUNK, np.repeat(rows + np.diff(offsets), np.diff(first)))
             top, best = pooled(net, data, begin, end - begin, positions=True)
             chunks = np.diff(first)
             mean = np.add.reduceat(top, first[:-1], axis=0) / chunks[:, None]
@@ -121,11 +131,10 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             to_top = (back[:, :FILTERS] / chunks[:, None])[owner]
             to_top = to_top + np.where(top == high[owner], back[:, FILTERS:][owner], 0)
             to_top = np.where(top > 0, to_top, 0).astype(np.float32)
-            padded = np.concatenate([data, np.zeros(WIDTH + STRIDE, np.uint8)])
             g_tables = np.zeros_like(net.tables)
             column = np.broadcast_to(np.arange(FILTERS), best.shape)
             for k in range(WIDTH):
-                flat = padded[best + k].astype(np.int64) * FILTERS + column
+                flat = data[best + k].astype(np.int64) * FILTERS + column
                 g_tables[k] = np.bincount(flat.reshape(-1), to_top.reshape(-1), 256 * FILTERS).reshape(256, FILTERS)
             grads = [g_tables, to_top.sum(axis=0), x.T @ error + 1e-4 * net.weights, np.asarray([error.sum()])]
             step += 1
@@ -159,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 def score_documents(docs: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The input's rows and columns with a score from 0 to 1 of each whole text.
 
-    Null counts as empty; an empty text is one empty chunk and gets a score.
+    Null counts as empty; an empty text is one chunk of zeros, and all of them get the same score.
     A column that already has the score's name is replaced.
     """
     docs = docs.drop(score_col)

@@ -268,6 +268,26 @@ def test_quality_learns(spark):
     assert quality.score_documents(of(spark, []), net).count() == 0
 
 
+def test_scores_do_not_depend_on_neighbours():
+    r = np.random.default_rng(8)
+    net = quality.Network(r.standard_normal((quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), np.zeros(quality.FILTERS, np.float32), r.standard_normal(2 * quality.FILTERS) * 0.1, 0.0)
+    texts = [bytes(r.integers(32, 127, n, dtype=np.uint8)) for n in (0, 5, 700, 0, 1, 9, 512, 0)]
+
+    def scored(part):
+        return quality.scores(net, np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]))
+
+    whole = scored(texts)
+    assert whole == pytest.approx([scored([t])[0] for t in texts], abs=1e-6)
+    assert whole[0] == whole[3] == whole[7]
+
+
+def test_filters_see_every_position():
+    net = quality.Network(np.zeros((quality.WIDTH, 256, quality.FILTERS), np.float32), np.zeros(quality.FILTERS, np.float32), np.ones(2 * quality.FILTERS), 0.0)
+    net.tables[0, ord("!")] = 1
+    for text in (b"!abc", b"a!bc", b"ab!c"):
+        assert (quality.document_vectors(net, np.frombuffer(text, np.uint8), np.asarray([0, 4]))[0] == 1).all()
+
+
 def test_chunks_cover_everything():
     for n in (0, 1, quality.CHUNK, quality.CHUNK + 1, 10_000):
         at = quality.chunk_starts(n)
