@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables kept inside the open scratch() blocks, the innermost last.
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -46,12 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, hold: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there.
 
     A lost executor costs only the tasks that read the table again. Shuffle
     files of the write are deleted when it ends, so a job of many steps holds
-    those of one step at a time.
+    those of one step at a time. hold: an open scratch() leaves the table.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -61,4 +65,29 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    if _SCRATCH and not hold:
+        _SCRATCH[-1].append(out)
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes tables that keep() wrote and that nothing will read again; other frames are left alone."""
+    for df in kept:
+        path = getattr(df, "kept_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            df.kept_at = None
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables kept inside the block are deleted when it ends, but for held ones: keep the result of the block with hold."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCRATCH.pop())
