@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import keep
+from marginalia.session import discard, keep
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,10 +20,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = keep(small.where("a <> b").distinct(), "edges")
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges, before = keep(small.where("a <> b").distinct(), "edges"), edges
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -31,4 +32,4 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components have not settled")
     ids = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
-    return ids.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a", "left").select(F.col("a").alias("id"), F.coalesce("m", "a").alias("component"))
+    return ids.join(edges.groupBy("a").agg(F.min("b").alias("m")).hint("merge"), "a", "left").select(F.col("a").alias("id"), F.coalesce("m", "a").alias("component"))
