@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it one that df has no column of, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
 
@@ -50,19 +58,20 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, hold: bool = False) -> DataFrame:
+def keep(df: DataFrame, name: str, hold: bool = False, rows_per_file: int = 0) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there.
 
     A lost executor costs only the tasks that read the table again. Shuffle
     files of the write are deleted when it ends, so a job of many steps holds
     those of one step at a time. hold: an open scratch() leaves the table.
+    rows_per_file: for rows of megabytes, which readers take many of at once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_SHUFFLES, None)
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     finally:
         spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
