@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.session import keep, table
+from marginalia.session import discard, keep, table, unused
 
 #: Code points that a block of aligned lines must have in all to be deleted.
 BLOCK_CHARS = 30
@@ -184,6 +184,7 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
     lost = keep(merged(aligned(pairs)), "lost-lines")
     rest = keep(remaining(hits, lost), "left-lines")
     if rest.isEmpty():
+        discard(seqs, hits, rest)
         return lost
     held = runs.join(rest.select("h").distinct(), "h", "left_semi").select("h", F.col("id").alias("first"))
     held = keep(held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h"), "holders")
@@ -191,11 +192,13 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
     while True:
         near = held.where(F.pmod(F.xxhash64("first", "h"), F.ceil(F.col("n") / reach)) == 0)
         pairs = rest.join(near, "h").where("first < id").select("id", "first").distinct()
-        lost = keep(merged(lost.unionByName(aligned(pairs))), "lost-lines")
-        if reach >= most:
-            return lost
-        rest = keep(remaining(hits.join(rest.select("id").distinct(), "id", "left_semi"), lost), "left-lines")
-        if rest.isEmpty():
+        lost, before = keep(merged(lost.unionByName(aligned(pairs))), "lost-lines"), lost
+        discard(before)
+        if reach < most:
+            rest, before = keep(remaining(hits.join(rest.select("id").distinct(), "id", "left_semi"), lost), "left-lines"), rest
+            discard(before)
+        if reach >= most or rest.isEmpty():
+            discard(seqs, hits, held, rest)
             return lost
         reach *= HOLDERS
 
@@ -214,12 +217,15 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_CHARS, digest: bool = False,
     Lines are compared without white space at their ends; blank lines neither
     match nor part a block. Ids are distinct; rows with a null id are compared
     with nothing. Null stays null, an empty text stays empty. A text all of
-    whose lines go becomes what blank lines it has. digest: doc_id, n_lines
+    whose lines go becomes what blank lines it has. Very long texts are read
+    whole; further columns, whatever their names, stay as they are; an empty
+    table gives an empty table. digest: doc_id, n_lines
     (not blank), n_removed, kept_chars and kept_sha256 instead of the input's
     columns.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lost = repeated_lines(source, least).select(F.col("id").alias("_id"), F.col("places").alias("_places"))
+    own, gone = unused(docs, "later_id"), unused(docs, "lost_places")
+    lost = repeated_lines(source, least).select(F.col("id").alias(own), F.col("places").alias(gone))
 
     if digest:
 
@@ -232,7 +238,7 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_CHARS, digest: bool = False,
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_lines", "n_removed", "kept_chars", "kept_sha256"])
 
-        return source.join(lost.hint("merge"), source["id"] == lost["_id"], "left").select("id", "text", "_places").mapInArrow(sums, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
+        return source.join(lost.hint("merge"), source["id"] == lost[own], "left").select("id", "text", gone).mapInArrow(sums, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
 
     names = docs.columns
     where = names.index(text_col)
@@ -242,7 +248,7 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_CHARS, digest: bool = False,
             texts = [t if not p or t is None else drop_places(t, p) for t, p in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else batch.column(k) for k in range(len(names))], names)
 
-    return docs.join(lost.hint("merge"), F.col(id_col) == F.col("_id"), "left").select(*names, "_places").mapInArrow(strip, docs.schema)
+    return docs.join(lost.hint("merge"), docs[id_col].cast("long") == lost[own], "left").select(*names, gone).mapInArrow(strip, docs.schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@
    windows have equal keys, so spans whose key occurs in one document only
    can hold no match and go no further.
 2. Spans with a shared key become short strings, equal ones are merged, and
-   keys are dealt over shards of bounded size. In each shard the collection's
-   Burrows-Wheeler transform is built column by column: a round inserts one
-   symbol for every string, from its end to its start, at the place that the
-   rank of its last symbol gives. Neighbours in the finished order that share
-   `length` bytes are equal windows, and the least document id of each run of
-   them is their first document.
+   keys are dealt over shards of bounded size. A shard's collection is sorted
+   column by column: a round inserts one symbol of every string, from its end
+   to its start, and brings the Burrows-Wheeler transform and the common
+   prefixes of neighbouring suffixes up to date. Rounds run in passes; between
+   two passes transform, prefixes and the symbols that are left are files in
+   the shared folder, which the next pass reads and writes in sequence.
+   Neighbours whose common prefix reaches `length` are equal windows, and the
+   least document id of each run of them is their first document.
 3. A window whose first document is smaller than its own is removed.
 """
 
@@ -18,20 +20,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.blocks import text_slices
 from marginalia.llm.shingles import mix
-from marginalia.session import keep, table
+from marginalia.session import discard, keep, table, unused
 
 LENGTH, GRAM = 50, 24
 #: Windows of a span at most (more only share a gram where the text repeats itself), window starts of one numpy pass, bytes of strings in a shard.
-SPAN, PASS, SHARD_BYTES = LENGTH - GRAM + 1, 1 << 20, 6 << 20
+SPAN, PASS, SHARD_BYTES = LENGTH - GRAM + 1, 1 << 16, 1 << 20
+#: Columns inserted in one pass, shards in a file between passes, bytes of text whose spans are made at once, bytes of text for each part that keys are settled in.
+COLUMNS, SHARDS_PER_FILE, TEXT_BYTES, PART_BYTES = 26, 8, 8 << 20, 16 << 20
+#: Rows of a slice of a batch, under 2**16.
+ROWS = 20_000
 #: A key with more different strings than this is dealt window by window instead.
 HOT_STRINGS = 150_000
+#: A shard between two passes; blobs of one number per string, of the symbols left, and of one number per suffix.
+STATE = "shard long, key binary, h binary, low binary, high binary, lengths binary, place binary, done long, left binary, bwt binary, shared binary"
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,69 +89,106 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM)
         yield row[starts], at[starts] - offsets[row[starts]], sizes, h[starts].view(np.int64)
 
 
-def insert_columns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, int]:
-    """Burrows-Wheeler transform of the strings' suffixes, built one column a round; symbol 0 is the end of a string.
+@dataclass
+class Columns:
+    """A collection of strings after some rounds: its transform, common prefixes and where the next symbols go.
 
-    The strings' empty suffixes come first, in the strings' order.
+    Symbols are bytes plus one, 0 is the end of a string; the empty suffixes
+    come first, in the strings' order. shared[i] counts the bytes that the
+    suffixes at i - 1 and i have in common, up to `most`.
     """
-    n, lengths = len(offsets) - 1, np.diff(offsets)
-    codes = np.zeros(256, np.uint8)
-    used = np.flatnonzero(np.bincount(data, minlength=256))
-    codes[used] = np.arange(len(used)) + (len(used) < 256)
-    symbols = codes[data] if len(used) < 256 else data
-    if len(used) == 256:
-        raise ValueError("UTF-8 never uses all bytes")
-    ends, alive = offsets[1:], np.flatnonzero(lengths > 0)
-    bwt = np.zeros(n, np.uint8)
-    bwt[alive] = symbols[ends[alive] - 1]
-    place = alive.copy()
-    for done in range(1, int(lengths.max(initial=0)) + 1):
-        order = np.argsort(bwt, kind="stable")
-        to = np.empty(len(bwt), np.int32)
-        to[order] = np.arange(len(bwt), dtype=np.int32)
-        place = to[place].astype(np.int64) - np.count_nonzero(bwt == 0) + n
-        more = lengths[alive] > done
-        symbol = np.zeros(len(alive), np.uint8)
-        symbol[more] = symbols[ends[alive[more]] - done - 1]
-        grown = np.empty(len(bwt) + len(alive), np.uint8)
-        old = np.ones(len(grown), bool)
-        old[place] = False
-        grown[old] = bwt
-        grown[place] = symbol
-        bwt, alive, place = grown, alive[more], place[more]
-    return bwt, n
-
-
-def first_documents(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+
+    lengths: np.ndarray
+    bwt: np.ndarray
+    shared: np.ndarray
+    place: np.ndarray  # of the last suffix of each string that had a symbol left
+    done: int
+    most: int
+
+    @staticmethod
+    def empty(lengths: np.ndarray, last: np.ndarray, most: int) -> Columns:
+        """last: the strings' last symbols, 0 for empty strings."""
+        return Columns(lengths, last.astype(np.uint8), np.zeros(len(lengths), np.uint8), np.flatnonzero(lengths > 0), 0, most)
+
+    def insert(self, symbols: np.ndarray) -> None:
+        """One round: inserts a suffix of every string that has one more symbol; symbols are those before them, 0 where nothing is left.
+
+        The place of a new suffix is the rank of its first symbol in the
+        transform. What it shares with its neighbours is one byte more than the
+        least shared between that occurrence of the symbol and the ones before
+        and after it.
+        """
+        bwt, place, n = self.bwt, self.place, len(self.lengths)
+        order = np.argsort(bwt, kind="stable").astype(np.int32)
+        counts = np.bincount(bwt, minlength=257)
+        begin = np.concatenate([[0], np.cumsum(counts)])
+        symbol = bwt[place]
+        rank = np.empty(len(place), np.int64)
+        by = np.argsort(symbol, kind="stable")
+        ends = np.cumsum(np.bincount(symbol, minlength=256))
+        for c in np.flatnonzero(np.bincount(symbol, minlength=256)).tolist():
+            some = by[ends[c - 1] : ends[c]] if c else by[: ends[0]]
+            rank[some] = begin[c] + np.searchsorted(order[begin[c] : begin[c + 1]], place[some])
+        to = rank - counts[0] + n
+        before, after = rank > begin[symbol], rank + 1 < begin[symbol.astype(np.int64) + 1]
+        most = np.uint8(self.most)
+        padded = np.append(self.shared, np.uint8(0))
+
+        def least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            if not len(low):
+                return np.zeros(0, np.uint8)
+            edges = np.empty(2 * len(low), np.int64)
+            edges[::2], edges[1::2] = low, high + 1
+            return np.minimum(np.minimum.reduceat(padded, edges)[::2], most - 1) + np.uint8(1)
+
+        in_order = np.argsort(place)
+        up, down = np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint8)
+        some = in_order[before[in_order]]
+        up[some] = least(order[rank[some] - 1].astype(np.int64) + 1, place[some])
+        some = in_order[after[in_order]]
+        down[some] = least(place[some] + 1, order[rank[some] + 1].astype(np.int64))
+        size = len(bwt) + len(place)
+        old = np.ones(size, bool)
+        old[to] = False
+        grown = np.empty(size, np.uint16)  # both bytes move at once
+        grown[old] = (self.shared.astype(np.uint16) << 8) | bwt
+        grown[to] = (up.astype(np.uint16) << 8) | symbols
+        shared = (grown >> 8).astype(np.uint8)
+        below = np.flatnonzero(after)
+        below = below[old[to[below] + 1]]
+        shared[to[below] + 1] = down[below]
+        self.done += 1
+        on = self.lengths[self.lengths >= self.done] > self.done
+        self.bwt, self.shared, self.place = grown.astype(np.uint8), shared, to[on]
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each window in order, where runs of equal windows begin): windows of `most` bytes by string and start."""
+        n, windows = len(self.lengths), np.maximum(0, self.lengths - self.most + 1)
+        base = np.concatenate([[0], np.cumsum(windows)])
+        order = np.argsort(self.bwt, kind="stable")
+        to = np.empty(len(order), np.int32)
+        to[order] = np.arange(len(order), dtype=np.int32) - np.count_nonzero(self.bwt == 0) + n
+        at, alive = np.arange(n), np.arange(n)
+        window_at = np.full(len(order), -1, np.int32)
+        for done in range(1, int(self.lengths.max(initial=0)) + 1):
+            on = self.lengths[alive] >= done
+            alive, at = alive[on], to[at[on]]
+            if done >= self.most:
+                window_at[at] = base[alive] + self.lengths[alive] - done
+        places = np.flatnonzero(window_at >= 0)
+        return window_at[places], np.flatnonzero(self.shared[places] < self.most)
+
+
+def first_documents(columns: Columns, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first document of each window, first window of each string and the end), windows in the order of their strings."""
-    lengths = np.diff(offsets)
-    windows = np.maximum(0, lengths - length + 1)
+    windows = np.maximum(0, columns.lengths - columns.most + 1)
     base = np.concatenate([[0], np.cumsum(windows)])
-    bwt, n = insert_columns(data, offsets)
-    order = np.argsort(bwt, kind="stable")
-    to = np.empty(len(bwt), np.int32)
-    to[order] = np.arange(len(bwt), dtype=np.int32) - np.count_nonzero(bwt == 0) + n
-    del order
-    window_at = np.full(len(bwt), -1, np.int32)
-    at, alive = np.arange(n), np.arange(n)
-    for done in range(1, int(lengths.max(initial=0)) + 1):
-        on = lengths[alive] >= done
-        alive, at = alive[on], to[at[on]]
-        if done >= length:
-            window_at[at] = base[alive] + lengths[alive] - done
-    ranked = window_at[window_at >= 0]
-    owner = np.repeat(np.arange(n), windows)
-    begin = offsets[owner] + np.arange(len(owner)) - base[owner]
-    first = np.empty(len(owner), np.int64)
-    if len(ranked):
-        words, begins = words_at(data), begin[ranked]
-        same = np.ones(len(ranked) - 1, bool)
-        for o in [*range(0, length - 8, 8), length - 8]:
-            value = words[begins + o]
-            same &= value[1:] == value[:-1]
-        groups = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        least = np.minimum.reduceat(docs[owner[ranked]], groups)
-        first[ranked] = np.repeat(least, np.diff(np.append(groups, len(ranked))))
+    first = np.empty(int(base[-1]), np.int64)
+    if len(first):
+        ranked, begin = columns.groups()
+        owner = np.repeat(np.arange(len(docs)), windows)
+        least = np.minimum.reduceat(docs[owner[ranked]], begin)
+        first[ranked] = np.repeat(least, np.diff(np.append(begin, len(ranked))))
     return first, base
 
 
@@ -157,16 +205,14 @@ def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             data, offsets = text_bytes(batch.column(1))
             found = [(key.view(np.uint64) >> np.uint64(16), row) for row, _, _, key in spans(data, offsets, length)]
             if not found:
                 continue
-            key, row = (np.concatenate([f[k] for f in found]) for k in range(2))
-            order = np.lexsort((row, key))
-            key, row = key[order], row[order]
-            once = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
-            key, row = key[once], row[once]
+            # A row of a slice is under 2**16, so a key of 48 bits and a row are one integer.
+            both = np.unique(np.concatenate([(key << np.uint64(16)) | row.astype(np.uint64) for key, row in found]))
+            key, row = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             many = np.repeat(np.diff(np.append(begin, len(key))) > 1, np.diff(np.append(begin, len(key))))
             ids = batch.column(0).to_numpy()[row]
@@ -195,13 +241,13 @@ def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
         if not local and len(key):
             sizes = [len(x) // 4 for x in group.column("low").to_pylist()]
             notice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group.column("notice").to_pylist(), sizes, strict=True)]).astype(bool)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, ids, notice = key[order], ids[order], notice[order]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(begin, len(key)))
             shared = np.repeat((size > 1) | (np.add.reduceat(notice, begin) > 0), size) & ~notice
             key, ids = key[shared], ids[shared]
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids)
         key, ids = key[order], ids[order]
         edges = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
         raw = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -213,14 +259,122 @@ def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
     return settled.groupBy("id").agg(F.collect_list("keys").alias("keys"))
 
 
+def _blobs(batch: pa.RecordBatch, k: int, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[k].as_buffer(), kind)
+
+
+def _state(shard: int, key: np.ndarray, h: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, columns: Columns) -> pa.RecordBatch:
+    c = columns
+    blobs = [key.astype("<i8"), h.astype("<i8"), low.astype("<i8"), high.astype("<i8"), c.lengths.astype("<i4"), c.place.astype("<i4"), left, c.bwt, c.shared]
+    raw = [pa.array([x.tobytes()], pa.binary()) for x in blobs]
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *raw[:6], pa.array([c.done], pa.int64()), *raw[6:]], [f.split()[0] for f in STATE.split(", ")])
+
+
+def advance(columns: Columns, left: np.ndarray, rounds: int) -> np.ndarray:
+    """Inserts up to `rounds` columns; left and the result are the symbols before those that the transform holds already."""
+    sizes = np.maximum(0, columns.lengths - columns.done - 1)
+    ends = np.cumsum(sizes)
+    for k in range(rounds):
+        if not len(columns.place):
+            return left[:0]
+        alive = columns.lengths > columns.done
+        n, e = sizes[alive], ends[alive]
+        symbols = np.zeros(len(n), np.uint8)
+        symbols[n > k] = left[e[n > k] - k - 1] + np.uint8(1)
+        columns.insert(symbols)
+    keep_ = np.arange(len(left)) - np.repeat(ends - sizes, sizes) < np.repeat(np.maximum(0, sizes - rounds), sizes)
+    return left[keep_]
+
+
+def early_windows(columns: Columns, low: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(list of begin and end of each run of windows found in an earlier document, number of such runs) of each string, whose first document is `low`."""
+    found, base = first_documents(columns, low)
+    owner = np.repeat(np.arange(len(low)), np.diff(base))
+    earlier = found < low[owner]
+    marks = np.zeros(len(owner) + 1, bool)  # where runs of such windows or strings begin
+    marks[1:-1] = earlier[1:] != earlier[:-1]
+    marks[base] = True
+    points = np.flatnonzero(marks)
+    begin, end = points[:-1], points[1:]
+    begin, end = begin[earlier[begin]], end[earlier[begin]]
+    who = owner[begin]
+    count = np.bincount(who, minlength=len(low))
+    pairs = np.stack([begin - base[who], end - base[who]], 1).reshape(-1).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array((2 * np.concatenate([[0], np.cumsum(count)])).astype(np.int32)), pa.array(pairs)), count
+
+
+def sorted_strings(strings: DataFrame, length: int) -> DataFrame:
+    """(key, h, first, early) of the strings (shard, key, h, low, high, part) that remove anything from a document."""
+
+    def begin(shard: pa.Table) -> pa.Table:
+        shard = shard.combine_chunks()
+        column = shard.column("part").cast(pa.large_binary())
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+        _, raw, data = column.buffers()
+        offsets = np.frombuffer(raw, np.int64)[column.offset : column.offset + len(column) + 1]
+        data, lengths = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+        inner = np.ones(len(data), bool)
+        inner[offsets[1:] - offsets[0] - 1] = False
+        columns = Columns.empty(lengths, data[offsets[1:] - offsets[0] - 1] + np.uint8(1), length)
+        left = advance(columns, data[inner], COLUMNS)
+        numbers = (shard.column(c).to_numpy() for c in ("key", "h", "low", "high"))
+        return pa.Table.from_batches([_state(shard.column("shard")[0].as_py(), *numbers, left, columns)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, Columns]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lengths, place = (_blobs(batch, k, name, "<i4").astype(np.int64) for name in ("lengths", "place"))
+                columns = Columns(lengths, _blobs(batch, k, "bwt", np.uint8), _blobs(batch, k, "shared", np.uint8), place, batch.column(7)[k].as_py(), length)
+                left = advance(columns, _blobs(batch, k, "left", np.uint8), COLUMNS)
+                yield batch.column(0)[k].as_py(), [_blobs(batch, k, name, "<i8") for name in ("key", "h", "low", "high")], left, columns
+
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, numbers, left, columns in read(batches):
+            yield _state(shard, *numbers, left, columns)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, h, low, high), _, columns in read(batches):
+            early, count = early_windows(columns, low)
+            out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(low), early], ["key", "h", "first", "early"])
+            # What one document alone has and holds no earlier window removes nothing.
+            yield out.filter(pa.array((high > low) | (count > 0)))
+
+    passes = -(-(length + SPAN - 1) // COLUMNS)
+    state = keep(strings.groupBy("shard").applyInArrow(begin, STATE), "columns", rows_per_file=SHARDS_PER_FILE)
+    for _ in range(passes - 2):
+        state, before = keep(state.mapInArrow(more, STATE), "columns", rows_per_file=SHARDS_PER_FILE), state
+        discard(before)
+    out = keep(state.mapInArrow(finish, "key long, h long, first long, early array<int>"), "strings")
+    discard(state)
+    return out
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, spans): per document the (start, end) byte ranges to remove, unsorted and overlapping; documents without any are missing."""
-    if length < GRAM + 1:
-        raise ValueError(f"length must be above {GRAM}")
+    """(id, spans): per document the (start, end) byte ranges to remove, unsorted and overlapping; documents without any are missing.
+
+    Rows with a null id are left out; null and empty texts and those shorter
+    than `length` bytes have no spans. Equal rows with one id are one document.
+    """
+    if not GRAM < length < 256:
+        raise ValueError(f"length must be above {GRAM} and below 256")
     docs = docs.where("id is not null")
 
+    def rows_of(key: np.ndarray, parts: list[bytes], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        """Places of strings; the first of equal ones in a batch brings the string and its least and greatest id."""
+        h = np.asarray(list(map(xxhash.xxh3_64_intdigest, parts)), np.uint64).view(np.int64)
+        index: dict[bytes, int] = {}
+        code = np.asarray([index.setdefault(p, len(index)) for p in parts], np.int64)
+        first = np.zeros(len(parts), bool)
+        first[np.unique(code, return_index=True)[1]] = True
+        low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
+        np.minimum.at(low, code, ids)
+        np.maximum.at(high, code, ids)
+        part = pa.array(list(index), pa.binary()).take(pa.array(code, mask=~first))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), part, pa.array(low[code]), pa.array(high[code]), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "h", "part", "low", "high", "id", "start", "size"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 20_000) for b in batches for i in range(0, b.num_rows, 20_000)):
+        slices = (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+        for batch in (x for s in slices for x in text_slices(s, 1, TEXT_BYTES)):
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             raw = [b"".join(blobs) for blobs in batch.column(2).to_pylist()]
@@ -228,84 +382,67 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             six = np.zeros((int(counts.sum()), 8), np.uint8)
             six[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
             rows = np.repeat(np.arange(len(raw), dtype=np.uint64), counts)
-            # 20,000 rows are fewer than 2**16, so a row and a key of 48 bits are one integer.
             wanted = np.sort((rows << np.uint64(48)) | six.view("<u8")[:, 0])
-            whole = data.tobytes()
+            if not len(wanted):
+                continue
+            found = []
             for row, start, size, key in spans(data, offsets, length):
                 name = (row.astype(np.uint64) << np.uint64(48)) | (key.view(np.uint64) >> np.uint64(16))
-                at = np.minimum(np.searchsorted(wanted, name), max(0, len(wanted) - 1))
-                on = wanted[at] == name if len(wanted) else np.zeros(len(name), bool)
-                row, start, size, key = row[on], start[on], size[on], key[on]
-                begin = offsets[row] + start
-                parts = [whole[a:b] for a, b in zip(begin.tolist(), (begin + size + length - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(parts, pa.binary()), pa.array(ids[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "part", "id", "start", "size"])
+                on = wanted[np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)] == name
+                found.append((row[on], start[on], size[on], key[on]))
+            if not found:
+                continue
+            row, start, size, key = (np.concatenate([f[k] for f in found]) for k in range(4))
+            begin, whole = offsets[row] + start, data.tobytes()
+            parts = [whole[a:b] for a, b in zip(begin.tolist(), (begin + size + length - 1).tolist(), strict=True)]
+            yield rows_of(key, parts, ids[row], start, size)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Window by window, keyed by the window itself."""
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 rows = batch.slice(i, 2000)
-                size, start = (rows.column(k).to_numpy().astype(np.int64) for k in (4, 3))
+                size, start = (rows.column(k).to_numpy().astype(np.int64) for k in (3, 2))
                 index = np.repeat(np.arange(len(size)), size)
                 step = np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size)
-                strings = rows.column(1).to_pylist()
+                strings = rows.column(0).to_pylist()
                 parts = [strings[k][j : j + length] for k, j in zip(index.tolist(), step.tolist(), strict=True)]
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                words, begin = words_at(data), np.arange(len(parts)) * length
-                h = np.full(len(parts), 1, np.uint64)
-                with np.errstate(over="ignore"):
-                    for o in [*range(0, length - 8, 8), length - 8]:
-                        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + (words[begin + o] if len(parts) else h))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(parts, pa.binary()), rows.column(2).take(pa.array(index)), pa.array((start[index] + step).astype(np.int32)), pa.array(np.ones(len(index), np.int32))], ["key", "part", "id", "start", "size"])
-
-    def sort_shard(shard: pa.Table) -> pa.Table:
-        shard = shard.combine_chunks()
-        first = shard.column("first").to_numpy()
-        column = shard.column("part").cast(pa.large_binary())
-        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-        _, raw, data = column.buffers()
-        offsets = np.frombuffer(raw, np.int64)[column.offset : column.offset + len(column) + 1]
-        data, offsets = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-        found, base = first_documents(data, offsets, first, length)
-        owner = np.repeat(np.arange(len(first)), np.diff(base))
-        earlier = found < first[owner]
-        marks = np.zeros(len(owner) + 1, bool)  # where runs of such windows or strings begin
-        marks[1:-1] = earlier[1:] != earlier[:-1]
-        marks[base] = True
-        points = np.flatnonzero(marks)
-        begin, end = points[:-1], points[1:]
-        begin, end = begin[earlier[begin]], end[earlier[begin]]
-        who = owner[begin]
-        count = np.bincount(who, minlength=len(first))
-        pairs = np.stack([begin - base[who], end - base[who]], 1).reshape(-1).astype(np.int32)
-        early = pa.ListArray.from_arrays(pa.array((2 * np.concatenate([[0], np.cumsum(count)])).astype(np.int32)), pa.array(pairs))
-        out = pa.table([*(shard.column(c) for c in ("key", "h", "first")), early], names=["key", "h", "first", "early"])
-        # What one document alone has and holds no earlier window removes nothing.
-        return out.filter(pa.array((shard.column("n").to_numpy() > 1) | (count > 0)))
-
-    shared = keep(shared_keys(docs, length, max(32, docs.count() // 8000)), "shared-keys")
-    schema = "key long, part binary, id long, start int, size int"
-    parts = keep(docs.join(shared, "id").select("id", "text", "keys").mapInArrow(cut, schema), "parts")
-    busy = parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key")
+                key = np.asarray([xxhash.xxh3_64_intdigest(p, 1) for p in parts], np.uint64).view(np.int64)
+                yield rows_of(key, parts, rows.column(1).take(pa.array(index)).to_numpy(), start[index] + step, np.ones(len(index), np.int64))
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = keep(shared_keys(docs, length, max(32, total // PART_BYTES)), "shared-keys")
+    schema = "key long, h long, part binary, low long, high long, id long, start int, size int"
+    parts = keep(docs.join(shared.hint("merge"), "id").select("id", "text", "keys").mapInArrow(cut, schema), "parts")
+    discard(shared)
+    made = parts.where("part is not null")
+    busy = made.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key")
     if not busy.isEmpty():
         busy = keep(busy, "busy-keys")
-        distinct = parts.join(busy, "key", "left_semi").select("key", F.xxhash64("part").alias("h")).distinct()
+        distinct = made.join(busy, "key", "left_semi").select("key", "h").distinct()
         hot = keep(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key"), "hot-keys")
         if not hot.isEmpty():
-            parts = keep(parts.join(hot, "key", "left_anti").unionByName(parts.join(hot, "key", "left_semi").mapInArrow(single, schema)), "parts")
-    strings = parts.groupBy("key", "part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    total = parts.agg(F.sum(F.length("part"))).first()[0] or 0
-    shards = max(32, 2 * total // SHARD_BYTES)
-    hashed = strings.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", F.xxhash64("part").alias("h"), "first", "n", "part")
-    sorted_ = keep(hashed.groupBy("shard").applyInArrow(sort_shard, "key long, h long, first long, early array<int>"), "strings")
+            whole = made.join(hot, "key", "left_semi").select("key", "h", "part").dropDuplicates(["key", "h"])
+            some = parts.join(hot, "key", "left_semi").select("key", "h", "id", "start", "size").join(whole, ["key", "h"])
+            parts, before = keep(parts.join(hot, "key", "left_anti").unionByName(some.select("part", "id", "start", "size").mapInArrow(single, schema)), "parts"), parts
+            made = parts.where("part is not null")
+            discard(before)
+        discard(busy, hot)
+    size = made.agg(F.sum(F.col("size") + (length - 1))).first()[0] or 0
+    shards = max(32, size // SHARD_BYTES)
+    # Dealt by shard at once: equal strings of a shard are merged where they arrive, those of one batch were merged before.
+    placed = made.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "h", "part", "low", "high").repartition("shard")
+    strings = placed.groupBy("shard", "key", "h", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    sorted_ = sorted_strings(strings, length)
     # The key and the hash are 128 bits of a string.
-    places = parts.select("key", F.xxhash64("part").alias("h"), "id", "start", "size")
-    joined = places.join(sorted_, ["key", "h"]).where("id > first or size(early) > 0")
+    places = parts.select("key", "h", "id", "start", "size")
+    joined = places.join(sorted_.hint("merge"), ["key", "h"]).where("id > first or size(early) > 0")
     # A later document loses the whole span; the string's first document only windows found in an earlier one.
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size") + (length - 1)).alias("b")))
     some = F.expr(f"transform(sequence(0, size(early) div 2 - 1), i -> struct(start + early[2 * i] as a, start + early[2 * i + 1] + {length - 1} as b))")
     joined = joined.select("id", F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(some)).alias("span"))
     out = keep(joined.groupBy("id").agg(F.collect_list("span").alias("spans")), "removed")
+    discard(parts, sorted_)
     return out
 
 
@@ -353,7 +490,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False,
                 n_bytes, n_removed, n_spans, sha = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-        return source.join(found, "id", "left").select("id", "text", "spans").mapInArrow(sums, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return source.join(found.hint("merge"), "id", "left").select("id", "text", "spans").mapInArrow(sums, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     names = docs.columns
     where = names.index(text_col)
@@ -365,8 +502,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False,
             columns = [pa.array(texts, pa.string()) if k == where else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    spans_col = found.select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
-    return docs.join(spans_col, F.col(id_col) == F.col("_id"), "left").select(*names, "_spans").mapInArrow(strip, docs.schema)
+    own, runs = unused(docs, "removed_id"), unused(docs, "removed_runs")
+    found = found.select(F.col("id").alias(own), F.col("spans").alias(runs))
+    return docs.join(found.hint("merge"), docs[id_col].cast("long") == found[own], "left").select(*names, runs).mapInArrow(strip, docs.schema)
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,8 +195,11 @@ def test_patience():
 def test_dedup_lines(spark):
     a, b, c = "The first line is long enough to count.", "The second line is long enough as well.", "A third line that stands alone here, long."
     rows = [(1, f"{a}\n{b}\n"), (2, f"intro\n {a} \n\n{b}\nown"), (3, f"{b}\n{a}"), (4, f"x\n{c}\ny"), (5, None), (6, ""), (7, "x\ny"), (8, f"{a}\n{b}\n")]
-    df = of(spark, rows).withColumn("_places", F.lit("clash")).withColumn("id", F.lit(0))
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df.drop("_places")).collect()}
+    df = of(spark, rows)
+    for name in ("_places", "_id", "id", "places", "lost_places", "later_id", "h"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert lines.dedup_lines(df).columns == df.columns and lines.dedup_lines(df).where("id = 'clash' and lost_places = 'clash'").count() == len(rows)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
     assert got == {1: rows[0][1], 2: "intro\n\nown", 3: got[3], 4: rows[3][1], 5: None, 6: "", 7: "x\ny", 8: ""}
     assert got[3] in (a, b)  # lines in another order: one of them is aligned
     d = {r["doc_id"]: r for r in lines.dedup_lines(of(spark, rows), digest=True).collect()}
@@ -329,9 +332,11 @@ def test_remove_repeats(spark, corpus):
     r = random.Random(4)
     passage = words(r, 14)
     rows = corpus + [(100 + i, words(r, 9) + " " + passage[i : i + 60 + i] + " " + words(r, 9)) for i in range(20)] + [(130, "ab" * 90), (131, "ba" * 90)]
-    df = of(spark, rows).withColumn("keys", F.lit(1))
+    df = of(spark, rows).withColumn("keys", F.lit(1)).withColumn("id", F.lit("a")).withColumn("spans", F.lit(2.0)).withColumn("_spans", F.lit(3)).withColumn("_id", F.lit(4))
     got = {x["doc_id"]: tuple(x)[1:] for x in suffixes.remove_repeats(df, digest=True).collect()}
     assert got == brute_repeats(rows, 50)
+    full = suffixes.remove_repeats(df)
+    assert full.columns == df.columns and {tuple(x)[2:] for x in full.collect()} == {(1, "a", 2.0, 3, 4)}
     texts = {x["doc_id"]: x["text"] for x in suffixes.remove_repeats(of(spark, rows[:20] + [(None, rows[3][1])])).collect()}
     assert texts[24 if 24 in texts else 0] == dict(rows).get(24 if 24 in texts else 0) and texts[None] == rows[3][1] and texts[20] == ""
     assert suffixes.remove_repeats(of(spark, []), digest=True).count() == 0
@@ -344,18 +349,33 @@ def test_hot_keys_give_the_same(spark, corpus, monkeypatch):
     assert got == brute_repeats(rows, 50)
 
 
-def test_columns_sort_suffixes():
+def columns_of(strings, most, rounds):
+    """All columns inserted, `rounds` in each pass."""
+    lengths = np.asarray([len(x) for x in strings])
+    columns = suffixes.Columns.empty(lengths, np.asarray([x[-1] + 1 if x else 0 for x in strings], np.uint8), most)
+    left = np.frombuffer(b"".join(x[:-1] for x in strings), np.uint8)
+    while len(columns.place):
+        left = suffixes.advance(columns, left, rounds)
+    return columns
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 50])
+def test_columns_sort_suffixes(rounds):
     r = random.Random(6)
-    strings = ["".join(r.choice("abc") for _ in range(r.randrange(1, 30))) for _ in range(40)]
-    data = np.frombuffer("".join(strings).encode(), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
-    bwt, n = suffixes.insert_columns(data, offsets)
-    order = sorted(((s[k:], i, len(s) - k) for i, s in enumerate(strings) for k in range(len(s) + 1)), key=lambda x: (x[0], 0))
-    want = ["" if len(x[0]) == len(strings[x[1]]) else strings[x[1]][len(strings[x[1]]) - len(x[0]) - 1] for x in order]
-    got = ["" if c == 0 else "abc"[c - 1] for c in bwt]
-    # equal suffixes may come in any order
-    group = lambda symbols: [sorted(s for s, o in zip(symbols, order) if o[0] == key) for key in dict.fromkeys(o[0] for o in order)]
-    assert group(got) == group(want)
+    for _ in range(40):
+        strings = ["".join(r.choice("abc") for _ in range(r.randrange(0, 14))).encode() for _ in range(r.randrange(1, 30))]
+        columns = columns_of(strings, 5, rounds)
+        order = sorted((s[k:], s[k - 1] + 1 if k else 0) for s in strings for k in range(len(s) + 1))
+        same = [0] + [min(5, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))) for (a, _), (b, _) in zip(order, order[1:])]
+        assert columns.shared.tolist() == same
+        # equal suffixes may come in any order
+        assert sorted(zip((x for x, _ in order), columns.bwt.tolist())) == order
+        first, _ = suffixes.first_documents(columns, np.arange(len(strings)))
+        met = {}
+        for i, s in enumerate(strings):
+            for k in range(len(s) - 4):
+                met.setdefault(s[k : k + 5], i)
+        assert first.tolist() == [met[s[k : k + 5]] for s in strings for k in range(len(s) - 4)]
 
 
 # 8
