@@ -1,21 +1,24 @@
 """Main text of web pages from text-to-tag ratios.
 
 The standard library's parser streams events. Text is gathered in lines, one
-for each block element's run of text, together with the tags met in it. Each
-line's ratio of text to tags is smoothed with a Gaussian over its neighbours
-and the smoothed ratios are clustered by a threshold, their standard
-deviation. The content region is the article or main elements of the page, if
-they hold half of the text of the lines above it: named regions go before the
-clusters. Else it is the innermost element that holds nearly all of that text
-and outside of which there are only lines of links. Its lines, short ones too,
-are the main text, without parts that are marked as navigation, notices,
-comments and the like.
+for each block element's run of text, together with the tags met in it. A
+line's ratio is its text outside of links over its tags; in parts whose tag,
+class, id or role speaks of menus, notices, comments and the like it weighs
+MARKED times as much. Ratios are smoothed with a Gaussian over neighbouring
+lines of the same part, and lines above a threshold, the standard deviation of
+the smoothed ratios, form the clusters of content. The content region is the
+innermost element that holds all clusters and outside of which there are only
+links, teasers (parts with links and no cluster) and marked lines. All its
+lines, short ones too, are the main text, but for marked ones in no cluster.
+Names of elements are weights only: the clusters choose, also between several
+article elements.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,44 +30,59 @@ from marginalia.session import table
 
 #: Standard deviation of the Gaussian in lines, and how far it reaches.
 SIGMA, REACH = 1.0, 3
+#: Weight of the ratio of lines in marked parts.
+MARKED = 1e-3
 
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never content.
-SILENT = frozenset("head title script style noscript template iframe object svg math canvas audio video select option datalist button textarea nav header footer aside form menu dialog".split())
+SILENT = frozenset("head title script style noscript template iframe object svg math canvas audio video select option datalist button textarea".split())
+#: Elements whose text is marked.
+ASIDE = frozenset("nav header footer aside form menu dialog".split())
 #: Elements whose end tag may be missing, and what ends them.
 CLOSES = {"p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: Elements that a missing end tag inside them cannot outlive.
 REGIONS = frozenset("article aside body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
-#: Words of class, id and role that mark a part as no content.
+#: Words of class, id and role that mark a part.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|feedback|footer|gdpr|header|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promos?|promotion|related|replies|responses|share|sharing|sidebar|skip|social|sponsor(?:ed|s)?|subscribe|subscription|toolbar|widgets?|complementary|contentinfo|search|alert|dialog)(?=$|[\s_-])", re.I)
+#: Words of class that mark an article element.
+COMMENT = re.compile(r"(?:^|[\s_-])comments?(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
 
+@dataclass
+class Line:
+    text: str
+    tags: int
+    region: int  # the element of REGIONS around it
+    mark: int  # the outermost marked element around it, or 0
+    plain: int  # characters outside of links
+
+
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, the region around it, whether any of it is no link). Text and tags of silent parts are left out."""
+    """Lines of a page. Text and tags of silent parts are left out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, region, silent
+        self.open: list[tuple[str, int, int, bool]] = []  # tag, region, mark, silent
         self.parents = [0]
         self.kinds = [""]
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.plain = False
+        self.tags = self.plain = self.marks = 0
 
     def silent(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
+        return bool(self.open) and self.open[-1][3]
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0, self.plain))
+            region, mark = self.open[-1][1:3] if self.open else (0, 0)
+            self.lines.append(Line(text, self.tags, region, mark, min(self.plain, len(text))))
             self.tags = 0
         self.text.clear()
-        self.plain = False
+        self.plain = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
@@ -80,16 +98,18 @@ class Lines(HTMLParser):
                 break
         if tag in VOID:
             return
-        silent, region = (self.open[-1][2], self.open[-1][1]) if self.open else (False, 0)
+        _, region, mark, silent = self.open[-1] if self.open else ("", 0, 0, False)
         if not silent:
             values = dict(attrs)
-            marked = tag not in ("html", "body", "article", "main") and any(MARKS.search(values.get(a) or "") for a in ("class", "id", "role"))
-            silent = tag in SILENT or marked or "hidden" in values or values.get("aria-hidden") == "true" or bool(HIDDEN.search(values.get("style") or ""))
+            silent = tag in SILENT or "hidden" in values or values.get("aria-hidden") == "true" or bool(HIDDEN.search(values.get("style") or ""))
+            if not mark and (tag in ASIDE or tag not in ("html", "body", "article", "main") and any(MARKS.search(values.get(a) or "") for a in ("class", "id", "role")) or tag == "article" and COMMENT.search(values.get("class") or "")):
+                self.marks += 1
+                mark = self.marks
         if tag in REGIONS:
             self.parents.append(region)
             self.kinds.append(tag)
             region = len(self.parents) - 1
-        self.open.append((tag, region, silent))
+        self.open.append((tag, region, mark, silent))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -111,12 +131,12 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent():
             self.text.append(data)
-            if not self.plain and not data.isspace():
-                self.plain = not self.linked()
+            if not data.isspace() and not self.linked():
+                self.plain += len(data.strip())
 
     def linked(self) -> bool:
         """Whether an anchor is open in the innermost region."""
-        for name, _, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name == "a":
                 return True
             if name in REGIONS:
@@ -129,6 +149,18 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np
     return np.convolve(ratios, kernel / kernel.sum())[reach : reach + len(ratios)]
 
 
+def clusters(lines: list[Line], parents: list[int]) -> np.ndarray:
+    """Which lines are above the threshold; a line's neighbours are those of its part of the page."""
+    ratios = np.asarray([x.plain / max(1, x.tags) * (MARKED if x.mark else 1.0) for x in lines])
+    part = np.zeros(len(lines), int)
+    for k in range(1, len(lines)):
+        a, b = lines[k - 1], lines[k]
+        part[k] = part[k - 1] + (a.mark != b.mark or not (_inside(parents, a.region, b.region) or _inside(parents, b.region, a.region)))
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lines)]
+    ratios = np.concatenate([smoothed(ratios[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    return ratios > ratios.std() if len(lines) > 2 else ratios > 0
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -138,36 +170,35 @@ def main_text(html: str | None) -> str:
         parser.rawdata = ""
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines, parents = parser.lines, parser.parents
     if not lines:
         return ""
-    ratios = smoothed(np.asarray([len(text) / max(1, tags) for text, tags, _, _ in lines]))
-    content = ratios > ratios.std() if len(lines) > 2 else np.ones(len(lines), bool)
-    # Each region's text above the threshold, its own and that of the regions inside it.
-    mass = np.zeros(len(parser.parents))
-    whole = np.zeros(len(parser.parents))
-    plain = np.zeros(len(parser.parents), int)
-    for (text, _, region, own), on in zip(lines, content, strict=True):
-        mass[region] += len(text) * bool(on)
-        whole[region] += len(text)
-        plain[region] += own
-    for k in range(len(mass) - 1, 0, -1):
-        mass[parser.parents[k]] += mass[k]
-        whole[parser.parents[k]] += whole[k]
-        plain[parser.parents[k]] += plain[k]
-    named = [k for k, kind in enumerate(parser.kinds) if kind in ("article", "main") and whole[k]]
-    total, best = mass[0], 0
-    if named and (mass[named].sum() >= 0.5 * total or not total):
-        outer = {k for k in named if not any(k != m and _inside(parser.parents, k, m) for m in named)}
-        chosen = outer
-    else:
-        while True:  # go down while one inner region has nearly all of the content and all lines that are not links
-            inner = [k for k in range(1, len(mass)) if parser.parents[k] == best and k != best and mass[k] >= 0.9 * mass[best] > 0 and plain[k] == plain[best]]
-            if not inner:
-                break
-            best = inner[0]
-        chosen = {best}
-    keep = [text for text, _, region, _ in lines if any(_inside(parser.parents, region, k) for k in chosen)]
+    content = clusters(lines, parents)
+    if all(x.mark for x, on in zip(lines, content, strict=True) if on):  # nothing but marked lines stands out
+        content = np.asarray([not x.mark and x.plain > 0 for x in lines])
+    n = len(parents)
+    inner: list[list[int]] = [[] for _ in range(n)]
+    for k in range(1, n):
+        inner[parents[k]].append(k)
+    # Of each region with those inside it: lines of clusters, lines that are text, and whether a link is in it.
+    held, texts, links = np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool)
+    for x, on in zip(lines, content, strict=True):
+        held[x.region] += on
+        texts[x.region] += x.plain > 0 and (not x.mark or bool(on))
+        links[x.region] |= x.plain < len(x.text)
+    own = texts.copy()
+    for k in range(n - 1, 0, -1):
+        held[parents[k]] += held[k]
+        texts[parents[k]] += texts[k]
+        links[parents[k]] |= links[k]
+    best = 0
+    while held[best]:
+        down = [k for k in inner[best] if held[k] == held[best]]
+        if not down or own[best] or any(texts[k] and not links[k] for k in inner[best] if k != down[0]):
+            break
+        best = down[0]
+    loose = {k for k in inner[best] if not held[k] and links[k]} if parser.kinds[best] in ("", "html", "body") else set()  # menus and teasers beside the content
+    keep = [x.text for x, on in zip(lines, content, strict=True) if _inside(parents, x.region, best) and (on or not x.mark) and not any(_inside(parents, x.region, k) for k in loose)]
     return " ".join(keep)
 
 
@@ -182,7 +213,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null and empty html, and html without content, give an empty text. Broken
     markup is read as browsers read it: missing end tags are implied. A narrow
-    map over three columns; repeated rows and ids are independent.
+    map over three columns; repeated rows and ids are independent, very long
+    pages are read whole, an empty table gives an empty table, and further
+    columns, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,27 @@ def test_extract_keeps_text_beside_the_inner_region():
     assert extract.main_text(page) == f"{intro.strip()} {body} Short. {closing}"
 
 
+LONG = "A sentence of the text that is long enough to matter, with some words more. "
+
+
+def test_clusters_choose_the_article():
+    text = (LONG * 9).strip()
+    teasers = "".join(f"<article><h2><a href=/{k}>Other page {k}</a></h2><p>What it says in short.</p></article>" for k in range(4))
+    assert extract.main_text(f"<body>{teasers}<article><h1>Head</h1><p>{text}<p>Short.<p>{text}</article>{teasers}</body>") == f"Head {text} Short. {text}"
+    comments = f"<article class=comment><p>{LONG * 12}</article>" * 3
+    assert extract.main_text(f"<body><article><p>{text}<p>End.</article>{comments}<section id=comments><article><p>{LONG}</article></section></body>") == f"{text} End."
+    assert extract.main_text(f"<article><p>{text}<div class=related><p>{LONG}</div><ul><li>An item<li>Two</ul></article>") == f"{text} An item Two"
+    whole = LONG * 40_000
+    assert extract.main_text(f"<nav><a>x</a></nav><div><p>{whole}</p></div>") == whole.strip()
+
+
+def test_ratios_decide(spark, sf_dir, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    before, r = [extract.main_text(p) for p in pages], np.random.default_rng(3)
+    monkeypatch.setattr(extract, "smoothed", lambda ratios: r.random(len(ratios)))
+    assert sum(extract.main_text(p) != t for p, t in zip(pages, before)) > 0.9 * len(pages)
+
+
 def test_extract_pages(spark, sf_dir):
     got = {r["page_id"]: r for r in registry.QUERIES["op1_html"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
