@@ -1,112 +1,168 @@
 """Approximate nearest neighbours: a vantage-point tree in each shard.
 
 Vectors are scaled to length one, where nearness by cosine and by distance are
-the same. Each shard of bounded size gets a tree: a vantage point, and the
-rest halved at the median of their distances to it, with both halves' least
-and greatest distance. A half is skipped when its triangle-inequality bound
-times `factor` exceeds the distance of the k-th best so far; factor one
-therefore skips only what cannot win and is exact.
+the same. Shards hold vectors near one of PIVOTS sampled ones, and each gets a
+tree: a node has several vantage points, its rows are halved at the median of
+their distances to the first, and every row keeps its distances to all vantage
+points above it. The triangle inequality bounds the distance of a query to a
+shard, a node or a row from below by the greatest difference of distances to
+the same vantage point. What is bounded is skipped when its bound times
+`factor` exceeds the distance of the k-th best so far; factor one therefore
+skips only what cannot win and is exact. Queries first search the shard of
+their own pivot, then those that the distance of its k-th best leaves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.vectors import clean_vectors, pack_groups, ranked_rows, unpack
-from marginalia.session import keep, table
+from marginalia.llm.vectors import clean_vectors, pack_groups, ranked_rows, stacked, unpack
+from marginalia.session import discard, keep, table
 
-#: Vectors in a shard, in a leaf; queries in a block.
-SHARD, LEAF, QUERIES = 8192, 128, 512
+#: Vectors in a shard, in a leaf; queries in a block; vantage points of a node; pivots that shards are dealt by.
+SHARD, LEAF, QUERIES, VANTAGES, PIVOTS = 8192, 128, 512, 8, 64
 #: How far pruning is relaxed in production: measured recall is in the README.
-FACTOR = 1.6
+FACTOR = 3.5
+#: Rounding that bounds allow for.
+SLACK = 1e-6
 
 
-def build(u: np.ndarray, leaf: int = LEAF, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the rows, nodes): a node is (begin, end, vantage row, left, right, least and greatest distance of left and of right); leaves have left -1."""
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
+
+
+@dataclass
+class Tree:
+    """order: rows by leaf; path[i]: distances of order[i] to the vantage points above it; a node is (begin, end, depth, left, right), leaves have left -1."""
+
+    order: np.ndarray
+    path: np.ndarray
+    nodes: np.ndarray
+    vantages: np.ndarray  # rows, VANTAGES for each node
+    low: np.ndarray  # least and greatest of path over each node's rows
+    high: np.ndarray
+
+    def pack(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.order.astype(np.int64), self.path.astype(np.float32), self.nodes.astype(np.int64), self.vantages.astype(np.int64), self.low.astype(np.float32), self.high.astype(np.float32))]
+
+    @staticmethod
+    def unpack(raw: list[bytes]) -> Tree:
+        kinds = (np.int64, np.float32, np.int64, np.int64, np.float32, np.float32)
+        order, path, nodes, vantages, low, high = (np.frombuffer(x, k) for x, k in zip(raw, kinds, strict=True))
+        nodes = nodes.reshape(-1, 5)
+        n = len(nodes)
+        return Tree(order, path.reshape(len(order), -1), nodes, vantages.reshape(n, -1), low.reshape(n, -1), high.reshape(n, -1))
+
+
+def build(u: np.ndarray, leaf: int = 0, seed: int = 1) -> Tree:
+    leaf = leaf or LEAF
     r = np.random.default_rng(seed)
-    order = np.arange(len(u))
-    nodes: list[list[float]] = []
+    order, nodes, vantages = np.arange(len(u)), [], []
+    depth = max(0, int(np.ceil(np.log2(max(1, len(u) / leaf)))))
+    path = np.zeros((len(u), depth * VANTAGES), np.float32)
 
-    def split(begin: int, end: int) -> int:
-        me = len(nodes)
-        nodes.append([begin, end, -1, -1, -1, 0, 0, 0, 0])
-        if end - begin <= leaf:
+    def split(begin: int, end: int, level: int) -> int:
+        me, m = len(nodes), VANTAGES
+        nodes.append([begin, end, level, -1, -1])
+        vantages.append(np.zeros(m, np.int64))
+        if level == depth or end - begin <= leaf:
             return me
         rows = order[begin:end]
-        # The row farthest from a random one spreads distances most.
-        v = rows[np.argmin(u[rows] @ u[rows[r.integers(len(rows))]])]
-        d = distances(u[rows], u[v : v + 1])[:, 0]
-        by = np.argsort(d, kind="stable")
-        order[begin:end], d = rows[by], d[by]
-        half = (end - begin) // 2
-        left, right = split(begin, begin + half), split(begin + half, end)
-        nodes[me] = [begin, end, v, left, right, d[0], d[half - 1], d[half], d[-1]]
+        # The row farthest from a random one spreads distances most; the others are random.
+        first = rows[np.argmin(u[rows] @ u[rows[r.integers(len(rows))]])]
+        vantages[me] = np.concatenate([[first], r.choice(rows, m - 1, replace=len(rows) < m)])
+        d = distances(u[rows], u[vantages[me]])
+        by = np.argsort(d[:, 0], kind="stable")
+        order[begin:end], path[begin:end] = rows[by], path[begin:end][by]
+        path[begin:end, level * m : level * m + m] = d[by]
+        half = begin + (end - begin) // 2
+        nodes[me][3:] = [split(begin, half, level + 1), split(half, end, level + 1)]
         return me
 
-    split(0, len(u))
-    return order, np.asarray(nodes, np.float64)
+    split(0, len(u), 0)
+    low, high = (np.stack([f(path[a:b], axis=0) for a, b, *_ in nodes]) for f in (np.min, np.max))
+    return Tree(order, path, np.asarray(nodes), np.stack(vantages), low, high)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
+def search(u: np.ndarray, ids: np.ndarray, tree: Tree, q: np.ndarray, own: np.ndarray, k: int, factor: float, reach: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """(row numbers of each query's k nearest found, -1 where there are fewer, distances computed).
 
-
-def search(u: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, factor: float) -> np.ndarray:
-    """Row numbers of each query's k nearest found, -1 where there are fewer; ties within 1e-12 go to smaller ids."""
-    n = len(q)
+    Ties within 1e-12 go to smaller ids. reach: distance that a row must not
+    exceed to be of use, the k-th best known so far.
+    """
+    n, m = len(q), VANTAGES
     near, rows = np.full((n, k), np.inf), np.full((n, k), -1)
-    seen = np.full(n, -1)
+    reach = np.full(n, np.inf) if reach is None else reach
+    seen, above, computed = np.full(n, -1), np.zeros((n, tree.path.shape[1])), 0
+
+    def limit(who: np.ndarray) -> np.ndarray:
+        return np.minimum(near[who, k - 1], reach[who]) + SLACK
 
     def scan(node: int, who: np.ndarray) -> None:
-        part = order[int(nodes[node, 0]) : int(nodes[node, 1])]
-        d = np.round(distances(q[who], u[part]), 12)
-        d[own[who][:, None] == ids[part][None, :]] = np.inf
-        take = np.arange(len(part))[None, :].repeat(len(who), 0)
-        if len(part) > 4 * k:
-            edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-            if ((d <= edge[:, None]).sum(axis=1) == k).all():
-                take = np.argpartition(d, k - 1, axis=1)[:, :k]
-        all_d = np.concatenate([near[who], np.take_along_axis(d, take, 1)], axis=1)
-        all_rows = np.concatenate([rows[who], part[take]], axis=1)
-        all_rows[np.isinf(all_d)] = -1
-        key = np.where(all_rows >= 0, ids[all_rows], np.iinfo(np.int64).max)
-        by = np.lexsort((key, all_d), axis=1)[:, :k]
-        near[who], rows[who] = np.take_along_axis(all_d, by, 1), np.take_along_axis(all_rows, by, 1)
+        nonlocal computed
+        begin, end, level = tree.nodes[node, :3].tolist()
+        part, path, top = tree.order[begin:end], tree.path[begin:end], limit(who)
+        bound, most = np.zeros((len(who), len(part))), np.full((len(who), len(part)), np.inf)
+        for c in range(level * m):
+            np.maximum(bound, np.abs(above[who, c, None] - path[None, :, c]), out=bound)
+            np.minimum(most, above[who, c, None] + path[None, :, c], out=most)
+        alive = (np.minimum((bound - SLACK) * factor, most - SLACK) <= top[:, None]) & (own[who][:, None] != ids[part][None, :])
+        for w, on in zip(who.tolist(), alive, strict=True):
+            some = part[on]
+            if not len(some):
+                continue
+            computed += len(some)
+            d = np.concatenate([near[w], np.round(distances(u[some], q[w : w + 1])[:, 0], 12)])
+            at = np.concatenate([rows[w], some])
+            by = np.lexsort((np.where(at >= 0, ids[at], np.iinfo(np.int64).max), d))[:k]
+            near[w], rows[w] = d[by], at[by]
+
+    def meet(node: int, who: np.ndarray) -> None:
+        nonlocal computed
+        level = int(tree.nodes[node, 2])
+        above[who, level * m : level * m + m] = distances(q[who], u[tree.vantages[node]])
+        computed += len(who) * m
 
     def down(node: int, who: np.ndarray) -> None:
-        """First the nearest leaf, for a bound to begin with."""
+        """First the nearest leaf, for a limit to begin with."""
         if not len(who):
             return
-        if nodes[node, 3] < 0:
+        _, _, level, left, right = tree.nodes[node].tolist()
+        if left < 0:
             scan(node, who)
             seen[who] = node
             return
-        d = distances(q[who], u[int(nodes[node, 2])][None, :])[:, 0]
-        left = d < (nodes[node, 6] + nodes[node, 7]) / 2
-        down(int(nodes[node, 3]), who[left])
-        down(int(nodes[node, 4]), who[~left])
+        meet(node, who)
+        c = level * m
+        to_left = above[who, c] < (tree.high[left, c] + tree.low[right, c]) / 2
+        down(left, who[to_left])
+        down(right, who[~to_left])
 
     def through(node: int, who: np.ndarray) -> None:
         if not len(who):
             return
-        if nodes[node, 3] < 0:
-            scan_who = who[seen[who] != node]
-            if len(scan_who):
-                scan(node, scan_who)
+        _, _, level, left, right = tree.nodes[node].tolist()
+        if left < 0:
+            who = who[seen[who] != node]
+            if len(who):
+                scan(node, who)
             return
-        d = distances(q[who], u[int(nodes[node, 2])][None, :])[:, 0]
-        for child, low, high in ((3, 5, 6), (4, 7, 8)):
-            bound = np.maximum(0.0, np.maximum(nodes[node, low] - d, d - nodes[node, high])) - 1e-9
-            through(int(nodes[node, child]), who[bound * factor <= near[who, k - 1]])
+        meet(node, who)
+        c = level * m + m
+        for child in (left, right):
+            bound = np.maximum(tree.low[child, :c] - above[who, :c], above[who, :c] - tree.high[child, :c]).max(axis=1)
+            most = (above[who, :c] + tree.low[child, :c]).min(axis=1)
+            through(child, who[np.minimum((bound - SLACK) * factor, most - SLACK) <= limit(who)])
 
     down(0, np.arange(n))
     through(0, np.arange(n))
-    return rows
+    return rows, computed
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -119,39 +175,111 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     Every valid vector is indexed; vectors that are null, empty or zero or hold
     null or non-finite components take no part, and vectors of other dimensions
     than the query's are no candidates. Ties go to smaller ids. A row with the
-    query's own id is no candidate. An empty table gives an empty result.
+    query's own id is no candidate; other repeated rows are candidates of their
+    own. An empty table gives an empty result; further columns, whatever their
+    names, are not read. Shards are dealt by at most PIVOTS rows, those with the
+    least id hashes, and parted by id hash where more than SHARD vectors are
+    near one of them.
     """
 
     def prepared(df: DataFrame) -> DataFrame:
         return clean_vectors(df, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
 
-    candidates = prepared(vectors)
-    shards = max(1, -(-candidates.count() // SHARD))
-    dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long")).repartition(shards, "shard")
+    spark, candidates = vectors.sparkSession, prepared(vectors)
+    pivots: dict[int, np.ndarray] = {}
+    for row in candidates.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("dim", "v").collect():
+        pivots[row["dim"]] = np.concatenate([pivots.get(row["dim"], np.zeros((0, row["dim"]))), unit(np.asarray([row["v"]]))])
+    if not pivots:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def to_pivots(dim: int, v: np.ndarray) -> np.ndarray:
+        """Distances to the pivots of that dimension; without any, all are at 0 from one."""
+        return distances(unit(v), pivots[dim]) if dim in pivots else np.zeros((len(v), 1))
+
+    def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(dimension, places in the batch, vectors) of a batch (id, dim, v, ...)."""
+        dims = batch.column(1).to_numpy()
+        for dim in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == dim)
+            yield dim, at, stacked(batch.column(2).take(pa.array(at)), dim)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivot, r = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for dim, at, v in by_dim(batch):
+                d = to_pivots(dim, v)
+                pivot[at] = d.argmin(axis=1)
+                r[at] = d[np.arange(len(at)), pivot[at]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(r)], ["id", "dim", "v", "pivot", "r"])
+
+    placed = keep(candidates.select("id", F.col("dim").cast("long").alias("dim"), "v").mapInArrow(place, "id long, dim long, v array<double>, pivot long, r double"), "placed")
+    # One row for each pivot, and for each dimension without one.
+    balls = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()
+    shards, ball = 0, {}
+    for b in sorted(balls, key=lambda b: (b["dim"], b["pivot"])):
+        ball[b["dim"], b["pivot"]] = (shards, -(-b["n"] // SHARD), b["low"], b["high"])
+        shards += -(-b["n"] // SHARD)
+    first = spark.createDataFrame([(d, p, s, n) for (d, p), (s, n, _, _) in ball.items()], "dim long, pivot long, shard0 long, parts long")
+    dealt = placed.join(F.broadcast(first), ["dim", "pivot"]).withColumn("shard", F.col("shard0") + F.pmod(F.xxhash64("id"), F.col("parts"))).select("shard", "dim", "id", "v")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trees = [build(unit(unpack(i, v)[1])) for i, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o.astype(np.int64).tobytes() for o, _ in trees], pa.binary()), pa.array([x.tobytes() for _, x in trees], pa.binary())], ["shard", "dim", "ids", "v", "row_order", "nodes"])
+            trees = [build(unit(unpack(i, v)[1])).pack() for i, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(trees, pa.list_(pa.binary()))], ["shard", "dim", "ids", "v", "tree"])
 
-    blocks = pack_groups(dealt, ["shard"], 2 * SHARD).select("shard", "dim", "ids", "v")
-    index = keep(blocks.mapInArrow(grow, "shard long, dim long, ids binary, v binary, row_order binary, nodes binary"), "vp-trees")
-    asked = pack_groups(prepared(queries).withColumn("one", F.lit(0).cast("long")), ["one"], QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    blocks = pack_groups(dealt.repartition(shards, "shard"), ["shard"], 2 * SHARD).select("shard", "dim", "ids", "v")
+    index = keep(blocks.mapInArrow(grow, "shard long, dim long, ids binary, v binary, tree array<binary>"), "vp-trees", rows_per_file=8)
+    discard(placed)
+
+    def route(batches: Iterator[pa.RecordBatch], home: bool) -> Iterator[pa.RecordBatch]:
+        """Queries (id, dim, v, reach) with the shards to search: that of the nearest pivot, or all others whose bound leaves them."""
+        for batch in batches:
+            for dim, at, v in by_dim(batch):
+                d, reach = to_pivots(dim, v), batch.column(3).to_numpy()[at]
+                own = np.asarray([ball[dim, p][0] if (dim, p) in ball else -1 for p in range(d.shape[1])])
+                where = np.where(own[None, :] >= 0, d, np.inf).argmin(axis=1)
+                if not (own >= 0).any():
+                    continue
+                rows: list[tuple[int, int]] = []
+                for k_ in range(len(at)):
+                    if home:
+                        rows.append((k_, int(own[where[k_]])))
+                        continue
+                    for p in np.flatnonzero(own >= 0).tolist():
+                        begin, parts, low, high = ball[dim, p]
+                        if min((max(low - d[k_, p], d[k_, p] - high, 0.0) - SLACK) * factor, d[k_, p] + low - SLACK) <= reach[k_] + SLACK:
+                            rows += [(k_, s) for s in range(begin, begin + parts) if s != own[where[k_]]]
+                for x in range(0, len(rows), 2000):
+                    some = np.asarray(rows[x : x + 2000], np.int64)
+                    both = np.concatenate([v[some[:, 0]], reach[some[:, 0], None]], axis=1)
+                    lists = pa.ListArray.from_arrays(pa.array((dim + 1) * np.arange(len(some) + 1), pa.int32()), pa.array(both.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[some[:, 0]])), pa.array(np.full(len(some), dim + 1)), lists, pa.array(some[:, 1])], ["id", "dim", "v", "shard"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q_ids, q_v, c_ids, c_v, order, nodes in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
-                qi, qv = unpack(q_ids, q_v)
+            for q_ids, q_v, c_ids, c_v, raw in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                qi, both = unpack(q_ids, q_v)
+                qv, reach = np.ascontiguousarray(both[:, :-1]), both[:, -1]
                 ids, v = unpack(c_ids, c_v)
-                rows = search(unit(v), ids, np.frombuffer(order, np.int64), np.frombuffer(nodes, np.float64).reshape(-1, 9), unit(qv), qi, k, factor)
+                rows, _ = search(unit(v), ids, Tree.unpack(raw), unit(qv), qi, k, factor, reach)
                 who, at = np.nonzero(rows >= 0)
                 a, c = qv[who], v[rows[who, at]]
                 score = np.einsum("ij,ij->i", a, c) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", c, c)))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[who]), pa.array(ids[rows[who, at]]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    joined = asked.join(index, ["shard", "dim"]).select("q_ids", "q_v", "ids", "v", "row_order", "nodes")
-    return ranked_rows(joined.mapInArrow(probe, "query_id long, vec_id long, score double"), k)
+    def searched(asked: DataFrame, home: bool) -> DataFrame:
+        routed = asked.mapInArrow(lambda batches: route(batches, home), "id long, dim long, v array<double>, shard long")
+        packed = pack_groups(routed.repartition("shard"), ["shard"], QUERIES).select("shard", (F.col("dim") - 1).alias("dim"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+        joined = packed.join(index.hint("merge"), ["shard", "dim"]).select("q_ids", "q_v", "ids", "v", "tree")
+        return keep(joined.mapInArrow(probe, "query_id long, vec_id long, score double"), "found")
+
+    asked = prepared(queries).select("id", F.col("dim").cast("long").alias("dim"), "v")
+    near = searched(asked.withColumn("reach", F.lit(float("inf"))), True)
+    # A query that is there twice finds everything twice.
+    kth = near.distinct().groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))).alias("reach"))
+    far = searched(asked.join(kth.hint("merge"), asked["id"] == kth["query_id"], "left").select("id", "dim", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach")), False)
+    discard(index)
+    return ranked_rows(near.unionByName(far).distinct(), k)
 
 
 def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

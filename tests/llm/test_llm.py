@@ -149,7 +149,9 @@ def valid(rows, zero):
     return [(i, v) for i, v in out if zero or v.any()]
 
 
-def test_top_products(vectors):
+@pytest.mark.parametrize("block", [4096, 32])
+def test_top_products(vectors, monkeypatch, block):
+    monkeypatch.setattr(innerproduct, "BLOCK", block)
     df, rows = vectors
     got = sorted(map(tuple, innerproduct.top_products(df, df.where("vec_id % 50 = 0"), 5).collect()))
     v = [(i, np.floor(256 * x)) for i, x in valid(rows, True)]
@@ -175,8 +177,12 @@ def test_coordinate_pruning_is_exact():
         assert sorted(score) == sorted(product[np.lexsort((np.arange(500), -product))[:5]])
 
 
-def test_nearest(vectors):
+@pytest.mark.parametrize("shard,pivots", [(8192, 64), (40, 5)])
+def test_nearest(vectors, monkeypatch, shard, pivots):
+    monkeypatch.setattr(vptree, "SHARD", shard)
+    monkeypatch.setattr(vptree, "PIVOTS", pivots)
     df, rows = vectors
+    df = df.withColumn("v", F.lit("clash")).withColumn("dim", F.lit("clash"))
     v = valid(rows, False)
     want = []
     for i, q in v:
@@ -190,6 +196,20 @@ def test_nearest(vectors):
     assert vptree.nearest(df.where("vec_id < 0"), df).count() == 0
 
 
+def test_tree_prunes():
+    r = np.random.default_rng(4)
+    u = vptree.unit(r.standard_normal((4000, 64)))
+    tree, ids, q = vptree.build(u), np.arange(4000), np.arange(0, 4000, 50)
+    d = vptree.distances(u[q], u)
+    d[np.arange(len(q)), q] = 9
+    best = np.argsort(d, axis=1)[:, :5]
+    rows, _ = vptree.search(u, ids, tree, u[q], ids[q], 5, 1.0)
+    assert (np.sort(rows) == np.sort(best)).all()
+    rows, computed = vptree.search(u, ids, tree, u[q], ids[q], 5, vptree.FACTOR)
+    assert computed < 0.8 * len(q) * len(u)
+    assert np.mean([len({*a} & {*b}) / 5 for a, b in zip(rows.tolist(), best.tolist())]) >= 0.9
+
+
 def test_tree_recall(spark, sf_dir):
     got = registry.QUERIES["op4_vptree"](spark, sf_dir).collect()
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
