@@ -2,11 +2,10 @@
 
 A byte pair that occurs inside no vocabulary token can never be merged over, so
 a cut between its two bytes is certain: both sides are encoded alone and the
-ids are concatenated. The cuts used here are the forced pairs whose second
-byte is ASCII white space: splitting patterns of such vocabularies start a new
-piece there, so that splitting a fragment alone gives the same pieces. Texts
-fall into about one fragment a word; fragments repeat, and a bounded table of
-encoded fragments does most of the work.
+ids are concatenated. A text is split at special tokens and into the pieces of
+the vocabulary's pattern, and each piece at every forced pair, in all scripts;
+fragments are merged by rank. Pieces repeat, and a bounded table of encoded
+ones does most of the work.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 from marginalia.llm.blocks import text_slices
 from marginalia.session import table
 
-SPACE = b" \t\n\x0b\x0c\r"
-#: Encoded fragments that a Python worker holds; the table starts anew beyond it.
+#: Encoded pieces that a Python worker holds; the table starts anew beyond it.
 FRAGMENTS_HELD = 400_000
 #: Pieces of a lower-cased text of the word vocabulary (a fixed value of that file).
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of a text of the byte-level vocabulary (a fixed value of that file).
-GPT_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+GPT_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: A byte that UTF-8 never uses stands for the end of a word.
 END = b"\xff"
 
@@ -55,10 +54,10 @@ def byte_symbols() -> dict[str, int]:
 class ForcedBoundaryBPE:
     """Encodes and decodes whole texts, given as UTF-8 bytes, with one vocabulary file of the tokenizers library.
 
-    Fragments of Latin letters, digits and punctuation are split and merged by
-    rank; others, and texts that may hold a special token, go through the
-    tokenizers library itself. A vocabulary with an end-of-word suffix drops
-    white space and lower-cases; its fragments are the runs between white space.
+    A vocabulary with an end-of-word suffix drops white space and lower-cases;
+    the runs between white space are looked up whole. Where characters are too
+    new for the pattern here, the library's own normalizer and splitter give
+    the pieces; merging is done here for all of them.
     """
 
     def __init__(self, path: str):
@@ -68,8 +67,6 @@ class ForcedBoundaryBPE:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols, suffix = byte_symbols(), spec["model"].get("end_of_word_suffix") or ""
@@ -85,9 +82,10 @@ class ForcedBoundaryBPE:
             self.tokens[i] = raw(token).removesuffix(END)
             b = np.frombuffer(self.tokens[i], np.uint8)
             inside[b[:-1], b[1:]] = True
-        self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
+        self.special = {x["content"].encode(): np.asarray([x["id"]], "<u4").tobytes() for x in spec.get("added_tokens", [])}
         for x in spec.get("added_tokens", []):
             self.tokens[x["id"]] = x["content"].encode()
+        self.at_special = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + b")").split
         #: forced[a, b]: no token holds byte a followed by byte b.
         self.forced = ~inside
         # Ranks: bytes, bytes that end a word, merges in their order.
@@ -100,47 +98,67 @@ class ForcedBoundaryBPE:
         self.of_rank = np.zeros(max(ranks.values()) + 1, "<u4")
         for token, rank in ranks.items():
             self.of_rank[rank] = by_raw.get(token, 0)
-        merge = tiktoken.Encoding("own", pat_str=GPT_PIECES, mergeable_ranks=ranks, special_tokens={})
-        self.drop_space, self.held = bool(suffix), {}
-        if suffix:
-            pieces, single = regex.compile(WORD_PIECES).findall, merge._core_bpe.encode_single_piece
-            self.merge = lambda text: [r for piece in pieces(text) for r in single(piece.encode() + END)]
-        else:
-            self.merge = merge.encode_ordinary
-        # A fragment ends before white space, unless its last byte and that make a pair that some token holds.
-        space = "".join(f"\\x{w:02x}" for w in SPACE)
-        held = [b for b in range(256) if b not in SPACE and not self.forced[b, list(SPACE)].all()]
-        word, last = f"[{space}]*+[^{space}]++", "".join(f"\\x{b:02x}" for b in held)
-        joined = f"(?:{word}(?<=[{last}])(?=[{space}]))*+" if held else ""
-        self.fragments = bytes.split if suffix else re.compile(f"{joined}(?:{word}|[{space}]++)".encode()).findall
-
-    def _ids(self, fragment: bytes) -> bytes:
-        text = fragment.decode()
-        plain = text.isascii()
-        if not plain:
-            plain = max(text) < "\u0250" and "\x85" not in text and "\xa0" not in text
-            if plain and self.drop_space:
-                text = "".join(c.lower() for c in text)
-        if not plain or any("\x1c" <= c <= "\x1f" for c in text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.of_rank[self.merge(text)].tobytes()
+        self.merge = tiktoken.Encoding("own", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.words, self.held = bool(suffix), {}
+        self.pieces = regex.compile(WORD_PIECES if suffix else GPT_PIECES).findall
+        self.old: dict[str, bool] = {}
+
+    def fragments(self, piece: bytes) -> list[bytes]:
+        """The piece cut at every forced pair."""
+        b = np.frombuffer(piece, np.uint8)
+        cuts = [0, *(np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist(), len(b)]
+        return [piece[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _merged(self, piece: bytes) -> bytes:
+        """Ids of one piece of the pattern, from those of its fragments."""
+        ranks: list[int] = []
+        parts = self.fragments(piece)
+        if self.words:
+            parts[-1] += END
+        for part in parts:
+            ranks += self.merge(part)
+        return self.of_rank[ranks].tobytes()
+
+    def _known(self, text: str) -> bool:
+        """Whether all characters are assigned in this Python's tables, so that all tables agree on them."""
+        new = set(text).difference(self.old)
+        if len(self.old) > FRAGMENTS_HELD:
+            self.old.clear()
+        self.old |= {c: unicodedata.category(c) != "Cn" for c in new}
+        return all(map(self.old.get, set(text)))
+
+    def _split(self, text: str) -> list[str]:
+        """Pieces of a text, or of a run between white space, normalized as the vocabulary asks."""
+        if self.words:
+            if max(text, default="") < "\u0250" and not any("\x1c" <= c <= "\x1f" or c in "\x85\xa0" for c in text):
+                return self.pieces("".join(c.lower() for c in text))
+            text = self.tokenizer.normalizer.normalize_str(text)
+        elif text.isascii() or self._known(text):
+            return self.pieces(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _ids(self, run: bytes | str) -> bytes:
+        """Ids of one piece, or of a run between white space."""
+        if self.words:
+            return b"".join(self._merged(piece.encode()) for piece in self._split(run.decode()))
+        return self._merged(run.encode())
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in self.special):
-            return np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        fragments = self.fragments(text.lower() if self.drop_space else text)
+            return b"".join(self.special[part] if part in self.special else self.encode(part) for part in self.at_special(text) if part)
+        runs = text.lower().split() if self.words else self._split(text.decode())
         held = self.held
-        parts = list(map(held.get, fragments))
+        parts = list(map(held.get, runs))
         if None in parts:
             if len(held) > FRAGMENTS_HELD:
                 held.clear()
             for k, part in enumerate(parts):
                 if part is None:
-                    fragment = fragments[k]
-                    part = held.get(fragment)
+                    run = runs[k]
+                    part = held.get(run)
                     if part is None:
-                        part = held[fragment] = self._ids(fragment)
+                        part = held[run] = self._ids(run)
                     parts[k] = part
         return b"".join(parts)
 
@@ -179,7 +197,9 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """encode_documents() reduced to counts and digests inside the same Python pass.
 
     The ids and the decoded text are hashed where they are made, so neither
-    goes back to the JVM.
+    goes back to the JVM. Null counts as empty; very long texts are encoded
+    whole; repeated rows are independent; an empty table gives an empty table;
+    further columns, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

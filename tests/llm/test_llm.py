@@ -97,7 +97,7 @@ def test_extract_pages(spark, sf_dir):
 
 # 2
 
-ODD = ["", "  <|endoftext|> a", "<|ENDOFTEXT|>", "à  b à\n c'est", "a\x1c's b", "　 x", "ΣΑΣ σ", "İstanbul ǅ", "a\xa0 b \xa0 c\n\n\n d  ", "!'s don't we'll 12345 £5", "é ́x", "日本 語です", "\t\t\n x\r\n", "x" * 300, "\x85 a", "½ ² ª"]
+ODD = ["", "  <|endoftext|> a", "<|ENDOFTEXT|>", "à  b à\n c'est", "a\x1c's b", "　 x", "ΣΑΣ σ", "İstanbul ǅ", "a\xa0 b \xa0 c\n\n\n d  ", "!'s don't we'll 12345 £5", "é ́x", "日本 語です", "\t\t\n x\r\n", "x" * 300, "\x85 a", "½ ² ª", "Привет, мир 12", "한국어 텍스트 نص عربي", "<|endoftext|>日本<|startoftext|>Ж<|endoftext|>", "e\u0301 Å \u1e9b\u0323", "\u088f new \U000323b0\U000323b1 \u2fff", "नमस्ते दुनिया", "\u180e x\u2028y\u3000z \u200b", "ß ﬁ Ⅷ ٣٤"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -107,7 +107,7 @@ def test_bpe(name):
     path = bpe.vocabulary(name)
     ours, theirs = bpe.ForcedBoundaryBPE(path), Tokenizer.from_file(path)
     r = random.Random(1)
-    alphabet = "aàb \n\t.'sé1!  ñ<|>é\xa0"
+    alphabet = "aàb \n\t.'sé1!  ñ<|>é\xa0Жж日本한ب३\u0301\u200d🙂"
     for text in ODD + ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(800)]:
         ids = theirs.encode(text, add_special_tokens=False).ids
         assert ours.encode(text.encode()) == np.asarray(ids, "<u4").tobytes(), text
@@ -121,11 +121,36 @@ def test_forced_pairs_are_in_no_token():
         assert not any(b.forced[x, y] for x, y in zip(token, token[1:]))
 
 
+def test_all_forced_pairs_are_cut():
+    b = bpe.ForcedBoundaryBPE(bpe.vocabulary("byte_bpe_50k.json"))
+    for piece in (" Жизнь", "日本語", "naïve", "=\x00\x01~", "x" * 40):
+        raw = piece.encode()
+        parts = b.fragments(raw)
+        assert b"".join(parts) == raw and len(parts) == 1 + sum(b.forced[x, y] for x, y in zip(raw, raw[1:]))
+    assert len(b.fragments("=\x00\x01~".encode())) > 1
+
+
+def test_tables_agree_on_known_characters():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    b, split = bpe.ForcedBoundaryBPE(path), Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    for c in [*range(0, 0x3400, 3), *range(0xA000, 0xAC00), *range(0xF900, 0x11000, 5), *range(0x12000, 0x12800), *range(0x1E000, 0x1F000, 3)]:
+        text = f"a{chr(c)}1{chr(c)}{chr(c)}."
+        if not 0xD800 <= c < 0xE000:
+            assert b._split(text) == [text[x:y] for _, (x, y) in split(text)], hex(c)
+
+
 def test_token_digests(spark, corpus):
     path = bpe.vocabulary("byte_bpe_50k.json")
     got = {r["doc_id"]: r for r in bpe.token_digests(of(spark, corpus).withColumn("ids", F.lit(1)), path).collect()}
     assert len(got) == len(corpus) and got[24]["n_tokens"] == got[25]["n_tokens"] == 0
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(path)
     for i, t in corpus:
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode_documents(of(spark, corpus), path).where("decoded <> ''").count() == len(corpus) - 2
     assert bpe.token_digests(of(spark, []), path).count() == 0
