@@ -154,9 +154,8 @@ def alike(sets: list[np.ndarray], own: int, others: np.ndarray, percent: int) ->
 def star_links(stars: DataFrame, heads: DataFrame, texts: DataFrame, words: int, percent: int, steps: list[tuple[int, int]]) -> DataFrame:
     """The links (a, b) among the pairs (g, id) of stars: documents and the least member of a bucket of theirs."""
 
-    def blocks(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
-        """Each star's members dealt over blocks of bounded size, its centre in each of them."""
-        members = pairs.join(heads.select("id", "bytes").hint("merge"), "id")
+    def blocks(members: DataFrame, what: DataFrame, column: str) -> DataFrame:
+        """Each star's members (g, id, bytes) dealt over blocks of bounded size, its centre in each of them."""
         count = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("bytes") / SIDE_BYTES)).cast("int")
         sizes = members.groupBy("g").agg(F.greatest(F.lit(1), count).alias("n"))
         spread = members.join(sizes.hint("merge"), "g").select("g", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("j"), "id", F.lit(RIGHT).alias("role"))
@@ -176,8 +175,8 @@ def star_links(stars: DataFrame, heads: DataFrame, texts: DataFrame, words: int,
                 on = 1 + np.flatnonzero(alike(texts_as_sets(batch.column(6), words), 0, np.arange(1, len(ids)), percent))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), ids[0])), pa.array(ids[on])], ["a", "b"])
 
-    left = keep(blocks(stars, heads, "sig").mapInArrow(prune, "g long, id long"), "candidates")
-    links = keep(blocks(left, texts, "text").mapInArrow(exact, "a long, b long"), "links")
+    left = keep(blocks(stars.withColumn("bytes", F.lit(steps[-1][0])), heads, "sig").mapInArrow(prune, "g long, id long"), "candidates")
+    links = keep(blocks(left.join(heads.select("id", "bytes").hint("merge"), "id"), texts, "text").mapInArrow(exact, "a long, b long"), "links")
     discard(left)
     return links
 
@@ -256,8 +255,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     found = keep(connected_components(links), "components")
     placed = inside.join(found.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("key")
-    placed = placed.join(open_.hint("merge"), "key", "left_semi").join(heads.select("id", F.length("sig").alias("bytes")).hint("merge"), "id")
-    placed = keep(placed.select(F.col("key").alias("g"), "id", "component", "bytes"), "open")
+    placed = placed.join(open_.hint("merge"), "key", "left_semi")
+    placed = keep(placed.select(F.col("key").alias("g"), "id", "component", F.lit(bands * rows).alias("bytes")), "open")
     discard(inside, stars)
     more = cross_links(placed, heads, texts, words, percent, steps)
     components = keep(connected_components(links.unionByName(more)), "components")
