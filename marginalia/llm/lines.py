@@ -5,13 +5,15 @@ document, so an entry is unique in a document. A block that can be deleted is
 a run of neighbouring entries of BLOCK_CHARS code points, so two documents can
 lose lines to each other only where they share a window: the shortest run of
 that length from a line on, or such a run with the short lines behind it. A
-document is first aligned with the first holder of each of its windows, by
-patience diff over all entries that both hold, which is their longest
-increasing subsequence; aligned runs of neighbouring lines are deleted from the
-later document. Where lines of a shared window are left after that, because
-they stand in another order in that holder, the document is aligned with more
-and more of the window's earlier holders, until the lines are deleted or every
-holder has been tried. The result is that of aligning all pairs.
+document's windows are taken from the rarest on, by the number of documents
+that hold them, until they cover all lines that it shares, and it is first
+aligned with the first holder of each of these, by patience diff over all
+entries that both hold, which is their longest increasing subsequence; aligned
+runs of neighbouring lines are deleted from the later document. Where lines of
+a shared window are left after that, the document is aligned with the first
+holders of all such windows, and then with more and more of their earlier
+holders, until the lines are deleted or every holder has been tried. The result
+is that of aligning all pairs.
 """
 
 from __future__ import annotations
@@ -155,13 +157,25 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
+            out = []
             for doc, rows, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 gone = set(places or ())
-                short = {r["h"] for r in rows if not gone.issuperset(range(r["place"], r["end"] + 1))}
-                ids += [doc] * len(short)
-                keys += short
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["id", "h"])
+                out += {(doc, r["h"], r["first"]) for r in rows if not gone.issuperset(range(r["place"], r["end"] + 1))}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["id", "h", "first"])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First holders of a document's windows, from the rarest on until they cover its shared lines."""
+        for batch in batches:
+            out = []
+            for doc, rows in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                covered: set[int] = set()
+                for r in sorted(rows, key=lambda r: (r["n"], r["place"], r["end"])):
+                    places = range(r["place"], r["end"] + 1)
+                    if not covered.issuperset(places):
+                        covered.update(places)
+                        out.append((doc, r["first"]))
+            out = list(dict.fromkeys(out))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["id", "first"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
         first = seqs.select(F.col("id").alias("first"), F.col("hashes").alias("theirs"))
@@ -172,21 +186,25 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
         return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
     def remaining(hits: DataFrame, lost: DataFrame) -> DataFrame:
-        return hits.join(lost.hint("merge"), "id", "left").select("id", "rows", "places").mapInArrow(left, "id long, h long")
+        return hits.join(lost.hint("merge"), "id", "left").select("id", "rows", "places").mapInArrow(left, "id long, h long, first long")
 
     # Joins of tables that grow are merged at any size, so that small inputs show what large ones do.
     seqs = keep(docs.where("id is not null").mapInArrow(index, "id long, hashes array<long>, sizes array<int>"), "lines")
     runs = seqs.mapInArrow(cut, "h long, id long, place int, end int")
-    firsts = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    firsts = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     met = runs.join(firsts.hint("merge"), "h").where("id > first")
-    hits = keep(met.groupBy("id").agg(F.collect_list(F.struct("place", "end", "h", "first")).alias("rows")), "shared-lines")
-    pairs = hits.select("id", F.explode(F.array_distinct("rows.first")).alias("first"))
-    lost = keep(merged(aligned(pairs)), "lost-lines")
+    hits = keep(met.groupBy("id").agg(F.collect_list(F.struct("place", "end", "h", "first", "n")).alias("rows")), "shared-lines")
+    tried = keep(hits.select("id", "rows").mapInArrow(rarest, "id long, first long"), "pairs")
+    lost = keep(merged(aligned(tried)), "lost-lines")
     rest = keep(remaining(hits, lost), "left-lines")
+    pairs = rest.select("id", "first").distinct().join(tried.hint("merge"), ["id", "first"], "left_anti")
+    lost, before = keep(merged(lost.unionByName(aligned(pairs))), "lost-lines"), lost
+    rest, old = keep(remaining(hits.join(rest.select("id").distinct().hint("merge"), "id", "left_semi"), lost).drop("first"), "left-lines"), rest
+    discard(before, old, tried)
     if rest.isEmpty():
         discard(seqs, hits, rest)
         return lost
-    held = runs.join(rest.select("h").distinct(), "h", "left_semi").select("h", F.col("id").alias("first"))
+    held = runs.join(rest.select("h").distinct().hint("merge"), "h", "left_semi").select("h", F.col("id").alias("first"))
     held = keep(held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h"), "holders")
     most, reach = held.agg(F.max("n")).first()[0], HOLDERS
     while True:
@@ -195,7 +213,7 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
         lost, before = keep(merged(lost.unionByName(aligned(pairs))), "lost-lines"), lost
         discard(before)
         if reach < most:
-            rest, before = keep(remaining(hits.join(rest.select("id").distinct(), "id", "left_semi"), lost), "left-lines"), rest
+            rest, before = keep(remaining(hits.join(rest.select("id").distinct(), "id", "left_semi"), lost).drop("first"), "left-lines"), rest
             discard(before)
         if reach >= most or rest.isEmpty():
             discard(seqs, hits, held, rest)
