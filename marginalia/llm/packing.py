@@ -158,5 +158,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenises, cuts and packs documents; the pieces are written to the shared folder once."""
+    """Tokenises, cuts and packs documents; the pieces are written to the shared folder once.
+
+    Null text counts as empty and has the one end token. Every row is a
+    document of its own, repeated ids included; very long texts are cut into
+    pieces of the capacity, nothing is dropped. An empty table gives an empty
+    table; further columns, whatever their names, are not read.
+    """
     return pack_pieces(keep(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)

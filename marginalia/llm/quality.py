@@ -27,6 +27,8 @@ FILTERS, WIDTH = 24, 8
 CHUNK, CHUNK_STEP = 512, 448
 #: Labelled documents that are learned from at most, chosen by the hash of their id, and passes over them.
 TRAIN_ROWS, EPOCHS = 2500, 10
+#: Bytes of text that are learned from at most; documents are taken in the same order while they fit.
+TRAIN_BYTES = 64 << 20
 #: The remainder of crc32(doc_id) mod 4 that is held out, and the score from which a document is predicted good.
 HELD_OUT, GOOD = 2, 0.7
 
@@ -148,28 +150,42 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
+HELD_OUT_SQL = f"(pmod(crc32(cast(cast(id as string) as binary)), 4) = {HELD_OUT})"
+
+
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == HELD_OUT
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """A network learned from at most `rows` labelled documents outside the held-out quarter, those with the least id hashes.
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+    """A network learned from at most `rows` labelled documents of at most `size` bytes in all, outside the held-out quarter, those with the least id hashes.
 
-    Ids without a label, and null labels, are not learned from; a document
-    labelled both ways is left out. No labels give a network that scores 0.5.
+    Ids without a label, and null ids and labels, are not learned from; a
+    document labelled both ways is left out, a repeated one counts once. Null
+    text counts as empty. No labels give a network that scores 0.5. Further
+    columns, whatever their names, are not read.
     """
-    marked = labels.where(f"{label_col} is not null").groupBy(id_col).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_z")).where("_y = _z")
-    chosen = marked.where(~held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(rows).select(id_col, "_y")
-    got = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).select(F.col(id_col), F.col(text_col).cast("string").alias("_t"), "_y").collect()
-    got.sort(key=lambda r: r[0])
-    return fit([(r["_t"] or "").encode() for r in got], np.asarray([r["_y"] for r in got], float))
+    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
+    marked = marked.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most and not " + HELD_OUT_SQL)
+    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(rows).select("id", "y")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sizes = texts.select("id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.max("n").alias("n")).orderBy(F.xxhash64("id"), "id").collect()
+    ends = np.cumsum([r["n"] for r in sizes])
+    taken = {r["id"]: float(r["y"]) for r, end in zip(sizes, ends, strict=True) if end <= size}
+    if not taken:
+        return fit([], np.zeros(0))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in taken], "id long")
+    got = sorted(texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("text").alias("text")).collect())
+    return fit([r["text"].encode() for r in got], np.asarray([taken[r["id"]] for r in got]))
 
 
 def score_documents(docs: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The input's rows and columns with a score from 0 to 1 of each whole text.
 
-    Null counts as empty; an empty text is one chunk of zeros, and all of them get the same score.
-    A column that already has the score's name is replaced.
+    Null counts as empty; an empty text is one chunk of zeros, and all of them
+    get the same score. Very long texts are scored over all their chunks;
+    repeated rows are independent; an empty table gives an empty table. A
+    column that already has the score's name is replaced.
     """
     docs = docs.drop(score_col)
     names = docs.columns
@@ -186,6 +202,7 @@ def score_documents(docs: DataFrame, net: Network, text_col: str = "text", score
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of documents; null text is empty, a null id is in no part (held_out null)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = learn(docs, table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
