@@ -4,9 +4,11 @@
    grams inside it; neighbouring windows with one key form a span. Equal
    windows have equal keys, so spans whose key occurs in one document only
    can hold no match and go no further.
-2. Spans with a shared key become short strings, equal ones are merged, and
-   keys are dealt over shards of bounded size. A shard's collection is sorted
-   column by column: a round inserts one symbol of every string, from its end
+2. Spans with a shared key become short strings, equal ones are merged by
+   their 128-bit names, and keys are dealt over shards of bounded size; the
+   first document of each string brings its bytes, where a key has several
+   strings (one alone has none to be compared with). A shard's collection is
+   sorted column by column: a round inserts one symbol of every string, from its end
    to its start, and brings the Burrows-Wheeler transform and the common
    prefixes of neighbouring suffixes up to date. Rounds run in passes; between
    two passes transform, prefixes and the symbols that are left are files in
@@ -359,22 +361,18 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be above {GRAM} and below 256")
     docs = docs.where("id is not null")
 
-    def rows_of(key: np.ndarray, parts: list[bytes], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        """Places of strings; the first of equal ones in a batch brings the string and its least and greatest id."""
-        h = np.asarray(list(map(xxhash.xxh3_64_intdigest, parts)), np.uint64).view(np.int64)
-        index: dict[bytes, int] = {}
-        code = np.asarray([index.setdefault(p, len(index)) for p in parts], np.int64)
-        first = np.zeros(len(parts), bool)
-        first[np.unique(code, return_index=True)[1]] = True
-        low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
-        np.minimum.at(low, code, ids)
-        np.maximum.at(high, code, ids)
-        part = pa.array(list(index), pa.binary()).take(pa.array(code, mask=~first))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), part, pa.array(low[code]), pa.array(high[code]), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "h", "part", "low", "high", "id", "start", "size"])
+    def named(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        whole = data.tobytes()
+        parts = [whole[a:b] for a, b in zip(begin.tolist(), (begin + size + length - 1).tolist(), strict=True)]
+        return parts, np.asarray(list(map(xxhash.xxh3_64_intdigest, parts)), np.uint64).view(np.int64)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            yield from text_slices(s, 1, TEXT_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices = (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
-        for batch in (x for s in slices for x in text_slices(s, 1, TEXT_BYTES)):
+        """Places of the strings of shared keys: (key, h, id, start, size)."""
+        for batch in slices(batches):
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             raw = [b"".join(blobs) for blobs in batch.column(2).to_pylist()]
@@ -385,64 +383,84 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             wanted = np.sort((rows << np.uint64(48)) | six.view("<u8")[:, 0])
             if not len(wanted):
                 continue
-            found = []
             for row, start, size, key in spans(data, offsets, length):
                 name = (row.astype(np.uint64) << np.uint64(48)) | (key.view(np.uint64) >> np.uint64(16))
                 on = wanted[np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)] == name
-                found.append((row[on], start[on], size[on], key[on]))
-            if not found:
-                continue
-            row, start, size, key = (np.concatenate([f[k] for f in found]) for k in range(4))
-            begin, whole = offsets[row] + start, data.tobytes()
-            parts = [whole[a:b] for a, b in zip(begin.tolist(), (begin + size + length - 1).tolist(), strict=True)]
-            yield rows_of(key, parts, ids[row], start, size)
+                row, start, size, key = row[on], start[on], size[on], key[on]
+                begin = offsets[row] + start
+                _, h = named(data[begin[0] : begin[-1] + size[-1] + length - 1], begin - begin[0], size) if len(begin) else ([], np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(ids[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "h", "id", "start", "size"])
+
+    def listed(batch: pa.RecordBatch, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(row of each entry, fields of the entries) of the list column 2."""
+        lists = batch.column(2)
+        flat = lists.flatten()
+        return np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), [flat.field(k).to_numpy(zero_copy_only=False) for k in range(fields)]
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Window by window, keyed by the window itself."""
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                rows = batch.slice(i, 2000)
-                size, start = (rows.column(k).to_numpy().astype(np.int64) for k in (3, 2))
-                index = np.repeat(np.arange(len(size)), size)
-                step = np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size)
-                strings = rows.column(0).to_pylist()
-                parts = [strings[k][j : j + length] for k, j in zip(index.tolist(), step.tolist(), strict=True)]
+        """Places window by window, keyed by the window itself."""
+        for batch in slices(batches):
+            data, offsets = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            row, (start, size) = listed(batch, 2)
+            start = np.repeat(start.astype(np.int64), size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            row = np.repeat(row, size)
+            for i in range(0, len(row), PASS):
+                r, s = row[i : i + PASS], start[i : i + PASS]
+                parts, h = named(data, offsets[r] + s, np.ones(len(s), np.int64))
                 key = np.asarray([xxhash.xxh3_64_intdigest(p, 1) for p in parts], np.uint64).view(np.int64)
-                yield rows_of(key, parts, rows.column(1).take(pa.array(index)).to_numpy(), start[index] + step, np.ones(len(index), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(ids[r]), pa.array(s.astype(np.int32)), pa.array(np.ones(len(s), np.int32))], ["key", "h", "id", "start", "size"])
+
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings that their first documents are to bring."""
+        for batch in slices(batches):
+            data, offsets = text_bytes(batch.column(1))
+            row, (key, h, high, start, size) = listed(batch, 5)
+            low = batch.column(0).to_numpy()[row]
+            for i in range(0, len(row), PASS):
+                k = slice(i, i + PASS)
+                parts, _ = named(data, offsets[row[k]] + start[k], size[k].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(h[k]), pa.array(low[k]), pa.array(high[k]), pa.array(parts, pa.binary())], ["key", "h", "low", "high", "part"])
+
+    def with_lists(rows: DataFrame, *fields: str) -> DataFrame:
+        """(id, text, list of the fields) of documents that have rows (id, ...)."""
+        lists = rows.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("list"))
+        return docs.dropDuplicates(["id"]).join(lists.hint("merge"), "id").select("id", "text", "list")
+
+    def variants_of(rows: DataFrame) -> DataFrame:
+        """(key, h, low, high, start, size): the strings, with their least and greatest document and their place in the least."""
+        return rows.groupBy("key", "h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("start", "id").alias("start"), F.max("size").alias("size"))
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = keep(shared_keys(docs, length, max(32, total // PART_BYTES)), "shared-keys")
-    schema = "key long, h long, part binary, low long, high long, id long, start int, size int"
-    parts = keep(docs.join(shared.hint("merge"), "id").select("id", "text", "keys").mapInArrow(cut, schema), "parts")
+    schema = "key long, h long, id long, start int, size int"
+    places = keep(docs.join(shared.hint("merge"), "id").select("id", "text", "keys").mapInArrow(cut, schema), "places")
     discard(shared)
-    made = parts.where("part is not null")
-    busy = made.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key")
-    if not busy.isEmpty():
-        busy = keep(busy, "busy-keys")
-        distinct = made.join(busy, "key", "left_semi").select("key", "h").distinct()
-        hot = keep(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_STRINGS).select("key"), "hot-keys")
-        if not hot.isEmpty():
-            whole = made.join(hot, "key", "left_semi").select("key", "h", "part").dropDuplicates(["key", "h"])
-            some = parts.join(hot, "key", "left_semi").select("key", "h", "id", "start", "size").join(whole, ["key", "h"])
-            parts, before = keep(parts.join(hot, "key", "left_anti").unionByName(some.select("part", "id", "start", "size").mapInArrow(single, schema)), "parts"), parts
-            made = parts.where("part is not null")
-            discard(before)
-        discard(busy, hot)
-    size = made.agg(F.sum(F.col("size") + (length - 1))).first()[0] or 0
-    shards = max(32, size // SHARD_BYTES)
-    # Dealt by shard at once: equal strings of a shard are merged where they arrive, those of one batch were merged before.
-    placed = made.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "h", "part", "low", "high").repartition("shard")
-    strings = placed.groupBy("shard", "key", "h", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    sorted_ = sorted_strings(strings, length)
+    variants = keep(variants_of(places), "variants")
+    several = keep(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    hot = keep(several.where(F.col("n") > HOT_STRINGS).select("key"), "hot-keys")
+    if not hot.isEmpty():
+        windows = keep(with_lists(places.join(hot.hint("merge"), "key", "left_semi"), "start", "size").mapInArrow(single, schema), "windows")
+        old = (places, variants, several)
+        places = keep(places.join(hot.hint("merge"), "key", "left_anti").unionByName(windows), "places")
+        variants = keep(variants.join(hot.hint("merge"), "key", "left_anti").unionByName(variants_of(windows)), "variants")
+        several = keep(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+        discard(windows, *old)
+    # Where a key has several strings, the first document of each brings it to the key's shard; a string alone under its key has no other to be sorted with.
+    wanted = variants.join(several.select("key").hint("merge"), "key", "left_semi")
+    size = wanted.agg(F.sum(F.col("size") + (length - 1))).first()[0] or 0
+    wanted = wanted.select(F.col("low").alias("id"), "key", "h", "high", "start", "size")
+    brought = with_lists(wanted, "key", "h", "high", "start", "size").mapInArrow(bring, "key long, h long, low long, high long, part binary")
+    sorted_ = sorted_strings(brought.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(32, size // SHARD_BYTES)))), length)
+    alone = variants.where("high > low").join(several.select("key").hint("merge"), "key", "left_anti").select("key", "h", F.col("low").alias("first"), F.array().cast("array<int>").alias("early"))
     # The key and the hash are 128 bits of a string.
-    places = parts.select("key", "h", "id", "start", "size")
-    joined = places.join(sorted_.hint("merge"), ["key", "h"]).where("id > first or size(early) > 0")
+    joined = places.join(sorted_.unionByName(alone).hint("merge"), ["key", "h"]).where("id > first or size(early) > 0")
     # A later document loses the whole span; the string's first document only windows found in an earlier one.
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size") + (length - 1)).alias("b")))
     some = F.expr(f"transform(sequence(0, size(early) div 2 - 1), i -> struct(start + early[2 * i] as a, start + early[2 * i + 1] + {length - 1} as b))")
     joined = joined.select("id", F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(some)).alias("span"))
     out = keep(joined.groupBy("id").agg(F.collect_list("span").alias("spans")), "removed")
-    discard(parts, sorted_)
+    discard(places, variants, several, hot, sorted_)
     return out
 
 
