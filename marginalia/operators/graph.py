@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.session import keep
+from marginalia.operators.components import connected_components
+from marginalia.session import discard, keep
 
 
 def link_graph(edges: DataFrame) -> DataFrame:
@@ -40,11 +41,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes, edges, density and degree centralisation of a directed graph."""
+    """nodes, edges, density, degree centralisation, number of components and size of the largest one of a directed graph."""
+    parts = components(nodes, edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
     d = degrees(nodes, edges)
     a = d.agg(F.count("*").alias("nodes"), F.sum("out_degree").alias("edges"), F.max(F.col("in_degree") + F.col("out_degree")).alias("_m"), F.sum(F.col("in_degree") + F.col("out_degree")).alias("_s"))
     n = F.col("nodes")
-    return a.select("nodes", "edges", F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 2, (n * F.col("_m") - F.col("_s")) / ((n - 1) * (n - 2))).otherwise(0.0).alias("centralization"))
+    return a.select("nodes", "edges", F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 2, (n * F.col("_m") - F.col("_s")) / ((n - 1) * (n - 2))).otherwise(0.0).alias("centralization")).join(F.broadcast(parts))  # one row each
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
@@ -153,10 +155,43 @@ def neighbourhood(edges: DataFrame, center, depth: int = 2) -> DataFrame:
     return out.select("id", "distance", (F.col("distance") == 0).alias("is_center"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, missing: int = 999) -> DataFrame:
-    """a, b, shortest_path: undirected distance of each pair, `missing` if there is none."""
-    found = distances(undirected(edges), pairs.select(F.col("a").alias("id")).distinct())
-    return pairs.join(found.select(F.col("source").alias("a"), F.col("id").alias("b"), "distance"), ["a", "b"], "left").select("a", "b", F.coalesce("distance", F.lit(missing)).alias("shortest_path"))
+def shortest_paths(edges: DataFrame, pairs: DataFrame, missing: int = 999, most: int | None = None) -> DataFrame:
+    """a, b, shortest_path: undirected distance of each pair, `missing` if there is none.
+
+    Searches from the side with fewer different nodes, only while pairs are
+    open, and for sources that still have one.
+    """
+    sides = pairs.agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).first()
+    near, far = ("a", "b") if sides["a"] <= sides["b"] else ("b", "a")
+    asked = keep(pairs.select(F.col(near).alias("source"), F.col(far).alias("id")).distinct(), "asked")
+    both = keep(undirected(edges), "both")
+    seen = front = asked.select("source").distinct().select("source", F.col("source").alias("id"))
+    found, step = asked.where("source = id").withColumn("distance", F.lit(0)), 0
+    open_ = keep(asked.where("source <> id"), "open")
+    while (most is None or step < most) and not open_.isEmpty():
+        step += 1
+        alive = front.join(open_.select("source").distinct(), "source", "left_semi")
+        new = alive.join(both, alive["id"] == both["src"]).select("source", F.col("dst").alias("id")).distinct()
+        front = keep(new.join(seen, ["source", "id"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        met = keep(open_.join(front, ["source", "id"], "left_semi").withColumn("distance", F.lit(step)), "met")
+        found = found.unionByName(met)
+        open_ = keep(open_.join(met, ["source", "id"], "left_anti"), "open")
+        seen = seen.unionByName(front)
+    out = found.select(F.col("source").alias(near), F.col("id").alias(far), "distance")
+    return pairs.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("distance", F.lit(missing)).alias("shortest_path"))
+
+
+def diameter(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
+    """diameter and avg_path_length of the largest component, undirected; null where it has more than `most` nodes or fewer than two."""
+    parts = keep(components(nodes, edges), "components")
+    top = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").first()
+    if top is None or not 2 <= top["n"] <= most:
+        return nodes.sparkSession.createDataFrame([(None, None)], "diameter int, avg_path_length double")
+    inside = parts.where(F.col("component") == top["component"]).select("id")
+    d = distances(undirected(subgraph(edges, inside)), inside).where("distance > 0")
+    return d.agg(F.max("distance").alias("diameter"), F.avg("distance").alias("avg_path_length"))
 
 
 def path_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -172,10 +207,17 @@ def path_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(into, "id", "left").select("id", F.coalesce(r / F.col("total") * r / F.lit(max(1, n - 1)), F.lit(0.0)).alias("closeness"), F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"), F.coalesce("eccentricity", F.lit(0)).alias("eccentricity"), F.coalesce(r, F.lit(0)).alias("reached"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, normalised: bool = True) -> DataFrame:
-    """id, betweenness of the directed graph: shortest paths are counted forward by rounds and dependencies summed backward."""
+def betweenness(edges: DataFrame, nodes: DataFrame, normalised: bool = True, sampled_above: int = 1000, seed: int = 42) -> DataFrame:
+    """id, betweenness of the directed graph: shortest paths are counted forward by rounds and dependencies summed backward.
+
+    Above `sampled_above` nodes, paths are counted from min(100, n / 10) of them,
+    those with the least hashes, and scaled up to all.
+    """
     n = nodes.count()
-    reach = keep(nodes.select(F.col("id").alias("source"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "paths")
+    sources = nodes
+    if n > sampled_above:
+        sources = nodes.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(min(100, n // 10))
+    reach = keep(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "paths")
     front, levels = reach, [reach]
     while True:
         step = len(levels)
@@ -194,7 +236,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, normalised: bool = True) ->
         up = levels[levels.index(level) - 1]
         w = dep.select("source", F.col("id").alias("dst"), ((1.0 + F.col("delta")) / F.col("paths")).alias("share"))
         below = edges.join(w, "dst").join(up.select("source", F.col("id").alias("src"), F.col("paths").alias("p")), ["source", "src"]).groupBy("source", F.col("src").alias("id")).agg(F.sum(F.col("p") * F.col("share")).alias("delta"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 1.0
+    scale = (1.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 1.0) * (n / min(100, n // 10) if n > sampled_above else 1.0)
     if not totals:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
     every = totals[0]
@@ -204,17 +246,59 @@ def betweenness(edges: DataFrame, nodes: DataFrame, normalised: bool = True) ->
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the least id that is reachable in any direction; labels fall to the least neighbour and jump to their label's label."""
-    both = keep(undirected(edges), "both")
-    labels = keep(nodes.select("id", F.col("id").alias("component")), "labels")
-    while True:
-        near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels["id"] == near["src"], "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = keep(new.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
-        labels = new.select("id", "component")
-        if new.where("old <> component").isEmpty():
-            return labels
+    """id, component: the least id that is reachable in any direction."""
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def moved_labels(both: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame:
+    """One round of local moving for modularity: nodes whose turn it is go to the community around them that gains most.
+
+    both has weights w, labels has id, k (weighted degree) and community. A move
+    gains what a node's links to the community weigh, less k times the
+    community's degree over the total; the node's own part of its community is
+    left out. Half the nodes, by a hash of id and turn, may move in one round,
+    so that neighbours do not swap for ever.
+    """
+    sizes = labels.groupBy("community").agg(F.sum("k").alias("degree"))
+    near = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("inside"))
+    own = labels.select("id", "community").withColumn("inside", F.lit(0.0))
+    offers = near.unionByName(own).groupBy("id", "community").agg(F.sum("inside").alias("inside")).join(sizes, "community")
+    offers = offers.join(labels.select("id", "k", F.col("community").alias("old")), "id")
+    rest = F.col("degree") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("inside") - F.col("k") * rest / total, 9)
+    best = offers.groupBy("id").agg(F.max_by("community", F.struct(gain.alias("g"), (F.col("community") == F.col("old")).alias("stay"), -F.col("community"))).alias("new"), F.first("k").alias("k"), F.first("old").alias("old"))
+    mine = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+    return best.select("id", "k", F.when(mine, F.col("new")).otherwise(F.col("old")).alias("community"))
+
+
+def modularity_communities(nodes: DataFrame, edges: DataFrame, levels: int = 10, rounds: int = 16) -> DataFrame:
+    """id, community (the least id in it) by modularity: rounds of local moving, then communities become nodes, until a level changes nothing.
+
+    Ids are integers. Nodes without edges are communities of their own.
+    """
+    weighted = keep(undirected(edges).withColumn("w", F.lit(1.0)), "weights")
+    total = weighted.agg(F.sum("w")).first()[0] or 0.0
+    member = nodes.select("id", F.col("id").alias("community"))
+    for _ in range(levels if total else 0):
+        degree = weighted.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
+        labels, still = keep(degree.select("id", "k", F.col("id").alias("community")), "labels"), 0
+        links = weighted.where("src <> dst")
+        for turn in range(rounds):
+            new, before = keep(moved_labels(links, labels, total, turn), "labels"), labels
+            still = still + 1 if new.join(before, ["id", "community"], "left_anti").isEmpty() else 0
+            labels = new
+            discard(before)
+            if still == 2:  # neither half moves
+                break
+        merged = labels.groupBy("community").agg(F.min("id").alias("to"))
+        labels = keep(labels.join(merged, "community").select("id", F.col("to").alias("community")), "labels")
+        if labels.where("id <> community").isEmpty():
+            break
+        member = keep(member.join(labels.select(F.col("id").alias("community"), F.col("community").alias("to")), "community", "left").select("id", F.coalesce("to", "community").alias("community")), "members")
+        a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("s")), labels.select(F.col("id").alias("dst"), F.col("community").alias("d"))
+        weighted = keep(weighted.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "weights")
+    return member
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -300,6 +384,66 @@ def monthly_connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(per, "month", "left").na.fill(0, ["internal", "external"]).withColumn("density", F.when(F.col("nodes") > 1, F.col("internal") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0))
 
 
+def temporal_insights(activities: DataFrame, months: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
+    """Mean activity, the most active nodes, and periods: their number, mean density and range of nodes and density."""
+    return {
+        "activity": activities.agg(F.count("*").alias("nodes"), F.avg("activity").alias("avg_activity")),
+        "top": top(activities, "activity", limit),
+        "periods": months.agg(F.count("*").alias("periods"), F.min("month").alias("first"), F.max("month").alias("last"), F.avg("density").alias("avg_density"), F.min("density").alias("min_density"), F.max("density").alias("max_density"), F.min("nodes").alias("min_nodes"), F.max("nodes").alias("max_nodes")),
+    }
+
+
+def temporal_events(nodes: DataFrame) -> DataFrame:
+    """id, kind, ts (seconds): creation and modification of each node, from its own attribute or else its file's time."""
+    made = F.coalesce("creation_time", "file_created")
+    changed = F.coalesce("modified_time", "file_modified")
+    rows = F.array(F.struct(F.lit("created").alias("kind"), made.alias("ts")), F.struct(F.lit("modified").alias("kind"), changed.alias("ts")))
+    return nodes.select("id", F.explode(rows).alias("e")).select("id", "e.kind", "e.ts").where("ts is not null")
+
+
+def modularity_contribution(labels: DataFrame) -> DataFrame:
+    """id, contribution: one over the size of its community."""
+    return labels.join(labels.groupBy("community").agg(F.count("*").alias("n")), "community").select("id", (1.0 / F.col("n")).alias("contribution"))
+
+
+def top_bridges(found: DataFrame, limit: int = 10) -> DataFrame:
+    """The bridge nodes with the highest scores."""
+    return top(found.where("is_bridge"), "bridge_score", limit)
+
+
+def relationship_counts(edges: DataFrame) -> DataFrame:
+    """rel_type, n: how many edges there are of each type, commonest first."""
+    return edges.groupBy("rel_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "rel_type")
+
+
+def reachable(edges: DataFrame, start, most: int = 3) -> DataFrame:
+    """id, distance of the nodes within `most` directed steps of a node, itself left out."""
+    first = edges.sparkSession.range(1).select(F.lit(start).alias("id"))
+    return distances(edges.select("src", "dst").distinct(), first, most).where("distance > 0").select("id", "distance")
+
+
+def tag_context(tagged: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """id, linked: notes (id, tag) with a tag and the sorted targets of their links, none for notes without."""
+    notes = tagged.where(F.col("tag") == tag).select("id").distinct()
+    out = notes.join(links.select(F.col("src").alias("id"), "dst").distinct(), "id", "left")
+    return out.groupBy("id").agg(F.array_sort(F.collect_list("dst")).alias("linked"))
+
+
+def succession(rows: DataFrame, order: list[str], node: str) -> DataFrame:
+    """src, dst: each row's node and that of the next row in the order of the whole table, where they differ, once.
+
+    Rows are dealt to ranges of the order; a range finds its own successions,
+    and the first and last row of each range, as many rows as there are
+    partitions, give those between ranges.
+    """
+    dealt = keep(rows.select(*order, F.col(node).alias("src")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = dealt.withColumn("dst", F.lead("src").over(Window.partitionBy("_range").orderBy(*order))).select("src", "dst")
+    key = F.struct(*order)
+    edge = dealt.groupBy("_range").agg(F.min_by("src", key).alias("head"), F.max_by("src", key).alias("tail"), F.min(key).alias("at"))
+    between = edge.select(F.col("tail").alias("src"), F.lead("head").over(Window.orderBy("at")).alias("dst"))
+    return inside.unionByName(between).where("src <> dst").distinct()
+
+
 def first_per(df: DataFrame, keys: list[str], order: list, k: int = 1) -> DataFrame:
     """The first k rows of each key in an order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")

@@ -44,44 +44,24 @@ NOTES = f"""notes AS (SELECT doc_id, source AS vault_name, source || '/' || lang
   strlen(text)::BIGINT AS size, TIMESTAMP '{AS_OF}' - to_days((doc_id * 7 % 900)::INTEGER) AS modified, md5(text) AS checksum, lang, source FROM documents)"""
 
 
-def parts(lines: DataFrame) -> DataFrame:
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed part graph: the part of an order's first line to that of its second."""
-    l = lines.select("l_orderkey", "l_linenumber", "l_partkey")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = l.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src")), l.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
     return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
 
 
-def whole_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part graph of all orders, for queries without SQL."""
-    return parts(table(spark, sf_dir, "lineitem"))
-
-
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part graph of every tenth order, as the SQL has it."""
-    return parts(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0"))
-
-
 SPARSE = """sparse AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
-  WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey % 10 = 0)"""
+  WHERE a.l_partkey <> b.l_partkey)"""
 
 
-def suppliers(lines: DataFrame) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected supplier graph: suppliers of a part that was returned."""
-    l = lines.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
+    l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
     return l.select("l_partkey", F.col("l_suppkey").alias("src")).join(l.select("l_partkey", F.col("l_suppkey").alias("dst")), "l_partkey").where("src < dst").select("src", "dst").distinct()
 
 
-def whole_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplier graph of all lines, for queries without SQL."""
-    return suppliers(table(spark, sf_dir, "lineitem"))
-
-
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplier graph of first lines, as the SQL has it."""
-    return suppliers(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
-DENSE = """l1 AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
+DENSE = """l1 AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
 dense AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM l1 a JOIN l1 b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey),
 both_ AS (SELECT src, dst FROM dense UNION SELECT dst, src FROM dense),
 deg AS (SELECT src AS id, count(*) AS k FROM both_ GROUP BY src)"""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.operators import domains, graph, pairs
-from marginalia.plans.base import AS_OF, DENSE, NOTES, SPARSE, dense, ends, notes, query, six, sparse, whole_dense, whole_sparse
+from marginalia.plans.base import AS_OF, DENSE, NOTES, SPARSE, dense, ends, notes, query, six, sparse
 from marginalia.session import table
 
 SN = f"{SPARSE}, nodes AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse)"
@@ -18,40 +18,46 @@ def degrees(spark, sf_dir):
     return graph.degrees(ends(e), e).select("id", "in_degree", "out_degree", six(F.col("centrality"), "centrality"))
 
 
-@query("a14_g19_metrics", f"WITH {SN}, d AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM sparse UNION ALL SELECT dst FROM sparse) GROUP BY id), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), m AS (SELECT count(*) AS m FROM sparse) SELECT n::BIGINT AS nodes, m AS edges, round(m / (n * (n - 1)), 6) AS density, round((n * max(k) - sum(k)) / ((n - 1) * (n - 2)), 6) AS centralization FROM d, n, m GROUP BY n, m")
+CC = f"WITH RECURSIVE {SN}, b AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), c(id, root) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT x.dst, x.m FROM (SELECT b.dst, min(c.root) AS m FROM c JOIN b ON b.src = c.id GROUP BY b.dst) x JOIN recurring.c r ON r.id = x.dst WHERE x.m < r.root)"
+
+
+@query("a14_g19_metrics", f"{CC}, d AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM sparse UNION ALL SELECT dst FROM sparse) GROUP BY id), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), m AS (SELECT count(*) AS m FROM sparse), p AS (SELECT count(*) AS components, max(k) AS largest FROM (SELECT root, count(*) AS k FROM c GROUP BY root)) SELECT n::BIGINT AS nodes, m AS edges, round(m / (n * (n - 1)), 6) AS density, round((n * max(k) - sum(k)) / ((n - 1) * (n - 2)), 6) AS centralization, components, largest FROM d, n, m, p GROUP BY n, m, components, largest")
 def metrics(spark, sf_dir):
     e = sparse(spark, sf_dir)
-    return graph.metrics(ends(e), e).select("nodes", "edges", six(F.col("density"), "density"), six(F.col("centralization"), "centralization"))
+    return graph.metrics(ends(e), e).select("nodes", "edges", six(F.col("density"), "density"), six(F.col("centralization"), "centralization"), "components", "largest")
 
 
-@query("a22_hubs", f"WITH {SPARSE} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM sparse UNION ALL SELECT dst FROM sparse) GROUP BY id HAVING count(*) > 3")
+@query("a22_hubs", f"WITH {SPARSE} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM sparse UNION ALL SELECT dst FROM sparse) GROUP BY id HAVING count(*) > 5")
 def hubs(spark, sf_dir):
     e = sparse(spark, sf_dir)
-    return graph.degrees(ends(e), e).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree")).where("degree > 3")
+    return graph.degrees(ends(e), e).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree")).where("degree > 5")
 
 
 def _pagerank_sql(rounds: int) -> str:
+    """Rounds until the change is below n times 1e-6, at most as many as are written out here."""
     steps = "".join(
-        f""", l{k} AS (SELECT coalesce(sum(r), 0) AS lost FROM r{k - 1} JOIN nodes USING (id) LEFT JOIN o USING (id) WHERE k IS NULL),
-r{k} AS (SELECT nodes.id, (0.15 + 0.85 * (SELECT lost FROM l{k})) / (SELECT n FROM n) + 0.85 * coalesce(f.f, 0) AS r FROM nodes LEFT JOIN (SELECT dst AS id, sum(r / k) AS f FROM sparse JOIN r{k - 1} p ON p.id = src JOIN o ON o.id = src GROUP BY dst) f USING (id))"""
+        f""", l{k} AS MATERIALIZED (SELECT coalesce(sum(r), 0) AS lost FROM r{k - 1} JOIN nodes USING (id) LEFT JOIN o USING (id) WHERE k IS NULL),
+r{k} AS MATERIALIZED (SELECT nodes.id, (0.15 + 0.85 * (SELECT lost FROM l{k})) / (SELECT n FROM n) + 0.85 * coalesce(f.f, 0) AS r FROM nodes LEFT JOIN (SELECT dst AS id, sum(r / k) AS f FROM sparse JOIN r{k - 1} p ON p.id = src JOIN o ON o.id = src GROUP BY dst) f USING (id))"""
         for k in range(1, rounds + 1)
     )
-    return f"WITH {SN}, n AS (SELECT count(*)::DOUBLE AS n FROM nodes), o AS (SELECT src AS id, count(*) AS k FROM sparse GROUP BY src), r0 AS (SELECT id, 1 / n AS r FROM nodes, n){steps} SELECT id, round(r, 6) AS rank FROM r{rounds}"
+    ends = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.r - b.r)) < (SELECT n FROM n) * 1e-6 AS small FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM r{k}" for k in range(1, rounds + 1))
+    return f"WITH {SN}, n AS (SELECT count(*)::DOUBLE AS n FROM nodes), o AS (SELECT src AS id, count(*) AS k FROM sparse GROUP BY src), r0 AS (SELECT id, 1 / n AS r FROM nodes, n){steps}, stop AS (SELECT coalesce(min(k) FILTER (small), {rounds}) AS k FROM ({ends})) SELECT id, round(r, 6) AS rank FROM ({every}) JOIN stop USING (k)"
 
 
-@query("g4_pagerank", _pagerank_sql(5))
+@query("g4_pagerank", _pagerank_sql(40))
 def pagerank(spark, sf_dir):
     e = sparse(spark, sf_dir)
-    return graph.pagerank(ends(e), e, 5).select("id", six(F.col("rank"), "rank"))
+    return graph.pagerank(ends(e), e, 40, tolerance=1e-6).select("id", six(F.col("rank"), "rank"))
 
 
 @query("g5_betweenness")
 def betweenness(spark, sf_dir):
-    e = whole_sparse(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     return graph.betweenness(e, ends(e)).select("id", six(F.col("betweenness"), "betweenness"))
 
 
-BFS = f"WITH RECURSIVE {SN}, p(source, id, d) AS (SELECT id, id, 0 FROM nodes UNION SELECT source, dst, d + 1 FROM p JOIN sparse ON src = id WHERE d < 40), m AS (SELECT source, id, min(d) AS d FROM p GROUP BY source, id)"
+BFS = f"WITH RECURSIVE {SN}, m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM nodes UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN sparse e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL)"
 
 
 @query("g6_g9_g13_path_metrics", f"{BFS}, a AS (SELECT id, sum(d) AS t, count(*) AS r, sum(1.0::DOUBLE / d) AS h, max(d) AS e FROM m WHERE d > 0 GROUP BY id) SELECT nodes.id, round(coalesce(r::DOUBLE / t * r / ((SELECT count(*) FROM nodes) - 1), 0), 6) AS closeness, round(coalesce(h, 0), 6) AS harmonic, coalesce(e, 0)::BIGINT AS eccentricity FROM nodes LEFT JOIN a USING (id)")
@@ -63,13 +69,13 @@ def path_metrics(spark, sf_dir):
 
 @query("g7_eigenvector")
 def eigenvector(spark, sf_dir):
-    e = whole_dense(spark, sf_dir)
+    e = dense(spark, sf_dir)
     return graph.eigenvector(ends(e), graph.undirected(e), 1000, tolerance=1e-8).select("id", six(F.col("score"), "score"))
 
 
 @query("g8_katz")
 def katz(spark, sf_dir):
-    e = whole_sparse(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     return graph.katz(ends(e), e, 8).select("id", six(F.col("score"), "score"))
 
 
@@ -94,17 +100,19 @@ def neighbourhood(spark, sf_dir):
     return graph.neighbourhood(e, center, 3).select("id", F.col("distance").cast("long").alias("distance"))
 
 
-@query("g20_shortest_path", f"WITH RECURSIVE {SPARSE}, b AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), s AS (SELECT DISTINCT src AS a FROM sparse WHERE src % 20 = 0), t AS (SELECT DISTINCT dst AS b FROM sparse WHERE dst % 20 = 1), p(a, id, d) AS (SELECT a, a, 0 FROM s UNION SELECT a, dst, d + 1 FROM p JOIN b ON src = id WHERE d < 60), m AS (SELECT a, id, min(d) AS d FROM p GROUP BY a, id) SELECT s.a, t.b, coalesce(m.d, 999)::BIGINT AS shortest_path FROM s CROSS JOIN t LEFT JOIN m ON m.a = s.a AND m.id = t.b")
-def shortest_path(spark, sf_dir):
-    e = sparse(spark, sf_dir)
-    a, b = e.where("src % 20 = 0").select(F.col("src").alias("a")).distinct(), e.where("dst % 20 = 1").select(F.col("dst").alias("b")).distinct()
-    return graph.shortest_paths(e, a.crossJoin(b)).select("a", "b", F.col("shortest_path").cast("long").alias("shortest_path"))
+PAIRS = "pos AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM sparse), neg AS (SELECT pos.a + 1 AS a, pos.b + 1 AS b FROM pos WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE q.a = pos.a + 1 AND q.b = pos.b + 1)), pr AS (SELECT a, b FROM pos UNION SELECT a, b FROM neg)"
 
 
-CC = f"WITH RECURSIVE {SN}, b AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), p(root, id) AS (SELECT id, id FROM nodes UNION SELECT root, dst FROM p JOIN b ON src = id)"
+@query("g20_shortest_path", f"WITH RECURSIVE {SN}, {PAIRS}, e2 AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM nodes UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN e2 e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL) SELECT pr.a, pr.b, coalesce(m.d, 999)::BIGINT AS shortest_path FROM pr LEFT JOIN m ON m.source = pr.a AND m.id = pr.b")
+def shortest_path(spark, sf_dir):
+    """Distances of the pairs that are linked and of as many next to them that are not."""
+    e = sparse(spark, sf_dir)
+    yes = pairs.positives(e)
+    no = yes.select((F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b")).join(yes, ["a", "b"], "left_anti")
+    return graph.shortest_paths(e, yes.unionByName(no)).select("a", "b", F.col("shortest_path").cast("long").alias("shortest_path"))
 
 
-@query("g14_components", f"{CC} SELECT id, min(root) AS component FROM p GROUP BY id")
+@query("g14_components", f"{CC} SELECT id, root AS component FROM c")
 def components(spark, sf_dir):
     e = sparse(spark, sf_dir)
     return graph.components(ends(e), e)
@@ -112,10 +120,28 @@ def components(spark, sf_dir):
 
 @query("g15_communities")
 def communities(spark, sf_dir):
-    e = whole_dense(spark, sf_dir)
+    e = dense(spark, sf_dir)
+    return graph.modularity_communities(ends(e), e)
+
+
+@query("g15_label_propagation")
+def label_propagation(spark, sf_dir):
+    e = dense(spark, sf_dir)
     return graph.communities(ends(e), e)
 
 
+@query("h10_contribution", f"WITH {DENSE}, lab AS (SELECT id, id % 5 AS community FROM deg) SELECT id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY community), 6) AS contribution FROM lab")
+def contribution(spark, sf_dir):
+    e = dense(spark, sf_dir)
+    return graph.modularity_contribution(ends(e).withColumn("community", F.col("id") % 5)).select("id", six(F.col("contribution"), "contribution"))
+
+
+@query("g18_diameter", f"WITH RECURSIVE {DENSE}, m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM deg UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN both_ e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL) SELECT max(d)::BIGINT AS diameter, round(avg(d), 6) AS avg_path_length FROM m WHERE d > 0")
+def diameter(spark, sf_dir):
+    e = dense(spark, sf_dir)
+    return graph.diameter(e, ends(e)).select(F.col("diameter").cast("long").alias("diameter"), six(F.col("avg_path_length"), "avg_path_length"))
+
+
 @query("g16_a13_modularity", f"WITH {DENSE}, lab AS (SELECT id, id % 5 AS community FROM deg), m AS (SELECT count(*)::DOUBLE AS m FROM dense), d AS (SELECT community, sum(k) AS degree, count(*) AS size FROM deg JOIN lab USING (id) GROUP BY community), i AS (SELECT a.community, count(*) AS internal FROM dense JOIN lab a ON a.id = src JOIN lab b ON b.id = dst WHERE a.community = b.community GROUP BY a.community) SELECT community, size, coalesce(internal, 0) AS internal, degree::BIGINT AS degree, round(coalesce(internal, 0) / m - (degree / (2 * m)) ** 2, 6) AS modularity FROM d LEFT JOIN i USING (community), m")
 def modularity(spark, sf_dir):
     e = dense(spark, sf_dir)
@@ -124,9 +150,9 @@ def modularity(spark, sf_dir):
 
 @query("g17_bridges")
 def bridges(spark, sf_dir):
-    e = whole_dense(spark, sf_dir)
+    e = dense(spark, sf_dir)
     n = ends(e)
-    out = graph.bridges(e, graph.communities(n, e), graph.betweenness(graph.undirected(e), n))
+    out = graph.bridges(e, graph.modularity_communities(n, e), graph.betweenness(graph.undirected(e), n))
     return out.select("id", "inter", "communities", six(F.col("ratio"), "ratio"), six(F.col("bridge_score"), "bridge_score"), "is_bridge")
 
 
@@ -155,9 +181,58 @@ def activity(spark, sf_dir):
 
 @query("g_time_user_graph", "WITH p AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'purchase') SELECT DISTINCT src, dst FROM p WHERE src <> dst")
 def user_graph(spark, sf_dir):
-    # One sequence over all purchases is what the graph is defined on, so it is sorted in one place.
     p = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    return p.select(F.col("user_id").alias("src"), F.lead("user_id").over(Window.orderBy("ts", "event_id")).alias("dst")).where("src <> dst").distinct()
+    return graph.succession(p, ["ts", "event_id"], "user_id")
+
+
+@query("g22_reachable", f"WITH RECURSIVE {SPARSE}, c AS (SELECT min(src) AS c FROM sparse), p(id, d) AS (SELECT c, 0 FROM c UNION SELECT dst, d + 1 FROM p JOIN sparse ON src = id WHERE d < 3) SELECT id, min(d)::BIGINT AS distance FROM p GROUP BY id HAVING min(d) > 0")
+def reachable(spark, sf_dir):
+    e = sparse(spark, sf_dir)
+    return graph.reachable(e, e.agg(F.min("src")).first()[0], 3).select("id", F.col("distance").cast("long").alias("distance"))
+
+
+MONTHS = "o AS (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderkey) AS dst, o_orderdate FROM orders), e AS (SELECT DISTINCT src, dst FROM o WHERE src <> dst), n AS (SELECT o_custkey AS id, min(o_orderdate) AS created FROM orders GROUP BY 1), mo AS (SELECT id, strftime(created, '%Y-%m') AS month FROM n), x AS (SELECT a.month AS ma, b.month AS mb FROM e JOIN mo a ON a.id = src JOIN mo b ON b.id = dst), per AS (SELECT month, sum(own)::BIGINT AS internal, sum(1 - own)::BIGINT AS external FROM (SELECT ma AS month, (ma = mb)::INT AS own FROM x UNION ALL SELECT mb, 0 FROM x WHERE ma <> mb) GROUP BY month), cnt AS (SELECT month, count(*) AS nodes FROM mo GROUP BY month), pm AS (SELECT month, nodes, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external, CASE WHEN nodes > 1 THEN coalesce(internal, 0)::DOUBLE / (nodes * (nodes - 1)) ELSE 0 END AS density FROM cnt LEFT JOIN per USING (month))"
+
+
+def _months(spark, sf_dir):
+    """Customers by the month of their first order, linked to the next one who ordered on the same day."""
+    o = table(spark, sf_dir, "orders")
+    day = Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")
+    e = o.select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(day).alias("dst")).where("src <> dst").distinct()
+    n = o.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("created"))
+    return graph.monthly_connectivity(n, e)
+
+
+@query("a15_monthly_connectivity", f"WITH {MONTHS} SELECT month, nodes, internal, external, round(density, 6) AS density FROM pm")
+def monthly(spark, sf_dir):
+    return _months(spark, sf_dir).select("month", "nodes", "internal", "external", six(F.col("density"), "density"))
+
+
+@query("a16_temporal_insights", f"WITH {MONTHS} SELECT count(*) AS periods, min(month) AS first, max(month) AS last, round(avg(density), 6) AS avg_density, round(max(density), 6) AS max_density, min(nodes) AS min_nodes, max(nodes) AS max_nodes FROM pm")
+def temporal_insights(spark, sf_dir):
+    nobody = spark.createDataFrame([], "id long, activity double")
+    out = graph.temporal_insights(nobody, _months(spark, sf_dir))["periods"]
+    return out.select("periods", "first", "last", six(F.col("avg_density"), "avg_density"), six(F.col("max_density"), "max_density"), "min_nodes", "max_nodes")
+
+
+@query("h11_temporal_events", "SELECT o_orderkey AS id, 'created' AS kind, epoch(o_orderdate)::DOUBLE AS ts FROM orders UNION ALL SELECT l_orderkey, 'modified', epoch(max(l_shipdate))::DOUBLE FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey")
+def temporal_events(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").cast("double").alias("file_created"))
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").cast("timestamp").cast("double").alias("modified_time"))
+    none = F.lit(None).cast("double")
+    return graph.temporal_events(o.join(l, "id", "left").withColumns({"creation_time": none, "file_modified": none}))
+
+
+@query("a23_relationship_counts", "SELECT o_orderpriority AS rel_type, count(*) AS n FROM orders GROUP BY 1")
+def relationship_counts(spark, sf_dir):
+    return graph.relationship_counts(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("rel_type")))
+
+
+@query("j17_tag_context", "WITH t AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'), l AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderstatus = 'F') SELECT id, coalesce(array_to_string(list_sort(list(dst) FILTER (dst IS NOT NULL)), ','), '') AS linked FROM t LEFT JOIN l ON src = id GROUP BY id")
+def tag_context(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    out = graph.tag_context(o.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("tag")), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), "1-URGENT")
+    return out.select("id", F.array_join("linked", ",").alias("linked"))
 
 
 @query("t16_positive_pairs", f"WITH {SPARSE} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM sparse")
@@ -167,7 +242,7 @@ def positives(spark, sf_dir):
 
 @query("t12_random_negatives")
 def random_negatives(spark, sf_dir):
-    e = whole_sparse(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     p = pairs.positives(e)
     return pairs.random_negatives(ends(e), p, pairs.target_negatives(p.count(), ends(e).count(), 1.0))
 
