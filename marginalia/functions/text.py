@@ -23,6 +23,12 @@ CONTENT_TYPES = {
 }
 
 
+#: A word character of any language; Java's lookarounds on it stand for \b.
+_W = r"[\p{L}\p{N}_]"
+#: White space within a line.
+_BLANK = r"[ \t\x0B\f\r]*"
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -32,28 +38,36 @@ def words(c: Column) -> Column:
     return F.filter(F.split(text_of(c), r"\s+"), lambda w: w != "")
 
 
+def count_of(c: Column, pattern: str) -> Column:
+    return F.regexp_count(text_of(c), F.lit(pattern))
+
+
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    return count_of(c, r"\S+")
 
 
 def regex_word_count(c: Column) -> Column:
     """Runs of letters, digits and underscores of any language."""
-    return F.regexp_count(text_of(c), F.lit(r"[\p{L}\p{N}_]+"))
-
-
-def count_of(c: Column, pattern: str) -> Column:
-    return F.regexp_count(text_of(c), F.lit(pattern))
+    return count_of(c, _W + "+")
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def one_of(listed: list[str], edge: str) -> str:
+    """A pattern of whole words, which neither follow nor precede a character of the class `edge`."""
+    return f"(?<!{edge})(?:" + "|".join(listed) + f")(?!{edge})"
+
+
+def sentiment_of(good: Column, bad: Column, n: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio((good - bad).cast("double"), n) * 10))
+
+
 def sentiment(c: Column) -> Column:
     """Ten times (positive - negative) words over words, between -1 and 1."""
-    w = words(F.lower(c))
-    good, bad = F.size(F.filter(w, lambda x: x.isin(POSITIVE))), F.size(F.filter(w, lambda x: x.isin(NEGATIVE)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio((good - bad).cast("double"), F.size(w)) * 10))
+    low = F.lower(text_of(c))
+    return sentiment_of(count_of(low, one_of(POSITIVE, r"\S")), count_of(low, one_of(NEGATIVE, r"\S")), word_count(c))
 
 
 def sentiment_label(score: Column) -> Column:
@@ -61,16 +75,22 @@ def sentiment_label(score: Column) -> Column:
 
 
 def sentence_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(text_of(c), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
+    """Runs between full stops, exclamation and question marks that are not blank."""
+    return count_of(c, r"[^.!?\s][^.!?]*+")
 
 
 def avg_sentence_length(c: Column) -> Column:
     return ratio(word_count(c).cast("double"), sentence_count(c))
 
 
+def solid_length(c: Column) -> Column:
+    """Code points that are no white space."""
+    return F.length(text_of(c)) - count_of(c, r"\s")
+
+
 def avg_word_length(c: Column) -> Column:
     """Mean code points of the runs between white space."""
-    return ratio(F.length(F.regexp_replace(text_of(c), r"\s+", "")).cast("double"), word_count(c))
+    return ratio(solid_length(c).cast("double"), word_count(c))
 
 
 def flesch(asl: Column, awl: Column) -> Column:
@@ -83,37 +103,43 @@ def grade_level(asl: Column, awl: Column) -> Column:
 
 def plain_words(c: Column) -> Column:
     """Words of ASCII letters only, lower-cased."""
-    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(r"(?U)\b([a-zA-Z]+)\b"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(f"(?<!{_W})([a-z]++)(?!{_W})"), F.lit(1))
 
 
-def vocabulary_richness(c: Column) -> Column:
-    w = plain_words(c)
+def richness_of(w: Column) -> Column:
     return ratio(F.size(F.array_distinct(w)).cast("double"), F.size(w))
 
 
-def technical_density(c: Column) -> Column:
-    total = sum((count_of(c, "(?U)" + p) for p in TECHNICAL_PATTERNS[1:]), count_of(c, "(?U)" + TECHNICAL_PATTERNS[0]))
-    return F.least(F.lit(1.0), ratio(total.cast("double"), word_count(c)))
+def vocabulary_richness(c: Column) -> Column:
+    return richness_of(plain_words(c))
 
 
-def concept_density(c: Column) -> Column:
-    total = sum((count_of(c, "(?iU)" + p) for p in CONCEPT_PATTERNS[1:]), count_of(c, "(?iU)" + CONCEPT_PATTERNS[0]))
-    return F.least(F.lit(1.0), ratio(total.cast("double"), word_count(c)))
+#: The technical and concept patterns without backtracking over words: a word that holds a part is found from the part on.
+_TECHNICAL = [f"(?<!{_W})[A-Z][a-z]*(?:[A-Z][a-z]*)+(?!{_W})", f"(?<!{_W})[A-Z]{{2,}}(?!{_W})", f"(?<!{_W}){_W}+?_{_W}++", f"[Tt]ech{_W}*+", f"[Aa]lgorithm{_W}*+", f"[Dd]ata{_W}*+"]
+_CONCEPT = [f"(?i)(?<!{_W})[a-z]{{2,}}+(?!{_W})", "(?i)" + one_of(["concept", "theory", "principle", "framework", "model", "approach"], _W), "(?i)" + one_of(["analysis", "synthesis", "evaluation", "application"], _W)]
 
 
-def type_scores(c: Column) -> list[tuple[str, Column]]:
-    low = F.lower(text_of(c))
-    return [(name, F.regexp_count(low, F.lit(r"(?U)\b(?:" + "|".join(ws) + r")\b"))) for name, ws in CONTENT_TYPES.items()]
+def matches(c: Column, patterns: list[str]) -> Column:
+    return sum((count_of(c, p) for p in patterns[1:]), count_of(c, patterns[0]))
+
+
+def density(found: Column, n: Column) -> Column:
+    return F.least(F.lit(1.0), ratio(found.cast("double"), n))
+
+
+def technical_density(c: Column) -> Column:
+    return density(matches(c, _TECHNICAL), word_count(c))
+
+
+def concept_density(c: Column) -> Column:
+    return density(matches(c, _CONCEPT), word_count(c))
 
 
 def content_type(c: Column) -> Column:
     """The type with most indicator words, the first of equals, `general` without any."""
-    scores = type_scores(c)
-    top = F.greatest(*[s for _, s in scores])
-    out = F.when(top == 0, "general")
-    for name, s in scores:
-        out = out.when(s == top, name)
-    return out
+    low = F.lower(text_of(c))
+    rows = [F.struct(count_of(low, one_of(ws, _W)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, ws) in enumerate(CONTENT_TYPES.items())]
+    return F.element_at(F.transform(F.array(F.array_max(F.array(*rows))), lambda top: F.when(top["n"] == 0, "general").otherwise(top["name"])), 1)
 
 
 def complexity(readability: Column, technical: Column, concept: Column, richness: Column, asl: Column, total_words: Column) -> Column:
@@ -130,12 +156,9 @@ def complexity(readability: Column, technical: Column, concept: Column, richness
 
 def structure_counts(c: Column) -> dict[str, Column]:
     """Headings (any line that begins with #), deepest heading, list items and pairs of code fences."""
-    lines = F.transform(F.split(text_of(c), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    heads = F.filter(lines, lambda x: x.startswith("#"))
-    depth = F.transform(heads, lambda x: F.length(F.regexp_extract(x, "^(#+)", 1)))
-    items = F.filter(lines, lambda x: x.rlike(r"^([-*+]|\d+\.)"))
-    fences = F.filter(lines, lambda x: x.startswith("```"))
-    return {"heading_count": F.size(heads), "max_heading_depth": F.coalesce(F.array_max(depth), F.lit(0)), "list_count": F.size(items), "code_block_count": F.floor(F.size(fences) / 2).cast("int")}
+    line = "(?md)^" + _BLANK
+    depth = F.array_max(F.transform(F.regexp_extract_all(text_of(c), F.lit(line + "(#+)"), F.lit(1)), lambda h: F.length(h)))
+    return {"heading_count": count_of(c, line + "#"), "max_heading_depth": F.coalesce(depth, F.lit(0)), "list_count": count_of(c, line + r"(?:[-*+]|\d+\.)"), "code_block_count": F.floor(count_of(c, line + "```") / 2).cast("int")}
 
 
 def collapse(c: Column) -> Column:

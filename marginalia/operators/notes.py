@@ -18,12 +18,23 @@ DATE_PATTERNS = [r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\d{4}[-/]\d{1,2}", r"\d{4}"]
 
 
 def content_features(notes: DataFrame, text_col: str = "content") -> DataFrame:
-    """Sentiment, readability, vocabulary, densities, type, complexity and structure of each text; null is empty."""
+    """Sentiment, readability, vocabulary, densities, type, complexity and structure of each text; null is empty.
+
+    Counts are columns of their own first, so that each is made once, whatever uses it.
+    """
     c = F.col(text_col)
-    out = notes.withColumns({
-        "total_words": T.word_count(c), "sentiment_score": T.sentiment(c), "avg_sentence_length": T.avg_sentence_length(c), "avg_word_length": T.avg_word_length(c),
-        "vocabulary_richness": T.vocabulary_richness(c), "technical_density": T.technical_density(c), "concept_density": T.concept_density(c), "content_type": T.content_type(c), **T.structure_counts(c),
+    out = notes.withColumn("c_low", F.lower(T.text_of(c)))
+    low = F.col("c_low")
+    out = out.withColumns({
+        "total_words": T.word_count(c), "c_sentences": T.sentence_count(c), "c_solid": T.solid_length(c), "c_good": T.count_of(low, T.one_of(T.POSITIVE, r"\S")), "c_bad": T.count_of(low, T.one_of(T.NEGATIVE, r"\S")),
+        "c_plain": T.plain_words(c), "c_technical": T.matches(c, T._TECHNICAL), "c_concept": T.matches(c, T._CONCEPT), "content_type": T.content_type(c), **T.structure_counts(c),
+    })
+    n = F.col("total_words")
+    out = out.withColumns({
+        "sentiment_score": T.sentiment_of(F.col("c_good"), F.col("c_bad"), n), "avg_sentence_length": T.ratio(n.cast("double"), F.col("c_sentences")), "avg_word_length": T.ratio(F.col("c_solid").cast("double"), n),
+        "vocabulary_richness": T.richness_of(F.col("c_plain")), "technical_density": T.density(F.col("c_technical"), n), "concept_density": T.density(F.col("c_concept"), n),
     })
+    out = out.drop("c_low", "c_sentences", "c_solid", "c_good", "c_bad", "c_plain", "c_technical", "c_concept")
     out = out.withColumns({"sentiment_label": T.sentiment_label(F.col("sentiment_score")), "readability_score": T.flesch(F.col("avg_sentence_length"), F.col("avg_word_length")), "grade_level": T.grade_level(F.col("avg_sentence_length"), F.col("avg_word_length"))})
     return out.withColumn("complexity_score", T.complexity(F.col("readability_score"), F.col("technical_density"), F.col("concept_density"), F.col("vocabulary_richness"), F.col("avg_sentence_length"), F.col("total_words")))
 

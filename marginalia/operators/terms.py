@@ -1,41 +1,82 @@
-"""TF-IDF as tables: smooth idf, raw counts, documents of length one."""
+"""TF-IDF as tables: words and pairs of words, smooth idf, raw counts, documents of length one."""
 
 from __future__ import annotations
 
+import glob
+import os
+import unicodedata
+import zipfile
+from functools import cache
+
+import pyspark
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"(?U)\b([a-zA-Z][a-zA-Z0-9]*)\b"
+TOKEN = r"(?<![\p{L}\p{N}_])([a-zA-Z][a-zA-Z0-9]*+)(?![\p{L}\p{N}_])"
+
+
+@cache
+def stop_words(language: str = "english") -> tuple[str, ...]:
+    """The words that Spark's StopWordsRemover leaves out by default, read from its jar, so that no session is needed."""
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    for jar in glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode()
+        return tuple(sorted({w for w in text.split("\n") if w.isalpha()}))
+    raise FileNotFoundError("no spark-mllib jar")
+
+
+@cache
+def accents() -> tuple[str, str]:
+    """Latin letters with marks and the plain letters they are made of, by Unicode's decompositions."""
+    marked = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    plain = {k: v[0] for k, v in marked.items() if len(v) > 1 and v[0].isascii() and all(unicodedata.combining(x) for x in v[1:])}
+    return "".join(plain), "".join(plain.values())
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
+    """Lower-cased words of ASCII letters and digits that begin with a letter, once accents are off."""
+    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), *accents()), F.lit(TOKEN), F.lit(1))
 
 
-def grams(words: Column, stop: list[str] | None = None) -> Column:
+def grams(words: Column, stop: tuple[str, ...] | list[str] | None = None) -> Column:
     """Words and pairs of neighbours, without stop words before pairs are made."""
-    kept = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
-    pairs = F.when(F.size(kept) > 1, F.zip_with(F.slice(kept, F.lit(1), F.size(kept) - 1), F.slice(kept, F.lit(2), F.size(kept) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(kept, pairs)
+    kept = F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words
+    pairs = F.transform(F.arrays_zip(kept.alias("a"), F.slice(kept, F.lit(2), F.greatest(F.lit(0), F.size(kept) - 1)).alias("b")), lambda x: F.when(x["b"].isNotNull(), F.concat_ws(" ", x["a"], x["b"])))
+    return F.concat(kept, F.filter(pairs, lambda x: x.isNotNull()))
+
 
+def documents(docs: DataFrame, id_col: str, text_col: str = "text", stop: tuple[str, ...] | None = None, pairs: bool = True) -> DataFrame:
+    """id, terms: the words of each document and, if asked, the pairs of neighbours; null text has none."""
+    stop = stop_words() if stop is None else stop
+    words = docs.select(F.col(id_col).alias("id"), F.filter(tokens(F.col(text_col)), lambda w: ~w.isin(list(stop))).alias("words"))
+    return words.select("id", (grams(F.col("words")) if pairs else F.col("words")).alias("terms"))
 
-def counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
+def vocabulary(docs: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_features: int | None = 1000) -> DataFrame:
+    """term, df, idf = ln((1 + n) / (1 + df)) + 1 of (id, terms); the commonest terms stay, ties by term.
 
-def vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_features: int | None = 1000) -> DataFrame:
-    """term, df, idf = ln((1 + n) / (1 + df)) + 1; the commonest terms stay, ties by term."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    Both counts of a term are summed in one aggregate by term, which combines
+    before it shuffles; no row goes round for a document's term.
+    """
+    every = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+    df = docs.select(F.inline(F.concat(every, once))).groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:
         df = df.orderBy(F.col("total").desc(), "term").limit(max_features)
     return df.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """id, term, weight, with each document's weights scaled to length one."""
-    raw = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("l")).alias("weight"))
+def weights(docs: DataFrame, vocab: DataFrame, most: int | None = 1000) -> DataFrame:
+    """id, term, weight of (id, terms), with each document's weights scaled to length one.
+
+    A vocabulary of at most `most` terms is broadcast and thins the terms before
+    they are counted; None stands for one without a bound, which is joined.
+    """
+    known = vocab.select("term", "idf")
+    tf = docs.select("id", F.explode("terms").alias("term")).join(F.broadcast(known) if most is not None else known, "term").groupBy("id", "term").agg((F.count("*") * F.first("idf")).alias("w"))
+    length = Window.partitionBy("id")
+    return tf.select("id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(length))).alias("weight"))
 
 
 def top_terms(w: DataFrame, k: int = 10) -> DataFrame:

@@ -121,10 +121,21 @@ def structure_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(k) for k, c in T.structure_counts(F.col("text")).items()])
 
 
-@query("h27_content_features")
+FEATURES = rf"""{SENTIMENT}, {READABILITY}, {STRUCT},
+dn AS (SELECT doc_id, w, {whole_words(T.TECHNICAL_PATTERNS)} AS t, {whole_words(T.CONCEPT_PATTERNS, '(?i)')} AS c FROM (SELECT doc_id, {WORDS} AS w, {RUNS} AS ws FROM documents)),
+ty AS (SELECT doc_id, {TYPES} FROM (SELECT doc_id, {RUNS.replace('text', 'lower(text)')} AS ws FROM documents)),
+vo AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+')) AS pw FROM documents),
+al AS (SELECT doc_id, f.w::BIGINT AS total_words, CASE WHEN {TOP} = 0 THEN 'general' {' '.join(f'WHEN {n} = {TOP} THEN {chr(39)}{n}{chr(39)}' for n in T.CONTENT_TYPES)} END AS content_type, heading_count, max_heading_depth, list_count, code_block_count, score AS sentiment_score, asl AS avg_sentence_length, awl AS avg_word_length,
+  CASE WHEN len(pw) > 0 THEN len(list_distinct(pw))::DOUBLE / len(pw) ELSE 0 END AS vocabulary_richness, CASE WHEN dn.w > 0 THEN least(1.0, t::DOUBLE / dn.w) ELSE 0 END AS technical_density, CASE WHEN dn.w > 0 THEN least(1.0, c::DOUBLE / dn.w) ELSE 0 END AS concept_density,
+  CASE WHEN score > 0.1 THEN 'positive' WHEN score < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment_label, flesch AS readability_score, grade AS grade_level FROM f JOIN s USING (doc_id) JOIN st USING (doc_id) JOIN dn USING (doc_id) JOIN ty USING (doc_id) JOIN vo USING (doc_id)),
+co AS (SELECT *, list_filter([CASE WHEN readability_score > 0 THEN greatest(0.0, (100 - readability_score) / 100) END, technical_density, concept_density, vocabulary_richness, CASE WHEN avg_sentence_length > 0 THEN least(1.0, avg_sentence_length / 25.0) END, CASE WHEN total_words > 0 THEN 0.0 END], lambda x: x IS NOT NULL) AS p FROM al)"""
+ROUNDED = ["sentiment_score", "avg_sentence_length", "avg_word_length", "vocabulary_richness", "technical_density", "concept_density", "readability_score", "grade_level"]
+
+
+@query("h27_content_features", f"WITH {FEATURES} SELECT doc_id, total_words, content_type, heading_count, max_heading_depth, list_count, code_block_count, sentiment_label, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in ROUNDED)}, round(list_sum(p) / len(p), 6) AS complexity_score FROM co")
 def content_features(spark, sf_dir):
     out = N.content_features(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
-    return out.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "doc_id"])
+    return out.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes if c != "doc_id"])
 
 
 @query("x17_summary")
@@ -184,16 +195,16 @@ def path_distance(spark, sf_dir):
     return n.join(m, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 20).alias("b"), T.path_distance(F.col("path"), F.col("other")).cast("long").alias("distance"))
 
 
-TF = r"""t AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z][a-zA-Z0-9]*'))) AS term FROM documents),
+TF = rf"""w0_ AS (SELECT doc_id AS id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z][a-zA-Z0-9]*') AND NOT list_contains({quoted(terms.stop_words())}, x)) AS ws FROM documents),
+t AS (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w0_),
 tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term), n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT term, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term) x, n WHERE df >= 2 AND df <= 0.8 * n ORDER BY total DESC, term LIMIT 1000)"""
 
 
 def _weights(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tf = terms.counts(d, "doc_id", terms.tokens(F.col("text")))
-    vocab = terms.vocabulary(tf, d.count())
-    return tf, vocab
+    found = terms.documents(d, "doc_id")
+    return found, terms.vocabulary(found, d.count())
 
 
 @query("t2_idf", f"WITH {TF} SELECT term, df, round(idf, 6) AS idf FROM v")
@@ -207,20 +218,20 @@ WEIGHTS = f"""{TF}, w0 AS (SELECT tf.id, tf.term, tf.tf * v.idf AS w FROM tf JOI
 
 @query("o4_top_terms", f"WITH {WEIGHTS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS rank FROM w) SELECT id AS doc_id, rank::BIGINT AS rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 10")
 def top_terms(spark, sf_dir):
-    tf, vocab = _weights(spark, sf_dir)
-    return terms.top_terms(terms.weights(tf, vocab)).select(F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "term", six(F.col("weight"), "weight"))
+    found, vocab = _weights(spark, sf_dir)
+    return terms.top_terms(terms.weights(found, vocab)).select(F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "term", six(F.col("weight"), "weight"))
 
 
 @query("t3_pair_cosine", f"WITH {WEIGHTS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 5) SELECT p.a, p.b, round(coalesce(sum(x.weight * y.weight), 0), 6) AS tfidf_similarity FROM p LEFT JOIN w x ON x.id = p.a LEFT JOIN w y ON y.id = p.b AND y.term = x.term GROUP BY p.a, p.b")
 def pair_cosine(spark, sf_dir):
-    tf, vocab = _weights(spark, sf_dir)
+    found, vocab = _weights(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"))
     pairs = d.join(d.select((F.col("a") - 5).alias("a")), "a").select("a", (F.col("a") + 5).alias("b"))
-    return terms.pair_cosine(terms.weights(tf, vocab), pairs).select("a", "b", six(F.col("tfidf_similarity"), "tfidf_similarity"))
+    return terms.pair_cosine(terms.weights(found, vocab), pairs).select("a", "b", six(F.col("tfidf_similarity"), "tfidf_similarity"))
 
 
 @query("t4_note_tfidf_features", f"WITH {WEIGHTS} SELECT id AS doc_id, round(sum(weight) / (SELECT count(*) FROM v), 6) AS mean_tfidf, round(count(*)::DOUBLE / (SELECT count(*) FROM v), 6) AS vocabulary_share FROM w GROUP BY id")
 def note_tfidf(spark, sf_dir):
-    tf, vocab = _weights(spark, sf_dir)
+    found, vocab = _weights(spark, sf_dir)
     n = vocab.count()
-    return terms.weights(tf, vocab).groupBy(F.col("id").alias("doc_id")).agg(six(F.sum("weight") / n, "mean_tfidf"), six(F.count("*") / n, "vocabulary_share"))
+    return terms.weights(found, vocab).groupBy(F.col("id").alias("doc_id")).agg(six(F.sum("weight") / n, "mean_tfidf"), six(F.count("*") / n, "vocabulary_share"))
