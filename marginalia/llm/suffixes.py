@@ -78,7 +78,8 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM)
         if need > have:
             h = np.minimum(h[: len(h) - (need - have)], h[need - have :])
         at = np.arange(a, b)
-        row = np.searchsorted(offsets, at, side="right") - 1
+        i, j = (np.searchsorted(offsets, (a, b - 1), side="right") - 1).tolist()
+        row = np.repeat(np.arange(i, j + 1), np.diff(np.clip(offsets[i : j + 2], a, b)))
         ok = at + length <= offsets[row + 1]
         new = np.ones(len(at), bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1])
@@ -213,7 +214,8 @@ def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
             if not found:
                 continue
             # A row of a slice is under 2**16, so a key of 48 bits and a row are one integer.
-            both = np.unique(np.concatenate([(key << np.uint64(16)) | row.astype(np.uint64) for key, row in found]))
+            both = np.sort(np.concatenate([(key << np.uint64(16)) | row.astype(np.uint64) for key, row in found]))
+            both = both[np.concatenate([[True], both[1:] != both[:-1]])]
             key, row = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             many = np.repeat(np.diff(np.append(begin, len(key))) > 1, np.diff(np.append(begin, len(key))))
