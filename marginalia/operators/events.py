@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,78 @@ def reliability(errors: DataFrame) -> DataFrame:
     """component, errors, success, reliability = success - min(0.5, 0.1 * fallbacks), of rows (component, ok, fallback)."""
     per = errors.groupBy("component").agg(F.sum((~F.col("ok")).cast("long")).alias("errors"), F.avg(F.col("ok").cast("double")).alias("success"), F.sum(F.col("fallback").cast("long")).alias("fallbacks"))
     return per.select("component", "errors", "success", F.greatest(F.lit(0.0), F.col("success") - F.least(F.lit(0.5), 0.1 * F.col("fallbacks"))).alias("reliability"))
+
+
+def pending(tasks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pending tasks, the highest priority and of equals the newest first."""
+    out = tasks.where("status = 'pending'").orderBy(F.col("priority").desc(), F.col("created_at").desc(), "task_id")
+    return out if limit is None else out.limit(limit)
+
+
+def discovered(services: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
+    """Healthy services that have all the tags."""
+    return services.where((F.col("status") == "healthy") & (F.size(F.array_except(F.array(*[F.lit(t) for t in tags]).cast("array<string>"), "tags")) == 0))
+
+
+def heartbeats(beats: DataFrame, as_of, seconds: int = 60) -> DataFrame:
+    """service, last, status: unhealthy where the last beat (service, ts) is older than the time allowed."""
+    last = beats.groupBy("service").agg(F.max("ts").alias("last"))
+    age = F.lit(as_of).cast("timestamp").cast("double") - F.col("last").cast("timestamp").cast("double")
+    return last.withColumn("status", F.when(age > seconds, "unhealthy").otherwise("healthy"))
+
+
+def vault_counts(events: DataFrame) -> DataFrame:
+    """event_type, vault, n."""
+    return events.groupBy("event_type", "vault").agg(F.count("*").alias("n"))
+
+
+def error_summary(errors: DataFrame) -> DataFrame:
+    """severity, component, n of (severity, component), with each severity's share of all errors."""
+    per = errors.groupBy("severity", "component").agg(F.count("*").alias("n"))
+    total = F.broadcast(errors.agg(F.count("*").alias("all")))  # one row
+    return per.join(total).select("severity", "component", "n", (F.col("n") / F.col("all")).alias("share"))
+
+
+def as_json(events: DataFrame, name: str = "json") -> DataFrame:
+    """event_id and each whole event as JSON."""
+    return events.select("event_id", F.to_json(F.struct("*")).alias(name))
+
+
+def from_json(rows: DataFrame, schema: str, name: str = "json") -> DataFrame:
+    return rows.select(F.from_json(name, schema).alias("e")).select("e.*")
+
+
+def _field(value: Column, pattern: str) -> Column:
+    """A field of a schedule: *, a number, */n, a/n, a-b, or a list of numbers."""
+    if pattern == "*":
+        return F.lit(True)
+    if pattern.isdigit():
+        return value == int(pattern)
+    if "/" in pattern:
+        start, step = pattern.split("/")
+        first = 0 if start == "*" else int(start)
+        return (value >= first) & ((value - first) % int(step) == 0)
+    if "-" in pattern:
+        return value.between(*map(int, pattern.split("-")))
+    if "," in pattern:
+        return value.isin([int(v) for v in pattern.split(",")])
+    return F.lit(False)
+
+
+def scheduled(ts: Column, schedule: str) -> Column:
+    """Whether a time fits `minute hour day month weekday`; weekdays count from Monday, 0."""
+    fields = schedule.split()
+    if len(fields) != 5:
+        raise ValueError("a schedule has five fields")
+    parts = [F.minute(ts), F.hour(ts), F.dayofmonth(ts), F.month(ts), F.weekday(ts)]
+    out = F.lit(True)
+    for value, pattern in zip(parts, fields, strict=True):
+        out = out & _field(value, pattern)
+    return out
+
+
+def next_run(ts: Column, schedule: str, days: int = 7) -> Column:
+    """The first minute after a time that fits a schedule, within some days; null if none does."""
+    start = F.date_trunc("minute", ts) + F.expr("interval 1 minute")
+    minutes = F.sequence(start, start + F.expr(f"interval {days * 1440 - 1} minutes"), F.expr("interval 1 minute"))
+    return F.array_min(F.filter(minutes, lambda t: scheduled(t, schedule)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as M
@@ -64,3 +64,22 @@ def graph_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = linked.select(F.col("dst").alias("id"), "alias").unionByName(related.select(F.col("dst").alias("id"), F.lit(None).cast("string").alias("alias"))).groupBy("id").agg(F.max("alias").alias("alias"))
     missing = names.join(notes.select("id"), "id", "left_anti").select("id", F.lit("Note").alias("kind"), F.coalesce("alias", stem(F.col("id"))).alias("title"))
     return notes.unionByName(missing).unionByName(tags), e
+
+
+def named_links(content: Column) -> dict[str, Column]:
+    """Tags, reference links and web addresses of a text, in order."""
+    c = F.coalesce(content, F.lit(""))
+    return {
+        "tag_links": F.regexp_extract_all(c, F.lit(r"(?m)(?:^|[\s(])#([a-zA-Z0-9_/-]+)(?=[\s).,!?;:]|$)"), F.lit(1)), "reference_links": F.regexp_extract_all(c, F.lit(r"\[[^\]]+\]\[([^\]]+)\]"), F.lit(1)),
+        "url_links": F.regexp_extract_all(c, F.lit(r"(https?://[^\s)]+)"), F.lit(1)),
+    }
+
+
+def outgoing(content: Column) -> Column:
+    """Targets of wikilinks without their aliases, in order."""
+    return F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), F.lit(1))
+
+
+def distinct_values(parsed: DataFrame, column: str) -> DataFrame:
+    """The different values of an array column over all notes, sorted."""
+    return parsed.select(F.explode(column).alias("value")).distinct().orderBy("value")

@@ -175,3 +175,63 @@ def folder_hierarchy(notes: DataFrame) -> DataFrame:
     """folders, max and mean depth, roots: one row."""
     f = notes.select(F.explode(prefixes(F.col("path"))).alias("folder")).distinct().withColumn("depth", F.size(T.path_parts(F.col("folder"))))
     return f.agg(F.count("*").alias("folders"), F.max("depth").alias("max_depth"), F.avg("depth").alias("avg_depth"), F.sum((F.col("depth") == 1).cast("long")).alias("roots"))
+
+
+def analysis_summary(features: DataFrame) -> DataFrame:
+    """Content features as levels."""
+    level = lambda c, high, medium, names=("high", "medium", "low"): F.when(F.col(c) > high, names[0]).when(F.col(c) > medium, names[1]).otherwise(names[2])
+    return features.withColumns({
+        "complexity_level": level("complexity_score", 0.7, 0.4), "readability_level": level("readability_score", 70, 50, ("easy", "moderate", "difficult")), "technical_content": F.col("technical_density") > 0.1,
+        "structure_richness": level("heading_count", 5, 2), "vocabulary_level": level("vocabulary_richness", 0.7, 0.5),
+    })
+
+
+def connection_groups(outbound: DataFrame, least: int = 3) -> DataFrame:
+    """cluster, centroid (the first path), notes, coherence, keyword: notes of (path, outbound) with like numbers of links, five to a step."""
+    g = outbound.withColumn("cluster", F.floor(F.col("outbound") / 5))
+    out = g.groupBy("cluster").agg(F.min("path").alias("centroid"), F.count("*").alias("notes")).where(F.col("notes") >= least)
+    return out.select("cluster", "centroid", "notes", F.lit(0.7).alias("coherence"), F.concat(F.lit("group_"), F.col("cluster").cast("string")).alias("keyword"))
+
+
+def description(notes: Column, keywords: Column) -> Column:
+    """A cluster in words, by its first three keywords."""
+    top = F.slice(keywords, 1, 3)
+    many = F.concat(F.lit("Notes about "), F.array_join(F.slice(top, F.lit(1), F.greatest(F.lit(0), F.size(top) - 1)), ", "), F.lit(" and "), F.element_at(top, -1))
+    return F.when(F.size(top) >= 2, many).when(F.size(top) == 1, F.concat(F.lit("Notes about "), F.get(top, 0))).otherwise(F.concat(F.lit("Cluster of "), notes.cast("string"), F.lit(" related notes")))
+
+
+def para_exceptions(notes: DataFrame, sample: int = 10, most: int = 5) -> DataFrame:
+    """Paths among the first ones that are in none of the PARA folders."""
+    first = notes.select("path").orderBy("path").limit(sample)
+    return first.where(~F.lower("path").rlike("|".join(PARA_FOLDERS))).orderBy("path").limit(most)
+
+
+def related(content: Column, most: int = 5) -> Column:
+    """Targets of the first links that are no web addresses."""
+    found = F.regexp_extract_all(T.text_of(content), F.lit(r"(\[\[[^\]]+\]\]|\[[^\]]+\]\([^)]+\))"), F.lit(1))
+    target = F.transform(found, lambda x: F.when(x.startswith("[["), F.regexp_extract(x, r"^\[\[([^\]]+)\]\]", 1)).otherwise(F.regexp_extract(x, r"^\[([^\]]+)\]", 1)))
+    return F.slice(F.filter(target, lambda x: ~x.startswith("http")), 1, most)
+
+
+def context_summary(notes: DataFrame, parts: int, graph: bool, vectors: bool, sized: int = 100) -> DataFrame:
+    """notes, size (of the first ones by path) and confidence: the share of the three analyses that worked, and a tenth each for a graph and for vectors."""
+    size = notes.select("path", "size").orderBy("path").limit(sized).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    return notes.agg(F.count("*").alias("notes")).join(F.broadcast(size)).withColumn("confidence", F.lit(min(1.0, parts / 3 + 0.1 * graph + 0.1 * vectors)))  # one row each
+
+
+def recommendations(organised: float, gaps: DataFrame, limit: int = 5) -> list[dict]:
+    """What to do about a vault, from the confidence of its organisation and its quality gaps."""
+    out = []
+    if organised < 0.5:
+        out.append({"title": "Choose one way to organise the folders", "priority": "medium", "category": "organization", "impact": 0.7, "confidence": 0.8})
+    high = gaps.where("priority = 'high'").count()
+    if high:
+        out.append({"title": "Mend the notes with most to gain", "priority": "high", "category": "quality", "impact": 0.8, "confidence": 0.9, "notes": high})
+    return out[:limit]
+
+
+def sampled(notes: DataFrame, most: int, seed: int = 42, above: int = 0) -> DataFrame:
+    """The notes whose hashes with a seed are least, or all of them if there are at most `above`."""
+    if above and notes.count() <= above:
+        return notes
+    return notes.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "path")), "path").limit(most)

@@ -149,3 +149,59 @@ def check_notes(notes: DataFrame, counts: list[str], stage: str = "quality_stage
         return ["no notes"]
     out = [f"negative {c}" for c in counts if r[f"neg_{c}"]] + [f"many nulls in {c}" for c in cols if r[f"null_{c}"] > 0.1 * r["n"]]
     return out + ["repeated paths"] * (r["paths"] < r["n"]) + ["a single stage"] * (r["stages"] == 1)
+
+
+# What stands for features that could not be made.
+FALLBACKS = {
+    "semantic_similarity": 0.0, "tfidf_similarity": 0.0, "combined_similarity": 0.0, "topic_similarity": 0.0, "same_dominant_topic": False, "content_similarity": 0.0, "sentiment_score": 0.0, "sentiment_label": "neutral",
+    "readability_score": 50.0, "readability_grade": 8.0, "complexity_score": 0.5, "vocabulary_richness": 0.5, "content_type": "general", "technical_density": 0.0, "concept_density": 0.0, "dominant_topic_id": -1,
+    "dominant_topic_probability": 0.0, "topic_label": "Unknown Topic", "pagerank": 0.001, "betweenness_centrality": 0.0, "closeness_centrality": 0.0, "clustering_coefficient": 0.0, "eigenvector_centrality": 0.0, "community_id": -1,
+    "bridge_score": 0.0, "tfidf_vocabulary_richness": 0.0, "avg_tfidf_score": 0.0, "heading_count": 0, "max_heading_depth": 0, "list_count": 0, "code_block_count": 0,
+}
+
+
+def with_fallbacks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns that are missing, null or not a number get the values that stand for them."""
+    types = dict(df.dtypes)
+    fill = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")) if types[c] in ("double", "float") else F.col(c), F.lit(FALLBACKS[c]))
+    return df.withColumns({c: fill(c) if c in types else F.lit(FALLBACKS[c]) for c in columns})
+
+
+def coerced(df: DataFrame, numbers: list[str], flags: list[str]) -> DataFrame:
+    """Numbers as doubles, 0 where a value is none; flags as booleans, false where null."""
+    number = lambda c: F.coalesce(F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+    return df.withColumns({c: number(c) for c in numbers if c in df.columns} | {c: F.coalesce(F.col(c).try_cast("boolean"), F.lit(False)) for c in flags if c in df.columns})
+
+
+def content_similarity(sentiment: tuple[Column, Column], kind: tuple[Column, Column], complexity: tuple[Column, Column]) -> Column:
+    """Mean of the closeness of sentiment, the same type, and the closeness of complexity; what differs by more than the whole range does not count."""
+    s, c = F.abs(sentiment[0] - sentiment[1]), F.abs(complexity[0] - complexity[1])
+    parts = F.filter(F.array(F.when(s <= 2.0, 1.0 - s / 2.0), F.when(kind[0] == kind[1], 1.0).otherwise(0.0), F.when(c <= 1.0, 1.0 - c)), lambda x: x.isNotNull())
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
+
+
+def topic_similarity(a: Column, b: Column) -> Column:
+    """Cosine of two topic distributions, 0 for vectors of different or no length."""
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (V.norm(a) > 0) & (V.norm(b) > 0), V.cosine(a, b)).otherwise(0.0)
+
+
+def same_topic(a: Column, b: Column) -> Column:
+    return F.coalesce((a == b) & (a != -1), F.lit(False))
+
+
+def enumerated(nodes: DataFrame, first: int = 0, most: int | None = None) -> DataFrame:
+    """a, b: unordered pairs of nodes by their number in one fixed order, from the first on; chunks of it make up all pairs.
+
+    Pair numbers are a range, each worked out to its two nodes, so that a chunk
+    costs what it holds and nothing is paired to be thrown away.
+    """
+    ranked = numbered(nodes.select("id"), "id")
+    n = ranked.count()
+    total = n * (n - 1) // 2
+    last = total if most is None else min(total, first + most)
+    k = nodes.sparkSession.range(first, max(first, last)).select(F.col("id").alias("k"))
+    # Pairs (i, j) with i < j are numbered j (j - 1) / 2 + i; the root may be off by one in doubles.
+    guess = F.floor((1 + F.sqrt(1.0 + 8.0 * F.col("k"))) / 2)
+    k = k.withColumn("g", guess).withColumn("j", F.expr("case when g * (g - 1) div 2 > k then g - 1 when g * (g + 1) div 2 <= k then g + 1 else g end")).withColumn("i", F.expr("k - j * (j - 1) div 2"))
+    side = lambda name, on: ranked.select(F.col("id").alias(name), F.col("n").alias(on))
+    return k.join(side("x", "i"), "i").join(side("y", "j"), "j").select(*canonical(F.col("x"), F.col("y")))

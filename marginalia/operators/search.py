@@ -66,3 +66,21 @@ def similar_pairs(notes: DataFrame, threshold: float, id_col: str = "id", block:
     right = left.select(F.col("a").alias("b"), F.col("va").alias("vb"), "g1", "g2", F.col("ga").alias("gb"))
     met = left.join(right, ["g1", "g2"]).where("a < b and ((ga = g1 and gb = g2) or (ga = g2 and gb = g1))")
     return met.withColumn("similarity", vectors.dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity").distinct()
+
+
+#: Raw scores above which a match by meaning is told as high or medium.
+HIGH, MEDIUM = -2.0, -5.0
+
+
+def snippet(semantic_score: Column, keyword_score: Column, match_type: Column) -> Column:
+    """Why a hit was found, in words."""
+    by_meaning = F.when(semantic_score.isNotNull(), F.concat(F.lit("semantic similarity: "), F.when(semantic_score > HIGH, "high").when(semantic_score > MEDIUM, "medium").otherwise("low")))
+    by_word = F.when(keyword_score.isNotNull() & match_type.isNotNull(), F.concat(match_type, F.lit(" match")))
+    return F.concat(F.lit("Found via: "), F.concat_ws(", ", by_meaning, by_word))
+
+
+def graph_augmented(notes: DataFrame, edges: DataFrame, query: list[float], k: int = 3, metric: str = "cosine", key: str = "path") -> DataFrame:
+    """The k nearest notes with what they are linked to, tags left out: key, score, rel_type, dst; a note without links has one row of nulls."""
+    top = semantic(notes, query, k, metric=metric, key=key).select(key, "score")
+    out = edges.where("rel_type <> 'HAS_TAG'").select(F.col("src").alias(key), "rel_type", "dst").distinct()
+    return top.join(out, key, "left")

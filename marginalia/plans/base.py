@@ -44,6 +44,19 @@ NOTES = f"""notes AS (SELECT doc_id, source AS vault_name, source || '/' || lang
   strlen(text)::BIGINT AS size, TIMESTAMP '{AS_OF}' - to_days((doc_id * 7 % 900)::INTEGER) AS modified, md5(text) AS checksum, lang, source FROM documents)"""
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """notes whose content has front matter, a heading and links around the text."""
+    n = notes(spark, sf_dir)
+    d = F.col("doc_id")
+    summary = F.when(d % 3 == 0, F.concat(F.lit("summary: About "), d, F.lit("\n"))).otherwise("")
+    content = F.concat(F.lit("---\ntags: ["), "lang", F.lit(", 🌱]\naliases: a"), d, F.lit(", b\nup: n"), d % 7, F.lit("\nsimilar: [x, y]\n"), summary, F.lit("---\n# Title "), d, F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n\nSee [[doc_"), d + 20, F.lit("|next]] and [page](https://x.org/a).\n"))
+    return n.withColumn("content", content)
+
+
+MARKED = NOTES + """, marked AS (SELECT * REPLACE ('---' || chr(10) || 'tags: [' || lang || ', 🌱]' || chr(10) || 'aliases: a' || doc_id || ', b' || chr(10) || 'up: n' || doc_id % 7 || chr(10) || 'similar: [x, y]' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'summary: About ' || doc_id || chr(10) ELSE '' END
+  || '---' || chr(10) || '# Title ' || doc_id || chr(10) || chr(10) || coalesce(content, '') || chr(10) || chr(10) || 'See [[doc_' || doc_id + 20 || '|next]] and [page](https://x.org/a).' || chr(10) AS content) FROM notes)"""
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed part graph: the part of an order's first line to that of its second."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")

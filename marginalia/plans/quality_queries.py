@@ -70,7 +70,9 @@ def connection_metrics(spark, sf_dir):
     return N.connection_metrics(ends(e), e).select("id", "outbound", "inbound", *[six(F.col(c), c) for c in ("density", "hub", "authority")])
 
 
-@query("a8_depth_metrics", "SELECT 3::BIGINT AS max_depth, 3.0::DOUBLE AS avg_depth, 1::BIGINT AS variety, 0.0::DOUBLE AS evenness, round(0.3 * 0.4 + 0.3 / 8, 6)::DOUBLE AS complexity, 0.7::DOUBLE AS organization")
+@query("a8_depth_metrics", f"""WITH {NOTES}, d AS (SELECT len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth, count(*) AS n FROM notes GROUP BY 1), a AS (SELECT max(depth) AS m, sum(depth * n)::DOUBLE / sum(n) AS av, count(*) AS v, sum(n) AS t FROM d),
+e AS (SELECT m, av, v, CASE WHEN v > 1 THEN (SELECT -sum(n / t * log2(n / t)) FROM d, a) / log2(v) ELSE 0 END AS ev FROM a)
+SELECT m::BIGINT AS max_depth, av AS avg_depth, v AS variety, round(ev::DOUBLE, 6) AS evenness, round(least(1.0, m / 10.0 * 0.4 + v / 8.0 * 0.3 + ev * 0.3)::DOUBLE, 6) AS complexity, round(greatest(0.0, least(1.0, 0.7 - CASE WHEN av < 1.5 THEN 0.2 WHEN av > 5 THEN 0.3 WHEN m > 8 THEN 0.2 ELSE 0 END + ev * 0.3))::DOUBLE, 6) AS organization FROM e""")
 def depth_metrics(spark, sf_dir):
     out = N.depth_metrics(notes(spark, sf_dir).select("path"))
     return out.select(F.col("max_depth").cast("long").alias("max_depth"), "avg_depth", "variety", *[six(F.col(c), c) for c in ("evenness", "complexity", "organization")])

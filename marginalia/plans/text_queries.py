@@ -9,7 +9,7 @@ from marginalia.functions import markdown as M
 from marginalia.functions import text as T
 from marginalia.operators import notes as N
 from marginalia.operators import terms
-from marginalia.plans.base import NOTES, notes, query, six
+from marginalia.plans.base import MARKED, NOTES, marked, notes, query, six
 from marginalia.session import table
 from marginalia.sources.vault import folder, stem
 
@@ -169,9 +169,9 @@ def any_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(M.any_tags(F.col("text")), ",").alias("tags"))
 
 
-@query("x12_headings", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, n::BIGINT AS line_number, length(regexp_extract(line, '^(#+)\s+', 1))::BIGINT AS level FROM l WHERE regexp_matches(line, '^(#+)\s+(.*?)(?:\s*#+)?$')")
+@query("x12_headings", rf"WITH {MARKED}, l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM marked) SELECT doc_id, n::BIGINT AS line_number, length(regexp_extract(line, '^(#+)\s+', 1))::BIGINT AS level FROM l WHERE regexp_matches(line, '^(#+)\s+(.*?)(?:\s*#+)?$')")
 def headings(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(M.headings(F.col("text"))).alias("h"))
+    d = marked(spark, sf_dir).select("doc_id", F.explode(M.headings(F.col("content"))).alias("h"))
     return d.select("doc_id", F.col("h.line_number").cast("long").alias("line_number"), F.col("h.level").cast("long").alias("level"))
 
 
