@@ -210,7 +210,7 @@ def discovered(spark, sf_dir):
     return events.discovered(s, ["n1"]).select("s_suppkey")
 
 
-@query("r10_heartbeats", "SELECT user_id AS service, epoch(max(ts))::BIGINT AS last, CASE WHEN epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(max(ts)) > 86400 THEN 'unhealthy' ELSE 'healthy' END AS status FROM events GROUP BY user_id")
+@query("r10_heartbeats", "SELECT user_id AS service, floor(epoch(max(ts)))::BIGINT AS last, CASE WHEN epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(max(ts)) > 86400 THEN 'unhealthy' ELSE 'healthy' END AS status FROM events GROUP BY user_id")
 def heartbeats(spark, sf_dir):
     out = events.heartbeats(table(spark, sf_dir, "events").select(F.col("user_id").alias("service"), "ts"), "2024-01-30 12:00:00", 86400)
     return out.select("service", F.col("last").cast("timestamp").cast("long").alias("last"), "status")

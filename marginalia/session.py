@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables kept inside the open scratch() blocks, the innermost last.
 _SCRATCH: list[list[DataFrame]] = []
 
@@ -58,22 +59,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, hold: bool = False, rows_per_file: int = 0) -> DataFrame:
+def keep(df: DataFrame, name: str, hold: bool = False, rows_per_file: int = 0, batch_bytes: int = 0) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there.
 
     A lost executor costs only the tasks that read the table again. Shuffle
     files of the write are deleted when it ends, so a job of many steps holds
     those of one step at a time. hold: an open scratch() leaves the table.
     rows_per_file: for rows of megabytes, which readers take many of at once.
+    batch_bytes: what goes to a Python worker at once, if not the session's own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
-    spark.conf.set(CLEAN_SHUFFLES, "true")
+    wanted = {CLEAN_SHUFFLES: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     finally:
-        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     if _SCRATCH and not hold:
