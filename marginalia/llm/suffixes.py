@@ -39,6 +39,8 @@ LENGTH, GRAM = 50, 24
 SPAN, PASS, SHARD_BYTES = LENGTH - GRAM + 1, 1 << 16, 1 << 20
 #: Columns inserted in one pass, shards in a file between passes, bytes of text whose spans are made at once, bytes of text for each part that keys are settled in.
 COLUMNS, SHARDS_PER_FILE, TEXT_BYTES, PART_BYTES = 26, 8, 8 << 20, 16 << 20
+#: Bytes that go to a Python worker at once.
+BATCH_BYTES = 16 << 20
 #: Rows of a slice of a batch, under 2**16.
 ROWS = 20_000
 #: A key with more different strings than this is dealt window by window instead.
@@ -344,11 +346,11 @@ def sorted_strings(strings: DataFrame, length: int) -> DataFrame:
             yield out.filter(pa.array((high > low) | (count > 0)))
 
     passes = -(-(length + SPAN - 1) // COLUMNS)
-    state = keep(strings.groupBy("shard").applyInArrow(begin, STATE), "columns", rows_per_file=SHARDS_PER_FILE)
+    state = keep(strings.groupBy("shard").applyInArrow(begin, STATE), "columns", rows_per_file=SHARDS_PER_FILE, batch_bytes=BATCH_BYTES)
     for _ in range(passes - 2):
-        state, before = keep(state.mapInArrow(more, STATE), "columns", rows_per_file=SHARDS_PER_FILE), state
+        state, before = keep(state.mapInArrow(more, STATE), "columns", rows_per_file=SHARDS_PER_FILE, batch_bytes=BATCH_BYTES), state
         discard(before)
-    out = keep(state.mapInArrow(finish, "key long, h long, first long, early array<int>"), "strings")
+    out = keep(state.mapInArrow(finish, "key long, h long, first long, early array<int>"), "strings", batch_bytes=BATCH_BYTES)
     discard(state)
     return out
 
@@ -434,9 +436,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return rows.groupBy("key", "h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("start", "id").alias("start"), F.max("size").alias("size"))
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shared = keep(shared_keys(docs, length, max(32, total // PART_BYTES)), "shared-keys")
+    shared = keep(shared_keys(docs, length, max(32, total // PART_BYTES)), "shared-keys", batch_bytes=BATCH_BYTES)
     schema = "key long, h long, id long, start int, size int"
-    places = keep(docs.join(shared.hint("merge"), "id").select("id", "text", "keys").mapInArrow(cut, schema), "places")
+    places = keep(docs.join(shared.hint("merge"), "id").select("id", "text", "keys").mapInArrow(cut, schema), "places", batch_bytes=BATCH_BYTES)
     discard(shared)
     variants = keep(variants_of(places), "variants")
     several = keep(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
