@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import markdown as M
 from marginalia.functions import scores
 from marginalia.functions.encoder import Encode, embedded, hashing_encoder
-from marginalia.operators import domains, graph, links, pairs, search
+from marginalia.operators import checks, domains, features, graph, links, pairs, search, terms
 from marginalia.operators import notes as note_ops
 from marginalia.sources import store, vault
 
@@ -132,14 +132,34 @@ class Vaults:
         sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
         return {"members": members, "centroids": domains.centroids(members.join(v, "id").select("cluster", "embedding")), "connections": domains.domain_edges(self.edges(), labels), "bridges": domains.bridge_opportunities(keys.join(sizes, "cluster").select(F.col("cluster").alias("domain"), "n", "keywords"))}
 
+    def graph_tables(self) -> tuple[DataFrame, DataFrame]:
+        return links.graph_tables(self.parsed())
+
+    def validate(self, confined_to: str | None = None) -> dict:
+        return checks.vault(self.notes, confined_to)
+
+    def recommendations(self, limit: int = 5) -> list[dict]:
+        return note_ops.recommendations(note_ops.organisation(self.notes).first()["confidence"], note_ops.quality_gaps(self.assess_quality()), limit)
+
     def notes_dataset(self) -> DataFrame:
-        """One row a note: content features, degrees, rank and parsed counts."""
+        """One row a note: parsed counts, summary, front matter, degrees and centralities, text features, top terms and topic."""
         nodes = self.notes.select(F.col("path").alias("id")).distinct()
-        e = self.edges()
-        rank = graph.pagerank(nodes, e, 20)
-        degree = graph.degrees(nodes, e)
-        counts = self.parsed().select(F.col("path").alias("id"), F.size("tags").alias("tag_count"), F.size("links").alias("link_count"), F.size("headings").alias("headings"), F.size("relationships").alias("relationship_count"))
-        return note_ops.content_features(self.notes.drop("vault_name"), "content").withColumnRenamed("path", "id").join(degree, "id").join(rank, "id").join(counts, "id")
+        e = self.edges().select("src", "dst")
+        metrics = graph.degrees(nodes, e).select("id", F.col("in_degree").alias("incoming_links_count"))
+        metrics = metrics.join(graph.betweenness(e, nodes).withColumnRenamed("betweenness", "betweenness_centrality"), "id").join(graph.path_metrics(e, nodes).select("id", F.col("closeness").alias("closeness_centrality")), "id")
+        metrics = metrics.join(graph.pagerank(nodes, e, 100, tolerance=1e-6).withColumnRenamed("rank", "pagerank_score"), "id").join(graph.clustering(e).select("id", F.col("coefficient").alias("clustering_coefficient")), "id", "left")
+        rows = self.parsed().withColumn("content", F.col("body")).withColumnRenamed("frontmatter", "fields")
+        out = features.note_features(rows, metrics)
+        text = note_ops.content_features(rows.select(F.col("path").alias("id"), "content"), "content").select("id", "sentiment_score", "sentiment_label", "readability_score", F.col("grade_level").alias("readability_grade"), "content_type", "complexity_score", "vocabulary_richness")
+        out = out.join(text, "id")
+        found = terms.documents(rows, "path", "content")
+        n = rows.count()
+        vocab = terms.vocabulary(found, n)
+        w, size = terms.weights(found, vocab), max(1, vocab.count())
+        top = terms.top_terms(w).groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "term", "weight")))).alias("top_tfidf_terms"))
+        per = w.groupBy("id").agg((F.sum("weight") / size).alias("avg_tfidf_score"), (F.count("*") / size).alias("tfidf_vocabulary_richness"))
+        out = out.join(top, "id", "left").join(per, "id", "left").na.fill({"avg_tfidf_score": 0.0, "tfidf_vocabulary_richness": 0.0, "top_tfidf_terms": "[]"})
+        return out.withColumn("semantic_cluster_id", F.lit(-1))
 
     def pairs_dataset(self, ratio: float = 5.0, most_per_note: int = 50, seed: int = 42) -> DataFrame:
         """Linked pairs and seeded negatives with their features and link_exists."""
@@ -152,4 +172,8 @@ class Vaults:
         kept = pairs.capped(both, most_per_note, seed)
         out = pairs.pair_features(kept, n)
         near = graph.common_neighbours(e, kept.select("a", "b"))
-        return out.join(near, ["a", "b"]).withColumn("combined_similarity", scores.combined_similarity(F.col("cosine_similarity"), F.lit(0.0)))
+        steps = graph.shortest_paths(e.select("src", "dst"), kept.select("a", "b"))
+        found = terms.documents(n, "id", "content")
+        alike = terms.pair_cosine(terms.weights(found, terms.vocabulary(found, n.count())), kept)
+        out = out.join(near, ["a", "b"]).join(steps, ["a", "b"]).join(alike, ["a", "b"])
+        return out.withColumn("combined_similarity", scores.combined_similarity(F.col("cosine_similarity"), F.col("tfidf_similarity")))

@@ -58,7 +58,7 @@ def test_reports(vaults):
 
 def test_datasets(vaults):
     n = vaults.notes_dataset()
-    assert n.count() == 4 and {"content_type", "rank", "tag_count", "in_degree"} <= set(n.columns)
+    assert n.count() == 4 and {"content_type", "pagerank_score", "tag_count", "incoming_links_count"} <= set(n.columns)
     p = vaults.pairs_dataset(1.0)
     assert p.where("link_exists").count() == 2 and p.where("not link_exists").count() == 2
     assert p.where("a >= b").count() == 0

@@ -69,7 +69,66 @@ def test_negatives_of_all_orders(spark, lines_dir):
 
 
 def test_communities_of_all_lines(spark, lines_dir):
-    assert {r["id"] for r in QUERIES["g15_communities"](spark, lines_dir).collect()} == set(range(1, 8))
+    for name in ("g15_communities", "g15_label_propagation"):
+        assert {r["id"] for r in QUERIES[name](spark, lines_dir).collect()} == set(range(1, 8))
+
+
+def quality_of(labels, links):
+    """Modularity of a labelling of an undirected graph."""
+    m, k = len(links), {}
+    for a, b in links:
+        k[a], k[b] = k.get(a, 0) + 1, k.get(b, 0) + 1
+    inside = sum(labels[a] == labels[b] for a, b in links) / m
+    return inside - sum((sum(k[x] for x in k if labels[x] == c) / (2 * m)) ** 2 for c in set(labels.values()))
+
+
+def test_communities_by_modularity(spark):
+    groups = [range(0, 6), range(10, 15), range(20, 27)]
+    links = [(a, b) for g in groups for a in g for b in g if a < b] + [(0, 10), (14, 20)]
+    e = spark.createDataFrame(links, "src long, dst long")
+    n = spark.createDataFrame([(x,) for g in groups for x in g] + [(99,)], "id long")
+    got = {r["id"]: r["community"] for r in graph.modularity_communities(n, e).collect()}
+    assert got == {x: min(g) for g in groups for x in g} | {99: 99}
+    r = np.random.default_rng(5)
+    links = sorted({(min(a, b), max(a, b)) for a, b in r.integers(0, 60, (160, 2)).tolist() if a != b})
+    e = spark.createDataFrame(links, "src long, dst long")
+    got = {r["id"]: r["community"] for r in graph.modularity_communities(graph.nodes_of(e), e).collect()}
+    assert quality_of(got, links) > 0.28  # greedy merging reaches about 0.3 on graphs like this
+
+
+def test_sampled_betweenness(spark):
+    r = np.random.default_rng(6)
+    links = sorted({(a, b) for a, b in r.integers(0, 40, (120, 2)).tolist() if a != b})
+    e = spark.createDataFrame(links, "src long, dst long")
+    n = graph.nodes_of(e)
+    whole = {x["id"]: x["betweenness"] for x in graph.betweenness(e, n).collect()}
+    some = {x["id"]: x["betweenness"] for x in graph.betweenness(e, n, sampled_above=10).collect()}
+    assert set(some) == set(whole) and 0.2 < sum(some.values()) / sum(whole.values()) < 5
+
+
+def test_shortest_paths_and_diameter(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8)], "src long, dst long")
+    pairs = spark.createDataFrame([(1, 4), (4, 1), (1, 1), (1, 8), (5, 1), (2, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): r["shortest_path"] for r in graph.shortest_paths(e, pairs).collect()}
+    assert got == {(1, 4): 3, (4, 1): 3, (1, 1): 0, (1, 8): 999, (5, 1): 999, (2, 3): 1}
+    assert tuple(graph.diameter(e, graph.nodes_of(e)).first()) == (3, pytest.approx(10 / 6))
+    assert tuple(graph.diameter(e, graph.nodes_of(e), most=3).first()) == (None, None)
+
+
+def test_succession_over_ranges(spark):
+    r = np.random.default_rng(7)
+    rows = [(int(t), k, int(u)) for k, (t, u) in enumerate(zip(r.integers(0, 300, 500), r.integers(0, 9, 500)))]
+    df = spark.createDataFrame(rows, "ts long, event_id long, user_id long").repartition(6)
+    users = [u for _, _, u in sorted(rows)]
+    assert {tuple(x) for x in graph.succession(df, ["ts", "event_id"], "user_id").collect()} == {(a, b) for a, b in zip(users, users[1:]) if a != b}
+    assert graph.succession(df.limit(0), ["ts", "event_id"], "user_id").count() == 0
+
+
+def test_tag_context_and_reach(spark):
+    tagged = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "id string, tag string")
+    e = spark.createDataFrame([("a", "q"), ("a", "p"), ("c", "a"), ("p", "z")], "src string, dst string")
+    assert {r["id"]: r["linked"] for r in graph.tag_context(tagged, e, "x").collect()} == {"a": ["p", "q"], "b": []}
+    assert {tuple(r) for r in graph.reachable(e, "c", 2).collect()} == {("a", 1), ("p", 2), ("q", 2)}
 
 
 def test_eigenvector_has_converged(spark, lines_dir):
@@ -93,7 +152,7 @@ def test_communities_run_ten_rounds(spark, tmp_path):
         return labels
 
     assert propagated(5) != propagated(10)
-    assert {r["id"]: r["community"] for r in QUERIES["g15_communities"](spark, str(tmp_path)).collect()} == propagated(10)
+    assert {r["id"]: r["community"] for r in QUERIES["g15_label_propagation"](spark, str(tmp_path)).collect()} == propagated(10)
 
 
 def test_bridges_use_communities_and_betweenness(spark, lines_dir):

@@ -123,9 +123,9 @@ def test_density_clusters(spark):
 
 
 def test_merge_prefers_semantic(spark):
-    s = spark.createDataFrame([("sem1", 0.9), ("common", 0.8)], "path string, score double")
-    k = spark.createDataFrame([("key1", "name"), ("common", "content")], "path string, match_type string")
-    assert [r["path"] for r in search.merged(s, k).collect()] == ["sem1", "common", "key1"]
+    s = spark.createDataFrame([("meaning.md", 0.7), ("both.md", 0.6)], "path string, score double")
+    k = spark.createDataFrame([("word.md", "name"), ("both.md", "content")], "path string, match_type string")
+    assert [r["path"] for r in search.merged(s, k).collect()] == ["meaning.md", "both.md", "word.md"]
 
 
 def test_negatives_are_seeded(spark):
