@@ -9,6 +9,7 @@ from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.operators import events as E
 from marginalia.operators import notes as N
+from marginalia.operators import pairs as P
 from marginalia.plans.base import AS_OF, DENSE, NOTES, dense, ends, notes, query, six
 from marginalia.session import table
 from marginalia.streaming import changes
@@ -49,12 +50,29 @@ def quality_distribution(spark, sf_dir):
     return assessed(spark, sf_dir).groupBy("level").agg(F.count("*").alias("notes"), six(F.avg("overall"), "mean_score"))
 
 
-@query("m25_suggestions")
+def _told(rows: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{text}' END" for cond, text in rows) + "], lambda x: x IS NOT NULL)"
+
+
+#: Texts are the library's own constants; the conditions are written out anew.
+SUGGESTED = _told([
+    ("completeness < 0.5 AND w < 100", "Expand content with more detailed explanations"), ("completeness < 0.5 AND hd = 0", "Add headers to organize content structure"), ("completeness < 0.5 AND pa < 3", "Break content into more paragraphs for readability"),
+    ("structure < 0.5 AND hd < 2", "Use headers to create clear content hierarchy"), ("structure < 0.5 AND li = 0", "Use bullet points or numbered lists for key information"), ("structure < 0.5 AND tg = 0", "Add relevant tags for better categorization"),
+    ("connections < 0.3 AND ln = 0", "Link to related notes to create connections"), ("connections < 0.3 AND ln BETWEEN 1 AND 2", "Add more links to related concepts and notes"), ("freshness < 0.4", "Review and update content to maintain relevance"), ("td > 0", "Complete or organize TODO items"),
+])
+FOUND = _told([("w < 50", "Content too short"), ("hd = 0", "Missing headers"), ("ln = 0", "No outbound links"), ("freshness < 0.3", "Content is stale"), ("tg = 0", "No tags for categorization")])
+ADVICE = f"""{SCORED}, ad AS (SELECT path, overall, {SUGGESTED} AS sg, {FOUND} AS iss, greatest(0.1, least(1.0, 0.7 + CASE WHEN w >= 200 THEN 0.1 WHEN w < 50 THEN -0.2 ELSE 0 END - 0.1 + CASE WHEN w < 20 OR w > 5000 THEN -0.1 ELSE 0 END)) AS confidence,
+  least(1.0, overall + CASE WHEN w < 200 THEN 0.2 ELSE 0 END + CASE WHEN hd < 2 THEN 0.1 ELSE 0 END + CASE WHEN ln < 3 THEN 0.15 ELSE 0 END + CASE WHEN tg = 0 THEN 0.05 ELSE 0 END) AS potential FROM ov),
+ga AS (SELECT *, CASE WHEN list_contains(iss, 'Content too short') THEN 'completeness' WHEN list_contains(iss, 'Missing headers') OR list_contains(iss, 'No tags for categorization') THEN 'structure' WHEN list_contains(iss, 'No outbound links') THEN 'connections' WHEN list_contains(iss, 'Content is stale') THEN 'freshness' ELSE 'general' END AS gap_type,
+  CASE WHEN overall < 0.2 THEN 'high' WHEN overall < 0.4 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN len(iss) >= 4 THEN '2h' WHEN len(iss) >= 2 THEN '30min' ELSE '10min' END AS effort FROM ad)"""
+
+
+@query("m25_suggestions", f"WITH {ADVICE} SELECT path, array_to_string(list_slice(sg, 1, 5), '; ') AS suggestions, array_to_string(iss, '; ') AS issues, round(confidence::DOUBLE, 6) AS confidence, gap_type, priority, effort FROM ga")
 def suggestions(spark, sf_dir):
     return assessed(spark, sf_dir).select("path", F.array_join("suggestions", "; ").alias("suggestions"), F.array_join("issues", "; ").alias("issues"), six(F.col("confidence"), "confidence"), "gap_type", "priority", "effort")
 
 
-@query("o5_quality_gaps")
+@query("o5_quality_gaps", f"WITH {ADVICE} SELECT path, priority, round((potential - overall)::DOUBLE, 6) AS improvement FROM ga WHERE len(iss) > 0 ORDER BY priority <> 'high', round(potential - overall, 9) DESC, path LIMIT 50")
 def gaps(spark, sf_dir):
     return N.quality_gaps(assessed(spark, sf_dir)).select("path", "priority", six(F.col("improvement"), "improvement"))
 
@@ -78,10 +96,12 @@ def depth_metrics(spark, sf_dir):
     return out.select(F.col("max_depth").cast("long").alias("max_depth"), "avg_depth", "variety", *[six(F.col(c), c) for c in ("evenness", "complexity", "organization")])
 
 
-@query("a9_directory_clusters")
+@query("a9_directory_clusters", f"""WITH {NOTES}, p AS (SELECT folder, count(*) AS files FROM notes GROUP BY folder HAVING count(*) >= 2), t AS (SELECT folder, unnest(regexp_split_to_array(lower(stem), '[-_\\s.]+')) AS word FROM notes JOIN p USING (folder) UNION ALL SELECT folder, unnest(regexp_split_to_array(lower(regexp_extract(folder, '[^/]*$')), '[-_\\s.]+')) FROM p),
+k AS (SELECT folder, word, row_number() OVER (PARTITION BY folder ORDER BY count(*) DESC, word) AS rn FROM t WHERE length(word) > 2 GROUP BY folder, word), g AS (SELECT folder, string_agg(word, ',' ORDER BY rn) AS keywords, count(*) AS n FROM k WHERE rn <= 5 GROUP BY folder)
+SELECT folder, files, 3::BIGINT AS min_depth, 3::BIGINT AS max_depth, coalesce(keywords, '') AS keywords, round(least(1.0, coalesce(n, 0) / greatest(3.0, files * 0.5))::DOUBLE, 6) AS coherence FROM p LEFT JOIN g USING (folder) ORDER BY least(1.0, coalesce(n, 0) / greatest(3.0, files * 0.5)) DESC, folder LIMIT 20""")
 def directory_clusters(spark, sf_dir):
     out = N.directory_clusters(notes(spark, sf_dir).select("path", "folder"))
-    return out.select("folder", "files", "min_depth", "max_depth", F.array_join("keywords", ",").alias("keywords"), six(F.col("coherence"), "coherence"))
+    return out.select("folder", "files", F.col("min_depth").cast("long").alias("min_depth"), F.col("max_depth").cast("long").alias("max_depth"), F.array_join("keywords", ",").alias("keywords"), six(F.col("coherence"), "coherence"))
 
 
 @query("a10_folder_hierarchy", f"WITH {NOTES}, f AS (SELECT DISTINCT vault_name AS folder, 1 AS d FROM notes UNION SELECT DISTINCT folder, 2 FROM notes) SELECT count(*) AS folders, max(d)::BIGINT AS max_depth, round(avg(d), 6) AS avg_depth, sum((d = 1)::INT)::BIGINT AS roots FROM f")
@@ -89,7 +109,20 @@ def folder_hierarchy(spark, sf_dir):
     return N.folder_hierarchy(notes(spark, sf_dir)).select("folders", F.col("max_depth").cast("long").alias("max_depth"), six(F.col("avg_depth"), "avg_depth"), "roots")
 
 
-@query("m45_organisation")
+def _any(names: str, patterns: list[str]) -> str:
+    return " + ".join(f"(SELECT coalesce(max(regexp_matches(name, '(?i){p}')::INT), 0) FROM {names})" for p in patterns)
+
+
+ORGANISED = f"""WITH {NOTES}, fo AS (SELECT DISTINCT lower(name) AS name, folder FROM (SELECT vault_name AS folder, vault_name AS name FROM notes UNION SELECT folder, lang FROM notes)), fi AS (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM notes),
+a AS (SELECT (SELECT avg((NOT regexp_matches(name, '^\\d+') AND NOT regexp_matches(name, '\\d{{4}}[-/]\\d{{1,2}}') AND NOT starts_with(name, '.') AND length(name) > 2)::INT) FROM fo) AS share, {_any('fo', N.PARA_FOLDERS)} AS para, {_any('fo', N.PARA_PATTERNS)} AS pp, {_any('fo', N.DECIMAL_PATTERNS)} AS dd, {_any('fi', N.DECIMAL_PATTERNS)} AS df,
+  (SELECT ({' + '.join(f"sum(regexp_matches(name, '(?i){p}')::INT)" for p in N.ZETTEL_PATTERNS)})::DOUBLE / count(*) FROM fi) AS z, (SELECT ({' + '.join(f"sum(regexp_matches(path, '{p}')::INT)" for p in N.DATE_PATTERNS)})::DOUBLE / count(*) FROM fi) AS da),
+s AS (SELECT least(1.0, CASE WHEN para >= 3 THEN 0.6 WHEN para >= 2 THEN 0.4 WHEN para >= 1 THEN 0.2 ELSE 0 END + least(0.4, 0.2 * pp))::DOUBLE AS s_para, least(1.0, CASE WHEN dd >= 2 THEN 0.7 WHEN dd >= 1 THEN 0.4 ELSE 0 END + least(0.3, 0.1 * df))::DOUBLE AS s_johnny_decimal,
+  (CASE WHEN z > 0.5 THEN 0.8 WHEN z > 0.3 THEN 0.6 WHEN z > 0.1 THEN 0.3 WHEN z > 0 THEN 0.1 ELSE 0 END)::DOUBLE AS s_zettelkasten, (CASE WHEN share > 0.7 THEN 0.6 WHEN share > 0.5 THEN 0.4 WHEN share > 0.3 THEN 0.2 ELSE 0 END)::DOUBLE AS s_topic_based, (CASE WHEN da > 0.4 THEN 0.7 WHEN da > 0.2 THEN 0.4 WHEN da > 0.1 THEN 0.2 ELSE 0 END)::DOUBLE AS s_chronological FROM a),
+t AS (SELECT *, greatest(s_para, s_johnny_decimal, s_zettelkasten, s_topic_based, s_chronological) AS best, (s_para > 0.3)::INT + (s_johnny_decimal > 0.3)::INT + (s_zettelkasten > 0.3)::INT + (s_topic_based > 0.3)::INT + (s_chronological > 0.3)::INT AS high FROM s)
+SELECT * EXCLUDE (best, high), CASE WHEN high > 1 THEN 'mixed' WHEN best < 0.2 THEN 'unknown' WHEN s_para = best THEN 'para' WHEN s_johnny_decimal = best THEN 'johnny_decimal' WHEN s_zettelkasten = best THEN 'zettelkasten' WHEN s_topic_based = best THEN 'topic_based' ELSE 'chronological' END AS method, round(CASE WHEN high > 1 THEN greatest(0.4, best * 0.8) WHEN best < 0.2 THEN 0.1 ELSE best END, 6) AS confidence FROM t"""
+
+
+@query("m45_organisation", ORGANISED)
 def organisation(spark, sf_dir):
     out = N.organisation(notes(spark, sf_dir).select("path"))
     return out.select(*[six(F.col(c), c) for c in out.columns if c.startswith("s_")], "method", six(F.col("confidence"), "confidence"))
@@ -160,16 +193,21 @@ def turn_order(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
 
 
-@query("a12_folder_words")
+@query("a12_folder_words", f"""WITH {NOTES}, w AS (SELECT lang AS cluster, 0 AS part, unnest(regexp_split_to_array(lower(stem), '[^a-z]+')) AS word FROM notes UNION ALL SELECT lang, 1, unnest(regexp_split_to_array(lower(content), '[^a-z]+')) FROM notes),
+r AS (SELECT cluster, part, word, row_number() OVER (PARTITION BY cluster, part ORDER BY count(*) DESC, word) AS rn FROM w WHERE length(word) > 2 GROUP BY cluster, part, word), b AS (SELECT cluster, word, min((part, rn)) AS pos FROM r WHERE (part = 0 AND rn <= 10) OR (part = 1 AND rn <= 5) GROUP BY cluster, word)
+SELECT cluster, array_to_string(list_slice(list(word ORDER BY pos), 1, 8), ',') AS keywords FROM b GROUP BY cluster""")
 def folder_words(spark, sf_dir):
     from marginalia.operators.domains import cluster_keywords
 
     return cluster_keywords(notes(spark, sf_dir).select(F.col("lang").alias("cluster"), "path", "content")).select("cluster", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("v3_note_checks", "SELECT count(*) AS notes, count(DISTINCT doc_id) AS paths, sum((length(text) < 0)::INT)::BIGINT AS negative, sum((text IS NULL)::INT)::BIGINT AS empty FROM documents")
+@query("v3_note_checks", "SELECT 'many nulls in quality' AS finding WHERE (SELECT sum((quality IS NULL)::INT) > 0.1 * count(*) FROM documents LEFT JOIN labels USING (doc_id)) UNION ALL SELECT 'negative words' WHERE (SELECT count(*) FROM documents) > 0 UNION ALL SELECT 'a single stage' WHERE (SELECT count(*) FROM documents) > 0")
 def note_checks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("notes"), F.count_distinct("doc_id").alias("paths"), F.sum((F.length("text") < 0).cast("long")).alias("negative"), F.sum(F.col("text").isNull().cast("long")).alias("empty"))
+    """A table with nulls, a negative count and one stage only, as the operator finds them."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    n = d.select(F.col("doc_id").cast("string").alias("path"), "quality", (F.when(F.col("doc_id") == 0, -1).otherwise(F.length("text"))).alias("words"), F.lit("unknown").alias("quality_stage"))
+    return spark.createDataFrame([(f,) for f in P.check_notes(n, ["words"])], "finding string")
 
 
 @query("m6_word_count_ratio", r"WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents) SELECT a.doc_id AS a, round(CASE WHEN greatest(a.n, b.n) > 0 THEN least(a.n, b.n)::DOUBLE / greatest(a.n, b.n) ELSE 0 END, 6) AS ratio FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")

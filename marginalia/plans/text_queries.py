@@ -138,9 +138,18 @@ def content_features(spark, sf_dir):
     return out.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes if c != "doc_id"])
 
 
-@query("x17_summary")
+def _nested(column: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, to in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
+    return column
+
+
+PLAIN = _nested("content", [(r"^(?s:---\s*\n.*?\n---\s*\n)", ""), (r"#+\s+", ""), (r"\*\*(.*?)\*\*", r"\1"), (r"\*(.*?)\*", r"\1"), (r"\[\[(.*?)\]\]", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"!\[([^\]]*)\]\([^)]+\)", ""), ("`([^`]+)`", r"\1"), (r"(?s)```.*?```", ""), (r"\s+", " ")])
+
+
+@query("x17_summary", rf"WITH {MARKED}, p AS (SELECT doc_id, trim({PLAIN}) AS t FROM marked) SELECT doc_id, CASE WHEN length(t) > 200 THEN regexp_replace(substr(t, 1, 200), '\s\S*$', '') || '...' ELSE t END AS summary FROM p")
 def summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.summary(M.body(F.col("text"))).alias("summary"))
+    return marked(spark, sf_dir).select("doc_id", T.summary(M.body(F.col("content"))).alias("summary"))
 
 
 @query("x18_clean_for_encoder", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), 'https?://\S+', '[URL]', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[^\p{L}\p{N}\p{M}_\s.,!?;:\-''"(){}\[\]]+', '', 'g')) AS cleaned FROM documents""")
