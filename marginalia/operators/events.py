@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -138,3 +138,29 @@ def next_run(ts: Column, schedule: str, days: int = 7) -> Column:
     start = F.date_trunc("minute", ts) + F.expr("interval 1 minute")
     minutes = F.sequence(start, start + F.expr(f"interval {days * 1440 - 1} minutes"), F.expr("interval 1 minute"))
     return F.array_min(F.filter(minutes, lambda t: scheduled(t, schedule)))
+
+
+def type_distribution(events: DataFrame, column: str = "event_type") -> DataFrame:
+    """How many rows there are of each type, commonest first."""
+    return events.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column)
+
+
+def last_per_key(events: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """key, last_value: the value that comes last in an order."""
+    return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("last_value"))
+
+
+def rate_window(events: DataFrame, key: str, value: str, order: Sequence[str], rows: int = 10) -> DataFrame:
+    """Adds rate: the mean of a key's last values, its own included."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0)
+    return events.withColumn("rate", F.avg(value).over(w))
+
+
+def turns(conversations: DataFrame) -> DataFrame:
+    """Adds before: the role of the turn before, null for the first."""
+    return conversations.withColumn("before", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
+
+
+def json_fields(events: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """Fields of a JSON column as columns of their own."""
+    return events.withColumns({n: F.get_json_object(column, f"$.{n}") for n in names})

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,20 +57,43 @@ def diversified(hits: DataFrame, folder: Column, per_folder: int = 3, always: fl
     return hits.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= per_folder) | (F.col(score) > always)).drop("_rn")
 
 
-def similar_pairs(notes: DataFrame, threshold: float, id_col: str = "id", block: int = 64) -> DataFrame:
-    """a < b, similarity: all pairs whose cosine is at least the threshold, compared block with block.
+def similar_pairs(notes: DataFrame, threshold: float, id_col: str = "id", block: int = 2048) -> DataFrame:
+    """a < b, similarity: all pairs whose cosine is at least the threshold.
 
-    Each unordered pair of hashed blocks meets once, so no task holds more than
-    two blocks; blocks grow in number with the table, not in size.
+    Vectors are dealt over hashed blocks, each a row; every two blocks meet once
+    and are multiplied as matrices, so only pairs that reach the threshold
+    become rows and no task holds more than two blocks. Null vectors and those
+    of other lengths than the block's first have no pairs.
     """
-    n = notes.count()
-    blocks = max(1, -(-n // (block * block)))
-    v = notes.select(F.col(id_col).alias("id"), vectors.normalised(F.col("embedding")).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("g"))
-    all_ = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.transform(all_, lambda o: F.struct(F.least(F.col("g"), o).alias("g1"), F.greatest(F.col("g"), o).alias("g2"), F.col("g").alias("ga")))).alias("c")).select("a", "va", "c.*")
-    right = left.select(F.col("a").alias("b"), F.col("va").alias("vb"), "g1", "g2", F.col("ga").alias("gb"))
-    met = left.join(right, ["g1", "g2"]).where("a < b and ((ga = g1 and gb = g2) or (ga = g2 and gb = g1))")
-    return met.withColumn("similarity", vectors.dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity").distinct()
+    kind = dict(notes.dtypes)[id_col]
+    v = notes.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), vectors.normalised(F.col("embedding")).alias("v"))
+    blocks = max(1, -(-v.count() // block))
+    rows = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("g")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    left = rows.select(F.col("g").alias("i"), F.explode(F.sequence(F.col("g"), F.lit(blocks - 1))).alias("j"), F.col("rows").alias("x"))
+    both = left.join(rows.select(F.col("g").alias("j"), F.col("rows").alias("y")), "j").select("i", "j", "x", "y")
+
+    def stacked(cell: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+        ids, v = cell.values.field("id"), cell.values.field("v")
+        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+        on = pa.array(sizes == sizes[0])
+        ids, v = ids.filter(on), v.filter(on)
+        return ids, v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (x_ids, x), (y_ids, y) = stacked(batch.column(2)[k]), stacked(batch.column(3)[k])
+                if x.shape[1] != y.shape[1]:
+                    continue
+                own = batch.column(0)[k] == batch.column(1)[k]
+                for i in range(0, len(x), 256):
+                    s = x[i : i + 256] @ y.T
+                    at, to = np.nonzero(np.triu(s >= threshold, i + 1) if own else s >= threshold)
+                    a, b = x_ids.take(pa.array(at + i)), y_ids.take(pa.array(to))
+                    less = pc.less(a, b)
+                    yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(s[at, to])], ["a", "b", "similarity"])
+
+    return both.mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
 
 
 #: Raw scores above which a match by meaning is told as high or medium.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import domains, graph, pairs
-from marginalia.plans.base import AS_OF, DENSE, NOTES, SPARSE, dense, ends, notes, query, six, sparse
+from marginalia.functions import markdown as M
+from marginalia.operators import domains, features, graph, pairs
+from marginalia.plans.base import AS_OF, DENSE, MARKED, NOTES, SPARSE, dense, ends, marked, notes, query, six, sparse
 from marginalia.session import table
 
 SN = f"{SPARSE}, nodes AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse)"
@@ -265,14 +266,20 @@ def not_positive(spark, sf_dir):
     return p.select((F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b")).join(p, ["a", "b"], "left_anti")
 
 
-@query("t18_pair_features", rf"""WITH {NOTES}, f AS (SELECT doc_id, path, folder, modified, stem, length(content) AS l, len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) AS w FROM notes)
-SELECT a.doc_id AS a, b.doc_id AS b, (a.folder = b.folder) AS same_folder, round(CASE WHEN greatest(a.w, b.w) > 0 THEN least(a.w, b.w)::DOUBLE / greatest(a.w, b.w) ELSE 0 END, 6) AS word_count_ratio, round(CASE WHEN greatest(a.l, b.l) > 0 THEN least(a.l, b.l)::DOUBLE / greatest(a.l, b.l) ELSE 0 END, 6) AS content_length_ratio,
-  abs(date_diff('day', b.modified, a.modified))::BIGINT AS creation_time_diff_days, 0.0::DOUBLE AS title_similarity, 1::BIGINT AS tag_overlap_count FROM f a JOIN f b ON b.doc_id = a.doc_id + 20""")
+@query("t18_pair_features", rf"""WITH {MARKED}, f AS (SELECT doc_id, folder, modified, m.content, embedding::DOUBLE[] AS e, list_distinct(list_concat([m.lang, '🌱'], regexp_extract_all(regexp_replace(m.content, '^(?s:---\s*\n.*?\n---\s*\n)', ''), '(?:^|\s)#([a-zA-Z0-9_/-]+)(?:\s|$)', 1))) AS tags FROM marked m JOIN embeddings ON vec_id = doc_id),
+g AS (SELECT *, length(content) AS l, len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) AS w FROM f)
+SELECT a.doc_id AS a, b.doc_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine_similarity, len(list_intersect(a.tags, b.tags))::BIGINT AS tag_overlap_count, round(len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS tag_jaccard, CASE WHEN a.folder = b.folder THEN 2 WHEN split_part(a.folder, '/', 1) = split_part(b.folder, '/', 1) THEN 4 ELSE 6 END::BIGINT AS path_distance, (a.folder = b.folder) AS same_folder,
+  round(CASE WHEN greatest(a.w, b.w) > 0 THEN least(a.w, b.w)::DOUBLE / greatest(a.w, b.w) ELSE 0 END, 6) AS word_count_ratio, round(CASE WHEN greatest(a.l, b.l) > 0 THEN least(a.l, b.l)::DOUBLE / greatest(a.l, b.l) ELSE 0 END, 6) AS content_length_ratio,
+  abs(date_diff('day', b.modified, a.modified))::BIGINT AS creation_time_diff_days, 1.0::DOUBLE AS quality_compatibility, 0.0::DOUBLE AS title_similarity, false AS semantic_cluster_match FROM g a JOIN g b ON b.doc_id = a.doc_id + 20""")
 def pair_features(spark, sf_dir):
-    n = notes(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", F.col("stem").alias("title"), "content", F.col("modified").alias("created"), F.array(F.lit("note")).alias("tags"), F.lit("unknown").alias("quality_stage"), F.array(F.lit(1.0)).alias("embedding"))
+    """Marked notes with the vectors of their numbers."""
+    n = marked(spark, sf_dir).withColumn("fields", M.frontmatter(F.col("content")))
+    tags = M.tags(F.col("content"), F.col("fields"))
+    n = n.select(F.col("doc_id").alias("id"), "path", F.col("stem").alias("title"), "content", F.col("modified").alias("created"), tags.alias("tags"), features.quality_stage(F.col("fields"), features.progress(tags, F.col("fields"))).alias("quality_stage"))
+    n = n.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
     p = n.select(F.col("id").alias("a"), (F.col("id") + 20).alias("b"))
     out = pairs.pair_features(p, n)
-    return out.select("a", "b", "same_folder", six(F.col("word_count_ratio"), "word_count_ratio"), six(F.col("content_length_ratio"), "content_length_ratio"), "creation_time_diff_days", six(F.col("title_similarity"), "title_similarity"), F.col("tag_overlap_count").cast("long").alias("tag_overlap_count"))
+    return out.select("a", "b", six(F.col("cosine_similarity"), "cosine_similarity"), F.col("tag_overlap_count").cast("long").alias("tag_overlap_count"), six(F.col("tag_jaccard"), "tag_jaccard"), F.col("path_distance").cast("long").alias("path_distance"), "same_folder", six(F.col("word_count_ratio"), "word_count_ratio"), six(F.col("content_length_ratio"), "content_length_ratio"), "creation_time_diff_days", "quality_compatibility", six(F.col("title_similarity"), "title_similarity"), "semantic_cluster_match")
 
 
 @query("a18_duplicate_pairs", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

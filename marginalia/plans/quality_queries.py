@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import scores as S
@@ -157,7 +156,7 @@ def retained(spark, sf_dir):
 
 @query("m47_json_fields", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
 def json_fields(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"))
+    return E.json_fields(table(spark, sf_dir, "events"), "props", ["page"]).select("event_id", "page")
 
 
 @query("r7_windowed_counts", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -185,12 +184,12 @@ def score_repair(spark, sf_dir):
 
 @query("a21_type_distribution", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
 def type_distribution(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "event_type")
+    return E.type_distribution(table(spark, sf_dir, "events"))
 
 
 @query("o10_turn_order", "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
 def turn_order(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
+    return E.turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"))
 
 
 @query("a12_folder_words", f"""WITH {NOTES}, w AS (SELECT lang AS cluster, 0 AS part, unnest(regexp_split_to_array(lower(stem), '[^a-z]+')) AS word FROM notes UNION ALL SELECT lang, 1, unnest(regexp_split_to_array(lower(content), '[^a-z]+')) FROM notes),

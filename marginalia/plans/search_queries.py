@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import scores as S
 from marginalia.functions import vectors as V
-from marginalia.operators import search
+from marginalia.operators import events, search, terms
 from marginalia.plans.base import AS_OF, NOTES, notes, query, six
+from marginalia.plans.text_queries import WEIGHTS
 from marginalia.session import table
 from marginalia.sources import store, vault
 
@@ -100,7 +100,7 @@ def structure(spark, sf_dir):
 
 @query("sc5_file_info", f"WITH {NOTES} SELECT path, size, checksum FROM notes WHERE path = 'src1/en/doc_1.md'")
 def file_info(spark, sf_dir):
-    return notes(spark, sf_dir).where("path = 'src1/en/doc_1.md'").select("path", "size", "checksum")
+    return vault.file_info(notes(spark, sf_dir), "src1/en/doc_1.md").select("path", "size", "checksum")
 
 
 @query("sc10_upsert", f"WITH {NOTES} SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE checksum END AS checksum FROM notes WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
@@ -213,19 +213,22 @@ def freshness(spark, sf_dir):
     return notes(spark, sf_dir).select("path", S.freshness(age).alias("freshness"))
 
 
-@query("m9_combined_similarity", "SELECT a.vec_id AS a, round(greatest(0.0, least(1.0, 0.7 * (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 + 0.3 * 0.25)), 6) AS combined FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("m9_combined_similarity", f"WITH {WEIGHTS}, p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1), ti AS (SELECT p.a, p.b, coalesce(sum(i.weight * j.weight), 0) AS s FROM p LEFT JOIN w i ON i.id = p.a LEFT JOIN w j ON j.id = p.b AND j.term = i.term GROUP BY p.a, p.b) SELECT a, round(greatest(0.0, least(1.0, 0.7 * (c + 1) / 2 + 0.3 * s)), 6) AS combined FROM p JOIN ti USING (a, b)")
 def combined(spark, sf_dir):
+    """Vectors and texts of the same number are one note's."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    w = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return v.join(w, "vec_id").select(F.col("vec_id").alias("a"), six(S.combined_similarity(V.cosine(F.col("embedding"), F.col("other")), F.lit(0.25)), "combined"))
+    p = v.select(F.col("vec_id").alias("a"), "embedding").join(v.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("other")), "a")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = terms.documents(d, "doc_id")
+    alike = terms.pair_cosine(terms.weights(found, terms.vocabulary(found, d.count())), p.select("a", "b"))
+    return p.join(alike, ["a", "b"]).select("a", six(S.combined_similarity(V.cosine(F.col("embedding"), F.col("other")), F.col("tfidf_similarity")), "combined"))
 
 
 @query("w7_last_per_key", "SELECT user_id, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id")
 def last_per_key(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    return events.last_per_key(table(spark, sf_dir, "events"), "user_id", "value", ["ts", "event_id"])
 
 
 @query("w4_rate_window", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rate FROM events")
 def rate(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
-    return table(spark, sf_dir, "events").select("event_id", six(F.avg("value").over(w), "rate"))
+    return events.rate_window(table(spark, sf_dir, "events"), "user_id", "value", ["ts", "event_id"]).select("event_id", six(F.col("rate"), "rate"))

@@ -11,6 +11,8 @@ from marginalia.operators import notes as N
 from marginalia.operators import terms
 from marginalia.plans.base import MARKED, NOTES, marked, notes, query, six
 from marginalia.session import table
+from marginalia.sources.vault import cache_key as cache_key_of
+from marginalia.sources.vault import checksum as checksum_of
 from marginalia.sources.vault import folder, stem
 
 
@@ -38,12 +40,12 @@ def regex_word_count(spark, sf_dir):
 
 @query("x25_checksum", "SELECT doc_id, md5(text) AS checksum FROM documents")
 def checksum(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("checksum"))
+    return table(spark, sf_dir, "documents").select("doc_id", checksum_of(F.col("text")).alias("checksum"))
 
 
 @query("x26_cache_key", "SELECT doc_id, substr(sha256(text || '|10|' || source), 1, 16) AS cache_key FROM documents")
 def cache_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws("|", "text", F.lit("10"), "source"), 256), 1, 16).alias("cache_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", cache_key_of(F.col("text"), F.lit("10"), F.col("source")).alias("cache_key"))
 
 
 @query("x27_content_hash", f"WITH {NOTES}, r AS (SELECT vault_name, path || ':' || size AS item, row_number() OVER (PARTITION BY vault_name ORDER BY path) AS rn FROM notes) SELECT vault_name, substr(md5(string_agg(item, '|' ORDER BY item)), 1, 16) AS content_hash FROM r WHERE rn <= 100 GROUP BY vault_name")

@@ -74,6 +74,20 @@ def write_note(spark: SparkSession, root: str, path: str, content: str) -> str:
     return safe_relative(path)
 
 
+def file_info(notes: DataFrame, path: str) -> DataFrame:
+    """One note's size, time and checksum; a path that leaves the vault is an error."""
+    return notes.where(F.col("path") == safe_relative(path)).select("path", "size", "modified", "checksum")
+
+
+def cache_key(*parts: Column) -> Column:
+    """Sixteen hexadecimal digits that stand for a call with these values."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def checksum(content: Column) -> Column:
+    return F.md5(content)
+
+
 def prefixes(path: Column) -> Column:
     """Every folder above a path, the nearest last."""
     parts = T.path_parts(path)
