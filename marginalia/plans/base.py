@@ -68,14 +68,18 @@ SPARSE = """sparse AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FR
   WHERE a.l_partkey <> b.l_partkey)"""
 
 
+#: Parts that two suppliers share at least where they are linked: less is chance in tables with many suppliers.
+SHARED = 3
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected supplier graph: suppliers of a part that was returned."""
+    """Undirected supplier graph: suppliers who share at least SHARED parts that were returned."""
     l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
-    return l.select("l_partkey", F.col("l_suppkey").alias("src")).join(l.select("l_partkey", F.col("l_suppkey").alias("dst")), "l_partkey").where("src < dst").select("src", "dst").distinct()
+    return l.select("l_partkey", F.col("l_suppkey").alias("src")).join(l.select("l_partkey", F.col("l_suppkey").alias("dst")), "l_partkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("src", "dst")
 
 
-DENSE = """l1 AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
-dense AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM l1 a JOIN l1 b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey),
+DENSE = f"""l1 AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
+dense AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM l1 a JOIN l1 b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= {SHARED}),
 both_ AS (SELECT src, dst FROM dense UNION SELECT dst, src FROM dense),
 deg AS (SELECT src AS id, count(*) AS k FROM both_ GROUP BY src)"""
 

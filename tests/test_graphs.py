@@ -16,7 +16,7 @@ ORDERS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (2, 5), (6, 4), (7, 1)
 def lines_dir(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("lines")
     rows = [(k, n + 1, part, 1, "N") for k, order in enumerate(ORDERS, 1) for n, part in enumerate(order)]
-    rows += [(1000 + k, 3 + n, 500 + k, supplier, "R") for k, link in enumerate(LINKS) for n, supplier in enumerate(link)]
+    rows += [(1000 + 10 * k + j, 3 + n, 500 + 10 * k + j, supplier, "R") for k, link in enumerate(LINKS) for j in range(3) for n, supplier in enumerate(link)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
     return str(d)
 
@@ -140,7 +140,7 @@ def test_eigenvector_has_converged(spark, lines_dir):
 
 def test_communities_run_ten_rounds(spark, tmp_path):
     links = [(k, k + 1) for k in range(1, 24)]
-    rows = [(k, 1, k, supplier, "R") for k, link in enumerate(links) for supplier in link]
+    rows = [(10 * k + j, 1, 10 * k + j, supplier, "R") for k, link in enumerate(links) for j in range(3) for supplier in link]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     near = {k: [x for e in links for x in e if k in e and x != k] for k in range(1, 25)}
 
