@@ -177,9 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     than the query's are no candidates. Ties go to smaller ids. A row with the
     query's own id is no candidate; other repeated rows are candidates of their
     own. An empty table gives an empty result; further columns, whatever their
-    names, are not read. Shards are dealt by at most PIVOTS rows, those with the
-    least id hashes, and parted by id hash where more than SHARD vectors are
-    near one of them.
+    names, are not read. Shards are dealt by one row for each SHARD vectors, at
+    most PIVOTS, those with the least id hashes, and parted by id hash where
+    more than SHARD vectors are near one of them.
     """
 
     def prepared(df: DataFrame) -> DataFrame:
@@ -187,7 +187,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
 
     spark, candidates = vectors.sparkSession, prepared(vectors)
     pivots: dict[int, np.ndarray] = {}
-    for row in candidates.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("dim", "v").collect():
+    wanted = min(PIVOTS, -(-candidates.count() // SHARD))
+    for row in candidates.orderBy(F.xxhash64("id"), "id").limit(wanted).select("dim", "v").collect():
         pivots[row["dim"]] = np.concatenate([pivots.get(row["dim"], np.zeros((0, row["dim"]))), unit(np.asarray([row["v"]]))])
     if not pivots:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
