@@ -8,7 +8,8 @@ points above it. The triangle inequality bounds the distance of a query to a
 shard, a node or a row from below by the greatest difference of distances to
 the same vantage point. What is bounded is skipped when its bound times
 `factor` exceeds the distance of the k-th best so far; factor one therefore
-skips only what cannot win and is exact. Queries first search the shard of
+skips only what cannot win and is exact. How tight bounds are is a matter of
+the data, so the factor is tuned on a bounded sample. Queries first search the shard of
 their own pivot, then those that the distance of its k-th best leaves.
 """
 
@@ -27,8 +28,8 @@ from marginalia.session import discard, keep, table
 
 #: Vectors in a shard, in a leaf; queries in a block; vantage points of a node; pivots that shards are dealt by.
 SHARD, LEAF, QUERIES, VANTAGES, PIVOTS = 8192, 128, 512, 8, 64
-#: How far pruning is relaxed in production: measured recall is in the README.
-FACTOR = 3.5
+#: Factors that are tried on a sample of at most SAMPLE vectors, the most daring first, and the recall there that one must reach.
+FACTORS, SAMPLE, RECALL = (4.0, 3.5, 3.0, 2.5, 2.0, 1.6, 1.3, 1.15, 1.0), 4096, 0.95
 #: Rounding that bounds allow for.
 SLACK = 1e-6
 
@@ -169,7 +170,25 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def tuned(u: np.ndarray, ids: np.ndarray, k: int, queries: int = 200) -> float:
+    """The first of FACTORS that finds RECALL of the true k nearest of sampled vectors among themselves; one is exact."""
+    q = np.arange(0, len(u), max(1, len(u) // queries))
+    d = distances(u[q], u)
+    d[np.arange(len(q)), q] = np.inf
+    k = min(k, len(u) - 1)
+    if k < 1:
+        return 1.0
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1] + SLACK
+    tree = build(u)
+    for factor in FACTORS:
+        rows, _ = search(u, ids, tree, u[q], ids[q], k, factor)
+        found = (rows >= 0) & (np.take_along_axis(d, np.maximum(rows, 0), 1) <= edge[:, None])
+        if found.mean() >= RECALL:
+            return factor
+    return 1.0
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by cosine, in double precision on the original vectors.
 
     Every valid vector is indexed; vectors that are null, empty or zero or hold
@@ -179,19 +198,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     own. An empty table gives an empty result; further columns, whatever their
     names, are not read. Shards are dealt by one row for each SHARD vectors, at
     most PIVOTS, those with the least id hashes, and parted by id hash where
-    more than SHARD vectors are near one of them.
+    more than SHARD vectors are near one of them. Without a factor, it is tuned
+    on the SAMPLE vectors with the least id hashes.
     """
 
     def prepared(df: DataFrame) -> DataFrame:
         return clean_vectors(df, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
 
     spark, candidates = vectors.sparkSession, prepared(vectors)
-    pivots: dict[int, np.ndarray] = {}
     wanted = min(PIVOTS, -(-candidates.count() // SHARD))
-    for row in candidates.orderBy(F.xxhash64("id"), "id").limit(wanted).select("dim", "v").collect():
-        pivots[row["dim"]] = np.concatenate([pivots.get(row["dim"], np.zeros((0, row["dim"]))), unit(np.asarray([row["v"]]))])
-    if not pivots:
+    sample = candidates.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "dim", "v").collect()
+    if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    pivots: dict[int, np.ndarray] = {}
+    for row in sample[:wanted]:
+        pivots[row["dim"]] = np.concatenate([pivots.get(row["dim"], np.zeros((0, row["dim"]))), unit(np.asarray([row["v"]]))])
+    if factor is None:
+        dims = [row["dim"] for row in sample]
+        same = [row for row in sample if row["dim"] == max(set(dims), key=lambda x: (dims.count(x), x))]
+        factor = tuned(unit(np.asarray([row["v"] for row in same])), np.asarray([row["id"] for row in same]), k)
 
     def to_pivots(dim: int, v: np.ndarray) -> np.ndarray:
         """Distances to the pivots of that dimension; without any, all are at 0 from one."""

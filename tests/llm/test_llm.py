@@ -230,9 +230,12 @@ def test_tree_prunes():
     best = np.argsort(d, axis=1)[:, :5]
     rows, _ = vptree.search(u, ids, tree, u[q], ids[q], 5, 1.0)
     assert (np.sort(rows) == np.sort(best)).all()
-    rows, computed = vptree.search(u, ids, tree, u[q], ids[q], 5, vptree.FACTOR)
-    assert computed < 0.8 * len(q) * len(u)
+    factor = vptree.tuned(u, ids, 5)
+    rows, computed = vptree.search(u, ids, tree, u[q], ids[q], 5, factor)
+    assert factor > 1 and computed < 0.9 * len(q) * len(u)
     assert np.mean([len({*a} & {*b}) / 5 for a, b in zip(rows.tolist(), best.tolist())]) >= 0.9
+    flat = vptree.unit(np.concatenate([r.standard_normal((600, 3)), np.tile(r.standard_normal((1, 3)), (50, 1))]))
+    assert vptree.tuned(flat, np.arange(650), 5) >= 1 and vptree.tuned(flat[:1], np.arange(1), 5) == 1
 
 
 def test_tree_recall(spark, sf_dir):
