@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
+from marginalia.session import keep
 
 
 def canonical(a: Column, b: Column) -> list[Column]:
@@ -31,10 +32,12 @@ def target_negatives(n_positive: int, n_notes: int, ratio: float = 5.0) -> int:
 
 
 def random_negatives(nodes: DataFrame, taken: DataFrame, n: int, seed: int = 42, tries: int = 4) -> DataFrame:
-    """n pairs that are not taken: each node is offered partners by the hash of its draws, and the least hashes stay.
+    """n pairs that are not taken, or all there are: each node is offered partners by the hash of its draws, and the least hashes stay.
 
     Offers grow with n and not with all pairs; more tries than needed make up for
-    draws that fall on taken or equal pairs. The table of nodes gives each a number.
+    draws that fall on taken or equal pairs. Where they do not, as most pairs are
+    taken or asked for, the rest comes from the enumeration of all pairs. The
+    table of nodes gives each a number.
     """
     total = nodes.count()
     if total < 2 or n < 1:
@@ -45,7 +48,10 @@ def random_negatives(nodes: DataFrame, taken: DataFrame, n: int, seed: int = 42,
     offers = offers.withColumn("m", F.pmod(F.conv(F.substring(seeded(F.col("id"), F.col("k"), seed=seed), 1, 12), 16, 10).cast("long"), F.lit(total)))
     other = ranked.select(F.col("id").alias("other"), F.col("n").alias("m"))
     made = offers.join(other, "m").where("id <> other").select(*canonical(F.col("id"), F.col("other"))).distinct()
-    return made.join(taken, ["a", "b"], "left_anti").orderBy(seeded(F.col("a"), F.col("b"), seed=seed), "a", "b").limit(n)
+    first = lambda pairs, most: pairs.join(taken, ["a", "b"], "left_anti").orderBy(seeded(F.col("a"), F.col("b"), seed=seed), "a", "b").limit(most)
+    found = keep(first(made, n), "negatives")
+    left = n - found.count()
+    return found if left <= 0 else found.unionByName(first(enumerated(nodes).join(found, ["a", "b"], "left_anti"), left))
 
 
 def numbered(df: DataFrame, key: str, groups: int = 64) -> DataFrame:
