@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ FRAGMENTS_HELD = 400_000
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of a text of the byte-level vocabulary (a fixed value of that file).
 GPT_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
+#: Bytes that some tables count as white space.
+ODD = re.compile(b"[\x1c-\x1f]").search
 #: A byte that UTF-8 never uses stands for the end of a word.
 END = b"\xff"
 
@@ -103,21 +106,38 @@ class ForcedBoundaryBPE:
         self.pieces = regex.compile(WORD_PIECES if suffix else GPT_PIECES).findall
         self.old: dict[str, bool] = {}
 
-    def fragments(self, piece: bytes) -> list[bytes]:
-        """The piece cut at every forced pair."""
-        b = np.frombuffer(piece, np.uint8)
-        cuts = [0, *(np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist(), len(b)]
-        return [piece[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _merged(self, piece: bytes) -> bytes:
-        """Ids of one piece of the pattern, from those of its fragments."""
-        ranks: list[int] = []
-        parts = self.fragments(piece)
+    def fragments(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """(the pieces cut at every forced pair, number of fragments of each piece); none is empty."""
+        b = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        cut = np.zeros(len(b), bool)  # after which bytes
+        cut[:-1] = self.forced[b[:-1], b[1:]]
+        cut[ends - 1] = True
+        stops = np.flatnonzero(cut) + 1
+        whole, stop = b.tobytes(), stops.tolist()
+        parts = [whole[x:y] for x, y in zip([0, *stop[:-1]], stop, strict=True)]
+        return parts, np.diff(np.searchsorted(stops, ends, side="right"), prepend=0)
+
+    def _learn(self, runs: list) -> None:
+        """Holds the ids of runs: pieces of the pattern, or runs between white space and all their pieces."""
         if self.words:
-            parts[-1] += END
-        for part in parts:
-            ranks += self.merge(part)
-        return self.of_rank[ranks].tobytes()
+            found = [self.pieces(run.decode()) if run.isascii() and not ODD(run) else self._split(run.decode()) for run in runs]
+            pieces, per_run = [p.encode() for ps in found for p in ps], [len(ps) for ps in found]
+        else:
+            pieces, per_run = [run.encode() for run in runs], [1] * len(runs)
+        if pieces:
+            parts, per_piece = self.fragments(pieces)
+            if self.words:
+                for last in (np.cumsum(per_piece) - 1).tolist():
+                    parts[last] += END
+            merged = list(map(self.merge, parts))
+            sizes = np.concatenate([[0], np.cumsum([len(m) for m in merged])])[np.concatenate([[0], np.cumsum(per_piece)])]
+            ids = self.of_rank[list(chain.from_iterable(merged))].tobytes()
+        else:
+            sizes, ids = np.zeros(1, np.int64), b""
+        at = (4 * sizes[np.concatenate([[0], np.cumsum(per_run)]).astype(int)]).tolist()
+        for run, x, y in zip(runs, at[:-1], at[1:], strict=True):
+            self.held[run] = ids[x:y]
 
     def _known(self, text: str) -> bool:
         """Whether all characters are assigned in this Python's tables, so that all tables agree on them."""
@@ -137,30 +157,24 @@ class ForcedBoundaryBPE:
             return self.pieces(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _ids(self, run: bytes | str) -> bytes:
-        """Ids of one piece, or of a run between white space."""
-        if self.words:
-            return b"".join(self._merged(piece.encode()) for piece in self._split(run.decode()))
-        return self._merged(run.encode())
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if any(x in text for x in self.special):
-            return b"".join(self.special[part] if part in self.special else self.encode(part) for part in self.at_special(text) if part)
-        runs = text.lower().split() if self.words else self._split(text.decode())
-        held = self.held
-        parts = list(map(held.get, runs))
-        if None in parts:
-            if len(held) > FRAGMENTS_HELD:
-                held.clear()
-            for k, part in enumerate(parts):
-                if part is None:
-                    run = runs[k]
-                    part = held.get(run)
-                    if part is None:
-                        part = held[run] = self._ids(run)
-                    parts[k] = part
-        return b"".join(parts)
+    def _runs(self, text: bytes) -> list:
+        return text.lower().split() if self.words else self._split(text.decode())
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is learned at once."""
+        plain = [self._runs(t) if not any(x in t for x in self.special) else None for t in texts]
+        for k, runs in enumerate(plain):
+            if runs is None:
+                plain[k] = [r for part in self.at_special(texts[k]) if part for r in ([(part,)] if part in self.special else self._runs(part))]
+        # A special token's key is a tuple, as a run may be spelt like it once it is lower-cased.
+        known = {(x,): ids for x, ids in self.special.items()}
+        new = set().union(*plain).difference(known, self.held)
+        if len(self.held) + len(new) > FRAGMENTS_HELD:
+            self.held.clear()
+            new = set().union(*plain).difference(known)
+        self.held |= known
+        self._learn(list(new))
+        return [b"".join(map(self.held.__getitem__, runs)) for runs in plain]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -183,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = ForcedBoundaryBPE(path)
         for whole in batches:
             for batch in text_slices(whole, 1):
-                ids = [bpe.encode(t) for t in texts_of(batch.column(1))]
+                ids = bpe.encode(texts_of(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())],
                     ["id", "ids", "decoded"],
@@ -207,8 +221,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for whole in batches:
             for batch in text_slices(whole, 1):
                 n, a, b = [], [], []
-                for t in texts_of(batch.column(1)):
-                    ids = bpe.encode(t)
+                for ids in bpe.encode(texts_of(batch.column(1))):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

@@ -103,8 +103,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for whole in batches:
             for batch in text_slices(whole, 1):
                 out: list[list] = [[] for _ in columns]
-                for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                    ids = bpe.encode(text) + end
+                for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode(texts_of(batch.column(1))), strict=True):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):

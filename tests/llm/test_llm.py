@@ -110,9 +110,11 @@ def test_bpe(name):
     alphabet = "aàb \n\t.'sé1!  ñ<|>é\xa0Жж日本한ب३\u0301\u200d🙂"
     for text in ODD + ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(800)]:
         ids = theirs.encode(text, add_special_tokens=False).ids
-        assert ours.encode(text.encode()) == np.asarray(ids, "<u4").tobytes(), text
+        assert ours.encode([text.encode()]) == [np.asarray(ids, "<u4").tobytes()], text
         if "word" not in name:
-            assert ours.decode(ours.encode(text.encode())) == theirs.decode(ids, skip_special_tokens=False) == text
+            assert ours.decode(ours.encode([text.encode()])[0]) == theirs.decode(ids, skip_special_tokens=False) == text
+    again = bpe.ForcedBoundaryBPE(path)  # all at once
+    assert again.encode([t.encode() for t in ODD]) == [np.asarray(theirs.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ODD] and again.encode([]) == []
 
 
 def test_forced_pairs_are_in_no_token():
@@ -125,9 +127,9 @@ def test_all_forced_pairs_are_cut():
     b = bpe.ForcedBoundaryBPE(bpe.vocabulary("byte_bpe_50k.json"))
     for piece in (" Жизнь", "日本語", "naïve", "=\x00\x01~", "x" * 40):
         raw = piece.encode()
-        parts = b.fragments(raw)
-        assert b"".join(parts) == raw and len(parts) == 1 + sum(b.forced[x, y] for x, y in zip(raw, raw[1:]))
-    assert len(b.fragments("=\x00\x01~".encode())) > 1
+        parts, per = b.fragments([raw, b"a", raw])
+        assert parts[: per[0]] == parts[per[0] + 1 :] and b"".join(parts[: per[0]]) == raw and len(parts) == 2 * per[0] + 1 and per[0] == 1 + sum(b.forced[x, y] for x, y in zip(raw, raw[1:]))
+    assert len(b.fragments(["=\x00\x01~".encode()])[0]) > 1
 
 
 def test_tables_agree_on_known_characters():
