@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -180,6 +181,12 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@cache
+def loaded(path: str) -> ForcedBoundaryBPE:
+    """The vocabulary of a file, read once a Python worker, with the runs that its tasks have met."""
+    return ForcedBoundaryBPE(path)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
@@ -194,7 +201,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBPE(path)
+        bpe = loaded(path)
         for whole in batches:
             for batch in text_slices(whole, 1):
                 ids = bpe.encode(texts_of(batch.column(1)))
@@ -217,7 +224,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBPE(path)
+        bpe = loaded(path)
         for whole in batches:
             for batch in text_slices(whole, 1):
                 n, a, b = [], [], []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from marginalia.llm.blocks import text_slices
-from marginalia.llm.bpe import ForcedBoundaryBPE, texts_of, vocabulary
+from marginalia.llm.bpe import loaded, texts_of, vocabulary
 from marginalia.session import keep, table
 
 CAPACITY = 4096
@@ -99,7 +99,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     columns = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = ForcedBoundaryBPE(path), np.asarray([end_id], "<u4").tobytes()
+        bpe, end = loaded(path), np.asarray([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in text_slices(whole, 1):
                 out: list[list] = [[] for _ in columns]
