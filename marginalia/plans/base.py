@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.session import table
+from marginalia.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,9 +30,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of documents, for costly work on the texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as notes: a vault for each source, a folder for each language."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id", F.col("source").alias("vault_name"), F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), "doc_id", F.lit(".md"))).alias("path"), F.concat_ws("/", "source", "lang").alias("folder"),
         F.concat(F.lit("doc_"), "doc_id").alias("stem"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size"),

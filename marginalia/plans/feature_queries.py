@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import markdown as M
 from marginalia.operators import checks, events, features, links, pairs, search
 from marginalia.operators import notes as N
-from marginalia.plans.base import DENSE, MARKED, NOTES, dense, ends, marked, notes, query, six
+from marginalia.plans.base import DENSE, MARKED, NOTES, dense, ends, marked, notes, query, six, texts
 from marginalia.plans.text_queries import FEATURES
 from marginalia.session import table
 
@@ -85,7 +85,7 @@ PAIRED = f"""WITH {FEATURES}, c2 AS (SELECT *, list_sum(p) / len(p) AS cx FROM c
 
 @query("m10_content_similarity", f"""{PAIRED}, q AS (SELECT a.doc_id AS a, b.doc_id AS b, list_filter([CASE WHEN abs(a.sentiment_score - b.sentiment_score) <= 2 THEN 1 - abs(a.sentiment_score - b.sentiment_score) / 2 END, CASE WHEN a.content_type = b.content_type THEN 1.0 ELSE 0.0 END, CASE WHEN abs(a.cx - b.cx) <= 1 THEN 1 - abs(a.cx - b.cx) END], lambda x: x IS NOT NULL) AS l FROM c2 a JOIN c2 b ON b.doc_id = a.doc_id + 20) SELECT a, b, round(list_sum(l) / len(l), 5) AS content_similarity FROM q""")
 def content_similarity(spark, sf_dir):
-    f = N.content_features(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "sentiment_score", "content_type", "complexity_score")
+    f = N.content_features(texts(spark, sf_dir), "text").select("doc_id", "sentiment_score", "content_type", "complexity_score")
     a, b = (f.select(*[F.col(c).alias(f"{k}_{c}") for c in f.columns]) for k in "ab")
     both = a.join(b, F.col("b_doc_id") == F.col("a_doc_id") + 20)
     of = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
@@ -124,7 +124,7 @@ def snippets(spark, sf_dir):
 
 @query("m36_analysis_summary", f"{PAIRED} SELECT doc_id, CASE WHEN cx > 0.7 THEN 'high' WHEN cx > 0.4 THEN 'medium' ELSE 'low' END AS complexity_level, CASE WHEN readability_score > 70 THEN 'easy' WHEN readability_score > 50 THEN 'moderate' ELSE 'difficult' END AS readability_level, technical_density > 0.1 AS technical_content, CASE WHEN heading_count > 5 THEN 'high' WHEN heading_count > 2 THEN 'medium' ELSE 'low' END AS structure_richness, CASE WHEN vocabulary_richness > 0.7 THEN 'high' WHEN vocabulary_richness > 0.5 THEN 'medium' ELSE 'low' END AS vocabulary_level FROM c2")
 def analysis_summary(spark, sf_dir):
-    out = N.analysis_summary(N.content_features(table(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
+    out = N.analysis_summary(N.content_features(texts(spark, sf_dir), "text"))
     return out.select("doc_id", "complexity_level", "readability_level", "technical_content", "structure_richness", "vocabulary_level")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import scores as S
 from marginalia.functions import vectors as V
 from marginalia.operators import events, search, terms
-from marginalia.plans.base import AS_OF, NOTES, notes, query, six
+from marginalia.plans.base import AS_OF, NOTES, notes, query, six, texts
 from marginalia.plans.text_queries import WEIGHTS
 from marginalia.session import table
 from marginalia.sources import store, vault
@@ -218,7 +218,7 @@ def combined(spark, sf_dir):
     """Vectors and texts of the same number are one note's."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     p = v.select(F.col("vec_id").alias("a"), "embedding").join(v.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("other")), "a")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = texts(spark, sf_dir)
     found = terms.documents(d, "doc_id")
     alike = terms.pair_cosine(terms.weights(found, terms.vocabulary(found, d.count())), p.select("a", "b"))
     return p.join(alike, ["a", "b"]).select("a", six(S.combined_similarity(V.cosine(F.col("embedding"), F.col("other")), F.col("tfidf_similarity")), "combined"))

@@ -9,7 +9,7 @@ from marginalia.functions import markdown as M
 from marginalia.functions import text as T
 from marginalia.operators import notes as N
 from marginalia.operators import terms
-from marginalia.plans.base import MARKED, NOTES, marked, notes, query, six
+from marginalia.plans.base import MARKED, NOTES, marked, notes, query, six, texts
 from marginalia.session import table
 from marginalia.sources.vault import cache_key as cache_key_of
 from marginalia.sources.vault import checksum as checksum_of
@@ -136,7 +136,7 @@ ROUNDED = ["sentiment_score", "avg_sentence_length", "avg_word_length", "vocabul
 
 @query("h27_content_features", f"WITH {FEATURES} SELECT doc_id, total_words, content_type, heading_count, max_heading_depth, list_count, code_block_count, sentiment_label, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in ROUNDED)}, round(list_sum(p) / len(p), 6) AS complexity_score FROM co")
 def content_features(spark, sf_dir):
-    out = N.content_features(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+    out = N.content_features(texts(spark, sf_dir), "text").drop("text")
     return out.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes if c != "doc_id"])
 
 
@@ -213,7 +213,7 @@ v AS (SELECT term, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1 AS idf FRO
 
 
 def _weights(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = texts(spark, sf_dir)
     found = terms.documents(d, "doc_id")
     return found, terms.vocabulary(found, d.count())
 

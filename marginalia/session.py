@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores, dealt over all of them for costly work on its rows; other scans as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with as many underscores behind it as make it one that df has no column of, in any case."""
     taken = {c.lower() for c in df.columns}
