@@ -28,13 +28,13 @@ from marginalia.llm.blocks import text_slices
 from marginalia.session import table
 
 #: Encoded pieces that a Python worker holds; the table starts anew beyond it.
-FRAGMENTS_HELD = 400_000
+FRAGMENTS_HELD = 200_000
 #: Pieces of a lower-cased text of the word vocabulary (a fixed value of that file).
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of a text of the byte-level vocabulary (a fixed value of that file).
 GPT_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Bytes that some tables count as white space.
-ODD = re.compile(b"[\x1c-\x1f]").search
+#: Characters beyond the Latin letters that all tables agree on, and those that some count as white space.
+ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f]").search
 #: A byte that UTF-8 never uses stands for the end of a word.
 END = b"\xff"
 
@@ -119,11 +119,11 @@ class ForcedBoundaryBPE:
         parts = [whole[x:y] for x, y in zip([0, *stop[:-1]], stop, strict=True)]
         return parts, np.diff(np.searchsorted(stops, ends, side="right"), prepend=0)
 
-    def _learn(self, runs: list) -> None:
-        """Holds the ids of runs: pieces of the pattern, or runs between white space and all their pieces."""
+    def _learn(self, runs: list) -> dict:
+        """The ids of runs: pieces of the pattern, or runs between white space and all their pieces."""
         if self.words:
-            found = [self.pieces(run.decode()) if run.isascii() and not ODD(run) else self._split(run.decode()) for run in runs]
-            pieces, per_run = [p.encode() for ps in found for p in ps], [len(ps) for ps in found]
+            found = [[run] if run.isalpha() else [p.encode() for p in self._split(run.decode())] for run in runs]
+            pieces, per_run = list(chain.from_iterable(found)), list(map(len, found))
         else:
             pieces, per_run = [run.encode() for run in runs], [1] * len(runs)
         if pieces:
@@ -137,8 +137,7 @@ class ForcedBoundaryBPE:
         else:
             sizes, ids = np.zeros(1, np.int64), b""
         at = (4 * sizes[np.concatenate([[0], np.cumsum(per_run)]).astype(int)]).tolist()
-        for run, x, y in zip(runs, at[:-1], at[1:], strict=True):
-            self.held[run] = ids[x:y]
+        return {run: ids[x:y] for run, x, y in zip(runs, at[:-1], at[1:], strict=True)}
 
     def _known(self, text: str) -> bool:
         """Whether all characters are assigned in this Python's tables, so that all tables agree on them."""
@@ -151,8 +150,8 @@ class ForcedBoundaryBPE:
     def _split(self, text: str) -> list[str]:
         """Pieces of a text, or of a run between white space, normalized as the vocabulary asks."""
         if self.words:
-            if max(text, default="") < "\u0250" and not any("\x1c" <= c <= "\x1f" or c in "\x85\xa0" for c in text):
-                return self.pieces("".join(c.lower() for c in text))
+            if not ODD(text):
+                return self.pieces(text.lower())
             text = self.tokenizer.normalizer.normalize_str(text)
         elif text.isascii() or self._known(text):
             return self.pieces(text)
@@ -168,14 +167,16 @@ class ForcedBoundaryBPE:
             if runs is None:
                 plain[k] = [r for part in self.at_special(texts[k]) if part for r in ([(part,)] if part in self.special else self._runs(part))]
         # A special token's key is a tuple, as a run may be spelt like it once it is lower-cased.
-        known = {(x,): ids for x, ids in self.special.items()}
-        new = set().union(*plain).difference(known, self.held)
-        if len(self.held) + len(new) > FRAGMENTS_HELD:
+        self.held |= {(x,): ids for x, ids in self.special.items()}
+        found = [list(map(self.held.get, runs)) for runs in plain]
+        short = [k for k, parts in enumerate(found) if None in parts]
+        fresh = self._learn(list({run for k in short for run, part in zip(plain[k], found[k], strict=True) if part is None}))
+        for k in short:
+            found[k] = [fresh[run] if part is None else part for run, part in zip(plain[k], found[k], strict=True)]
+        if len(self.held) + len(fresh) > FRAGMENTS_HELD:
             self.held.clear()
-            new = set().union(*plain).difference(known)
-        self.held |= known
-        self._learn(list(new))
-        return [b"".join(map(self.held.__getitem__, runs)) for runs in plain]
+        self.held |= fresh
+        return list(map(b"".join, found))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
