@@ -198,7 +198,10 @@ def main_text(html: str | None) -> str:
             break
         best = down[0]
     loose = {k for k in inner[best] if not held[k] and links[k]} if parser.kinds[best] in ("", "html", "body") else set()  # menus and teasers beside the content
-    keep = [x.text for x, on in zip(lines, content, strict=True) if _inside(parents, x.region, best) and (on or not x.mark) and not any(_inside(parents, x.region, k) for k in loose)]
+    kept = [False] * n  # regions inside the best one and outside of loose ones; a region's number is above its parent's
+    for k in range(best, n):
+        kept[k] = k == best or kept[parents[k]] and k not in loose
+    keep = [x.text for x, on in zip(lines, content, strict=True) if kept[x.region] and (on or not x.mark)]
     return " ".join(keep)
 
 
