@@ -47,6 +47,17 @@ class Cache:
         return {"size": len(self.held), "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / max(1, self.hits + self.misses)}
 
 
+def as_markdown(title: str, frame: DataFrame, most: int = 20) -> str:
+    """The first rows of a table as a Markdown section; numbers have at most four decimals."""
+
+    def cell(v: Any) -> str:
+        return (f"{v:.4f}".rstrip("0").rstrip(".") if isinstance(v, float) else ", ".join(map(cell, v)) if isinstance(v, list) else "" if v is None else str(v)).replace("|", "\\|")
+
+    rows = [[cell(v) for v in r] for r in frame.limit(most).collect()]
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([f"## {title.capitalize()}", "", line(frame.columns), line(["---"] * len(frame.columns)), *map(line, rows)])
+
+
 class Vaults:
     """Notes with vectors and edges, and the tools over them. Frames are read when a tool is called."""
 
@@ -135,6 +146,11 @@ class Vaults:
     def graph_tables(self) -> tuple[DataFrame, DataFrame]:
         return links.graph_tables(self.parsed())
 
+    def report(self, most: int = 20) -> str:
+        """The vault's context and recommendations as Markdown, at most so many rows of each part."""
+        advice = [f"- {r['title']} ({r['priority']})" for r in self.recommendations()]
+        return "\n\n".join(["# Vault context", *(as_markdown(name, frame, most) for name, frame in self.context().items()), "## Recommendations", "\n".join(advice) or "none"])
+
     def validate(self, confined_to: str | None = None) -> dict:
         return checks.vault(self.notes, confined_to)
 

@@ -223,3 +223,11 @@ def path_distance(a: Column, b: Column) -> Column:
     same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
     common = F.aggregate(same, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, e: F.struct((s["on"] & e).alias("on"), (s["n"] + (s["on"] & e).cast("int")).alias("n")))["n"]
     return F.size(x) + F.size(y) - 2 * common
+
+
+def human_bytes(size: Column) -> Column:
+    """A size with one decimal in the largest unit that it has one of: `512 B`, `1.5 KB`."""
+    out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+        out = out.when(size < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", size / float(1024**power)))
+    return out.otherwise(F.format_string("%.1f TB", size / float(1024**4)))

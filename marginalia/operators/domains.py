@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from marginalia.functions import text as T
 from marginalia.functions import vectors as V
 from marginalia.operators.graph import components
 from marginalia.operators.search import similar_pairs
+from marginalia.session import keep
 
 
 def density_clusters(notes: DataFrame, similarity: float = 0.7, least: int = 3) -> DataFrame:
@@ -23,6 +26,21 @@ def density_clusters(notes: DataFrame, similarity: float = 0.7, least: int = 3)
     return notes.select("id").join(found, "id", "left")
 
 
+def domain_clusters(notes: DataFrame, similarity: float = 0.7, least: int = 3, most: int = 10, seed: int = 42) -> DataFrame:
+    """id, cluster of the domains: density clusters; where those are fewer than two, clusters by means of all notes as well, so that a note may be in one of each kind."""
+    found = keep(density_clusters(notes, similarity, least).where("cluster is not null").select("id", F.concat(F.lit("density_"), F.col("cluster").cast("string")).alias("cluster")), "clusters")
+    if found.select("cluster").distinct().limit(2).count() > 1:
+        return found
+    n = notes.count()
+    k = min(most, max(2, n // 10))
+    if n < 2:
+        return found
+    rows = notes.select("id", array_to_vector(V.normalised(F.col("embedding"))).alias("features"))
+    groups = KMeans(k=k, seed=seed, maxIter=50).fit(rows).transform(rows).select("id", F.concat(F.lit("means_"), F.col("prediction").cast("string")).alias("cluster"))
+    large = groups.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
+    return found.unionByName(groups.join(large, "cluster", "left_semi").select("id", "cluster"))
+
+
 def centroids(members: DataFrame) -> DataFrame:
     """cluster, n, centroid, coherence: means of (cluster, embedding); coherence is the mean cosine of pairs, from the length of the sum of unit vectors."""
     u = members.select("cluster", F.posexplode("embedding").alias("pos", "x"), V.norm(F.col("embedding")).alias("l"))

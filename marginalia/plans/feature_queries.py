@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as M
-from marginalia.operators import checks, events, features, links, pairs, search
+from marginalia.functions.text import human_bytes
+from marginalia.operators import checks, domains, events, features, links, pairs, search
 from marginalia.operators import notes as N
 from marginalia.plans.base import DENSE, MARKED, NOTES, dense, ends, marked, notes, query, six, texts
 from marginalia.plans.text_queries import FEATURES
@@ -250,3 +251,13 @@ def graph_augmented(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), "embedding")
     e = v.select(F.col("path").alias("src"), F.when(F.col("path") % 2 == 0, "LINKS_TO").otherwise("HAS_TAG").alias("rel_type"), (F.col("path") + 1).alias("dst"))
     return search.graph_augmented(v, e, v.orderBy("path").first()["embedding"]).select("path", F.round("score", 5).alias("score"), "dst")
+
+
+@query("x32_sizes", "SELECT o_orderkey, CASE WHEN o_custkey * 977 < 1024 THEN (o_custkey * 977)::VARCHAR || ' B' WHEN o_custkey * 977 < 1048576 THEN printf('%.1f', floor(o_custkey * 977 / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(o_custkey * 977 / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' MB' END AS size FROM orders")
+def sizes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", human_bytes(F.col("o_custkey") * 977).alias("size"))
+
+
+@query("t9_domain_clusters")
+def domain_clusters(spark, sf_dir):
+    return domains.domain_clusters(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))

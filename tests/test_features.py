@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marginalia import __main__, plugins
 from marginalia.api import Vaults
 from marginalia.functions import markdown as M
-from marginalia.operators import checks, events, features, pairs, terms
+from marginalia.operators import checks, domains, events, features, pairs, terms
 from marginalia.operators import notes as N
 from marginalia.settings import Settings
 from marginalia.sources import backends
@@ -146,6 +146,16 @@ def test_settings(spark):
         Settings.load(None, {"MARGINALIA_CHUNK_SIZE": "100"})
 
 
+def test_domain_clusters_fall_back_to_means(spark):
+    near, far = [(k, [1.0, 0.01 * k]) for k in range(6)], [(10 + k, [0.01 * k, 1.0]) for k in range(5)]
+    schema = "id long, embedding array<double>"
+    two = domains.domain_clusters(spark.createDataFrame(near + far, schema), 0.9)
+    assert {frozenset(r["ids"]) for r in two.groupBy("cluster").agg(F.collect_set("id").alias("ids")).collect()} == {frozenset(range(6)), frozenset(range(10, 15))}
+    one_ = domains.domain_clusters(spark.createDataFrame(near + [(20, [-1.0, 0.0]), (21, [-1.0, 0.1]), (22, [-1.0, -0.1]), (23, [-1.0, 0.2])], schema), 0.9, least=5)
+    assert {r["cluster"].split("_")[0] for r in one_.collect()} == {"density", "means"}
+    assert domains.domain_clusters(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_plugins():
     r = plugins.Registry()
     r.add("base", "extension")(lambda: 1)
@@ -181,6 +191,7 @@ def test_datasets_and_command_line(spark, tmp_path, capsys):
     assert z["semantic_summary"] == f"{LONG} again" and z["pagerank_score"] > 0 and z["sentiment_label"] == "neutral" and len(x) >= 35
     pair = v.pairs_dataset(1.0).where("a = 'a/x.md' and b = 'a/y.md'").first()
     assert pair["link_exists"] and pair["shortest_path"] == 1 and 0 < pair["tfidf_similarity"] <= 1
+    assert "## Organisation" in v.report(3) and "## Recommendations" in v.report(3)
     assert v.validate()["valid"] and v.graph_tables()[1].where("rel_type = 'UP'").count() == 1
     vault = ["--vault", f"v=file://{root}"]
     assert __main__.main([*vault, "stats"], spark) == 0 and __main__.main([*vault, "search", "again"], spark) == 0
