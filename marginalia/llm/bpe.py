@@ -21,14 +21,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.blocks import text_slices
 from marginalia.session import table
 
-#: Encoded pieces that a Python worker holds; the table starts anew beyond it.
-FRAGMENTS_HELD = 200_000
+#: Encoded pieces in the table of a Python worker; beyond it a new one is begun and the old one is kept to look up what comes again.
+FRAGMENTS_HELD = 250_000
 #: Pieces of a lower-cased text of the word vocabulary (a fixed value of that file).
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of a text of the byte-level vocabulary (a fixed value of that file).
@@ -37,6 +38,8 @@ GPT_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p
 ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f]").search
 #: A byte that UTF-8 never uses stands for the end of a word.
 END = b"\xff"
+#: Characters for the end of a word and between fragments in a text of many ASCII fragments, and their ranks, below those of merges.
+MARK, PART, MARKED, PARTED = "\x80", "\x81", 600, 601
 
 
 def vocabulary(name: str) -> str:
@@ -55,6 +58,11 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of counts[k] entries for each k, one behind the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class ForcedBoundaryBPE:
     """Encodes and decodes whole texts, given as UTF-8 bytes, with one vocabulary file of the tokenizers library.
 
@@ -103,7 +111,10 @@ class ForcedBoundaryBPE:
         for token, rank in ranks.items():
             self.of_rank[rank] = by_raw.get(token, 0)
         self.merge = tiktoken.Encoding("own", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.words, self.held = bool(suffix), {}
+        # The same for many ASCII fragments in one text: characters beyond ASCII stand for word ends and part them.
+        own = {t[:-1] + MARK.encode() if t.endswith(END) and len(t) > 1 else t: r for t, r in ranks.items()} | {MARK.encode(): MARKED, PART.encode(): PARTED}
+        self.merge_all = tiktoken.Encoding("own", pat_str=f"[^{PART}]+|{PART}", mergeable_ranks=own, special_tokens={})._core_bpe.encode_ordinary
+        self.words, self.held, self.older = bool(suffix), {}, {}
         self.pieces = regex.compile(WORD_PIECES if suffix else GPT_PIECES).findall
         self.old: dict[str, bool] = {}
 
@@ -128,17 +139,33 @@ class ForcedBoundaryBPE:
             pieces, per_run = [run.encode() for run in runs], [1] * len(runs)
         if pieces:
             parts, per_piece = self.fragments(pieces)
+            last = np.zeros(len(parts), bool)
             if self.words:
-                for last in (np.cumsum(per_piece) - 1).tolist():
-                    parts[last] += END
-            merged = list(map(self.merge, parts))
-            sizes = np.concatenate([[0], np.cumsum([len(m) for m in merged])])[np.concatenate([[0], np.cumsum(per_piece)])]
-            ids = self.of_rank[list(chain.from_iterable(merged))].tobytes()
+                last[np.cumsum(per_piece) - 1] = True
+            ranks, counts = self._merged(parts, last)
+            sizes = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_piece)])]
+            ids = self.of_rank[ranks].tobytes()
         else:
             sizes, ids = np.zeros(1, np.int64), b""
         at = (4 * sizes[np.concatenate([[0], np.cumsum(per_run)]).astype(int)]).tolist()
         return {run: ids[x:y] for run, x, y in zip(runs, at[:-1], at[1:], strict=True)}
 
+    def _merged(self, parts: list[bytes], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks of all fragments one behind the other, their number in each); last: fragments that end a word."""
+        plain = np.fromiter((p.isascii() for p in parts), bool, len(parts))
+        ends = [PART, MARK + PART]
+        text = "".join([p.decode() + ends[e] for p, e, on in zip(parts, last.tolist(), plain.tolist(), strict=True) if on])
+        mine = np.asarray(self.merge_all(text), np.int64)
+        stops = np.flatnonzero(mine == PARTED)
+        other = [self.merge(p + END * e) for p, e, on in zip(parts, last.tolist(), plain.tolist(), strict=True) if not on]
+        counts = np.zeros(len(parts), np.int64)
+        counts[plain] = np.diff(stops, prepend=-1) - 1
+        counts[~plain] = [len(x) for x in other]
+        out, starts = np.zeros(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+        out[ragged(starts[plain], counts[plain])] = mine[mine != PARTED]
+        out[ragged(starts[~plain], counts[~plain])] = list(chain.from_iterable(other))
+        return out, counts
+
     def _known(self, text: str) -> bool:
         """Whether all characters are assigned in this Python's tables, so that all tables agree on them."""
         new = set(text).difference(self.old)
@@ -157,26 +184,45 @@ class ForcedBoundaryBPE:
             return self.pieces(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _runs(self, text: bytes) -> list:
-        return text.lower().split() if self.words else self._split(text.decode())
+    def _of(self, runs: list) -> list[bytes]:
+        """The ids of different runs, from the table or learned at once."""
+        found = list(map(self.held.get, runs))
+        missed = [run for run, ids in zip(runs, found, strict=True) if ids is None]
+        before = list(map(self.older.get, missed))
+        fresh = dict(zip(missed, before, strict=True)) | self._learn([run for run, ids in zip(missed, before, strict=True) if ids is None])
+        if len(self.held) + len(fresh) > FRAGMENTS_HELD:
+            self.older, self.held = self.held, {}
+        self.held |= fresh
+        return [fresh[run] if ids is None else ids for run, ids in zip(runs, found, strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is learned at once."""
-        plain = [self._runs(t) if not any(x in t for x in self.special) else None for t in texts]
-        for k, runs in enumerate(plain):
-            if runs is None:
-                plain[k] = [r for part in self.at_special(texts[k]) if part for r in ([(part,)] if part in self.special else self._runs(part))]
-        # A special token's key is a tuple, as a run may be spelt like it once it is lower-cased.
-        self.held |= {(x,): ids for x, ids in self.special.items()}
-        found = [list(map(self.held.get, runs)) for runs in plain]
-        short = [k for k, parts in enumerate(found) if None in parts]
-        fresh = self._learn(list({run for k in short for run, part in zip(plain[k], found[k], strict=True) if part is None}))
-        for k in short:
-            found[k] = [fresh[run] if part is None else part for run, part in zip(plain[k], found[k], strict=True)]
-        if len(self.held) + len(fresh) > FRAGMENTS_HELD:
-            self.held.clear()
-        self.held |= fresh
-        return list(map(b"".join, found))
+        whole = [k for k, t in enumerate(texts) if not any(x in t for x in self.special)]
+        out = dict(zip(whole, self._encode([texts[k] for k in whole]), strict=True))
+        for k, t in enumerate(texts):
+            if k not in out:  # special tokens are ids of their own
+                out[k] = b"".join(self.special[part] if part in self.special else self._encode([part])[0] for part in self.at_special(t) if part)
+        return [out[k] for k in range(len(texts))]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        """Texts without special tokens: their runs as numbers into the table of the different ones, and those back as ids."""
+        if not texts:
+            return []
+        if self.words:
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.large_string())))
+            coded = lists.flatten().dictionary_encode()
+            runs, code, bounds = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+        else:
+            split = [self._split(t.decode()) for t in texts]
+            number: dict[str, int] = {}
+            code = np.asarray([number.setdefault(run, len(number)) for runs in split for run in runs], np.int64)
+            runs, bounds = list(number), np.concatenate([[0], np.cumsum([len(x) for x in split])])
+        known = self._of(runs)
+        counts = np.asarray([len(x) // 4 for x in known], np.int64)
+        starts, ids = np.cumsum(counts) - counts, np.frombuffer(b"".join(known), "<u4")
+        ends = 4 * np.concatenate([[0], np.cumsum(counts[code])])[bounds]
+        raw = ids[ragged(starts[code], counts[code])].tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
