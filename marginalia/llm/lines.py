@@ -35,6 +35,8 @@ from marginalia.session import discard, keep, table, unused
 BLOCK_CHARS = 30
 #: Holders of a window that are tried at once, and how many times more in each round until all are.
 HOLDERS = 8
+#: Bytes that go to a Python worker at once.
+BATCH_BYTES = 16 << 20
 
 
 def entries(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -189,7 +191,7 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
         return hits.join(lost.hint("merge"), "id", "left").select("id", "rows", "places").mapInArrow(left, "id long, h long, first long")
 
     # Joins of tables that grow are merged at any size, so that small inputs show what large ones do.
-    seqs = keep(docs.where("id is not null").mapInArrow(index, "id long, hashes array<long>, sizes array<int>"), "lines")
+    seqs = keep(docs.where("id is not null").mapInArrow(index, "id long, hashes array<long>, sizes array<int>"), "lines", batch_bytes=BATCH_BYTES)
     runs = seqs.mapInArrow(cut, "h long, id long, place int, end int")
     firsts = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     met = runs.join(firsts.hint("merge"), "h").where("id > first")

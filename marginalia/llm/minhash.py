@@ -36,6 +36,8 @@ from marginalia.session import discard, keep, table
 BANDS, ROWS = 44, 6
 #: Signature positions compared at a time, and the posterior below which a pair is pruned.
 BATCH, MISS = 33, 1e-7
+#: Bytes of text that one numpy pass makes shingles of, which takes some fifty times as much, and bytes that go to a Python worker at once.
+TEXT_BYTES, BATCH_BYTES = 1 << 20, 16 << 20
 #: Pairs whose first positions one numpy pass compares.
 TILE = 1 << 20
 
@@ -64,7 +66,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in byte_blocks(batch.column(1)):
+            for i, j, data, offsets in byte_blocks(batch.column(1), TEXT_BYTES):
                 sets = shingle_sets(data, offsets, words)
                 with np.errstate(over="ignore"):
                     s1 = np.asarray([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
@@ -139,7 +141,7 @@ def block_pairs(batch: pa.RecordBatch, steps: list[tuple[int, int]]) -> tuple[np
 
 
 def texts_as_sets(column: pa.Array, words: int) -> list[np.ndarray]:
-    return [s for _, _, data, offsets in byte_blocks(column) for s in shingle_sets(data, offsets, words)]
+    return [s for _, _, data, offsets in byte_blocks(column, TEXT_BYTES) for s in shingle_sets(data, offsets, words)]
 
 
 def alike(sets: list[np.ndarray], own: int, others: np.ndarray, percent: int) -> np.ndarray:
@@ -175,8 +177,8 @@ def star_links(stars: DataFrame, heads: DataFrame, texts: DataFrame, words: int,
                 on = 1 + np.flatnonzero(alike(texts_as_sets(batch.column(6), words), 0, np.arange(1, len(ids)), percent))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), ids[0])), pa.array(ids[on])], ["a", "b"])
 
-    left = keep(blocks(stars.withColumn("bytes", F.lit(steps[-1][0])), heads, "sig").mapInArrow(prune, "g long, id long"), "candidates")
-    links = keep(blocks(left.join(heads.select("id", "bytes").hint("merge"), "id"), texts, "text").mapInArrow(exact, "a long, b long"), "links")
+    left = keep(blocks(stars.withColumn("bytes", F.lit(steps[-1][0])), heads, "sig").mapInArrow(prune, "g long, id long"), "candidates", batch_bytes=BATCH_BYTES)
+    links = keep(blocks(left.join(heads.select("id", "bytes").hint("merge"), "id"), texts, "text").mapInArrow(exact, "a long, b long"), "links", batch_bytes=BATCH_BYTES)
     discard(left)
     return links
 
@@ -220,11 +222,11 @@ def cross_links(placed: DataFrame, heads: DataFrame, texts: DataFrame, words: in
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     blocks = dealt(placed).join(heads.select("id", "sig").hint("merge"), "id").select("g", "i", "j", "role", "id", "component", "sig")
-    found = keep(in_blocks(blocks).mapInArrow(prune, "id long, component long, other long").distinct(), "candidates")
+    found = keep(in_blocks(blocks).mapInArrow(prune, "id long, component long, other long").distinct(), "candidates", batch_bytes=BATCH_BYTES)
     clusters = connected_components(found.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("g"))
     active = found.select("id", "component").distinct().join(clusters.hint("merge"), "component").join(heads.select("id", "bytes").hint("merge"), "id")
     blocks = dealt(active.select("g", "id", "component", "bytes")).join(heads.select("id", "sig").hint("merge"), "id").join(texts.hint("merge"), "id")
-    links = keep(in_blocks(blocks.select("g", "i", "j", "role", "id", "component", "sig", "text")).mapInArrow(exact, "a long, b long"), "links")
+    links = keep(in_blocks(blocks.select("g", "i", "j", "role", "id", "component", "sig", "text")).mapInArrow(exact, "a long, b long"), "links", batch_bytes=BATCH_BYTES)
     discard(found)
     return links
 
@@ -242,13 +244,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """
     steps = least_matches(percent / 100, bands * rows, BATCH, miss)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = keep(signatures(source, words, bands, rows, "id", "text"), "signatures")
+    sigs = keep(signatures(source, words, bands, rows, "id", "text"), "signatures", batch_bytes=BATCH_BYTES)
     classes = sigs.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
     heads = sigs.join(classes.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bytes", "sig")
     heads = keep(heads.dropDuplicates(["id"]), "heads")
     members = banded(heads, bands, rows)
     shared = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    inside = keep(members.join(shared.hint("merge"), "key"), "members")
+    inside = keep(members.join(shared.hint("merge"), "key"), "members", batch_bytes=BATCH_BYTES)
     texts = keep(source.join(inside.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     stars = keep(inside.where("id <> first").select(F.col("first").alias("g"), "id").distinct(), "stars")
     links = star_links(stars, heads, texts, words, percent, steps)
