@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.blocks import released
 from marginalia.session import discard, keep, table, unused
 
 #: Code points that a block of aligned lines must have in all to be deleted.
@@ -182,21 +183,21 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_CHARS) -> DataFrame:
     def aligned(pairs: DataFrame) -> DataFrame:
         first = seqs.select(F.col("id").alias("first"), F.col("hashes").alias("theirs"))
         both = pairs.join(first.hint("merge"), "first").join(seqs.hint("merge"), "id").select("id", "hashes", "sizes", "theirs")
-        return both.mapInArrow(align, "id long, places array<int>").where("size(places) > 0")
+        return both.mapInArrow(released(align), "id long, places array<int>").where("size(places) > 0")
 
     def merged(found: DataFrame) -> DataFrame:
         return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
     def remaining(hits: DataFrame, lost: DataFrame) -> DataFrame:
-        return hits.join(lost.hint("merge"), "id", "left").select("id", "rows", "places").mapInArrow(left, "id long, h long, first long")
+        return hits.join(lost.hint("merge"), "id", "left").select("id", "rows", "places").mapInArrow(released(left), "id long, h long, first long")
 
     # Joins of tables that grow are merged at any size, so that small inputs show what large ones do.
-    seqs = keep(docs.where("id is not null").mapInArrow(index, "id long, hashes array<long>, sizes array<int>"), "lines", batch_bytes=BATCH_BYTES)
-    runs = seqs.mapInArrow(cut, "h long, id long, place int, end int")
+    seqs = keep(docs.where("id is not null").mapInArrow(released(index), "id long, hashes array<long>, sizes array<int>"), "lines", batch_bytes=BATCH_BYTES)
+    runs = seqs.mapInArrow(released(cut), "h long, id long, place int, end int")
     firsts = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     met = runs.join(firsts.hint("merge"), "h").where("id > first")
     hits = keep(met.groupBy("id").agg(F.collect_list(F.struct("place", "end", "h", "first", "n")).alias("rows")), "shared-lines")
-    tried = keep(hits.select("id", "rows").mapInArrow(rarest, "id long, first long"), "pairs")
+    tried = keep(hits.select("id", "rows").mapInArrow(released(rarest), "id long, first long"), "pairs")
     lost = keep(merged(aligned(tried)), "lost-lines")
     rest = keep(remaining(hits, lost), "left-lines")
     pairs = rest.select("id", "first").distinct().join(tried.hint("merge"), ["id", "first"], "left_anti")
@@ -258,7 +259,7 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_CHARS, digest: bool = False,
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_lines", "n_removed", "kept_chars", "kept_sha256"])
 
-        return source.join(lost.hint("merge"), source["id"] == lost[own], "left").select("id", "text", gone).mapInArrow(sums, "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
+        return source.join(lost.hint("merge"), source["id"] == lost[own], "left").select("id", "text", gone).mapInArrow(released(sums), "doc_id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string")
 
     names = docs.columns
     where = names.index(text_col)
@@ -268,7 +269,7 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_CHARS, digest: bool = False,
             texts = [t if not p or t is None else drop_places(t, p) for t, p in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else batch.column(k) for k in range(len(names))], names)
 
-    return docs.join(lost.hint("merge"), docs[id_col].cast("long") == lost[own], "left").select(*names, gone).mapInArrow(strip, docs.schema)
+    return docs.join(lost.hint("merge"), docs[id_col].cast("long") == lost[own], "left").select(*names, gone).mapInArrow(released(strip), docs.schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.blocks import byte_blocks
+from marginalia.llm.blocks import byte_blocks, released
 from marginalia.operators.components import connected_components
 from marginalia.llm.groups import BOTH, LEFT, MEMBERS, RIGHT, SIDE_BYTES, Roots, dealt, in_blocks, runs
 from marginalia.llm.shingles import minhash, mix, permutations, shingle_sets
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array(np.diff(offsets)), pa.array(sig, pa.binary())], ["doc_id", "n", "s1", "s2", "bytes", "sig"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bytes long, sig binary")
+    return rows_in.mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, bytes long, sig binary")
 
 
 def banded(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -93,7 +93,7 @@ def banded(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
 
-    return sigs.select("id", "sig").mapInArrow(run, "key long, id long")
+    return sigs.select("id", "sig").mapInArrow(released(run), "key long, id long")
 
 
 def survivors(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]], allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +177,8 @@ def star_links(stars: DataFrame, heads: DataFrame, texts: DataFrame, words: int,
                 on = 1 + np.flatnonzero(alike(texts_as_sets(batch.column(6), words), 0, np.arange(1, len(ids)), percent))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), ids[0])), pa.array(ids[on])], ["a", "b"])
 
-    left = keep(blocks(stars.withColumn("bytes", F.lit(steps[-1][0])), heads, "sig").mapInArrow(prune, "g long, id long"), "candidates", batch_bytes=BATCH_BYTES)
-    links = keep(blocks(left.join(heads.select("id", "bytes").hint("merge"), "id"), texts, "text").mapInArrow(exact, "a long, b long"), "links", batch_bytes=BATCH_BYTES)
+    left = keep(blocks(stars.withColumn("bytes", F.lit(steps[-1][0])), heads, "sig").mapInArrow(released(prune), "g long, id long"), "candidates", batch_bytes=BATCH_BYTES)
+    links = keep(blocks(left.join(heads.select("id", "bytes").hint("merge"), "id"), texts, "text").mapInArrow(released(exact), "a long, b long"), "links", batch_bytes=BATCH_BYTES)
     discard(left)
     return links
 
@@ -222,11 +222,11 @@ def cross_links(placed: DataFrame, heads: DataFrame, texts: DataFrame, words: in
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     blocks = dealt(placed).join(heads.select("id", "sig").hint("merge"), "id").select("g", "i", "j", "role", "id", "component", "sig")
-    found = keep(in_blocks(blocks).mapInArrow(prune, "id long, component long, other long").distinct(), "candidates", batch_bytes=BATCH_BYTES)
+    found = keep(in_blocks(blocks).mapInArrow(released(prune), "id long, component long, other long").distinct(), "candidates", batch_bytes=BATCH_BYTES)
     clusters = connected_components(found.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("g"))
     active = found.select("id", "component").distinct().join(clusters.hint("merge"), "component").join(heads.select("id", "bytes").hint("merge"), "id")
     blocks = dealt(active.select("g", "id", "component", "bytes")).join(heads.select("id", "sig").hint("merge"), "id").join(texts.hint("merge"), "id")
-    links = keep(in_blocks(blocks.select("g", "i", "j", "role", "id", "component", "sig", "text")).mapInArrow(exact, "a long, b long"), "links", batch_bytes=BATCH_BYTES)
+    links = keep(in_blocks(blocks.select("g", "i", "j", "role", "id", "component", "sig", "text")).mapInArrow(released(exact), "a long, b long"), "links", batch_bytes=BATCH_BYTES)
     discard(found)
     return links
 

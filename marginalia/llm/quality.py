@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marginalia.llm.blocks import byte_blocks
+from marginalia.llm.blocks import byte_blocks, released
 from marginalia.session import table
 
 #: Filters and their width in bytes; chunk length and step in bytes.
@@ -198,7 +198,7 @@ def score_documents(docs: DataFrame, net: Network, text_col: str = "text", score
             parts = [scores(model, data, offsets) for _, _, data, offsets in byte_blocks(batch.column(where))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*names, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(released(run), StructType([*docs.schema, StructField(score_col, DoubleType())]))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,5 +215,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             parts = [scores(model, data, offsets) for _, _, data, offsets in byte_blocks(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "held_out", "score"])
 
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    out = rows.mapInArrow(released(run), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
