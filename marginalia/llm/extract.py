@@ -2,16 +2,21 @@
 
 The standard library's parser streams events. Text is gathered in lines, one
 for each block element's run of text, together with the tags met in it. A
-line's ratio is its text outside of links over its tags; in parts whose tag,
-class, id or role speaks of menus, notices, comments and the like it weighs
-MARKED times as much. Ratios are smoothed with a Gaussian over neighbouring
-lines of the same part, and lines above a threshold, the standard deviation of
-the smoothed ratios, form the clusters of content. The content region is the
-innermost element that holds all clusters and outside of which there are only
-links, teasers (parts with links and no cluster) and marked lines. All its
-lines, short ones too, are the main text, but for marked ones in no cluster.
-Names of elements are weights only: the clusters choose, also between several
-article elements.
+line's ratio is its text outside of links over its tags, weighed where a name
+speaks of menus, notices, comments and the like: an element's tag, or a whole
+word of its class, id or role, weighs it MARKED times as much, a part of such a
+word only HINTED times. A hint counts for nothing where its element holds most
+of the page's text, inside `article` or `main`, or where a cluster is in it.
+Ratios are smoothed with a Gaussian over neighbouring lines of the same part,
+and lines above a threshold, the standard deviation of the smoothed ratios,
+form the clusters of content. Where nothing unmarked stands out, the word that
+marks most text is taken back, so a page whose wrapper has such a name keeps
+its text. Sibling items of one form outside of `article` elements that begin
+with a short line with a link or number, as comments do under any name, are
+marked too. The content region is the innermost element that
+holds all clusters and outside of which there are only links, teasers (parts
+with links and no cluster) and marked lines. All its lines, short ones too, are
+the main text, but for marked ones in no cluster.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from marginalia.session import table
 
 #: Standard deviation of the Gaussian in lines, and how far it reaches.
 SIGMA, REACH = 1.0, 3
-#: Weight of the ratio of lines in marked parts.
-MARKED = 1e-3
+#: Weight of the ratio of lines in marked parts, and where only a part of a word speaks of one.
+MARKED, HINTED = 1e-3, 0.3
+#: Characters of a comment's first line at most.
+BYLINE = 60
 
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,10 +50,13 @@ ASIDE = frozenset("nav header footer aside form menu dialog".split())
 CLOSES = {"p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: Elements that a missing end tag inside them cannot outlive.
 REGIONS = frozenset("article aside body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
-#: Words of class, id and role that mark a part.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|feedback|footer|gdpr|header|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promos?|promotion|related|replies|responses|share|sharing|sidebar|skip|social|sponsor(?:ed|s)?|subscribe|subscription|toolbar|widgets?|complementary|contentinfo|search|alert|dialog)(?=$|[\s_-])", re.I)
-#: Words of class that mark an article element.
-COMMENT = re.compile(r"(?:^|[\s_-])comments?(?=$|[\s_-])", re.I)
+#: Words of class, id and role that mark a part, and those of reader comments.
+WORDS = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr header menu menus modal nav navbar navigation newsletter notice notices notification pagination popup promo promos promotion related share sharing sidebar skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets complementary contentinfo search alert dialog".split())
+COMMENTS = frozenset("comment comments commentlist disqus discussion discussions feedback replies reply responses respond reactions talkback thread".split())
+PARTS = re.compile(r"[^\s_-]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose start ends another.
+ENDERS = frozenset().union(*CLOSES.values())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -56,21 +66,29 @@ class Line:
     text: str
     tags: int
     region: int  # the element of REGIONS around it
-    mark: int  # the outermost marked element around it, or 0
+    mark: int  # the outermost marked element around it that counts, or 0
     plain: int  # characters outside of links
+    weight: float = 1.0
 
 
 class Lines(HTMLParser):
-    """Lines of a page. Text and tags of silent parts are left out."""
+    """Lines of a page. Text and tags of silent parts are left out.
+
+    Open elements are also listed by name for each region, so that what an end
+    tag closes is looked up, however many inline elements stay open.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, int, bool]] = []  # tag, region, mark, silent
-        self.parents = [0]
-        self.kinds = [""]
+        self.frames: list[dict[str, list[int]]] = [{}]  # of each open region: places of the open elements in it by name
+        self.places: dict[str, list[int]] = {}  # of open regions by name
+        self.parents, self.kinds, self.classes, self.headed = [0], [""], [""], [False]
+        # Of each mark: the one around it, whether it is only a hint, whether more than a hint is around or in it, whether it may be taken back.
+        self.around, self.hint, self.sure, self.word = [0], [True], [False], [False]
         self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = self.plain = self.marks = 0
+        self.tags = self.plain = 0
 
     def silent(self) -> bool:
         return bool(self.open) and self.open[-1][3]
@@ -84,31 +102,65 @@ class Lines(HTMLParser):
         self.text.clear()
         self.plain = 0
 
+    def shut(self, place: int) -> None:
+        """Closes all elements from a place of the stack on."""
+        while len(self.open) > place:
+            name = self.open.pop()[0]
+            if name in REGIONS:
+                self.frames.pop()
+                self.places[name].pop()
+            else:
+                self.frames[-1][name].pop()
+
+    def named(self, tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool, bool]:
+        """Whether an element's name marks it, only hints at it, and whether a word of its class alone does."""
+        if tag in ASIDE:
+            return True, False, False
+        if tag in ("html", "body", "main"):
+            return False, False, False
+        values = " ".join(attrs.get(a) or "" for a in ("class", "id", "role")).lower()
+        words = set(values.split())
+        if tag == "article":
+            return bool(words & COMMENTS), False, False
+        if words & COMMENTS or words & WORDS:
+            return True, False, not words & COMMENTS
+        return False, any(x in WORDS or x in COMMENTS for x in PARTS.findall(values)), False
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag in BLOCKS
-        if block:
+        if tag in BLOCKS:
             self.flush()
         self.tags += not self.silent()
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if tag in CLOSES.get(name, ()):
-                del self.open[k:]
-                break
-            if name in REGIONS:
-                break
+        if tag in ENDERS:
+            last = max((places[-1] for name, places in self.frames[-1].items() if places and tag in CLOSES.get(name, ())), default=-1)
+            if last >= 0:
+                self.shut(last)
         if tag in VOID:
             return
         _, region, mark, silent = self.open[-1] if self.open else ("", 0, 0, False)
+        values = dict(attrs)
+        if tag in HEADINGS:
+            self.headed[region] = True
         if not silent:
-            values = dict(attrs)
             silent = tag in SILENT or "hidden" in values or values.get("aria-hidden") == "true" or bool(HIDDEN.search(values.get("style") or ""))
-            if not mark and (tag in ASIDE or tag not in ("html", "body", "article", "main") and any(MARKS.search(values.get(a) or "") for a in ("class", "id", "role")) or tag == "article" and COMMENT.search(values.get("class") or "")):
-                self.marks += 1
-                mark = self.marks
+            if tag in ("article", "main") and not self.sure[mark]:
+                mark = 0
+            sure, hint, word = self.named(tag, values)
+            if sure or hint:
+                self.around.append(mark)
+                self.hint.append(not sure)
+                self.sure.append(sure or self.sure[mark])
+                self.word.append(word)
+                mark = len(self.around) - 1
         if tag in REGIONS:
             self.parents.append(region)
             self.kinds.append(tag)
+            self.classes.append(values.get("class") or "")
+            self.headed.append(False)
             region = len(self.parents) - 1
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.frames.append({})
+        else:
+            self.frames[-1].setdefault(tag, []).append(len(self.open))
         self.open.append((tag, region, mark, silent))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -120,28 +172,40 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += not self.silent()
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                del self.open[k:]
-                return
-            if name in REGIONS and tag not in REGIONS:
-                return
+        places = (self.places if tag in REGIONS else self.frames[-1]).get(tag)
+        if places:
+            self.shut(places[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.silent():
             self.text.append(data)
-            if not data.isspace() and not self.linked():
+            if not data.isspace() and not self.frames[-1].get("a"):  # no anchor is open in the innermost region
                 self.plain += len(data.strip())
 
-    def linked(self) -> bool:
-        """Whether an anchor is open in the innermost region."""
-        for name, *_ in reversed(self.open):
-            if name == "a":
-                return True
-            if name in REGIONS:
-                return False
-        return False
+    def weigh(self, void: set[int]) -> None:
+        """Sets the mark and weight of each line; void: marks that count for nothing."""
+        n = len(self.around)
+        outer, sure = [0] * n, [False] * n
+        for m in range(1, n):
+            up = self.around[m]
+            on = m not in void
+            outer[m] = outer[up] or (m if on else 0)
+            sure[m] = sure[up] or on and not self.hint[m]
+        for x, m in zip(self.lines, self.innermost, strict=True):
+            x.mark = outer[m]
+            x.weight = 1.0 if not x.mark else MARKED if sure[m] else HINTED
+
+    def settle(self) -> set[int]:
+        """Marks all lines; returns the hints that hold most of the page's unlinked text and count for nothing."""
+        self.innermost = [x.mark for x in self.lines]
+        self.held = [0] * len(self.around)
+        for x in self.lines:
+            self.held[x.mark] += x.plain
+        for m in range(len(self.around) - 1, 0, -1):
+            self.held[self.around[m]] += self.held[m]
+        void = {m for m in range(1, len(self.around)) if self.hint[m] and 2 * self.held[m] > self.held[0]}
+        self.weigh(void)
+        return void
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -151,7 +215,7 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np
 
 def clusters(lines: list[Line], parents: list[int]) -> np.ndarray:
     """Which lines are above the threshold; a line's neighbours are those of its part of the page."""
-    ratios = np.asarray([x.plain / max(1, x.tags) * (MARKED if x.mark else 1.0) for x in lines])
+    ratios = np.asarray([x.plain / max(1, x.tags) * x.weight for x in lines])
     part = np.zeros(len(lines), int)
     for k in range(1, len(lines)):
         a, b = lines[k - 1], lines[k]
@@ -161,6 +225,41 @@ def clusters(lines: list[Line], parents: list[int]) -> np.ndarray:
     return ratios > ratios.std() if len(lines) > 2 else ratios > 0
 
 
+def items(parser: Lines) -> None:
+    """Marks sibling items of one form that begin with a short line with a link or number and have no heading, as comments do; none inside `article` elements."""
+    lines, parents = parser.lines, parser.parents
+    n = len(parents)
+    first, count, headed = [len(lines)] * n, [0] * n, parser.headed[:]
+    for k, x in enumerate(lines):
+        first[x.region] = min(first[x.region], k)
+        count[x.region] += 1
+    for k in range(n - 1, 0, -1):
+        up = parents[k]
+        first[up], count[up], headed[up] = min(first[up], first[k]), count[up] + count[k], headed[up] or headed[k]
+    forms: dict[tuple[int, str, str], list[int]] = {}
+    home = [False] * n
+    for k in range(1, n):
+        home[k] = home[parents[k]] or parser.kinds[k] == "article"
+        if parser.classes[k] and count[k] and not home[k]:
+            forms.setdefault((parents[k], parser.kinds[k], parser.classes[k]), []).append(k)
+
+    def comment(k: int) -> bool:
+        x = lines[first[k]]
+        return not headed[k] and count[k] > 1 and len(x.text) <= BYLINE and (x.plain < len(x.text) or any(c.isdigit() for c in x.text))
+
+    said = [False] * n
+    for like in forms.values():
+        if len(like) > 1 and all(map(comment, like)):
+            for k in like:
+                said[k] = True
+    for k in range(1, n):
+        said[k] |= said[parents[k]]
+    if any(said) and not all(said[x.region] or x.mark for x in lines):
+        for x in lines:
+            if said[x.region]:
+                x.mark, x.weight = x.mark or len(parser.around), MARKED
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -173,9 +272,20 @@ def main_text(html: str | None) -> str:
     lines, parents = parser.lines, parser.parents
     if not lines:
         return ""
+    void = parser.settle()
+    items(parser)
     content = clusters(lines, parents)
     if all(x.mark for x, on in zip(lines, content, strict=True) if on):  # nothing but marked lines stands out
-        content = np.asarray([not x.mark and x.plain > 0 for x in lines])
+        words = [m for m in range(1, len(parser.around)) if m not in void and (parser.word[m] or parser.hint[m])]
+        most = max(words, key=lambda m: (parser.held[m], -m), default=0)
+        if most and 2 * parser.held[most] > parser.held[0]:  # the name of a wrapper
+            parser.weigh(void := void | {most})
+            content = clusters(lines, parents)
+        if all(x.mark for x, on in zip(lines, content, strict=True) if on):
+            content = np.asarray([not x.mark and x.plain > 0 for x in lines])
+    found = {m for m, on in zip(parser.innermost, content, strict=True) if on}
+    if hints := {m for m in found if m not in void and parser.hint[m]}:  # hints with a cluster in them
+        parser.weigh(void | hints)
     n = len(parents)
     inner: list[list[int]] = [[] for _ in range(n)]
     for k in range(1, n):

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +79,38 @@ def test_clusters_choose_the_article():
     assert extract.main_text(f"<nav><a>x</a></nav><div><p>{whole}</p></div>") == whole.strip()
 
 
+WRAPPERS = ["content", "elementor-widget-container", "site-content has-sidebar", "layout no-sidebar", "search-results-page", "post-share-enabled", "widget", "Sidebar", "nav-open"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("inner", ["", "article", "main"])
+def test_names_of_wrappers_take_no_text(name, inner):
+    text, (start, end) = (LONG * 5).strip(), (f"<{inner}>", f"</{inner}>") if inner else ("", "")
+    page = f"<body><nav><a href=/>Home</a></nav><div class='{name}'>{start}<h1>Head</h1><p>{text}</p><p>Short.</p><p>{text}</p>{end}</div><footer>Imprint</footer></body>"
+    assert extract.main_text(page) == f"Head {text} Short. {text}"
+
+
+@pytest.mark.parametrize("name", ["discussion", "reader-voices", "x1", "comments"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class=post>{}</div>"])
+def test_comments_under_any_name_go(name, around):
+    said = "".join(f"<div class=item><p><a href=/u{k}>Ann {k}</a>, 3 May</p><p>I do think that this is quite right, as the author says, and more such words.</p></div>" for k in range(9))
+    text = (LONG * 5).strip()
+    assert extract.main_text("<body>" + around.format(f"<h1>Head</h1><p>{text}</p>") + f"<div id={name}>{said}</div></body>") == f"Head {text}"
+
+
+def test_items_of_an_article_stay():
+    text = (LONG * 3).strip()
+    parts = "".join(f"<div class=part><h2>Part {k}</h2><p>{text}</p></div>" for k in range(3))
+    assert extract.main_text(f"<body><div class=post>{parts}</div><div class=menu><a href=/>x</a></div></body>") == " ".join(f"Part {k} {text}" for k in range(3))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000, "<span>a" * 8000, "<b>" * 20000 + "<p>x" * 5000, "<div>x" * 8000, "<a><b></a>" * 8000, "<p><i>x" * 8000])
+def test_broken_markup_is_read_in_proportion(page):
+    began = time.process_time()
+    extract.main_text(page)
+    assert time.process_time() - began < 3
+
+
 def test_ratios_decide(spark, sf_dir, monkeypatch):
     pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     before, r = [extract.main_text(p) for p in pages], np.random.default_rng(3)
