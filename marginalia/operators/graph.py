@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.components import connected_components
-from marginalia.session import discard, keep
+from marginalia.session import discard, keep, tidied
 
 
 def link_graph(edges: DataFrame) -> DataFrame:
@@ -49,6 +49,7 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.select("nodes", "edges", F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 2, (n * F.col("_m") - F.col("_s")) / ((n - 1) * (n - 2))).otherwise(0.0).alias("centralization")).join(F.broadcast(parts))  # one row each
 
 
+@tidied("pagerank")
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """id, rank: power iteration; the mass of nodes without out-edges is spread evenly. With a tolerance it ends once the change is below n times it."""
     n = nodes.count()
@@ -69,6 +70,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float
     return ranks.select("id", "rank")
 
 
+@tidied("eigenvector")
 def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 50, tolerance: float | None = None) -> DataFrame:
     """id, score: power iteration of x + A'x on in-edges, normalised to length one. With a tolerance it ends once the change is below n times it."""
     n = nodes.count()
@@ -85,6 +87,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 50, tolerance:
     return scores
 
 
+@tidied("katz")
 def katz(nodes: DataFrame, edges: DataFrame, rounds: int = 30, beta: float = 1.0) -> DataFrame:
     """id, score: alpha is a tenth of the inverse of the greatest degree; normalised to length one."""
     top = undirected(edges).groupBy("src").count().agg(F.max("count")).first()[0] or 1
@@ -97,19 +100,28 @@ def katz(nodes: DataFrame, edges: DataFrame, rounds: int = 30, beta: float = 1.0
     return scores.select("id", (F.col("score") / length).alias("score"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """id, degree, links (pairs of neighbours that are connected) of the undirected graph."""
-    both = undirected(edges)
-    up = both.where("src < dst")
-    # Each edge points to its end of higher degree (ties by id), so hubs make few wedges.
-    degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+def closed_wedges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triangles u, v, w with the degrees ku, kv and kw, each triangle once; id and degree of all nodes) of the undirected graph.
+
+    Each edge points to its end of higher degree (ties by id), so a hub of any
+    degree makes few wedges.
+    """
+    both = keep(undirected(edges), "both")
+    degree = keep(both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "degrees")
     a, b = degree.select(F.col("id").alias("src"), F.col("degree").alias("_a")), degree.select(F.col("id").alias("dst"), F.col("degree").alias("_b"))
-    ranked = up.join(a, "src").join(b, "dst")
+    ranked = both.where("src < dst").join(a, "src").join(b, "dst")
     first = (F.col("_a") < F.col("_b")) | ((F.col("_a") == F.col("_b")) & (F.col("src") < F.col("dst")))
-    arcs = ranked.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("v"))
-    wedges = arcs.alias("x").join(arcs.alias("y"), F.expr("x.u = y.u and x.v < y.v")).select(F.col("x.u").alias("u"), F.col("x.v").alias("src"), F.col("y.v").alias("dst"))
-    closed = wedges.join(up, ["src", "dst"])
-    each = closed.select(F.explode(F.array("u", "src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    arcs = keep(ranked.select(pick("src", "dst").alias("u"), pick("_a", "_b").alias("ku"), pick("dst", "src").alias("v"), pick("_b", "_a").alias("kv")), "arcs")
+    wedges = arcs.alias("x").join(arcs.alias("y"), F.expr("x.u = y.u and (x.kv, x.v) < (y.kv, y.v)")).select("x.u", "x.ku", "x.v", "x.kv", F.col("y.v").alias("w"), F.col("y.kv").alias("kw"))
+    return wedges.join(arcs.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"]), degree
+
+
+@tidied("triangles")
+def triangles(edges: DataFrame) -> DataFrame:
+    """id, degree, links (pairs of neighbours that are connected) of the undirected graph."""
+    closed, degree = closed_wedges(edges)
+    each = closed.select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return degree.join(each, "id", "left").na.fill(0, ["links"])
 
 
@@ -119,18 +131,23 @@ def clustering(edges: DataFrame) -> DataFrame:
     return triangles(edges).withColumn("coefficient", F.when(k > 1, 2.0 * F.col("links") / (k * (k - 1))).otherwise(0.0)).withColumn("effective_size", F.when(k > 1, F.greatest(F.lit(0.0), k - F.col("links") / k)).otherwise(k.cast("double")))
 
 
+@tidied("constraint")
 def constraint(edges: DataFrame) -> DataFrame:
-    """id, constraint: sum over neighbours of (1/k + sum over mutual neighbours m of 1/k 1/deg m) squared, 1 with fewer than two neighbours."""
-    both = undirected(edges)
-    degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
-    e = both.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    m = both.select(F.col("src").alias("u"), F.col("dst").alias("m")).join(degree.select(F.col("id").alias("m"), F.col("k").alias("km")), "m")
-    mutual = e.join(m, "u").where("v <> m").join(both.select(F.col("src").alias("v"), F.col("dst").alias("m")), ["v", "m"]).groupBy("u", "v").agg(F.sum(1.0 / F.col("km")).alias("s"))
-    parts = e.join(mutual, ["u", "v"], "left").join(degree.select(F.col("id").alias("u"), "k"), "u")
+    """id, constraint: sum over neighbours of (1/k + sum over mutual neighbours m of 1/k 1/deg m) squared, 1 with fewer than two neighbours.
+
+    Mutual neighbours come from the triangles, each of which gives its three
+    edges the third node, so no hub meets all pairs of its neighbours.
+    """
+    closed, degree = closed_wedges(edges)
+    third = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v"), (1.0 / F.col(k)).alias("s")) for x, y, k in (("u", "v", "kw"), ("v", "u", "kw"), ("u", "w", "kv"), ("w", "u", "kv"), ("v", "w", "ku"), ("w", "v", "ku"))])
+    mutual = closed.select(F.explode(third).alias("t")).groupBy("t.u", "t.v").agg(F.sum("t.s").alias("s"))
+    e = undirected(edges).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    parts = e.join(mutual, ["u", "v"], "left").join(degree.select(F.col("id").alias("u"), F.col("degree").alias("k")), "u")
     one = (1.0 + F.coalesce("s", F.lit(0.0))) / F.col("k")
     return parts.groupBy(F.col("u").alias("id")).agg(F.sum(one * one).alias("c"), F.first("k").alias("k")).select("id", F.when(F.col("k") > 1, F.least(F.lit(1.0), F.col("c"))).otherwise(1.0).alias("constraint"))
 
 
+@tidied("distances")
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """source, id, distance: breadth-first search from every source over directed edges, a round at a time."""
     reach = keep(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")), "reach")
@@ -155,6 +172,7 @@ def neighbourhood(edges: DataFrame, center, depth: int = 2) -> DataFrame:
     return out.select("id", "distance", (F.col("distance") == 0).alias("is_center"))
 
 
+@tidied("shortest-paths")
 def shortest_paths(edges: DataFrame, pairs: DataFrame, missing: int = 999, most: int | None = None) -> DataFrame:
     """a, b, shortest_path: undirected distance of each pair, `missing` if there is none.
 
@@ -183,6 +201,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, missing: int = 999, most:
     return pairs.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("distance", F.lit(missing)).alias("shortest_path"))
 
 
+@tidied("diameter")
 def diameter(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
     """diameter and avg_path_length of the largest component, undirected; null where it has more than `most` nodes or fewer than two."""
     parts = keep(components(nodes, edges), "components")
@@ -207,6 +226,7 @@ def path_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(into, "id", "left").select("id", F.coalesce(r / F.col("total") * r / F.lit(max(1, n - 1)), F.lit(0.0)).alias("closeness"), F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"), F.coalesce("eccentricity", F.lit(0)).alias("eccentricity"), F.coalesce(r, F.lit(0)).alias("reached"))
 
 
+@tidied("betweenness")
 def betweenness(edges: DataFrame, nodes: DataFrame, normalised: bool = True, sampled_above: int = 1000, seed: int = 42) -> DataFrame:
     """id, betweenness of the directed graph: shortest paths are counted forward by rounds and dependencies summed backward.
 
@@ -245,6 +265,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, normalised: bool = True, sam
     return nodes.join(every.groupBy("id").agg(F.sum("delta").alias("b")), "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+@tidied("components")
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the least id that is reachable in any direction."""
     found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
@@ -272,6 +293,7 @@ def moved_labels(both: DataFrame, labels: DataFrame, total: float, turn: int) ->
     return best.select("id", "k", F.when(mine, F.col("new")).otherwise(F.col("old")).alias("community"))
 
 
+@tidied("communities")
 def modularity_communities(nodes: DataFrame, edges: DataFrame, levels: int = 10, rounds: int = 16) -> DataFrame:
     """id, community (the least id in it) by modularity: rounds of local moving, then communities become nodes, until a level changes nothing.
 
@@ -301,6 +323,7 @@ def modularity_communities(nodes: DataFrame, edges: DataFrame, levels: int = 10,
     return member
 
 
+@tidied("communities")
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id, community: synchronous label propagation, each node taking the commonest label around it and itself, ties to the least."""
     both = keep(undirected(edges), "both")
@@ -343,18 +366,27 @@ def bridges(edges: DataFrame, labels: DataFrame, between: DataFrame) -> DataFram
 
 
 def common_neighbours(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """a, b, common, adamic_adar for pairs a < b with a common neighbour, or for the given pairs (0 without one)."""
+    """a, b, common, adamic_adar for pairs a < b with a common neighbour, or for the given pairs (0 without one).
+
+    Of a given pair the neighbours of the end that has fewer are looked up, so a
+    hub costs what its partners have. Without pairs there is a row for every
+    two neighbours of a node, as the result has, which is for graphs without hubs.
+    """
     both = undirected(edges)
     degree = both.groupBy(F.col("src").alias("z")).agg(F.count("*").alias("k"))
-    weighted = both.select(F.col("src").alias("z"), F.col("dst").alias("n")).join(degree, "z").withColumn("w", F.when(F.col("k") > 1, 1.0 / F.log(F.col("k").cast("double"))).otherwise(0.0))
+    near = both.select(F.col("src").alias("z"), F.col("dst").alias("n"))
+    weight = degree.select("z", F.when(F.col("k") > 1, 1.0 / F.log(F.col("k").cast("double"))).otherwise(0.0).alias("w"))
     if pairs is None:
-        left, right = weighted.select("z", F.col("n").alias("a"), "w"), weighted.select("z", F.col("n").alias("b"))
-        met = left.join(right, "z").where("a < b")
-    else:
-        left = pairs.select("a", "b").join(weighted.select(F.col("n").alias("a"), "z", "w"), "a")
-        met = left.join(weighted.select(F.col("n").alias("b"), "z"), ["b", "z"], "left_semi")
+        met = near.join(weight, "z").withColumnRenamed("n", "a").join(near.select("z", F.col("n").alias("b")), "z").where("a < b")
+        return met.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum("w").alias("adamic_adar"))
+    asked = pairs.select("a", "b")
+    for side in ("a", "b"):
+        asked = asked.join(degree.select(F.col("z").alias(side), F.col("k").alias(f"k{side}")), side)
+    small = F.col("ka") <= F.col("kb")
+    from_ = asked.distinct().select("a", "b", F.when(small, F.col("a")).otherwise(F.col("b")).alias("n"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("other"))
+    met = from_.join(near, "n").join(near.withColumnRenamed("n", "other"), ["other", "z"], "left_semi").join(weight, "z")
     found = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum("w").alias("adamic_adar"))
-    return found if pairs is None else pairs.select("a", "b").join(found, ["a", "b"], "left").na.fill({"common": 0, "adamic_adar": 0.0})
+    return pairs.select("a", "b").join(found, ["a", "b"], "left").na.fill({"common": 0, "adamic_adar": 0.0})
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
-from marginalia.session import keep
+from marginalia.session import discard, keep, tidied
 
 
 def canonical(a: Column, b: Column) -> list[Column]:
@@ -31,61 +31,164 @@ def target_negatives(n_positive: int, n_notes: int, ratio: float = 5.0) -> int:
     return max(0, min(int(n_positive * ratio), n_notes * (n_notes - 1) // 2 - n_positive))
 
 
-def random_negatives(nodes: DataFrame, taken: DataFrame, n: int, seed: int = 42, tries: int = 4) -> DataFrame:
-    """n pairs that are not taken, or all there are: each node is offered partners by the hash of its draws, and the least hashes stay.
-
-    Offers grow with n and not with all pairs; more tries than needed make up for
-    draws that fall on taken or equal pairs. Where they do not, as most pairs are
-    taken or asked for, the rest comes from the enumeration of all pairs. The
-    table of nodes gives each a number.
-    """
-    total = nodes.count()
-    if total < 2 or n < 1:
-        return taken.limit(0).select("a", "b")
-    ranked = numbered(nodes.select("id"), "id")
-    draws = max(1, -(-n * tries // total))
-    offers = ranked.select("id", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k"))
-    offers = offers.withColumn("m", F.pmod(F.conv(F.substring(seeded(F.col("id"), F.col("k"), seed=seed), 1, 12), 16, 10).cast("long"), F.lit(total)))
-    other = ranked.select(F.col("id").alias("other"), F.col("n").alias("m"))
-    made = offers.join(other, "m").where("id <> other").select(*canonical(F.col("id"), F.col("other"))).distinct()
-    first = lambda pairs, most: pairs.join(taken, ["a", "b"], "left_anti").orderBy(seeded(F.col("a"), F.col("b"), seed=seed), "a", "b").limit(most)
-    found = keep(first(made, n), "negatives")
-    left = n - found.count()
-    return found if left <= 0 else found.unionByName(first(enumerated(nodes).join(found, ["a", "b"], "left_anti"), left))
-
-
-def numbered(df: DataFrame, key: str, groups: int = 64) -> DataFrame:
-    """Adds n = 0, 1, ... in an order that only the keys decide: ranks in hashed groups and the groups' sums before them."""
-    g = df.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(groups)))
-    sums = g.groupBy("_g").agg(F.count("*").alias("_c"))
-    sums = sums.withColumn("_s", F.sum("_c").over(Window.orderBy("_g")) - F.col("_c")).select("_g", "_s")  # `groups` rows
-    ranked = g.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(key)) - 1)
-    return ranked.join(F.broadcast(sums), "_g").withColumn("n", (F.col("_r") + F.col("_s")).cast("long")).drop("_g", "_r", "_s")
+def random_negatives(nodes: DataFrame, taken: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n pairs that are not taken, or all there are: the first draws from the space of all pairs."""
+    return drawn(nodes.select(F.lit("").alias("group"), "id"), taken, n, seed)
 
 
 def group_negatives(members: DataFrame, taken: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n pairs of notes that share a group (folder or tag): each note is paired with the next ones in its group's hash order."""
-    order = Window.partitionBy("group").orderBy(seeded(F.col("id"), seed=seed), "id")
-    next_ = members.select("group", "id", *[F.lead("id", k).over(order).alias(f"n{k}") for k in (1, 2, 3)])
-    made = next_.select("id", F.explode(F.array("n1", "n2", "n3")).alias("other")).where("other is not null and id <> other").select(*canonical(F.col("id"), F.col("other"))).distinct()
-    return made.join(taken, ["a", "b"], "left_anti").orderBy(seeded(F.col("a"), F.col("b"), seed=seed), "a", "b").limit(n)
+    """n pairs of notes that share a group (folder or tag) and are not taken, or all there are; every group has its turn."""
+    return drawn(members, taken, n, seed)
+
+
+def number(text: Column, digits: int = 12) -> Column:
+    """A number from the first hexadecimal digits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def numbered(df: DataFrame, key: str, within: list[str] | None = None, rows: int = 100_000) -> DataFrame:
+    """Adds n = 0, 1, ... in an order that only the keys decide, and total, for the whole table or within each group.
+
+    Ranks in hashed parts of about `rows` rows and the sums of the parts before
+    them, so that no group is sorted by one task.
+    """
+    within = within or []
+    parts = max(1, -(-df.count() // rows))
+    g = df.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(parts)))
+    sums = g.groupBy(*within, "_g").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*within, *([] if within else [F.lit(0)])).orderBy("_g")  # one row a part
+    sums = sums.withColumns({"_s": F.sum("_c").over(before) - F.col("_c"), "total": F.sum("_c").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).drop("_c")
+    ranked = g.withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_g").orderBy(key)) - 1)
+    return ranked.join(sums, [*within, "_g"]).withColumn("n", (F.col("_r") + F.col("_s")).cast("long")).drop("_g", "_r", "_s")
+
+
+def unranked(df: DataFrame, k: str, i: str = "i", j: str = "j") -> DataFrame:
+    """Adds i < j of the pair with number k = j (j - 1) / 2 + i; the root may be off by one in doubles."""
+    g, below = F.col("_root"), lambda x: F.shiftright(x * (x - 1), 1)
+    df = df.withColumn("_root", F.floor((1 + F.sqrt(1.0 + 8.0 * F.col(k))) / 2).cast("long"))
+    df = df.withColumn(j, F.when(below(g) > F.col(k), g - 1).when(below(g + 1) <= F.col(k), g + 1).otherwise(g)).drop("_root")
+    return df.withColumn(i, F.col(k) - below(F.col(j)))
+
+
+def permuted(df: DataFrame, j: str, m: str, key: Column, out: str = "k", rounds: int = 4) -> DataFrame:
+    """Adds a permutation of the numbers of the pairs of m things, keyed by a text: j-th draw -> pair number.
+
+    m (m - 1) / 2 is a product of two numbers near m; a pair number is a place
+    in that grid, and rounds move its row by a hash of its column and its
+    column by a hash of its row, each of which is one to one.
+    """
+    even, m = F.col(m) % 2 == 0, F.col(m)
+    df = df.withColumns({"_rows": F.when(even, F.shiftright(m, 1)).otherwise(m), "_columns": F.when(even, m - 1).otherwise(F.shiftright(m - 1, 1))})
+    df = df.withColumns({"_u": F.floor(F.col(j) / F.col("_columns")).cast("long"), "_v": F.pmod(F.col(j), F.col("_columns"))})
+    for r in range(rounds):
+        own, other, size = ("_u", "_v", "_rows") if r % 2 == 0 else ("_v", "_u", "_columns")
+        df = df.withColumn(own, F.pmod(F.col(own) + number(F.concat_ws("|", key, F.lit(r), F.col(other))), F.col(size)))
+    return df.withColumn(out, F.col("_u") * F.col("_columns") + F.col("_v")).drop("_rows", "_columns", "_u", "_v")
+
+
+@tidied("draws")
+def drawn(members: DataFrame, taken: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """a, b: n pairs of different ids that share a group and are not taken, or all there are, drawn without repetition.
+
+    members (group, id). The pairs of each group have an order of their own,
+    a permutation of pair numbers keyed by seed and group, so a pair is worked
+    out from its place and none is made to be thrown away. Groups take turns:
+    the first draws of all groups come before the second ones, as if a group
+    were picked at random each time; turns of a group that has no pair left
+    are void, and so are those of pairs taken or drawn before. Turns are made
+    until there are n pairs; of the last turn those of the first groups, by
+    hash, stay.
+    """
+    empty = taken.limit(0).select("a", "b")
+    if n < 1:
+        return empty
+    ranked = keep(numbered(members.select("group", "id").distinct(), "id", ["group"]), "members")
+    groups = keep(ranked.where("total > 1").groupBy("group").agg(F.first("total").alias("m")).withColumn("turn", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("group")))), "groups")
+    known = keep(taken.select(*canonical(F.col("a"), F.col("b"))).distinct(), "taken")
+    size = groups.agg(F.count("*").alias("g"), F.max(F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("most")).first()
+    if not size["g"]:
+        return empty
+    have, done, found = 0, 0, None
+    while have < n and done < size["most"]:
+        # As many turns as would do if no draw were void, and more each time.
+        more = -(-(n - have) * (3 if done else 2) // size["g"]) + 1
+        last = F.least(F.lit(done + more), (F.col("m") * (F.col("m") - 1) / 2).cast("long"))
+        draws = groups.where(last > done).withColumn("j", F.explode(F.sequence(F.lit(done).cast("long"), last - 1)))
+        # Kept, as a filter of the joins would be written out over all these steps again.
+        draws = keep(unranked(permuted(draws, "j", "m", F.concat_ws("|", F.lit(str(seed)), "group")), "k", "x", "y"), "draws")
+        side = lambda name, on: ranked.select("group", F.col("id").alias(name), F.col("n").alias(on))
+        made = draws.join(side("p", "x").hint("merge"), ["group", "x"]).join(side("q", "y").hint("merge"), ["group", "y"]).select("j", "turn", *canonical(F.col("p"), F.col("q")))
+        made = made.groupBy("a", "b").agg(F.min(F.struct("j", "turn")).alias("at")).select("a", "b", "at.j", "at.turn")
+        new = made.join(known, ["a", "b"], "left_anti")
+        if found is not None:
+            new = new.join(found.select("a", "b"), ["a", "b"], "left_anti").unionByName(found)
+        found, before = keep(new, "found"), found
+        discard(draws, *([before] if before is not None else []))
+        have, done = found.count(), done + more
+    return first_turns(found, n, have)
+
+
+def first_turns(found: DataFrame, n: int, have: int) -> DataFrame:
+    """The n pairs of (a, b, j, turn) that come first by j and turn: whole turns, and of the next one the first groups."""
+    if have <= n:
+        return found.select("a", "b")
+    low, high, before = 0, found.agg(F.max("j")).first()[0] + 1, 0  # pairs with j < low are before
+    while high - low > 1:
+        width = -(-(high - low) // 256)
+        counts = {r["k"]: r["n"] for r in found.where(F.col("j").between(low, high - 1)).groupBy(F.floor((F.col("j") - low) / width).alias("k")).agg(F.count("*").alias("n")).collect()}  # 256 rows at most
+        for k in range(256):
+            if before + counts.get(k, 0) > n:
+                low, high = low + k * width, min(high, low + (k + 1) * width)
+                break
+            before += counts.get(k, 0)
+    rest = found.where(F.col("j") == low).orderBy("turn", "a", "b").limit(n - before)
+    return found.where(F.col("j") < low).select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def stratified_negatives(nodes: DataFrame, folders: DataFrame, tags: DataFrame, taken: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A third from folders, a third from tags, the rest at random; no pair twice."""
+    """A third from folders, a third from tags, the rest at random, more at random where groups have too few; no pair twice."""
     third = n // 3
-    f = group_negatives(folders, taken, third, seed)
-    t = group_negatives(tags, taken.unionByName(f), third, seed + 1)
+    f = keep(group_negatives(folders, taken, third, seed), "folder-pairs")
+    t = keep(group_negatives(tags, taken.select("a", "b").unionByName(f), third, seed + 1), "tag-pairs")
     some = f.unionByName(t)
-    return some.unionByName(random_negatives(nodes, taken.unionByName(some), n - some.count(), seed + 2))
+    return some.unionByName(random_negatives(nodes, taken.select("a", "b").unionByName(some), n - some.count(), seed + 2))
 
 
+@tidied("capped")
 def capped(pairs: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """Pairs that are among the first `most` of both their notes in hash order."""
-    h = pairs.withColumn("_h", seeded(F.col("a"), F.col("b"), seed=seed))
-    for side in ("a", "b"):
-        h = h.withColumn(f"_{side}", F.row_number().over(Window.partitionBy(side).orderBy("_h")))
-    return h.where((F.col("_a") <= most) & (F.col("_b") <= most)).drop("_h", "_a", "_b")
+    """The pairs that one pass in hash order takes, each if both its notes are in fewer than `most` pairs taken before.
+
+    The pass is done in rounds. A pair is taken for sure if it is among the
+    first `most` pairs of both its notes, taken and open ones together, and
+    dropped for sure if a note of it has that many taken ones before it. Each
+    round decides the first open pair at least, and mostly a good part of all.
+    Only the first few pairs of a note are ranked, so a hub sends no more.
+    """
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    h = F.struct(seeded(F.col("a"), F.col("b"), seed=seed).alias("h"), F.col("a").alias("x"), F.col("b").alias("y"))
+    own = F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest")
+    open_ = keep(pairs.select("a", "b", own, h.alias("at")), "open")
+    taken: DataFrame | None = None
+    sides = lambda df: df.select(F.explode(F.array("a", "b")).alias("id"), "at")
+    while not open_.isEmpty():
+        live = sides(open_) if taken is None else sides(open_).unionByName(sides(taken))
+        first = live.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("at"))).where(F.col("_r") <= most)
+        bound = first.groupBy("id").agg(F.max("at").alias("bound"))
+        near = open_
+        for side in ("a", "b"):
+            near = near.join(bound.select(F.col("id").alias(side), F.col("bound").alias(f"_{side}")), side)
+        sure = keep(near.where((F.col("at") <= F.col("_a")) & (F.col("at") <= F.col("_b"))).select("a", "b", "rest", "at"), "sure")
+        taken, old = (keep(sure if taken is None else taken.unionByName(sure), "taken"), taken)
+        full = sides(taken).groupBy("id").agg(F.count("*").alias("n"), F.max("at").alias("full")).where(F.col("n") >= most)
+        left = open_.join(sure.select("a", "b", "at"), ["a", "b", "at"], "left_anti")
+        for side in ("a", "b"):
+            left = left.join(full.select(F.col("id").alias(side), F.col("full").alias("_full")), side, "left").where(F.col("_full").isNull() | (F.col("at") < F.col("_full"))).drop("_full")
+        open_, before = keep(left.select("a", "b", "rest", "at"), "open"), open_
+        discard(before, sure, *([old] if old is not None else []))
+    if taken is None:
+        return pairs
+    out = taken.select("a", "b", "rest.*") if rest else taken.select("a", "b")
+    return out.select(*pairs.columns)
 
 
 def pair_features(pairs: DataFrame, notes: DataFrame) -> DataFrame:
@@ -206,8 +309,6 @@ def enumerated(nodes: DataFrame, first: int = 0, most: int | None = None) -> Dat
     total = n * (n - 1) // 2
     last = total if most is None else min(total, first + most)
     k = nodes.sparkSession.range(first, max(first, last)).select(F.col("id").alias("k"))
-    # Pairs (i, j) with i < j are numbered j (j - 1) / 2 + i; the root may be off by one in doubles.
-    guess = F.floor((1 + F.sqrt(1.0 + 8.0 * F.col("k"))) / 2)
-    k = k.withColumn("g", guess).withColumn("j", F.expr("case when g * (g - 1) div 2 > k then g - 1 when g * (g + 1) div 2 <= k then g + 1 else g end")).withColumn("i", F.expr("k - j * (j - 1) div 2"))
+    k = keep(unranked(k, "k"), "pair-numbers")
     side = lambda name, on: ranked.select(F.col("id").alias(name), F.col("n").alias(on))
     return k.join(side("x", "i"), "i").join(side("y", "j"), "j").select(*canonical(F.col("x"), F.col("y")))

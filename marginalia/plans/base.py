@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators import graph
 from marginalia.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,30 +64,55 @@ MARKED = NOTES + """, marked AS (SELECT * REPLACE ('---' || chr(10) || 'tags: ['
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed part graph: the part of an order's first line to that of its second."""
+    """Directed part graph: the part of each line of an order to that of the next line."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    a, b = l.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src")), l.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+    a, b = l.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src")), l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
 
 
-SPARSE = """sparse AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
+SPARSE = """sparse AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   WHERE a.l_partkey <> b.l_partkey)"""
+#: Undirected views of the CTE `dense` (src < dst).
+BOTH = """both_ AS (SELECT src, dst FROM dense UNION SELECT dst, src FROM dense),
+deg AS (SELECT src AS id, count(*) AS k FROM both_ GROUP BY src)"""
+#: The part graph without directions.
+PARTS = f"{SPARSE}, dense AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM sparse), {BOTH}"
+
+
+#: The part graph with its directions.
+LINKS = f"{SPARSE}, dense AS (SELECT src, dst FROM sparse), {BOTH}"
+
+
+def kin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed customer graph: each customer to the one with the next balance in the nation, and to the next in the nation and market segment.
 
+    Sparse at any size: a component for each nation, two to four neighbours each.
+    """
+    c = table(spark, sf_dir, "customer")
+    found = None
+    for place in (["c_nationkey"], ["c_nationkey", "c_mktsegment"]):
+        order = [*place, "c_acctbal", "c_custkey"]
+        rows = c.select(*order, F.struct(F.struct(*place).alias("place"), F.col("c_custkey").alias("id")).alias("node"))
+        next_ = graph.succession(rows, order, "node").where("src.place = dst.place").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"))
+        found = next_ if found is None else found.unionByName(next_)
+    return found.distinct()
 
-#: Parts that two suppliers share at least where they are linked: less is chance in tables with many suppliers.
-SHARED = 3
+
+KIN = """kin AS (SELECT DISTINCT src, dst FROM (SELECT c_custkey AS src, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS dst FROM customer
+  UNION ALL SELECT c_custkey, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) FROM customer) WHERE dst IS NOT NULL)"""
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected supplier graph: suppliers who share at least SHARED parts that were returned."""
-    l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
-    return l.select("l_partkey", F.col("l_suppkey").alias("src")).join(l.select("l_partkey", F.col("l_suppkey").alias("dst")), "l_partkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("src", "dst")
+    """Customers who are next to each other in kin(), undirected: src < dst."""
+    return kin(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-DENSE = f"""l1 AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
-dense AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM l1 a JOIN l1 b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= {SHARED}),
-both_ AS (SELECT src, dst FROM dense UNION SELECT dst, src FROM dense),
-deg AS (SELECT src AS id, count(*) AS k FROM both_ GROUP BY src)"""
+DENSE = f"{KIN}, dense AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM kin), {BOTH}"
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and label of customers: their market segment."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
 
 
 def ends(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from marginalia.functions import markdown as M
 from marginalia.functions.text import human_bytes
 from marginalia.operators import checks, domains, events, features, links, pairs, search
 from marginalia.operators import notes as N
-from marginalia.plans.base import DENSE, MARKED, NOTES, dense, ends, marked, notes, query, six, texts
+from marginalia.plans.base import LINKS, MARKED, NOTES, ends, marked, notes, query, six, sparse, texts
 from marginalia.plans.text_queries import FEATURES
 from marginalia.session import table
 
@@ -129,17 +129,17 @@ def analysis_summary(spark, sf_dir):
     return out.select("doc_id", "complexity_level", "readability_level", "technical_content", "structure_richness", "vocabulary_level")
 
 
-@query("h1_connection_groups", f"WITH {DENSE}, o AS (SELECT id, count(src) AS c FROM deg LEFT JOIN dense ON src = id GROUP BY id) SELECT (c // 5)::BIGINT AS cluster, min(id) AS centroid, count(*) AS notes, 'group_' || (c // 5) AS keyword FROM o GROUP BY c // 5 HAVING count(*) >= 3")
+@query("h1_connection_groups", f"WITH {LINKS}, o AS (SELECT id, count(src) AS c FROM deg LEFT JOIN dense ON src = id GROUP BY id) SELECT (c // 5)::BIGINT AS cluster, min(id) AS centroid, count(*) AS notes, 'group_' || (c // 5) AS keyword FROM o GROUP BY c // 5 HAVING count(*) >= 3")
 def connection_groups(spark, sf_dir):
-    e = dense(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     out = ends(e).join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outbound")), "id", "left").na.fill(0, ["outbound"])
     return N.connection_groups(out.withColumnRenamed("id", "path")).select(F.col("cluster").cast("long").alias("cluster"), "centroid", "notes", "keyword")
 
 
-@query("h3_descriptions", "WITH c AS (SELECT r_name AS cluster, count(n_name) AS notes, list_sort(list(n_name) FILTER (n_nationkey % 3 = 0)) AS k FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name) SELECT cluster, CASE WHEN coalesce(len(k), 0) >= 2 THEN 'Notes about ' || array_to_string(list_slice(k, 1, least(3, len(k)) - 1), ', ') || ' and ' || k[least(3, len(k))] WHEN len(k) = 1 THEN 'Notes about ' || k[1] ELSE 'Cluster of ' || notes || ' related notes' END AS description FROM c")
+@query("h3_descriptions", "WITH c AS (SELECT r_name AS cluster, count(n_name) AS notes, list_sort(list(n_name)) AS k FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name) SELECT cluster, CASE WHEN coalesce(len(k), 0) >= 2 THEN 'Notes about ' || array_to_string(list_slice(k, 1, least(3, len(k)) - 1), ', ') || ' and ' || k[least(3, len(k))] WHEN len(k) = 1 THEN 'Notes about ' || k[1] ELSE 'Cluster of ' || notes || ' related notes' END AS description FROM c")
 def descriptions(spark, sf_dir):
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    c = r.join(n, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy(F.col("r_name").alias("cluster")).agg(F.count("n_name").alias("notes"), F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")))).alias("k"))
+    c = r.join(n, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy(F.col("r_name").alias("cluster")).agg(F.count("n_name").alias("notes"), F.array_sort(F.collect_list("n_name")).alias("k"))
     return c.select("cluster", N.description(F.col("notes"), F.col("k")).alias("description"))
 
 

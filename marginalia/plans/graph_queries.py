@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as M
 from marginalia.operators import domains, features, graph, pairs
-from marginalia.plans.base import AS_OF, DENSE, MARKED, NOTES, SPARSE, dense, ends, marked, notes, query, six, sparse
+from marginalia.plans.base import AS_OF, DENSE, KIN, MARKED, NOTES, PARTS, SPARSE, dense, ends, kin, marked, notes, query, segments, six, sparse
 from marginalia.session import table
 
 SN = f"{SPARSE}, nodes AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse)"
@@ -58,40 +58,41 @@ def betweenness(spark, sf_dir):
     return graph.betweenness(e, ends(e)).select("id", six(F.col("betweenness"), "betweenness"))
 
 
-BFS = f"WITH RECURSIVE {SN}, m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM nodes UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN sparse e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL)"
+KN = f"{KIN}, sparse AS (SELECT src, dst FROM kin), nodes AS (SELECT src AS id FROM kin UNION SELECT dst FROM kin)"
+BFS = f"WITH RECURSIVE {KN}, m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM nodes UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN sparse e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL)"
 
 
 @query("g6_g9_g13_path_metrics", f"{BFS}, a AS (SELECT id, sum(d) AS t, count(*) AS r, sum(1.0::DOUBLE / d) AS h, max(d) AS e FROM m WHERE d > 0 GROUP BY id) SELECT nodes.id, round(coalesce(r::DOUBLE / t * r / ((SELECT count(*) FROM nodes) - 1), 0), 6) AS closeness, round(coalesce(h, 0), 6) AS harmonic, coalesce(e, 0)::BIGINT AS eccentricity FROM nodes LEFT JOIN a USING (id)")
 def path_metrics(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = kin(spark, sf_dir)
     out = graph.path_metrics(e, ends(e))
     return out.select("id", six(F.col("closeness"), "closeness"), six(F.col("harmonic"), "harmonic"), F.col("eccentricity").cast("long").alias("eccentricity"))
 
 
 @query("g7_eigenvector")
 def eigenvector(spark, sf_dir):
-    e = dense(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     return graph.eigenvector(ends(e), graph.undirected(e), 1000, tolerance=1e-8).select("id", six(F.col("score"), "score"))
 
 
 @query("g8_katz")
 def katz(spark, sf_dir):
     e = sparse(spark, sf_dir)
-    return graph.katz(ends(e), e, 8).select("id", six(F.col("score"), "score"))
+    return graph.katz(ends(e), e).select("id", six(F.col("score"), "score"))
 
 
-TRI = f"""{DENSE}, tri AS (SELECT x.src AS u, x.dst AS v, y.dst AS w FROM dense x JOIN dense y ON y.src = x.dst JOIN dense z ON z.src = x.src AND z.dst = y.dst),
+TRI = f"""{PARTS}, tri AS (SELECT x.src AS u, x.dst AS v, y.dst AS w FROM dense x JOIN dense y ON y.src = x.dst JOIN dense z ON z.src = x.src AND z.dst = y.dst),
 links AS (SELECT id, count(*) AS links FROM (SELECT u AS id FROM tri UNION ALL SELECT v FROM tri UNION ALL SELECT w FROM tri) GROUP BY id)"""
 
 
 @query("g10_g12_clustering", f"WITH {TRI} SELECT id, k AS degree, coalesce(links, 0) AS links, round(CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(links, 0) / (k * (k - 1)) ELSE 0 END, 6) AS coefficient, round(CASE WHEN k > 1 THEN greatest(0, k - coalesce(links, 0)::DOUBLE / k) ELSE k END, 6) AS effective_size FROM deg LEFT JOIN links USING (id)")
 def clustering(spark, sf_dir):
-    return graph.clustering(dense(spark, sf_dir)).select("id", "degree", "links", six(F.col("coefficient"), "coefficient"), six(F.col("effective_size"), "effective_size"))
+    return graph.clustering(sparse(spark, sf_dir)).select("id", "degree", "links", six(F.col("coefficient"), "coefficient"), six(F.col("effective_size"), "effective_size"))
 
 
-@query("g11_constraint", f"WITH {DENSE}, m AS (SELECT a.src AS u, a.dst AS v, sum(1.0::DOUBLE / d.k) AS s FROM both_ a JOIN both_ b ON b.src = a.src AND b.dst <> a.dst JOIN both_ c ON c.src = a.dst AND c.dst = b.dst JOIN deg d ON d.id = b.dst GROUP BY a.src, a.dst), p AS (SELECT b.src AS id, d.k, ((1 + coalesce(s, 0)) / d.k) AS x FROM both_ b JOIN deg d ON d.id = b.src LEFT JOIN m ON m.u = b.src AND m.v = b.dst) SELECT id, round(CASE WHEN max(k) > 1 THEN least(1.0, sum(x * x)) ELSE 1.0 END, 6) AS constraint_ FROM p GROUP BY id")
+@query("g11_constraint", f"WITH {PARTS}, m AS (SELECT a.src AS u, a.dst AS v, sum(1.0::DOUBLE / d.k) AS s FROM both_ a JOIN both_ b ON b.src = a.src AND b.dst <> a.dst JOIN both_ c ON c.src = a.dst AND c.dst = b.dst JOIN deg d ON d.id = b.dst GROUP BY a.src, a.dst), p AS (SELECT b.src AS id, d.k, ((1 + coalesce(s, 0)) / d.k) AS x FROM both_ b JOIN deg d ON d.id = b.src LEFT JOIN m ON m.u = b.src AND m.v = b.dst) SELECT id, round(CASE WHEN max(k) > 1 THEN least(1.0, sum(x * x)) ELSE 1.0 END, 6) AS constraint_ FROM p GROUP BY id")
 def constraint(spark, sf_dir):
-    return graph.constraint(dense(spark, sf_dir)).select("id", six(F.col("constraint"), "constraint_"))
+    return graph.constraint(sparse(spark, sf_dir)).select("id", six(F.col("constraint"), "constraint_"))
 
 
 @query("g1_neighbourhood", f"WITH RECURSIVE {SPARSE}, b AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), c AS (SELECT min(src) AS c FROM sparse), p(id, d) AS (SELECT c, 0 FROM c UNION SELECT dst, d + 1 FROM p JOIN b ON src = id WHERE d < 3) SELECT id, min(d)::BIGINT AS distance FROM p GROUP BY id")
@@ -104,10 +105,10 @@ def neighbourhood(spark, sf_dir):
 PAIRS = "pos AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM sparse), neg AS (SELECT pos.a + 1 AS a, pos.b + 1 AS b FROM pos WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE q.a = pos.a + 1 AND q.b = pos.b + 1)), pr AS (SELECT a, b FROM pos UNION SELECT a, b FROM neg)"
 
 
-@query("g20_shortest_path", f"WITH RECURSIVE {SN}, {PAIRS}, e2 AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM nodes UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN e2 e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL) SELECT pr.a, pr.b, coalesce(m.d, 999)::BIGINT AS shortest_path FROM pr LEFT JOIN m ON m.source = pr.a AND m.id = pr.b")
+@query("g20_shortest_path", f"WITH RECURSIVE {KN}, {PAIRS}, e2 AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM nodes UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN e2 e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL) SELECT pr.a, pr.b, coalesce(m.d, 999)::BIGINT AS shortest_path FROM pr LEFT JOIN m ON m.source = pr.a AND m.id = pr.b")
 def shortest_path(spark, sf_dir):
     """Distances of the pairs that are linked and of as many next to them that are not."""
-    e = sparse(spark, sf_dir)
+    e = kin(spark, sf_dir)
     yes = pairs.positives(e)
     no = yes.select((F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b")).join(yes, ["a", "b"], "left_anti")
     return graph.shortest_paths(e, yes.unionByName(no)).select("a", "b", F.col("shortest_path").cast("long").alias("shortest_path"))
@@ -131,22 +132,27 @@ def label_propagation(spark, sf_dir):
     return graph.communities(ends(e), e)
 
 
-@query("h10_contribution", f"WITH {DENSE}, lab AS (SELECT id, id % 5 AS community FROM deg) SELECT id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY community), 6) AS contribution FROM lab")
+@query("h10_contribution", f"WITH {DENSE}, lab AS (SELECT id, c_nationkey AS community FROM deg JOIN customer ON c_custkey = id) SELECT id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY community), 6) AS contribution FROM lab")
 def contribution(spark, sf_dir):
     e = dense(spark, sf_dir)
-    return graph.modularity_contribution(ends(e).withColumn("community", F.col("id") % 5)).select("id", six(F.col("contribution"), "contribution"))
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    return graph.modularity_contribution(n.join(ends(e), "id")).select("id", six(F.col("contribution"), "contribution"))
+
+
+#: Members of the largest nation, which is the largest component of the customer graph.
+LARGEST = "big AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = (SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY count(*) DESC, min(c_custkey) LIMIT 1))"
 
 
-@query("g18_diameter", f"WITH RECURSIVE {DENSE}, m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM deg UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN both_ e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL) SELECT max(d)::BIGINT AS diameter, round(avg(d), 6) AS avg_path_length FROM m WHERE d > 0")
+@query("g18_diameter", f"WITH RECURSIVE {DENSE}, {LARGEST}, m(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0 FROM big UNION SELECT DISTINCT x.source, e.dst, x.d + 1 FROM m x JOIN both_ e ON e.src = x.id LEFT JOIN recurring.m r ON r.source = x.source AND r.id = e.dst WHERE r.id IS NULL) SELECT max(d)::BIGINT AS diameter, round(avg(d), 6) AS avg_path_length FROM m WHERE d > 0")
 def diameter(spark, sf_dir):
     e = dense(spark, sf_dir)
     return graph.diameter(e, ends(e)).select(F.col("diameter").cast("long").alias("diameter"), six(F.col("avg_path_length"), "avg_path_length"))
 
 
-@query("g16_a13_modularity", f"WITH {DENSE}, lab AS (SELECT id, id % 5 AS community FROM deg), m AS (SELECT count(*)::DOUBLE AS m FROM dense), d AS (SELECT community, sum(k) AS degree, count(*) AS size FROM deg JOIN lab USING (id) GROUP BY community), i AS (SELECT a.community, count(*) AS internal FROM dense JOIN lab a ON a.id = src JOIN lab b ON b.id = dst WHERE a.community = b.community GROUP BY a.community) SELECT community, size, coalesce(internal, 0) AS internal, degree::BIGINT AS degree, round(coalesce(internal, 0) / m - (degree / (2 * m)) ** 2, 6) AS modularity FROM d LEFT JOIN i USING (community), m")
+@query("g16_a13_modularity", f"WITH {DENSE}, lab AS (SELECT id, c_mktsegment AS community FROM deg JOIN customer ON c_custkey = id), m AS (SELECT count(*)::DOUBLE AS m FROM dense), d AS (SELECT community, sum(k) AS degree, count(*) AS size FROM deg JOIN lab USING (id) GROUP BY community), i AS (SELECT a.community, count(*) AS internal FROM dense JOIN lab a ON a.id = src JOIN lab b ON b.id = dst WHERE a.community = b.community GROUP BY a.community) SELECT community, size, coalesce(internal, 0) AS internal, degree::BIGINT AS degree, round(coalesce(internal, 0) / m - (degree / (2 * m)) ** 2, 6) AS modularity FROM d LEFT JOIN i USING (community), m")
 def modularity(spark, sf_dir):
     e = dense(spark, sf_dir)
-    return graph.modularity(e, ends(e).withColumn("community", F.col("id") % 5)).select("community", "size", "internal", "degree", six(F.col("modularity"), "modularity"))
+    return graph.modularity(e, segments(spark, sf_dir).join(ends(e), "id").withColumnRenamed("label", "community")).select("community", "size", "internal", "degree", six(F.col("modularity"), "modularity"))
 
 
 @query("g17_bridges")
@@ -157,32 +163,41 @@ def bridges(spark, sf_dir):
     return out.select("id", "inter", "communities", six(F.col("ratio"), "ratio"), six(F.col("bridge_score"), "bridge_score"), "is_bridge")
 
 
-@query("j8_g21_m5_common_neighbours", f"WITH {DENSE} SELECT a.dst AS a, b.dst AS b, count(*) AS common, round(sum(CASE WHEN k > 1 THEN 1 / ln(k::DOUBLE) ELSE 0 END), 6) AS adamic_adar FROM both_ a JOIN both_ b ON a.src = b.src AND a.dst < b.dst JOIN deg ON deg.id = a.src GROUP BY a.dst, b.dst")
+@query("j8_g21_m5_common_neighbours", f"WITH {PARTS}, m AS (SELECT d.src AS a, d.dst AS b, count(*) AS common, sum(CASE WHEN k > 1 THEN 1 / ln(k::DOUBLE) ELSE 0 END) AS s FROM dense d JOIN both_ x ON x.src = d.src JOIN both_ y ON y.src = d.dst AND y.dst = x.dst JOIN deg ON deg.id = x.dst GROUP BY d.src, d.dst) SELECT src AS a, dst AS b, coalesce(common, 0) AS common, round(coalesce(s, 0), 6) AS adamic_adar FROM dense LEFT JOIN m ON a = src AND b = dst")
 def common_neighbours(spark, sf_dir):
+    """Of all linked parts."""
+    e = sparse(spark, sf_dir)
+    return graph.common_neighbours(e, pairs.positives(e)).select("a", "b", "common", six(F.col("adamic_adar"), "adamic_adar"))
+
+
+@query("g21_all_common_neighbours", f"WITH {DENSE} SELECT a.dst AS a, b.dst AS b, count(*) AS common, round(sum(CASE WHEN k > 1 THEN 1 / ln(k::DOUBLE) ELSE 0 END), 6) AS adamic_adar FROM both_ a JOIN both_ b ON a.src = b.src AND a.dst < b.dst JOIN deg ON deg.id = a.src GROUP BY a.dst, b.dst")
+def all_common_neighbours(spark, sf_dir):
+    """Of all customers with a common neighbour."""
     return graph.common_neighbours(dense(spark, sf_dir)).select("a", "b", "common", six(F.col("adamic_adar"), "adamic_adar"))
 
 
-@query("u5_subgraph", f"WITH {SPARSE} SELECT src, dst FROM sparse WHERE src % 2 = 0 AND dst % 2 = 0")
+@query("u5_subgraph", f"WITH {KIN}, u AS (SELECT id FROM (SELECT src AS id FROM kin UNION ALL SELECT dst FROM kin) GROUP BY id HAVING count(*) > 2) SELECT src, dst FROM kin WHERE src IN (FROM u) AND dst IN (FROM u)")
 def subgraph(spark, sf_dir):
-    e = sparse(spark, sf_dir)
-    return graph.subgraph(e, ends(e).where("id % 2 = 0"))
+    """Links among customers who have more than two."""
+    e = kin(spark, sf_dir)
+    return graph.subgraph(e, graph.degrees(ends(e), e).where("in_degree + out_degree > 2").select("id"))
 
 
-@query("o2_top_by_metric", f"WITH {DENSE} SELECT id, k AS degree FROM deg ORDER BY k DESC, id LIMIT 10")
+@query("o2_top_by_metric", f"WITH {PARTS} SELECT id, k AS degree FROM deg ORDER BY k DESC, id LIMIT 10")
 def top(spark, sf_dir):
-    return graph.top(graph.triangles(dense(spark, sf_dir)).select("id", "degree"), "degree")
+    return graph.top(graph.triangles(sparse(spark, sf_dir)).select("id", "degree"), "degree")
 
 
-@query("m44_activity", f"WITH e AS (SELECT user_id AS id, epoch(ts)::DOUBLE AS t FROM events WHERE event_type = 'purchase'), w AS (SELECT max(t) - min(t) AS whole FROM e) SELECT id, count(*) AS n, round(0.5 * exp(-(epoch(TIMESTAMP '{AS_OF}') - max(t)) / (365.0 * 86400)) + 0.3 * least(1.0, count(*) / 10.0) + 0.2 * CASE WHEN count(*) > 1 THEN least(1.0, (max(t) - min(t)) / whole) ELSE 0 END, 6) AS activity FROM e, w GROUP BY id, whole")
+@query("m44_activity", f"WITH e AS (SELECT user_id AS id, epoch(ts)::DOUBLE AS t FROM events), w AS (SELECT max(t) - min(t) AS whole FROM e) SELECT id, count(*) AS n, round(0.5 * exp(-(epoch(TIMESTAMP '{AS_OF}') - max(t)) / (365.0 * 86400)) + 0.3 * least(1.0, count(*) / 10.0) + 0.2 * CASE WHEN count(*) > 1 THEN least(1.0, (max(t) - min(t)) / whole) ELSE 0 END, 6) AS activity FROM e, w GROUP BY id, whole")
 def activity(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
     as_of = 1706745600.0  # AS_OF in seconds
     return graph.activity(e, as_of).select("id", "n", six(F.col("activity"), "activity"))
 
 
-@query("g_time_user_graph", "WITH p AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'purchase') SELECT DISTINCT src, dst FROM p WHERE src <> dst")
+@query("g_time_user_graph", "WITH p AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) SELECT DISTINCT src, dst FROM p WHERE src <> dst")
 def user_graph(spark, sf_dir):
-    p = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    p = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     return graph.succession(p, ["ts", "event_id"], "user_id")
 
 
@@ -209,11 +224,29 @@ def monthly(spark, sf_dir):
     return _months(spark, sf_dir).select("month", "nodes", "internal", "external", six(F.col("density"), "density"))
 
 
-@query("a16_temporal_insights", f"WITH {MONTHS} SELECT count(*) AS periods, min(month) AS first, max(month) AS last, round(avg(density), 6) AS avg_density, round(max(density), 6) AS max_density, min(nodes) AS min_nodes, max(nodes) AS max_nodes FROM pm")
+ACTIVE = f"e AS (SELECT o_custkey AS id, epoch(o_orderdate)::DOUBLE AS t FROM orders), w AS (SELECT max(t) - min(t) AS whole FROM e), act AS (SELECT id, round(0.5 * exp(-(epoch(TIMESTAMP '{AS_OF}') - max(t)) / (365.0 * 86400)) + 0.3 * least(1.0, count(*) / 10.0) + 0.2 * CASE WHEN count(*) > 1 THEN least(1.0, (max(t) - min(t)) / whole) ELSE 0 END, 6) AS activity FROM e, w GROUP BY id, whole)"
+
+
+def _insights(spark, sf_dir):
+    """Customers by their orders, and months by their first orders."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp").cast("double").alias("ts"))
+    return graph.temporal_insights(graph.activity(o, 1706745600.0).select("id", six(F.col("activity"), "activity")), _months(spark, sf_dir))
+
+
+@query("a16_temporal_insights", f"WITH {MONTHS} SELECT count(*) AS periods, min(month) AS first, max(month) AS last, round(avg(density), 6) AS avg_density, round(min(density), 6) AS min_density, round(max(density), 6) AS max_density, min(nodes) AS min_nodes, max(nodes) AS max_nodes FROM pm")
 def temporal_insights(spark, sf_dir):
-    nobody = spark.createDataFrame([], "id long, activity double")
-    out = graph.temporal_insights(nobody, _months(spark, sf_dir))["periods"]
-    return out.select("periods", "first", "last", six(F.col("avg_density"), "avg_density"), six(F.col("max_density"), "max_density"), "min_nodes", "max_nodes")
+    out = _insights(spark, sf_dir)["periods"]
+    return out.select("periods", "first", "last", six(F.col("avg_density"), "avg_density"), six(F.col("min_density"), "min_density"), six(F.col("max_density"), "max_density"), "min_nodes", "max_nodes")
+
+
+@query("a16_activity", f"WITH {ACTIVE} SELECT count(*) AS nodes, round(avg(activity), 5) AS avg_activity FROM act")
+def average_activity(spark, sf_dir):
+    return _insights(spark, sf_dir)["activity"].select("nodes", F.round("avg_activity", 5).alias("avg_activity"))
+
+
+@query("a16_most_active", f"WITH {ACTIVE} SELECT id, activity FROM act ORDER BY activity DESC, id LIMIT 10")
+def most_active(spark, sf_dir):
+    return _insights(spark, sf_dir)["top"]
 
 
 @query("h11_temporal_events", "SELECT o_orderkey AS id, 'created' AS kind, epoch(o_orderdate)::DOUBLE AS ts FROM orders UNION ALL SELECT l_orderkey, 'modified', epoch(max(l_shipdate))::DOUBLE FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey")
@@ -241,23 +274,50 @@ def positives(spark, sf_dir):
     return pairs.positives(sparse(spark, sf_dir))
 
 
-@query("t12_random_negatives")
+def _drawn_sql(name: str, members: str, taken: str, n: str, turns: str, seed: int) -> str:
+    """CTEs of the first n draws from the pairs of groups (grp, id), as far as `turns` turns go; the last one has the name."""
+    num = lambda text: f"('0x' || substr(md5({text}), 1, 12))::BIGINT"
+    key = lambda r, x: num(f"'{seed}|' || grp || '|{r}|' || {x}")
+    return f"""{name}_m AS (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS n, count(*) OVER (PARTITION BY grp) AS m FROM (SELECT DISTINCT grp, id FROM ({members}))),
+{name}_g AS (SELECT DISTINCT grp, m, md5('{seed}|' || grp) AS turn, CASE WHEN m % 2 = 0 THEN m // 2 ELSE m END AS r, CASE WHEN m % 2 = 0 THEN m - 1 ELSE (m - 1) // 2 END AS c FROM {name}_m WHERE m > 1),
+{name}_0 AS (SELECT *, unnest(range(0, least({turns}, m * (m - 1) // 2))) AS j FROM {name}_g), {name}_1 AS (SELECT *, j // c AS u, j % c AS v FROM {name}_0),
+{name}_2 AS (SELECT * REPLACE ((u + {key(0, 'v')}) % r AS u) FROM {name}_1), {name}_3 AS (SELECT * REPLACE ((v + {key(1, 'u')}) % c AS v) FROM {name}_2),
+{name}_4 AS (SELECT * REPLACE ((u + {key(2, 'v')}) % r AS u) FROM {name}_3), {name}_5 AS (SELECT * REPLACE ((v + {key(3, 'u')}) % c AS v) FROM {name}_4),
+{name}_6 AS (SELECT *, u * c + v AS k, floor((1 + sqrt(1 + 8 * (u * c + v))) / 2)::BIGINT AS w FROM {name}_5),
+{name}_7 AS (SELECT *, CASE WHEN w * (w - 1) // 2 > k THEN w - 1 WHEN w * (w + 1) // 2 <= k THEN w + 1 ELSE w END AS y FROM {name}_6),
+{name}_8 AS (SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, min((j, turn)) AS t FROM {name}_7 x JOIN {name}_m p ON p.grp = x.grp AND p.n = k - y * (y - 1) // 2 JOIN {name}_m q ON q.grp = x.grp AND q.n = y GROUP BY 1, 2),
+{name} AS (SELECT a, b FROM {name}_8 ANTI JOIN (SELECT a, b FROM {taken}) USING (a, b) ORDER BY t, a, b LIMIT ({n}))"""
+
+
+NO_GROUP = "SELECT '' AS grp, id FROM nodes"
+
+
+@query("t12_random_negatives", f"WITH {SN}, pos AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM sparse), {_drawn_sql('f', NO_GROUP, 'pos', 'SELECT least(count(*), (SELECT count(*) * (count(*) - 1) // 2 FROM nodes) - count(*)) FROM pos', '4 * (SELECT count(*) FROM pos)', 42)} SELECT a, b FROM f")
 def random_negatives(spark, sf_dir):
     e = sparse(spark, sf_dir)
     p = pairs.positives(e)
     return pairs.random_negatives(ends(e), p, pairs.target_negatives(p.count(), ends(e).count(), 1.0))
 
 
-@query("t13_stratified_negatives")
+STRATA = ", ".join([
+    _drawn_sql("f", "SELECT folder AS grp, doc_id AS id FROM notes", "(SELECT 0 AS a, 0 AS b)", "100", "400", 42), _drawn_sql("t", "SELECT lang AS grp, doc_id AS id FROM notes", "f", "100", "400", 43),
+    "ft AS (SELECT * FROM f UNION ALL SELECT * FROM t)", _drawn_sql("x", "SELECT '' AS grp, doc_id AS id FROM notes", "ft", "SELECT 300 - count(*) FROM ft", "4000", 44),
+])
+
+
+@query("t13_stratified_negatives", f"WITH {NOTES}, {STRATA} SELECT a, b FROM ft UNION ALL SELECT a, b FROM x")
 def stratified_negatives(spark, sf_dir):
     n = notes(spark, sf_dir).select(F.col("doc_id").alias("id"), "folder", "lang")
     taken = spark.createDataFrame([], "a long, b long")
     return pairs.stratified_negatives(n, n.select("id", F.col("folder").alias("group")), n.select("id", F.col("lang").alias("group")), taken, 300)
 
 
-@query("w2_capped_pairs", f"WITH {DENSE}, h AS (SELECT src AS a, dst AS b, md5('42|' || src || '|' || dst) AS h FROM dense), r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY h) AS x, row_number() OVER (PARTITION BY b ORDER BY h) AS y FROM h) SELECT a, b FROM r WHERE x <= 5 AND y <= 5")
+@query("w2_capped_pairs", f"""WITH RECURSIVE {DENSE}, o AS (SELECT src AS a, dst AS b, row_number() OVER (ORDER BY md5('42|' || src || '|' || dst), src, dst) AS k FROM dense),
+g(k, nodes, a, b, ok) AS (SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT, 0::BIGINT, false UNION ALL SELECT k, CASE WHEN ok THEN list_concat(nodes, [a, b]) ELSE nodes END, a, b, ok FROM (SELECT o.k, g.nodes, o.a, o.b, len(list_filter(g.nodes, lambda x: x = o.a)) < 2 AND len(list_filter(g.nodes, lambda x: x = o.b)) < 2 AS ok FROM g JOIN o ON o.k = g.k + 1))
+SELECT a, b FROM g WHERE ok""")
 def capped(spark, sf_dir):
-    return pairs.capped(dense(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")), 5)
+    """Two pairs a customer at most, by one pass in hash order."""
+    return pairs.capped(dense(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")), 2)
 
 
 @query("j13_negatives_not_positives", f"WITH {SPARSE}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM sparse) SELECT p.a + 1 AS a, p.b + 1 AS b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.a + 1 AND q.b = p.b + 1)")
@@ -292,10 +352,10 @@ def dataset_stats(spark, sf_dir):
     return pairs.dataset_stats(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
-@query("a11_domain_edges", f"WITH {DENSE}, lab AS (SELECT id, 'd' || (id % 4) AS domain FROM deg), sz AS (SELECT domain, count(*) AS n FROM lab GROUP BY domain), m AS (SELECT least(a.domain, b.domain) AS d1, greatest(a.domain, b.domain) AS d2, src, dst FROM dense JOIN lab a ON a.id = src JOIN lab b ON b.id = dst WHERE a.domain <> b.domain), e AS (SELECT d1, d2, count(*) AS connections FROM m GROUP BY d1, d2 HAVING count(*) >= 2), b AS (SELECT d1, d2, count(DISTINCT note) AS k FROM (SELECT d1, d2, src AS note FROM m UNION ALL SELECT d1, d2, dst FROM m) GROUP BY d1, d2) SELECT d1 AS from_domain, d2 AS to_domain, connections, round(least(1.0, connections / greatest(1.0, 0.1 * x.n * y.n)), 6) AS strength, CASE WHEN k > 5 THEN 'hierarchical' WHEN k > 2 THEN 'associative' ELSE 'sequential' END AS connection_type FROM e JOIN b USING (d1, d2) JOIN sz x ON x.domain = d1 JOIN sz y ON y.domain = d2")
+@query("a11_domain_edges", f"WITH {DENSE}, lab AS (SELECT id, c_mktsegment AS domain FROM deg JOIN customer ON c_custkey = id), sz AS (SELECT domain, count(*) AS n FROM lab GROUP BY domain), m AS (SELECT least(a.domain, b.domain) AS d1, greatest(a.domain, b.domain) AS d2, src, dst FROM dense JOIN lab a ON a.id = src JOIN lab b ON b.id = dst WHERE a.domain <> b.domain), e AS (SELECT d1, d2, count(*) AS connections FROM m GROUP BY d1, d2 HAVING count(*) >= 2), b AS (SELECT d1, d2, count(DISTINCT note) AS k FROM (SELECT d1, d2, src AS note FROM m UNION ALL SELECT d1, d2, dst FROM m) GROUP BY d1, d2) SELECT d1 AS from_domain, d2 AS to_domain, connections, round(least(1.0, connections / greatest(1.0, 0.1 * x.n * y.n)), 6) AS strength, CASE WHEN k > 5 THEN 'hierarchical' WHEN k > 2 THEN 'associative' ELSE 'sequential' END AS connection_type FROM e JOIN b USING (d1, d2) JOIN sz x ON x.domain = d1 JOIN sz y ON y.domain = d2")
 def domain_edges(spark, sf_dir):
     e = dense(spark, sf_dir)
-    out = domains.domain_edges(e, ends(e).withColumn("domain", F.concat(F.lit("d"), (F.col("id") % 4).cast("string"))))
+    out = domains.domain_edges(e, segments(spark, sf_dir).join(ends(e), "id").withColumnRenamed("label", "domain"))
     return out.select("from_domain", "to_domain", "connections", six(F.col("strength"), "strength"), "connection_type")
 
 

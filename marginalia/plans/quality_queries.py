@@ -9,7 +9,7 @@ from marginalia.functions import text as T
 from marginalia.operators import events as E
 from marginalia.operators import notes as N
 from marginalia.operators import pairs as P
-from marginalia.plans.base import AS_OF, DENSE, NOTES, dense, ends, notes, query, six
+from marginalia.plans.base import AS_OF, LINKS, NOTES, ends, notes, query, six, sparse
 from marginalia.session import table
 from marginalia.streaming import changes
 
@@ -81,9 +81,9 @@ def domain(spark, sf_dir):
     return notes(spark, sf_dir).select("path", S.domain(F.col("path"), F.col("content")).alias("domain"))
 
 
-@query("m27_connection_metrics", f"WITH {DENSE}, n AS (SELECT id FROM deg), t AS (SELECT count(*) - 1 AS t FROM n), o AS (SELECT src AS id, count(*) AS c FROM dense GROUP BY src), i AS (SELECT dst AS id, count(*) AS c FROM dense GROUP BY dst) SELECT id, coalesce(o.c, 0) AS outbound, coalesce(i.c, 0) AS inbound, round((coalesce(o.c, 0) + coalesce(i.c, 0))::DOUBLE / greatest(1, t), 6) AS density, round(least(1.0, coalesce(o.c, 0) / greatest(1.0::DOUBLE, 0.1 * t)), 6) AS hub, round(least(1.0, coalesce(i.c, 0) / greatest(1.0::DOUBLE, 0.05 * t)), 6) AS authority FROM n LEFT JOIN o USING (id) LEFT JOIN i USING (id), t")
+@query("m27_connection_metrics", f"WITH {LINKS}, n AS (SELECT id FROM deg), t AS (SELECT count(*) - 1 AS t FROM n), o AS (SELECT src AS id, count(*) AS c FROM dense GROUP BY src), i AS (SELECT dst AS id, count(*) AS c FROM dense GROUP BY dst) SELECT id, coalesce(o.c, 0) AS outbound, coalesce(i.c, 0) AS inbound, round((coalesce(o.c, 0) + coalesce(i.c, 0))::DOUBLE / greatest(1, t), 6) AS density, round(least(1.0, coalesce(o.c, 0) / greatest(1.0::DOUBLE, 0.1 * t)), 6) AS hub, round(least(1.0, coalesce(i.c, 0) / greatest(1.0::DOUBLE, 0.05 * t)), 6) AS authority FROM n LEFT JOIN o USING (id) LEFT JOIN i USING (id), t")
 def connection_metrics(spark, sf_dir):
-    e = dense(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     return N.connection_metrics(ends(e), e).select("id", "outbound", "inbound", *[six(F.col(c), c) for c in ("density", "hub", "authority")])
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Tables kept inside the open scratch() blocks, the innermost last.
-_SCRATCH: list[list[DataFrame]] = []
+#: Tables kept inside the open scratch() blocks of this thread or task, the innermost last.
+_SCRATCH: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -87,8 +89,8 @@ def keep(df: DataFrame, name: str, hold: bool = False, rows_per_file: int = 0, b
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
-    if _SCRATCH and not hold:
-        _SCRATCH[-1].append(out)
+    if _SCRATCH.get() and not hold:
+        _SCRATCH.get()[-1].append(out)
     return out
 
 
@@ -106,8 +108,27 @@ def discard(*kept: DataFrame) -> None:
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables kept inside the block are deleted when it ends, but for held ones: keep the result of the block with hold."""
-    _SCRATCH.append([])
+    token = _SCRATCH.set((*_SCRATCH.get(), []))
     try:
         yield
     finally:
-        discard(*_SCRATCH.pop())
+        tables = _SCRATCH.get()[-1]
+        _SCRATCH.reset(token)
+        discard(*tables)
+
+
+def tidied(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """A function of many kept tables that leaves only its result, which an open scratch() of the caller deletes."""
+
+    def of(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(*args, **named) -> DataFrame:
+            with scratch():
+                out = keep(f(*args, **named), name, hold=True)
+            if _SCRATCH.get():
+                _SCRATCH.get()[-1].append(out)
+            return out
+
+        return run
+
+    return of

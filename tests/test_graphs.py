@@ -6,17 +6,18 @@ import pytest
 from marginalia.operators import graph
 from marginalia.plans.catalog import QUERIES
 
-#: Suppliers whose shared parts make a path with a triangle at its end.
-LINKS = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (5, 7)]
+#: Customers (nation, segment, balance), whose neighbours by balance in nation and segment make LINKS.
+CUSTOMERS = [(1, 0, "A", 1.0), (2, 0, "B", 2.0), (3, 0, "A", 3.0), (4, 0, "C", 4.0), (5, 0, "B", 5.0), (6, 0, "B", 6.0), (7, 0, "D", 7.0), (8, 0, "C", 7.0), (21, 1, "A", 1.0), (22, 1, "A", 2.0), (23, 2, "A", 2.0)]
+LINKS = [(1, 2), (1, 3), (2, 3), (2, 5), (3, 4), (4, 5), (4, 8), (5, 6), (6, 7), (7, 8), (21, 22)]
 #: Parts of the first and second lines of orders 1, 2, ...
-ORDERS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (2, 5), (6, 4), (7, 1), (1, 7), (8, 8), (4, 8), (9, 2)]
+ORDERS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (2, 5), (6, 4), (7, 1), (1, 7), (8, 8), (4, 8), (9, 2), (3, 5, 2, 9, 1)]
 
 
 @pytest.fixture(scope="module")
 def lines_dir(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("lines")
     rows = [(k, n + 1, part, 1, "N") for k, order in enumerate(ORDERS, 1) for n, part in enumerate(order)]
-    rows += [(1000 + 10 * k + j, 3 + n, 500 + 10 * k + j, supplier, "R") for k, link in enumerate(LINKS) for j in range(3) for n, supplier in enumerate(link)]
+    spark.createDataFrame(CUSTOMERS, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{d}/customer.parquet")
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
     return str(d)
 
@@ -29,7 +30,7 @@ def matrix(edges):
     return ids, m
 
 
-PARTS = sorted({e for e in ORDERS if e[0] != e[1]})
+PARTS = sorted({e for o in ORDERS for e in zip(o, o[1:]) if e[0] != e[1]})
 
 
 def brute_betweenness(edges):
@@ -68,9 +69,15 @@ def test_negatives_of_all_orders(spark, lines_dir):
     assert got and len(got) == len(set(got)) and not taken & set(got) and {x for p in got for x in p} <= ids
 
 
+def test_customer_links(spark, lines_dir):
+    from marginalia.plans import base
+
+    assert sorted(tuple(r) for r in base.dense(spark, lines_dir).collect()) == LINKS
+
+
 def test_communities_of_all_lines(spark, lines_dir):
     for name in ("g15_communities", "g15_label_propagation"):
-        assert {r["id"] for r in QUERIES[name](spark, lines_dir).collect()} == set(range(1, 8))
+        assert {r["id"] for r in QUERIES[name](spark, lines_dir).collect()} == {x for e in LINKS for x in e}
 
 
 def quality_of(labels, links):
@@ -132,16 +139,16 @@ def test_tag_context_and_reach(spark):
 
 
 def test_eigenvector_has_converged(spark, lines_dir):
-    ids, m = matrix(LINKS)
-    x = np.abs(np.linalg.eigh(m + m.T)[1][:, -1])
+    ids, m = matrix(PARTS)
+    x = np.abs(np.linalg.eigh(((m + m.T) > 0).astype(float))[1][:, -1])
     got = {r["id"]: r["score"] for r in QUERIES["g7_eigenvector"](spark, lines_dir).collect()}
     assert got == pytest.approx(dict(zip(ids, x)), abs=2e-6)
 
 
 def test_communities_run_ten_rounds(spark, tmp_path):
     links = [(k, k + 1) for k in range(1, 24)]
-    rows = [(10 * k + j, 1, 10 * k + j, supplier, "R") for k, link in enumerate(links) for j in range(3) for supplier in link]
-    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = [(k, 0, f"s{k}", float(k)) for k in range(1, 25)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     near = {k: [x for e in links for x in e if k in e and x != k] for k in range(1, 25)}
 
     def propagated(rounds):
@@ -169,3 +176,35 @@ def test_bridges_use_communities_and_betweenness(spark, lines_dir):
         assert (got[k]["inter"], got[k]["communities"]) == (len(far), len(set(far)))
         assert got[k]["bridge_score"] == pytest.approx(score, abs=2e-6)
         assert got[k]["is_bridge"] == (score > 0.25 and bool(far) and len(far) / len(around) >= 0.1)
+
+
+def test_triangles_without_hub_squares(spark):
+    """A star with a ring around it: closed wedges grow with edges, though the hub has all pairs of neighbours."""
+    n = 400
+    e = spark.createDataFrame([(0, k) for k in range(1, n + 1)] + [(k, k % n + 1) for k in range(1, n + 1)], "src long, dst long")
+    closed, _ = graph.closed_wedges(e)
+    assert closed.count() == n
+    got = {r["id"]: (r["degree"], r["links"]) for r in graph.triangles(e).collect()}
+    assert got == {0: (n, n)} | {k: (3, 2) for k in range(1, n + 1)}
+    c = {r["id"]: r["constraint"] for r in graph.constraint(e).collect()}
+    one = ((1 + 2 / 3) / n) ** 2 * n  # of the hub: each neighbour and the two beside it
+    ring = (1 / 3 * (1 + 1 / 3 + 1 / 3)) ** 2 + 2 * (1 / 3 * (1 + 1 / n)) ** 2
+    assert c[0] == pytest.approx(one) and c[5] == pytest.approx(ring)
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (1, 3), (1, 9)], "a long, b long")
+    got = {(r["a"], r["b"]): r["common"] for r in graph.common_neighbours(e, pairs).collect()}
+    assert got == {(0, 1): 2, (1, 2): 1, (1, 3): 2, (1, 9): 1}
+
+
+def test_loops_leave_one_table(spark, tmp_path, monkeypatch):
+    from marginalia import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "src long, dst long")
+    n = graph.nodes_of(e)
+    for f in (lambda: graph.pagerank(n, e), lambda: graph.distances(e, n), lambda: graph.betweenness(e, n), lambda: graph.modularity_communities(n, e), lambda: graph.triangles(e)):
+        before = len(list(tmp_path.iterdir()))
+        f().collect()
+        assert len(list(tmp_path.iterdir())) == before + 1
+    with session.scratch():
+        graph.katz(n, e).collect()
+    assert len(list(tmp_path.iterdir())) == before + 1
