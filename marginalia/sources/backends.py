@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.search import semantic
-from marginalia.sources.store import KEY, VersionedTable, deleted, upserted
+from marginalia.sources.store import KEY, BucketedTable, deleted, upserted
 
 
 class VectorStore(Protocol):
@@ -53,10 +53,10 @@ class _Table:
 
 
 class ParquetVectors(_Table):
-    """Versions of a Parquet table in any file system that Spark reads."""
+    """A bucketed Parquet table in any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.table = VersionedTable(spark, root)
+        self.table = BucketedTable(spark, root)
 
     def read(self) -> DataFrame | None:
         return self.table.read() if self.table.exists() else None

@@ -163,7 +163,7 @@ def test_stream_applies_changes(spark, tmp_path):
     (src / "1.json").write_text("\n".join(json.dumps(dict(zip(keys, r, strict=True))) for r in rows))
     run = lambda: changes.follow(spark, f"file://{src}", f"file://{tmp_path}/t", f"file://{tmp_path}/c").awaitTermination()
     run()
-    table = store.VersionedTable(spark, f"file://{tmp_path}/t")
+    table = store.BucketedTable(spark, f"file://{tmp_path}/t")
     assert [r["path"] for r in table.read().collect()] == ["b.md"]
     (src / "2.json").write_text(json.dumps(dict(zip(keys, ("v", "b.md", "index", "2024-01-03T00:00:00Z", "new"), strict=True))))
     run()
