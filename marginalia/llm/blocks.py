@@ -52,15 +52,35 @@ def text_slices(batch: pa.RecordBatch, text: int, limit: int = BLOCK_BYTES) -> I
         i = j
 
 
+def give_back() -> None:
+    """Gives freed memory of this worker back to the system: it waits for its next task with little of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same map, after which the worker gives freed memory back to the system: it waits for its next task with little of it."""
+    """The same map, after which the worker gives freed memory back. Arrow takes its memory from the system's own allocator, which can."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
+            give_back()
+
+    return whole
+
+
+def released_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for the rows of a group."""
+
+    def whole(group: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return run(group)
+        finally:
+            give_back()
 
     return whole

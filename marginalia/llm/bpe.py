@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.blocks import text_slices
+from marginalia.llm.blocks import released, text_slices
 from marginalia.session import table
 
 #: Encoded pieces in the table of a Python worker; beyond it a new one is begun and the old one is kept to look up what comes again.
@@ -258,7 +258,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary, decoded string")
+    return rows.mapInArrow(released(run), "id long, ids binary, decoded string")
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +285,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

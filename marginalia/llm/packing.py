@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from marginalia.llm.blocks import text_slices
+from marginalia.llm.blocks import released, text_slices
 from marginalia.llm.bpe import loaded, texts_of, vocabulary
 from marginalia.session import keep, table
 
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, columns.values(), strict=True)], list(columns))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
@@ -150,7 +150,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(firsts[at] + r - ranks[at]), pa.array(offsets[at])], [*names, "sequence_id", "offset"])
 
     schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(released(run), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.blocks import text_slices
+from marginalia.llm.blocks import released, released_group, text_slices
 from marginalia.llm.shingles import mix
 from marginalia.session import discard, keep, table, unused
 
@@ -260,8 +260,8 @@ def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
         blobs = [raw[6 * x : 6 * y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pa.table([pa.array(ids[edges[:-1]]) if len(ids) else pa.array([], pa.int64()), pa.array(blobs, pa.binary())], ["id", "keys"])
 
-    sent = docs.mapInArrow(find, "part long, low binary, high binary, ids binary, notice binary")
-    settled = sent.groupBy("part").applyInArrow(settle, "id long, keys binary")
+    sent = docs.mapInArrow(released(find), "part long, low binary, high binary, ids binary, notice binary")
+    settled = sent.groupBy("part").applyInArrow(released_group(settle), "id long, keys binary")
     return settled.groupBy("id").agg(F.collect_list("keys").alias("keys"))
 
 
@@ -346,11 +346,11 @@ def sorted_strings(strings: DataFrame, length: int) -> DataFrame:
             yield out.filter(pa.array((high > low) | (count > 0)))
 
     passes = -(-(length + SPAN - 1) // COLUMNS)
-    state = keep(strings.groupBy("shard").applyInArrow(begin, STATE), "columns", rows_per_file=SHARDS_PER_FILE, batch_bytes=BATCH_BYTES)
+    state = keep(strings.groupBy("shard").applyInArrow(released_group(begin), STATE), "columns", rows_per_file=SHARDS_PER_FILE, batch_bytes=BATCH_BYTES)
     for _ in range(passes - 2):
-        state, before = keep(state.mapInArrow(more, STATE), "columns", rows_per_file=SHARDS_PER_FILE, batch_bytes=BATCH_BYTES), state
+        state, before = keep(state.mapInArrow(released(more), STATE), "columns", rows_per_file=SHARDS_PER_FILE, batch_bytes=BATCH_BYTES), state
         discard(before)
-    out = keep(state.mapInArrow(finish, "key long, h long, first long, early array<int>"), "strings", batch_bytes=BATCH_BYTES)
+    out = keep(state.mapInArrow(released(finish), "key long, h long, first long, early array<int>"), "strings", batch_bytes=BATCH_BYTES)
     discard(state)
     return out
 
@@ -438,13 +438,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = keep(shared_keys(docs, length, max(32, total // PART_BYTES)), "shared-keys", batch_bytes=BATCH_BYTES)
     schema = "key long, h long, id long, start int, size int"
-    places = keep(docs.join(shared.hint("merge"), "id").select("id", "text", "keys").mapInArrow(cut, schema), "places", batch_bytes=BATCH_BYTES)
+    places = keep(docs.join(shared.hint("merge"), "id").select("id", "text", "keys").mapInArrow(released(cut), schema), "places", batch_bytes=BATCH_BYTES)
     discard(shared)
     variants = keep(variants_of(places), "variants")
     several = keep(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
     hot = keep(several.where(F.col("n") > HOT_STRINGS).select("key"), "hot-keys")
     if not hot.isEmpty():
-        windows = keep(with_lists(places.join(hot.hint("merge"), "key", "left_semi"), "start", "size").mapInArrow(single, schema), "windows")
+        windows = keep(with_lists(places.join(hot.hint("merge"), "key", "left_semi"), "start", "size").mapInArrow(released(single), schema), "windows")
         old = (places, variants, several)
         places = keep(places.join(hot.hint("merge"), "key", "left_anti").unionByName(windows), "places")
         variants = keep(variants.join(hot.hint("merge"), "key", "left_anti").unionByName(variants_of(windows)), "variants")
@@ -454,7 +454,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = variants.join(several.select("key").hint("merge"), "key", "left_semi")
     size = wanted.agg(F.sum(F.col("size") + (length - 1))).first()[0] or 0
     wanted = wanted.select(F.col("low").alias("id"), "key", "h", "high", "start", "size")
-    brought = with_lists(wanted, "key", "h", "high", "start", "size").mapInArrow(bring, "key long, h long, low long, high long, part binary")
+    brought = with_lists(wanted, "key", "h", "high", "start", "size").mapInArrow(released(bring), "key long, h long, low long, high long, part binary")
     sorted_ = sorted_strings(brought.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(32, size // SHARD_BYTES)))), length)
     alone = variants.where("high > low").join(several.select("key").hint("merge"), "key", "left_anti").select("key", "h", F.col("low").alias("first"), F.array().cast("array<int>").alias("early"))
     # The key and the hash are 128 bits of a string.
@@ -512,7 +512,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False,
                 n_bytes, n_removed, n_spans, sha = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-        return source.join(found.hint("merge"), "id", "left").select("id", "text", "spans").mapInArrow(sums, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return source.join(found.hint("merge"), "id", "left").select("id", "text", "spans").mapInArrow(released(sums), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     names = docs.columns
     where = names.index(text_col)
@@ -526,7 +526,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False,
 
     own, runs = unused(docs, "removed_id"), unused(docs, "removed_runs")
     found = found.select(F.col("id").alias(own), F.col("spans").alias(runs))
-    return docs.join(found.hint("merge"), docs[id_col].cast("long") == found[own], "left").select(*names, runs).mapInArrow(strip, docs.schema)
+    return docs.join(found.hint("merge"), docs[id_col].cast("long") == found[own], "left").select(*names, runs).mapInArrow(released(strip), docs.schema)
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
