@@ -293,34 +293,72 @@ def moved_labels(both: DataFrame, labels: DataFrame, total: float, turn: int) ->
     return best.select("id", "k", F.when(mine, F.col("new")).otherwise(F.col("old")).alias("community"))
 
 
-@tidied("communities")
-def modularity_communities(nodes: DataFrame, edges: DataFrame, levels: int = 10, rounds: int = 16) -> DataFrame:
-    """id, community (the least id in it) by modularity: rounds of local moving, then communities become nodes, until a level changes nothing.
+def connected_parts(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, community of labels (id, community): each community parted into its connected parts, named by their least ids."""
+    a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("_a")), labels.select(F.col("id").alias("dst"), F.col("community").alias("_b"))
+    inside = links.select("src", "dst").join(a, "src").join(b, "dst").where(F.col("_a") == F.col("_b")).select("src", "dst")
+    return components(labels.select("id"), inside).select("id", F.col("component").alias("community"))
+
+
+def moved_until_still(links: DataFrame, labels: DataFrame, total: float, rounds: int) -> DataFrame:
+    """Labels after rounds of local moving, until neither half of the nodes moves."""
+    labels, still = keep(labels, "labels"), 0
+    for turn in range(rounds):
+        new, before = keep(moved_labels(links, labels, total, turn), "labels"), labels
+        still = still + 1 if new.join(before, ["id", "community"], "left_anti").isEmpty() else 0
+        labels = new
+        discard(before)
+        if still == 2:
+            break
+    return labels
 
-    Ids are integers. Nodes without edges are communities of their own.
+
+@tidied("communities")
+def modularity_communities(nodes: DataFrame, edges: DataFrame, levels: int = 10, rounds: int = 16, refined: bool = True) -> DataFrame:
+    """id, community (the least id in it) by modularity: local moving, refinement, then refined parts become nodes, until a level changes nothing.
+
+    Refinement moves the nodes of each community anew from one node each,
+    along links inside the community only, and parts what is not connected; the
+    next level starts with the refined parts in the communities they come from,
+    so that a part can leave the community that a whole community could not. A
+    community of the result is connected: those that are not are parted at the
+    end, which never lowers modularity. Without refinement whole communities
+    become nodes. Ids are integers. Nodes without edges are communities of
+    their own.
     """
-    weighted = keep(undirected(edges).withColumn("w", F.lit(1.0)), "weights")
-    total = weighted.agg(F.sum("w")).first()[0] or 0.0
-    member = nodes.select("id", F.col("id").alias("community"))
-    for _ in range(levels if total else 0):
-        degree = weighted.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
-        labels, still = keep(degree.select("id", "k", F.col("id").alias("community")), "labels"), 0
+    whole = keep(undirected(edges).withColumn("w", F.lit(1.0)), "weights")
+    weighted, total = whole, whole.agg(F.sum("w").alias("w")).first()["w"] or 0.0
+    if not total:
+        return nodes.select("id", F.col("id").alias("community"))
+    member = nodes.select("id", F.col("id").alias("node"))  # the node that an id is part of now
+    start: DataFrame | None = None  # the communities nodes begin in
+    for _ in range(levels):
+        degree = keep(weighted.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degree")
+        n = degree.count()
+        first = degree.select("id", "k", F.col("id").alias("community")) if start is None else degree.join(start, "id").select("id", "k", "community")
         links = weighted.where("src <> dst")
-        for turn in range(rounds):
-            new, before = keep(moved_labels(links, labels, total, turn), "labels"), labels
-            still = still + 1 if new.join(before, ["id", "community"], "left_anti").isEmpty() else 0
-            labels = new
-            discard(before)
-            if still == 2:  # neither half moves
-                break
-        merged = labels.groupBy("community").agg(F.min("id").alias("to"))
-        labels = keep(labels.join(merged, "community").select("id", F.col("to").alias("community")), "labels")
-        if labels.where("id <> community").isEmpty():
+        labels = moved_until_still(links, first, total, rounds)
+        parts = labels.select("id", "community")
+        if refined:
+            a, b = parts.select(F.col("id").alias("src"), F.col("community").alias("_a")), parts.select(F.col("id").alias("dst"), F.col("community").alias("_b"))
+            inside = keep(links.join(a, "src").join(b, "dst").where(F.col("_a") == F.col("_b")).select("src", "dst", "w"), "inside")
+            fine = moved_until_still(inside, degree.select("id", "k", F.col("id").alias("community")), total, rounds)
+            parts = connected_parts(inside, fine.select("id", "community"))
+            if parts.select("community").distinct().count() == n:  # nothing to merge: the communities' connected parts do
+                parts = connected_parts(inside, labels.select("id", "community"))
+        # A part is named by its least node, and begins in the community of its nodes, named by its least part.
+        named = parts.join(parts.groupBy("community").agg(F.min("id").alias("to")), "community").select("id", "to")
+        named = keep(named.join(labels.select("id", "community"), "id"), "parts")
+        start = keep(named.join(named.groupBy("community").agg(F.min("to").alias("least")), "community").select(F.col("to").alias("id"), F.col("least").alias("community")).distinct(), "start")
+        member = keep(member.join(named.select(F.col("id").alias("node"), "to"), "node", "left").select("id", F.coalesce("to", "node").alias("node")), "members")
+        if start.count() == n:  # every part is one node
             break
-        member = keep(member.join(labels.select(F.col("id").alias("community"), F.col("community").alias("to")), "community", "left").select("id", F.coalesce("to", "community").alias("community")), "members")
-        a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("s")), labels.select(F.col("id").alias("dst"), F.col("community").alias("d"))
+        a, b = named.select(F.col("id").alias("src"), F.col("to").alias("s")), named.select(F.col("id").alias("dst"), F.col("to").alias("d"))
         weighted = keep(weighted.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "weights")
-    return member
+    labels = keep(member.join(start.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("community", "node").alias("community")), "labels")
+    if refined:
+        return connected_parts(whole, labels)
+    return labels.join(labels.groupBy("community").agg(F.min("id").alias("to")), "community").select("id", F.col("to").alias("community"))
 
 
 @tidied("communities")

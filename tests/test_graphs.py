@@ -103,6 +103,37 @@ def test_communities_by_modularity(spark):
     assert quality_of(got, links) > 0.28  # greedy merging reaches about 0.3 on graphs like this
 
 
+def test_communities_are_connected(spark):
+    r = np.random.default_rng(11)
+    links = sorted({(min(a, b), max(a, b)) for a, b in r.integers(0, 70, (110, 2)).tolist() if a != b})
+    e = spark.createDataFrame(links, "src long, dst long")
+    n = graph.nodes_of(e)
+    got = {r["id"]: r["community"] for r in graph.modularity_communities(n, e).collect()}
+    near = {}
+    for a, b in links:
+        if got[a] == got[b]:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for c in set(got.values()):
+        members = {x for x in got if got[x] == c}
+        seen, todo = {c}, [c]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert seen == members and c == min(members)
+    plain = {r["id"]: r["community"] for r in graph.modularity_communities(n, e, refined=False).collect()}
+    assert quality_of(got, links) >= quality_of(plain, links) - 0.02
+
+
+def test_disconnected_communities_are_parted(spark):
+    """Local moving can leave a community in parts once the node between them has gone to another one."""
+    e = spark.createDataFrame([(0, 1), (1, 2), (3, 4), (2, 5), (3, 5), (5, 6), (5, 7), (6, 7)], "src long, dst long")
+    labels = spark.createDataFrame([(k, 1) for k in range(5)] + [(k, 5) for k in (5, 6, 7)], "id long, community long")
+    got = {r["id"]: r["community"] for r in graph.connected_parts(graph.undirected(e), labels).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5, 7: 5}
+
+
 def test_sampled_betweenness(spark):
     r = np.random.default_rng(6)
     links = sorted({(a, b) for a, b in r.integers(0, 40, (120, 2)).tolist() if a != b})
