@@ -61,10 +61,9 @@ def give_back() -> None:
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same map, after which the worker gives freed memory back. Arrow takes its memory from the system's own allocator, which can."""
+    """The same map, after which the worker gives freed memory back."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
@@ -77,7 +76,6 @@ def released_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table],
     """The same for the rows of a group."""
 
     def whole(group: pa.Table) -> pa.Table:
-        pa.set_memory_pool(pa.system_memory_pool())
         try:
             return run(group)
         finally:
