@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import scores, vectors
+from marginalia.session import keep
 
 
 def vector_scores(notes: DataFrame, query: list[float], metric: str = "neg_l2") -> DataFrame:
@@ -57,41 +58,107 @@ def diversified(hits: DataFrame, folder: Column, per_folder: int = 3, always: fl
     return hits.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= per_folder) | (F.col(score) > always)).drop("_rn")
 
 
-def similar_pairs(notes: DataFrame, threshold: float, id_col: str = "id", block: int = 2048) -> DataFrame:
+#: Pivots that blocks of vectors are bounded by, and the slack of the bounds.
+PIVOTS, SLACK = 64, 1e-9
+
+
+def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+
+
+def products(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(rows of x, rows of y, product) of unit vectors whose product reaches the threshold, and how many numbers were multiplied.
+
+    The first half of the dimensions is multiplied for all pairs. What the rest
+    can add is at most the product of the lengths of what is left of both, so
+    only pairs that can still reach the threshold are multiplied to the end.
+    """
+    h = max(1, x.shape[1] // 2)
+    rest_x, rest_y = (np.sqrt((v[:, h:] ** 2).sum(axis=1)) for v in (x, y))
+    some = x[:, :h] @ y[:, :h].T
+    at, to = np.nonzero(some + np.outer(rest_x, rest_y) >= threshold - SLACK)
+    value = some[at, to]
+    for k in range(0, len(at), 1 << 16):
+        c = slice(k, k + (1 << 16))
+        value[c] += np.einsum("ij,ij->i", x[at[c], h:], y[to[c], h:])
+    on = value >= threshold
+    return at[on], to[on], value[on], len(x) * len(y) * h + len(at) * (x.shape[1] - h)
+
+
+def similar_pairs(notes: DataFrame, threshold: float, id_col: str = "id", block: int = 2048, pivots: int = PIVOTS) -> DataFrame:
     """a < b, similarity: all pairs whose cosine is at least the threshold.
 
-    Vectors are dealt over hashed blocks, each a row; every two blocks meet once
-    and are multiplied as matrices, so only pairs that reach the threshold
-    become rows and no task holds more than two blocks. Null vectors and those
-    of other lengths than the block's first have no pairs.
+    Vectors are dealt to the nearest of some pivots, at most `pivots` of them
+    taken by hash, and the cells are cut into hashed blocks. A block knows the
+    least and greatest angle of its vectors to every pivot, and by the triangle
+    inequality two blocks hold no pair if these ranges are further apart than
+    the threshold's angle for some pivot: such blocks never meet. Those that do
+    are multiplied as matrices, the second half of the dimensions only where
+    the first leaves a chance. Only pairs that reach the threshold become rows
+    and no task holds more than two blocks. Null and zero vectors have no
+    pairs, nor have vectors of different lengths.
     """
-    kind = dict(notes.dtypes)[id_col]
-    v = notes.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), vectors.normalised(F.col("embedding")).alias("v"))
-    blocks = max(1, -(-v.count() // block))
-    rows = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("g")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    left = rows.select(F.col("g").alias("i"), F.explode(F.sequence(F.col("g"), F.lit(blocks - 1))).alias("j"), F.col("rows").alias("x"))
-    both = left.join(rows.select(F.col("g").alias("j"), F.col("rows").alias("y")), "j").select("i", "j", "x", "y")
-
-    def stacked(cell: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
-        ids, v = cell.values.field("id"), cell.values.field("v")
-        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-        on = pa.array(sizes == sizes[0])
-        ids, v = ids.filter(on), v.filter(on)
-        return ids, v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    kind, far = dict(notes.dtypes)[id_col], float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-7
+    v = notes.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), vectors.normalised(F.col("embedding")).alias("v")).withColumn("dim", F.size("v")).where("dim > 0")
+    v = v.where(F.exists("v", lambda x: x != 0))
+    n = v.count()
+    sample = v.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, 2 * pivots / max(1, n)) * (1 << 30))).select("dim", "v").limit(2 * pivots).collect()
+    chosen: dict[int, np.ndarray] = {}
+    for dim in {r["dim"] for r in sample}:
+        chosen[dim] = np.asarray([r["v"] for r in sample if r["dim"] == dim][:pivots])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the number of the nearest pivot."""
+        for batch in batches:
+            dims, cell = batch.column(2).to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                if dim in chosen:
+                    x = batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                    cell[at] = np.argmax(x @ chosen[dim].T, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["id", "v", "dim", "cell"])
+
+    placed = keep(v.mapInArrow(place, f"id {kind}, v array<double>, dim int, cell int"), "placed")
+    # At most `pivots` rows for each length that vectors have.
+    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"))
+    parts = sizes.withColumn("parts", F.ceil(F.col("n") / block).cast("long")).select("dim", "cell", "parts")
+    dealt = placed.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = dealt.groupBy("dim", "cell", "part").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("x"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the least and greatest angles to each pivot."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                dim = one.column(0)[0].as_py()
+                x = one.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                a = angles(x, chosen[dim]) if dim in chosen else np.zeros((len(x), 0))
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([a.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([a.max(axis=0).tolist()], pa.list_(pa.float64()))], ["dim", "cell", "part", "ids", "x", "low", "high"])
+
+    blocks = keep(blocks.select("dim", "cell", "part", "ids", "x").mapInArrow(bound, f"dim int, cell int, part long, ids array<{kind}>, x array<double>, low array<double>, high array<double>"), "blocks", rows_per_file=64)
+    key, side = F.struct("cell", "part"), lambda k: blocks.select("dim", key.alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"))
+    salts = int(min(1024, max(1, n // block // 8)))
+    met = side("i").withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salts)).cast("int")).join(side("j").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["dim", "salt"]).where("i <= j")
+    apart = lambda low, high: F.exists(F.zip_with(low, high, lambda x, y: x - y > far), lambda x: x)
+    met = met.where(~apart(F.col("low_i"), F.col("high_j")) & ~apart(F.col("low_j"), F.col("high_i"))).select("dim", "i", "j")
+    matrix = lambda k: blocks.select("dim", key.alias(k), F.col("ids").alias(f"ids_{k}"), F.col("x").alias(f"x_{k}"))
+    both = met.join(matrix("i").hint("merge"), ["dim", "i"]).join(matrix("j").hint("merge"), ["dim", "j"]).select("dim", (F.col("i") == F.col("j")).alias("own"), "ids_i", "x_i", "ids_j", "x_j")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (x_ids, x), (y_ids, y) = stacked(batch.column(2)[k]), stacked(batch.column(3)[k])
-                if x.shape[1] != y.shape[1]:
-                    continue
-                own = batch.column(0)[k] == batch.column(1)[k]
+                one = batch.slice(k, 1)
+                dim, own = one.column(0)[0].as_py(), one.column(1)[0].as_py()
+                x_ids, y_ids = one.column(2).flatten(), one.column(4).flatten()
+                x, y = (one.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in (3, 5))
                 for i in range(0, len(x), 256):
-                    s = x[i : i + 256] @ y.T
-                    at, to = np.nonzero(np.triu(s >= threshold, i + 1) if own else s >= threshold)
+                    at, to, value, _ = products(x[i : i + 256], y, threshold)
+                    if own:
+                        on = at + i < to
+                        at, to, value = at[on], to[on], value[on]
                     a, b = x_ids.take(pa.array(at + i)), y_ids.take(pa.array(to))
                     less = pc.less(a, b)
-                    yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(s[at, to])], ["a", "b", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(value)], ["a", "b", "similarity"])
 
     return both.mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
 
