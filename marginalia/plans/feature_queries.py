@@ -17,16 +17,6 @@ def _fields(spark, sf_dir):
     return marked(spark, sf_dir).withColumn("fields", M.frontmatter(F.col("content")))
 
 
-@query("x3_wikilinks", f"WITH {MARKED} SELECT doc_id, 'doc_' || doc_id + 20 || '.md' AS target, 'next' AS alias FROM marked")
-def wikilinks(spark, sf_dir):
-    return marked(spark, sf_dir).select("doc_id", F.explode(M.wikilinks(F.col("content"))).alias("l")).select("doc_id", "l.target", "l.alias")
-
-
-@query("x31_outgoing", f"WITH {MARKED} SELECT doc_id, 'doc_' || doc_id + 20 AS target FROM marked")
-def outgoing(spark, sf_dir):
-    return marked(spark, sf_dir).select("doc_id", F.explode(links.outgoing(F.col("content"))).alias("target"))
-
-
 @query("x5_named_links", r"SELECT page_id, len(regexp_extract_all(html, 'https?://[^\s)]+'))::BIGINT AS urls, len(regexp_extract_all(html, '\[[^\]]+\]\[([^\]]+)\]'))::BIGINT AS refs FROM pages")
 def named_links(spark, sf_dir):
     found = links.named_links(F.col("html"))
@@ -49,38 +39,6 @@ def semantic_summary(spark, sf_dir):
     return n.select("doc_id", features.semantic_summary(F.col("body"), F.col("fields"), F.col("kind"), F.col("topics"), F.col("concepts")).alias("summary"))
 
 
-@query("m40_frontmatter_features", f"WITH {MARKED} SELECT doc_id, 2::BIGINT AS aliases_count, 0::BIGINT AS domains_count, doc_id % 3 = 0 AS has_summary_field, '🌱' AS progress_state, 'seedling' AS quality_stage FROM marked")
-def frontmatter_features(spark, sf_dir):
-    n = _fields(spark, sf_dir)
-    n = n.withColumn("signs", features.progress(M.tags(F.col("content"), F.col("fields")), F.col("fields")))
-    f = features.frontmatter_features(F.col("fields"), F.col("signs"))
-    return n.select("doc_id", f["aliases_count"].cast("long").alias("aliases_count"), f["domains_count"].cast("long").alias("domains_count"), f["has_summary_field"].alias("has_summary_field"), f["progress_state"].alias("progress_state"), features.quality_stage(F.col("fields"), F.col("signs")).alias("quality_stage"))
-
-
-@query("m41_relationship_counts", f"WITH {MARKED} SELECT doc_id, 1::BIGINT AS up, 2::BIGINT AS alike, 0::BIGINT AS leads_to FROM marked")
-def relationship_counts(spark, sf_dir):
-    n = _fields(spark, sf_dir).withColumn("relationships", M.relationships(F.col("fields")))
-    c = features.relationship_counts(F.col("relationships"))
-    return n.select("doc_id", c["semantic_up_links"].cast("long").alias("up"), c["semantic_similar_links"].cast("long").alias("alike"), c["semantic_leads_to_links"].cast("long").alias("leads_to"))
-
-
-@query("h8_flattened", f"WITH {MARKED} SELECT doc_id, '2' AS tags_count, lang || ', 🌱' AS tags_str, 'a' || doc_id || ', b' AS aliases FROM marked")
-def flattened(spark, sf_dir):
-    f = _fields(spark, sf_dir).select("doc_id", features.flattened(F.col("fields")).alias("f"))
-    return f.select("doc_id", F.col("f")["tags_count"].alias("tags_count"), F.col("f")["tags_str"].alias("tags_str"), F.col("f")["aliases"].alias("aliases"))
-
-
-@query("h6_related", f"WITH {MARKED} SELECT doc_id, 'doc_' || doc_id + 20 || '|next,page' AS related FROM marked")
-def related(spark, sf_dir):
-    return marked(spark, sf_dir).select("doc_id", F.array_join(N.related(F.col("content")), ",").alias("related"))
-
-
-@query("a25_distinct_tags", f"WITH {MARKED} SELECT DISTINCT unnest([lang, '🌱']) AS value FROM marked")
-def distinct_tags(spark, sf_dir):
-    n = _fields(spark, sf_dir).select(M.tags(F.col("content"), F.col("fields")).alias("tags"))
-    return links.distinct_values(n.select(F.filter("tags", lambda t: t.rlike("^[a-z]{2}$") | (t == "🌱")).alias("tags")), "tags")
-
-
 PAIRED = f"""WITH {FEATURES}, c2 AS (SELECT *, list_sum(p) / len(p) AS cx FROM co)"""
 
 
