@@ -226,6 +226,38 @@ def path_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(into, "id", "left").select("id", F.coalesce(r / F.col("total") * r / F.lit(max(1, n - 1)), F.lit(0.0)).alias("closeness"), F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"), F.coalesce("eccentricity", F.lit(0)).alias("eccentricity"), F.coalesce(r, F.lit(0)).alias("reached"))
 
 
+@tidied("estimated-paths")
+def estimated_path_metrics(edges: DataFrame, nodes: DataFrame, bits: int = 12, most: int = 100) -> DataFrame:
+    """path_metrics by sketches: closeness, harmonic, eccentricity and reached of every node, without a row for every two nodes.
+
+    A node's sketch counts the different nodes that reach it; a round unites it
+    with those of the nodes linked to it, so after d rounds it counts the nodes
+    within d steps, and the growth of the counts gives the sums over distances.
+    Counts are off by about 1.04 / 2**(bits / 2), 1.6 % at 12 bits. A node
+    whose count no longer grows by what the sketch can tell has settled, and
+    rounds end when all have, or after `most`. Ids are integers.
+    """
+    n = nodes.count()
+    e = keep(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    zero = F.lit(0.0)
+    state = keep(nodes.select("id").groupBy("id").agg(F.hll_sketch_agg("id", bits).alias("sketch")).select("id", "sketch", F.lit(1.0).alias("seen"), zero.alias("total"), zero.alias("harmonic"), F.lit(0).alias("eccentricity")), "sketches")
+    for d in range(1, most + 1):
+        into = e.join(state.select(F.col("id").alias("src"), "sketch"), "src").select(F.col("dst").alias("id"), "sketch")
+        united = into.unionByName(state.select("id", "sketch")).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"))
+        now = united.withColumn("now", F.greatest(F.hll_sketch_estimate("sketch").cast("double"), F.lit(1.0)))
+        met = state.drop("sketch").join(now, "id")
+        more = F.greatest(F.col("now") - F.col("seen"), zero)
+        new = met.select("id", "sketch", F.greatest("now", "seen").alias("seen"), (F.col("total") + d * more).alias("total"), (F.col("harmonic") + more / d).alias("harmonic"), F.when(more > 0, d).otherwise(F.col("eccentricity")).alias("eccentricity"), (more > 0).alias("grown"))
+        new = keep(new, "sketches")
+        grown = not new.where("grown").isEmpty()
+        state, before = new.drop("grown"), state
+        discard(before)
+        if not grown:
+            break
+    r = F.col("seen") - 1
+    return state.select("id", F.when(F.col("total") > 0, r / F.col("total") * r / F.lit(max(1, n - 1))).otherwise(0.0).alias("closeness"), "harmonic", "eccentricity", F.round(r).cast("long").alias("reached"))
+
+
 @tidied("betweenness")
 def betweenness(edges: DataFrame, nodes: DataFrame, normalised: bool = True, sampled_above: int = 1000, seed: int = 42) -> DataFrame:
     """id, betweenness of the directed graph: shortest paths are counted forward by rounds and dependencies summed backward.

@@ -1,44 +1,82 @@
-"""Topic models over the terms of documents: LDA, or KMeans where it fails."""
+"""Topic models over weighted terms of documents: LDA by variational inference, or KMeans."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.terms import tokens
+from marginalia.operators.terms import documents
+from marginalia.session import unused
 
 
-def fit(docs: DataFrame, text_col: str = "text", topics: int | None = None, method: str = "lda", max_features: int = 1000, min_df: float = 2.0, seed: int = 42, rounds: int = 20) -> PipelineModel:
-    """A fitted pipeline; the number of topics follows the number of documents unless it is given."""
+def _terms(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds the words of each document and pairs of neighbours, without stop words."""
+    key = unused(docs, "row")
+    whole = docs.withColumn(key, F.struct(*docs.columns))
+    found = documents(whole, key, text_col)
+    return found.select("id.*", F.col("terms").alias("tokens"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", topics: int | None = None, method: str = "lda", max_features: int = 1000, min_df: float = 2.0, max_df: float = 0.8, seed: int = 42, rounds: int = 100, starts: int = 10) -> PipelineModel:
+    """A fitted pipeline; the number of topics follows the number of documents unless it is given.
+
+    Terms weigh their count times ln((1 + n) / (1 + df)) + 1, scaled to length
+    one per document. LDA goes through all documents in each round of
+    variational inference. KMeans runs from several starts, of which the one
+    with the least cost stays; its first tie is the earlier seed.
+    """
     if method not in ("lda", "kmeans"):
         raise ValueError("method is lda or kmeans")
-    n = docs.count()
-    k = topics or (min(10, max(2, n // 10)) if method == "lda" else min(8, max(2, n // 15)))
-    words = docs.withColumn("tokens", tokens(F.col(text_col)))
-    count = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max_features, minDF=min_df)
-    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="em", topicDistributionCol="topics") if method == "lda" else KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="topic")
-    return Pipeline(stages=[count, model]).fit(words)
+    words = _terms(docs, text_col).cache()
+    try:
+        n = words.count()
+        k = topics or (min(10, max(2, n // 10)) if method == "lda" else min(8, max(2, n // 15)))
+        count = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=max_features, minDF=float(min(min_df, n)), maxDF=max_df if max_df < 1 and max_df * n >= min_df else float(max(1, n))).fit(words)
+        rarity = IDF(inputCol="counts", outputCol="rarity").fit(count.transform(words)).idf
+        scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in rarity.toArray()]), inputCol="counts", outputCol="scaled")
+        unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
+        rows = unit.transform(scale.transform(count.transform(words))).select("features").cache()
+        if method == "lda":
+            model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=1.0, topicDistributionCol="topics").fit(rows)
+        else:
+            tried = [KMeans(k=k, seed=seed + s, maxIter=rounds, predictionCol="topic").fit(rows) for s in range(starts)]
+            model = min(tried, key=lambda m: m.summary.trainingCost)
+        rows.unpersist()
+        return PipelineModel([count, scale, unit, model])
+    finally:
+        words.unpersist()
 
 
 def predict(model: PipelineModel, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds topic_probabilities, dominant_topic and its probability."""
-    out = model.transform(docs.withColumn("tokens", tokens(F.col(text_col))))
+    out = model.transform(_terms(docs, text_col))
     if "topics" in out.columns:
         out = out.withColumn("topic_probabilities", vector_to_array("topics"))
     else:
         k = len(model.stages[-1].clusterCenters())
         out = out.withColumn("topic_probabilities", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("topic")).cast("double")))
     best = F.array_max("topic_probabilities")
-    return out.withColumn("dominant_topic", F.array_position("topic_probabilities", best).cast("int") - 1).withColumn("dominant_topic_probability", best).drop("tokens", "features", "topics", "topic")
+    out = out.withColumn("dominant_topic", F.array_position("topic_probabilities", best).cast("int") - 1).withColumn("dominant_topic_probability", best)
+    return out.drop("tokens", "counts", "scaled", "features", "topics", "topic")
 
 
 def topic_words(model: PipelineModel, words: int = 5) -> list[dict]:
-    """The commonest words of each topic, for export as JSON."""
+    """The heaviest words of each topic and their weights, for export as JSON: topics times words, whatever the number of documents."""
     vocab, last = model.stages[0].vocabulary, model.stages[-1]
     if hasattr(last, "describeTopics"):
-        return [{"topic": r["topic"], "words": [vocab[i] for i in r["termIndices"]]} for r in last.describeTopics(words).collect()]
-    return [{"topic": k, "words": [vocab[i] for i in sorted(range(len(c)), key=lambda i: -c[i])[:words]]} for k, c in enumerate(last.clusterCenters())]
+        return [{"topic": r["topic"], "words": [vocab[i] for i in r["termIndices"]], "weights": list(r["termWeights"])} for r in last.describeTopics(words).collect()]
+    out = []
+    for k, c in enumerate(last.clusterCenters()):
+        first = sorted(range(len(c)), key=lambda i: (-c[i], vocab[i]))[:words]
+        out.append({"topic": k, "words": [vocab[i] for i in first], "weights": [float(c[i]) for i in first]})
+    return out
+
+
+def topic_sizes(predicted: DataFrame) -> DataFrame:
+    """dominant_topic, documents and the mean probability of the topic among them."""
+    return predicted.groupBy("dominant_topic").agg(F.count("*").alias("documents"), F.avg("dominant_topic_probability").alias("probability"))

@@ -69,6 +69,13 @@ def path_metrics(spark, sf_dir):
     return out.select("id", six(F.col("closeness"), "closeness"), six(F.col("harmonic"), "harmonic"), F.col("eccentricity").cast("long").alias("eccentricity"))
 
 
+@query("g6_g9_g13_estimated")
+def estimated_path_metrics(spark, sf_dir):
+    """Of the whole part graph, by sketches."""
+    e = sparse(spark, sf_dir)
+    return graph.estimated_path_metrics(e, ends(e)).select("id", six(F.col("closeness"), "closeness"), six(F.col("harmonic"), "harmonic"), F.col("eccentricity").cast("long").alias("eccentricity"), "reached")
+
+
 @query("g7_eigenvector")
 def eigenvector(spark, sf_dir):
     e = sparse(spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import markdown as M
 from marginalia.functions import text as T
 from marginalia.operators import notes as N
+from marginalia.operators import topics
 from marginalia.operators import terms
 from marginalia.plans.base import MARKED, NOTES, marked, notes, query, six, texts
 from marginalia.session import table
@@ -246,3 +247,22 @@ def note_tfidf(spark, sf_dir):
     found, vocab = _weights(spark, sf_dir)
     n = vocab.count()
     return terms.weights(found, vocab).groupBy(F.col("id").alias("doc_id")).agg(six(F.sum("weight") / n, "mean_tfidf"), six(F.count("*") / n, "vocabulary_share"))
+
+
+@query("t5_topics")
+def lda_topics(spark, sf_dir):
+    """Topics of all documents by LDA: how many documents each has, its words and the mean probability."""
+    return _topics(spark, sf_dir, "lda")
+
+
+@query("t6_topics")
+def means_topics(spark, sf_dir):
+    return _topics(spark, sf_dir, "kmeans")
+
+
+def _topics(spark, sf_dir, method):
+    d = texts(spark, sf_dir)
+    model = topics.fit(d, method=method)
+    words = spark.createDataFrame([(x["topic"], ",".join(x["words"])) for x in topics.topic_words(model)], "dominant_topic int, words string")
+    sizes = topics.topic_sizes(topics.predict(model, d))
+    return words.join(sizes, "dominant_topic", "left").select(F.col("dominant_topic").alias("topic"), "words", F.coalesce("documents", F.lit(0)).alias("documents"), six(F.col("probability"), "probability"))

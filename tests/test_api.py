@@ -70,7 +70,25 @@ def test_topics(spark):
         model = topics.fit(docs, topics=2, method=method, rounds=5)
         out = topics.predict(model, docs)
         assert out.groupBy((F.col("id") % 2).alias("p")).agg(F.count_distinct("dominant_topic").alias("n")).agg(F.max("n")).first()[0] == 1
-        assert len(topics.topic_words(model)) == 2
+        found = topics.topic_words(model, 3)
+        assert len(found) == 2 and {frozenset(w for w in x["words"] if " " not in w) & frozenset("apple bread cook graph node edge".split()) != frozenset() for x in found} == {True}
+        assert all(len(x["weights"]) == len(x["words"]) and x["weights"] == sorted(x["weights"], reverse=True) for x in found)
+        assert {r["documents"] for r in topics.topic_sizes(out).collect()} == {10}
+
+
+def test_topic_weights_are_those_of_the_term_tables(spark):
+    """The features are counts times smooth idf, of length one, as terms.weights gives them."""
+    from marginalia.operators import terms
+
+    texts = ["red green blue", "red green", "red yellow yellow", "blue yellow pink", "pink blue red"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    model = topics.fit(docs, topics=2, rounds=2, max_df=1.0)
+    vocab = model.stages[0].vocabulary
+    rows = model.stages[2].transform(model.stages[1].transform(model.stages[0].transform(topics._terms(docs, "text")))).select("id", "features").collect()
+    got = {(r["id"], vocab[i]): r["features"][int(i)] for r in rows for i in r["features"].indices.tolist()}
+    d = terms.documents(docs, "id")
+    want = {(r["id"], r["term"]): r["weight"] for r in terms.weights(d, terms.vocabulary(d, 5, 2, 1.0)).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_cache():

@@ -239,3 +239,26 @@ def test_loops_leave_one_table(spark, tmp_path, monkeypatch):
     with session.scratch():
         graph.katz(n, e).collect()
     assert len(list(tmp_path.iterdir())) == before + 1
+
+
+def test_estimated_path_metrics(spark):
+    r = np.random.default_rng(13)
+    links = sorted({(a, b) for a, b in r.integers(0, 120, (260, 2)).tolist() if a != b})
+    e = spark.createDataFrame([*links, (500, 501)], "src long, dst long")
+    n = graph.nodes_of(e).union(spark.createDataFrame([(900,)], "id long"))
+    exact = {x["id"]: x for x in graph.path_metrics(e, n).collect()}
+    got = {x["id"]: x for x in graph.estimated_path_metrics(e, n, 14).collect()}
+    assert set(got) == set(exact)
+    for k, x in exact.items():
+        assert abs(got[k]["reached"] - x["reached"]) <= 0.03 * x["reached"] + 0.5
+        assert got[k]["closeness"] == pytest.approx(x["closeness"], rel=0.1, abs=1e-6) and got[k]["harmonic"] == pytest.approx(x["harmonic"], rel=0.06, abs=1e-6)
+    assert np.mean([got[k]["eccentricity"] == x["eccentricity"] for k, x in exact.items()]) > 0.9
+
+
+def test_sketches_are_near_the_exact_metrics(spark, lines_dir):
+    from marginalia.plans import base
+
+    e = base.sparse(spark, lines_dir)
+    exact = {x["id"]: x["closeness"] for x in graph.path_metrics(e, graph.nodes_of(e)).collect()}
+    got = {x["id"]: x["closeness"] for x in QUERIES["g6_g9_g13_estimated"](spark, lines_dir).collect()}
+    assert got == pytest.approx(exact, rel=0.02, abs=1e-5)
