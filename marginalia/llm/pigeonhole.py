@@ -33,6 +33,8 @@ from marginalia.session import discard, keep, table, unused
 
 #: Dimensions of a block, points a cell is meant to have, cells of a block at most, points of one side of a tile, vectors the cuts are taken from.
 WIDTH, CELL, CELLS, TILE, SAMPLE = 8, 8192, 4096, 4096, 16384
+#: Numbers that the boxes of all blocks of a space may take together, as every task has them; larger cells fall into more tiles.
+BOX_NUMBERS = 1 << 20
 #: Ids of a class in one row while classes are named.
 SALTED = 100_000
 #: Relative and absolute slack of budgets, beyond the rounding of coordinates to 32 bits and of sketches.
@@ -173,6 +175,8 @@ def _links(heads: DataFrame, counts: dict[int, int], least: float, radius2: floa
     first = 0  # number of a block's first cell
     for dim, n in sorted(counts.items()):
         cells = min(CELLS, 1 << max(0, int(np.ceil(np.log2(max(1, n / cell))))))
+        while cells > 1 and cells * dim > BOX_NUMBERS:
+            cells //= 2
         points = np.zeros((0, dim), np.float32)
         if cells > 1:
             part = heads.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, 1.5 * SAMPLE / n) * (1 << 30)))).select("y").limit(SAMPLE)
