@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.blocks import released, text_slices
+from marginalia.llm.blocks import give_back, released, text_slices
 from marginalia.llm.bpe import loaded, vocabulary
 from marginalia.llm.groups import runs as grouped
 from marginalia.session import keep, spread, table
 
-#: Bytes of text in a chunk, unless one document has more, and bytes that go to a Python worker at once.
-CHUNK_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
+#: Bytes of text in a chunk, unless one document has more, bytes that go to a Python worker at once, and encoded runs that a worker keeps.
+CHUNK_BYTES, BATCH_BYTES, RUNS_HELD = 3 << 20, 8 << 20, 100_000
 #: An id pair as one number: the A id above so many bits of the B id.
 B_BITS = 24
 ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
@@ -71,6 +71,7 @@ class Aligner:
         import sentencepiece
 
         self.a, self.b = loaded(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a.most_held = RUNS_HELD
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of the second vocabulary goes on behind a space: runs can't be cut there")
@@ -219,6 +220,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
                 columns = [pa.array(x, kinds.get(k, pa.int64())) for k, x in out.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, chunk)), batch.column(0), *columns], ["chunk", "doc_id", *out])
                 chunk += 1
+                del out, columns
+                give_back()
 
     def seen_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The different pairs of a chunk's documents, and how many of these hold each."""

@@ -114,7 +114,7 @@ class ForcedBoundaryBPE:
         # The same for many ASCII fragments in one text: characters beyond ASCII stand for word ends and part them.
         own = {t[:-1] + MARK.encode() if t.endswith(END) and len(t) > 1 else t: r for t, r in ranks.items()} | {MARK.encode(): MARKED, PART.encode(): PARTED}
         self.merge_all = tiktoken.Encoding("own", pat_str=f"[^{PART}]+|{PART}", mergeable_ranks=own, special_tokens={})._core_bpe.encode_ordinary
-        self.words, self.held, self.older = bool(suffix), {}, {}
+        self.words, self.held, self.older, self.most_held = bool(suffix), {}, {}, FRAGMENTS_HELD
         self.pieces = regex.compile(WORD_PIECES if suffix else GPT_PIECES).findall
         self.old: dict[str, bool] = {}
 
@@ -169,7 +169,7 @@ class ForcedBoundaryBPE:
     def _known(self, text: str) -> bool:
         """Whether all characters are assigned in this Python's tables, so that all tables agree on them."""
         new = set(text).difference(self.old)
-        if len(self.old) > FRAGMENTS_HELD:
+        if len(self.old) > self.most_held:
             self.old.clear()
         self.old |= {c: unicodedata.category(c) != "Cn" for c in new}
         return all(map(self.old.get, set(text)))
@@ -190,7 +190,7 @@ class ForcedBoundaryBPE:
         missed = [run for run, ids in zip(runs, found, strict=True) if ids is None]
         before = list(map(self.older.get, missed))
         fresh = dict(zip(missed, before, strict=True)) | self._learn([run for run, ids in zip(missed, before, strict=True) if ids is None])
-        if len(self.held) + len(fresh) > FRAGMENTS_HELD:
+        if len(self.held) + len(fresh) > self.most_held:
             self.older, self.held = self.held, {}
         self.held |= fresh
         return [fresh[run] if ids is None else ids for run, ids in zip(runs, found, strict=True)]
