@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as M
-from marginalia.operators import features, links
+from marginalia.operators import features, links, overlap
 from marginalia.operators import notes as N
-from marginalia.plans.base import NOTES, notes, query, six
+from marginalia.plans.base import NOTES, notes, query, six, texts
+from marginalia.session import keep
 
 # The text of a note in words that both dialects know, from the document's length, number and language.
 K1, K2 = "((length(content) * 7 + doc_id) % 150)", "((length(content) + doc_id * 3) % 150)"
@@ -164,3 +165,21 @@ def related(spark, sf_dir):
 def distinct_tags(spark, sf_dir):
     n = _fields(spark, sf_dir).select(M.tags(F.col("content"), F.col("fields")).alias("tags"))
     return links.distinct_values(n, "tags")
+
+
+@query("j11_word_overlap", r"WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 3))) AS ws FROM documents), h AS (SELECT min(doc_id) AS id, ws FROM w WHERE len(ws) > 0 GROUP BY ws), e AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM h), p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i FROM e x JOIN e y ON x.word = y.word AND x.id < y.id GROUP BY x.id, y.id) SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS overlap FROM p WHERE i::DOUBLE / (na + nb - i) >= 0.5")
+def word_overlap(spark, sf_dir):
+    """Documents of different words, by their words longer than three letters: half of them shared."""
+    d = texts(spark, sf_dir)
+    words = F.filter(F.split(F.lower(F.col("text")), "[^a-z]+"), lambda w: F.length(w) > 3)
+    sets, _ = overlap.word_sets(d, words, "doc_id")
+    return overlap.overlapping(keep(sets, "sets"), 0.5).select("a", "b", six(F.col("overlap"), "overlap"))
+
+
+@query("f10_containing", f"WITH {NOTES} SELECT doc_id FROM notes WHERE contains(lower(content), 'data p') UNION ALL SELECT -doc_id FROM notes WHERE contains(path, 'en/doc_1')")
+def containing(spark, sf_dir):
+    """Notes by a part of their content and by a part of their path."""
+    n = notes(spark, sf_dir)
+    content, path = (keep(overlap.trigram_index(n, c, "doc_id").repartitionByRange("gram").sortWithinPartitions("gram"), f"grams-{c}") for c in ("content", "path"))
+    found = overlap.containing(n, content, "content", "Data p", "doc_id").select("doc_id")
+    return found.unionByName(overlap.containing(n, path, "path", "EN/doc_1", "doc_id").select((-F.col("doc_id")).alias("doc_id")))
