@@ -17,6 +17,23 @@ ZETTEL_PATTERNS = [r"^\d{12,14}", r"^\d{4}\.\d{2}\.\d{2}", r"^[A-Z]{1,3}\d{3,6}"
 DATE_PATTERNS = [r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\d{4}[-/]\d{1,2}", r"\d{4}"]
 
 
+# Texts of advice and of what is found lacking, which readers of the results look for.
+SUGGESTIONS = [
+    "Expand content with more detailed explanations",
+    "Add headers to organize content structure",
+    "Break content into more paragraphs for readability",
+    "Use headers to create clear content hierarchy",
+    "Use bullet points or numbered lists for key information",
+    "Add relevant tags for better categorization",
+    "Link to related notes to create connections",
+    "Add more links to related concepts and notes",
+    "Fix broken links to maintain note connectivity",
+    "Review and update content to maintain relevance",
+    "Complete or organize TODO items",
+]
+ISSUES = ["Content too short", "Missing headers", "No outbound links", "Broken links present", "Content is stale", "No tags for categorization"]
+
+
 def content_features(notes: DataFrame, text_col: str = "content") -> DataFrame:
     """Sentiment, readability, vocabulary, densities, type, complexity and structure of each text; null is empty.
 
@@ -87,12 +104,12 @@ def assess(notes: DataFrame, as_of, connections: DataFrame | None = None, id_col
     told = lambda pairs: F.filter(F.array(*[F.when(cond, F.lit(text)) for cond, text in pairs]), lambda x: x.isNotNull())
     complete, structured = F.col("completeness") < 0.5, F.col("structure") < 0.5
     suggestions = told([
-        (complete & (words < 100), "Expand content with more detailed explanations"), (complete & (heads == 0), "Add headers to organize content structure"), (complete & (m["paragraphs"] < 3), "Break content into more paragraphs for readability"),
-        (structured & (heads < 2), "Use headers to create clear content hierarchy"), (structured & (m["lists"] == 0), "Use bullet points or numbered lists for key information"), (structured & (tags == 0), "Add relevant tags for better categorization"),
-        ((F.col("connections") < 0.3) & (outbound == 0), "Link to related notes to create connections"), ((F.col("connections") < 0.3) & outbound.between(1, 2), "Add more links to related concepts and notes"),
-        ((F.col("connections") < 0.3) & (broken > 0), "Fix broken links to maintain note connectivity"), (F.col("freshness") < 0.4, "Review and update content to maintain relevance"), (m["todos"] > 0, "Complete or organize TODO items"),
+        (complete & (words < 100), SUGGESTIONS[0]), (complete & (heads == 0), SUGGESTIONS[1]), (complete & (m["paragraphs"] < 3), SUGGESTIONS[2]),
+        (structured & (heads < 2), SUGGESTIONS[3]), (structured & (m["lists"] == 0), SUGGESTIONS[4]), (structured & (tags == 0), SUGGESTIONS[5]),
+        ((F.col("connections") < 0.3) & (outbound == 0), SUGGESTIONS[6]), ((F.col("connections") < 0.3) & outbound.between(1, 2), SUGGESTIONS[7]),
+        ((F.col("connections") < 0.3) & (broken > 0), SUGGESTIONS[8]), (F.col("freshness") < 0.4, SUGGESTIONS[9]), (m["todos"] > 0, SUGGESTIONS[10]),
     ])
-    issues = told([(words < 50, "Content too short"), (heads == 0, "Missing headers"), (outbound == 0, "No outbound links"), (broken > 0, "Broken links present"), (F.col("freshness") < 0.3, "Content is stale"), (tags == 0, "No tags for categorization")])
+    issues = told([(words < 50, ISSUES[0]), (heads == 0, ISSUES[1]), (outbound == 0, ISSUES[2]), (broken > 0, ISSUES[3]), (F.col("freshness") < 0.3, ISSUES[4]), (tags == 0, ISSUES[5])])
     has = lambda t: F.array_contains(F.col("issues"), t)
     graph = F.lit(0.1 if connections is not None else -0.1)
     confidence = S.clamp(0.7 + F.when(words >= 200, 0.1).when(words < 50, -0.2).otherwise(0.0) + graph + F.when((words < 20) | (words > 5000), -0.1).otherwise(0.0), 0.1)

@@ -53,13 +53,13 @@ def _told(rows: list[tuple[str, str]]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{text}' END" for cond, text in rows) + "], lambda x: x IS NOT NULL)"
 
 
-#: Texts are the library's own constants; the conditions are written out anew.
+#: The texts are those of the operator; the conditions are written out anew.
 SUGGESTED = _told([
-    ("completeness < 0.5 AND w < 100", "Expand content with more detailed explanations"), ("completeness < 0.5 AND hd = 0", "Add headers to organize content structure"), ("completeness < 0.5 AND pa < 3", "Break content into more paragraphs for readability"),
-    ("structure < 0.5 AND hd < 2", "Use headers to create clear content hierarchy"), ("structure < 0.5 AND li = 0", "Use bullet points or numbered lists for key information"), ("structure < 0.5 AND tg = 0", "Add relevant tags for better categorization"),
-    ("connections < 0.3 AND ln = 0", "Link to related notes to create connections"), ("connections < 0.3 AND ln BETWEEN 1 AND 2", "Add more links to related concepts and notes"), ("freshness < 0.4", "Review and update content to maintain relevance"), ("td > 0", "Complete or organize TODO items"),
+    ("completeness < 0.5 AND w < 100", N.SUGGESTIONS[0]), ("completeness < 0.5 AND hd = 0", N.SUGGESTIONS[1]), ("completeness < 0.5 AND pa < 3", N.SUGGESTIONS[2]),
+    ("structure < 0.5 AND hd < 2", N.SUGGESTIONS[3]), ("structure < 0.5 AND li = 0", N.SUGGESTIONS[4]), ("structure < 0.5 AND tg = 0", N.SUGGESTIONS[5]),
+    ("connections < 0.3 AND ln = 0", N.SUGGESTIONS[6]), ("connections < 0.3 AND ln BETWEEN 1 AND 2", N.SUGGESTIONS[7]), ("freshness < 0.4", N.SUGGESTIONS[9]), ("td > 0", N.SUGGESTIONS[10]),
 ])
-FOUND = _told([("w < 50", "Content too short"), ("hd = 0", "Missing headers"), ("ln = 0", "No outbound links"), ("freshness < 0.3", "Content is stale"), ("tg = 0", "No tags for categorization")])
+FOUND = _told([("w < 50", N.ISSUES[0]), ("hd = 0", N.ISSUES[1]), ("ln = 0", N.ISSUES[2]), ("freshness < 0.3", N.ISSUES[4]), ("tg = 0", N.ISSUES[5])])
 ADVICE = f"""{SCORED}, ad AS (SELECT path, overall, {SUGGESTED} AS sg, {FOUND} AS iss, greatest(0.1, least(1.0, 0.7 + CASE WHEN w >= 200 THEN 0.1 WHEN w < 50 THEN -0.2 ELSE 0 END - 0.1 + CASE WHEN w < 20 OR w > 5000 THEN -0.1 ELSE 0 END)) AS confidence,
   least(1.0, overall + CASE WHEN w < 200 THEN 0.2 ELSE 0 END + CASE WHEN hd < 2 THEN 0.1 ELSE 0 END + CASE WHEN ln < 3 THEN 0.15 ELSE 0 END + CASE WHEN tg = 0 THEN 0.05 ELSE 0 END) AS potential FROM ov),
 ga AS (SELECT *, CASE WHEN list_contains(iss, 'Content too short') THEN 'completeness' WHEN list_contains(iss, 'Missing headers') OR list_contains(iss, 'No tags for categorization') THEN 'structure' WHEN list_contains(iss, 'No outbound links') THEN 'connections' WHEN list_contains(iss, 'Content is stale') THEN 'freshness' ELSE 'general' END AS gap_type,
