@@ -61,7 +61,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: floa
     non-finite components take no part; vectors of other dimensions than the
     query's are no candidates. A row with the query's own id is no candidate;
     other repeated rows are candidates of their own. Products are exact while
-    dim * scale**2 * max(x)**2 is below 2**53.
+    dim * scale**2 * max(x)**2 is below 2**53. An empty table gives an empty
+    table; further columns, whatever their names, are not read.
     """
 
     def prepared(df: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ def judge_urls(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: floa
     A null url, or one without `://`, has an empty host and path, fits no rule
     and is judged by the model's bias. Rules are columns of `when`, so they stay
     in the JVM; only the model's score runs in Python. Repeated rows are
-    independent.
+    independent, very long urls are read whole, an empty table gives an empty
+    table, and further columns, whatever their names, are not read.
     """
     w, bias = train([(plain_split(u), v) for u, v in labelled])
 
