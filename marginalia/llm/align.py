@@ -36,7 +36,7 @@ from marginalia.llm.groups import runs as grouped
 from marginalia.session import keep, spread, table
 
 #: Bytes of text in a chunk, unless one document has more, bytes that go to a Python worker at once, and encoded runs that a worker keeps.
-CHUNK_BYTES, BATCH_BYTES, RUNS_HELD = 3 << 20, 8 << 20, 100_000
+CHUNK_BYTES, BATCH_BYTES, RUNS_HELD = 4 << 20, 8 << 20, 100_000
 #: An id pair as one number: the A id above so many bits of the B id.
 B_BITS = 24
 ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
