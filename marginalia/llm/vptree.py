@@ -8,9 +8,11 @@ points above it. The triangle inequality bounds the distance of a query to a
 shard, a node or a row from below by the greatest difference of distances to
 the same vantage point. What is bounded is skipped when its bound times
 `factor` exceeds the distance of the k-th best so far; factor one therefore
-skips only what cannot win and is exact. How tight bounds are is a matter of
-the data, so the factor is tuned on a bounded sample. Queries first search the shard of
-their own pivot, then those that the distance of its k-th best leaves.
+skips only what cannot win and is exact, and is what `nearest` works with. A
+greater factor can be given, or tuned on a bounded sample; what it finds on
+that sample says little about tables with other groups or of other sizes.
+Queries first search the shard of their own pivot, then those that the distance
+of its k-th best leaves.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from marginalia.session import discard, keep, table
 SHARD, LEAF, QUERIES, VANTAGES, PIVOTS = 8192, 128, 512, 8, 64
 #: Factors that are tried on a sample of at most SAMPLE vectors, the most daring first, and the recall there that one must reach.
 FACTORS, SAMPLE, RECALL = (4.0, 3.5, 3.0, 2.5, 2.0, 1.6, 1.3, 1.15, 1.0), 4096, 0.95
-#: Rounding that bounds allow for.
+#: Rounding that bounds allow for, and within which distances are settled by scores.
 SLACK = 1e-6
 
 
@@ -38,6 +40,15 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
+def norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", v, v))
+
+
+def cosines(q: np.ndarray, norm: float, v: np.ndarray, norms_: np.ndarray) -> np.ndarray:
+    """Of one vector with each row, summed in one order wherever a row stands, so that equal rows have equal scores."""
+    return np.einsum("ij,ij->i", np.broadcast_to(q, v.shape), v) / (norm * norms_)
+
+
 @dataclass
 class Tree:
     """order: rows by leaf; path[i]: distances of order[i] to the vantage points above it; a node is (begin, end, depth, left, right), leaves have left -1."""
@@ -91,14 +102,18 @@ def build(u: np.ndarray, leaf: int = 0, seed: int = 1) -> Tree:
     return Tree(order, path, np.asarray(nodes), np.stack(vantages), low, high)
 
 
-def search(u: np.ndarray, ids: np.ndarray, tree: Tree, q: np.ndarray, own: np.ndarray, k: int, factor: float, reach: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+def search(u: np.ndarray, ids: np.ndarray, tree: Tree, q: np.ndarray, own: np.ndarray, k: int, factor: float, reach: np.ndarray | None = None, originals: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, int]:
     """(row numbers of each query's k nearest found, -1 where there are fewer, distances computed).
 
-    Ties within 1e-12 go to smaller ids. reach: distance that a row must not
-    exceed to be of use, the k-th best known so far.
+    Rows whose distances differ by rounding are ranked by their cosines with
+    the query, of the original vectors (queries, rows) if those are given; ties
+    go to smaller ids. reach: distance that a row must not exceed to be of use,
+    the k-th best known so far.
     """
     n, m = len(q), VANTAGES
-    near, rows = np.full((n, k), np.inf), np.full((n, k), -1)
+    a, c = (q, u) if originals is None else originals
+    na, nc = norms(a), norms(c)
+    near, rows, scores = np.full((n, k), np.inf), np.full((n, k), -1), np.full((n, k), -np.inf)
     reach = np.full(n, np.inf) if reach is None else reach
     seen, above, computed = np.full(n, -1), np.zeros((n, tree.path.shape[1])), 0
 
@@ -110,19 +125,27 @@ def search(u: np.ndarray, ids: np.ndarray, tree: Tree, q: np.ndarray, own: np.nd
         begin, end, level = tree.nodes[node, :3].tolist()
         part, path, top = tree.order[begin:end], tree.path[begin:end], limit(who)
         bound, most = np.zeros((len(who), len(part))), np.full((len(who), len(part)), np.inf)
-        for c in range(level * m):
-            np.maximum(bound, np.abs(above[who, c, None] - path[None, :, c]), out=bound)
-            np.minimum(most, above[who, c, None] + path[None, :, c], out=most)
+        for x in range(level * m):
+            np.maximum(bound, np.abs(above[who, x, None] - path[None, :, x]), out=bound)
+            np.minimum(most, above[who, x, None] + path[None, :, x], out=most)
         alive = (np.minimum((bound - SLACK) * factor, most - SLACK) <= top[:, None]) & (own[who][:, None] != ids[part][None, :])
         for w, on in zip(who.tolist(), alive, strict=True):
             some = part[on]
             if not len(some):
                 continue
             computed += len(some)
-            d = np.concatenate([near[w], np.round(distances(u[some], q[w : w + 1])[:, 0], 12)])
+            d = distances(u[some], q[w : w + 1])[:, 0]
+            edge = near[w, k - 1] if len(some) < k else min(near[w, k - 1], np.partition(d, k - 1)[k - 1])
+            use = d <= edge + SLACK  # rounding of near distances is settled by the scores
+            some, d = some[use], d[use]
+            if not len(some):
+                continue
+            d = np.concatenate([near[w], d])
             at = np.concatenate([rows[w], some])
-            by = np.lexsort((np.where(at >= 0, ids[at], np.iinfo(np.int64).max), d))[:k]
-            near[w], rows[w] = d[by], at[by]
+            worth = np.concatenate([scores[w], cosines(a[w], na[w], c[some], nc[some])])
+            by = np.lexsort((np.where(at >= 0, ids[at], np.iinfo(np.int64).max), -worth))[:k]
+            scores[w], rows[w] = worth[by], at[by]
+            near[w] = np.maximum.accumulate(d[by])
 
     def meet(node: int, who: np.ndarray) -> None:
         nonlocal computed
@@ -188,7 +211,7 @@ def tuned(u: np.ndarray, ids: np.ndarray, k: int, queries: int = 200) -> float:
     return 1.0
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float | None = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by cosine, in double precision on the original vectors.
 
     Every valid vector is indexed; vectors that are null, empty or zero or hold
@@ -198,8 +221,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float |
     own. An empty table gives an empty result; further columns, whatever their
     names, are not read. Shards are dealt by one row for each SHARD vectors, at
     most PIVOTS, those with the least id hashes, and parted by id hash where
-    more than SHARD vectors are near one of them. Without a factor, it is tuned
-    on the SAMPLE vectors with the least id hashes.
+    more than SHARD vectors are near one of them. Factor one finds the true
+    nearest; None tunes the factor on the SAMPLE vectors with the least id
+    hashes, which promises nothing for the rest.
     """
 
     def prepared(df: DataFrame) -> DataFrame:
@@ -287,10 +311,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float |
                 qi, both = unpack(q_ids, q_v)
                 qv, reach = np.ascontiguousarray(both[:, :-1]), both[:, -1]
                 ids, v = unpack(c_ids, c_v)
-                rows, _ = search(unit(v), ids, Tree.unpack(raw), unit(qv), qi, k, factor, reach)
+                rows, _ = search(unit(v), ids, Tree.unpack(raw), unit(qv), qi, k, factor, reach, (qv, v))
                 who, at = np.nonzero(rows >= 0)
                 a, c = qv[who], v[rows[who, at]]
-                score = np.einsum("ij,ij->i", a, c) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", c, c)))
+                score = np.einsum("ij,ij->i", a, c) / (norms(a) * norms(c))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[who]), pa.array(ids[rows[who, at]]), pa.array(score)], ["query_id", "vec_id", "score"])
 
     def searched(asked: DataFrame, home: bool) -> DataFrame:
