@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 # Patterns and keys of the note format.
 FRONTMATTER = r"^---\s*\n(.*?)\n---\s*\n"
+#: What \s means in Python, for Java.
+_SPACE = r"[ \t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 WIKILINK = r"\[\[([^\]|]*)(?:\|([^\]]*))?\]\]"
 HEADING = r"^(#+)\s+(.*?)(?:\s*#+)?$"
 INLINE_TAG = r"(?:^|\s)#([a-zA-Z0-9_/-]+)(?:\s|$)"
@@ -43,9 +48,16 @@ def _flat(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, default=str, ensure_ascii=False)
 
 
+def frontmatter(content: Column) -> Column:
+    """Keys of the YAML front matter; values that are no strings as JSON. Broken or missing front matter is empty.
+
+    Only the front matter goes to Python, so that workers hold none of the texts.
+    """
+    return _yaml_fields(F.regexp_extract(content, "(?s)" + FRONTMATTER.replace(r"\s", _SPACE), 0))
+
+
 @F.pandas_udf(Y.MapType(Y.StringType(), Y.StringType()))
-def frontmatter(content: pd.Series) -> pd.Series:
-    """Keys of the YAML front matter; values that are no strings as JSON. Broken or missing front matter is empty."""
+def _yaml_fields(content: pd.Series) -> pd.Series:
     import yaml
 
     def one(text: str | None) -> dict:
@@ -187,9 +199,17 @@ def chunk_spans(text: str, size: int, overlap: int, least: int) -> list[tuple[in
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200, least: int = 50) -> DataFrame:
     """Rows (id, chunk_index, start_pos, end_pos, length, text) of overlapping chunks that end at sentences where they can."""
 
-    @F.pandas_udf("array<struct<start_pos int, end_pos int>>")
-    def spans(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: [{"start_pos": a, "end_pos": b} for a, b in chunk_spans(t or "", size, overlap, least)])
+    @F.arrow_udf("array<struct<start_pos int, end_pos int>>")
+    def spans(content: pa.Array) -> pa.Array:
+        """One text at a time is a Python string; spans are held as numbers."""
+        ends, flat = [0], array("i")
+        for text in content:
+            for a, b in chunk_spans(text.as_py() or "", size, overlap, least):
+                flat.extend((a, b))
+            ends.append(len(flat) // 2)
+        both = np.frombuffer(flat, np.int32).reshape(-1, 2)
+        columns = [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["start_pos", "end_pos"]))
 
     out = df.select(F.col(id_col), F.col(text_col).alias("_t"), F.posexplode(spans(F.col(text_col))).alias("chunk_index", "_s"))
     return out.select(id_col, "chunk_index", "_s.*", (F.col("_s.end_pos") - F.col("_s.start_pos")).alias("length"), F.col("_t").substr(F.col("_s.start_pos") + 1, F.col("_s.end_pos") - F.col("_s.start_pos")).alias("text"))
