@@ -47,14 +47,15 @@ def number(text: Column, digits: int = 12) -> Column:
 
 
 def numbered(df: DataFrame, key: str, within: list[str] | None = None, rows: int = 100_000) -> DataFrame:
-    """Adds n = 0, 1, ... in an order that only the keys decide, and total, for the whole table or within each group.
+    """Adds n = 0, 1, ... in the order of the key, and total, for the whole table or within each group.
 
-    Ranks in hashed parts of about `rows` rows and the sums of the parts before
-    them, so that no group is sorted by one task.
+    Rows are dealt to ranges of the groups and keys, at least one for each
+    `rows` rows; ranks inside the ranges and the sums of those before them make
+    the numbers, so that no group is sorted by one task.
     """
     within = within or []
-    parts = max(1, -(-df.count() // rows))
-    g = df.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(parts)))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    g = keep(df.repartitionByRange(parts, *within, key).withColumn("_g", F.spark_partition_id()), "ranges")
     sums = g.groupBy(*within, "_g").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*within, *([] if within else [F.lit(0)])).orderBy("_g")  # one row a part
     sums = sums.withColumns({"_s": F.sum("_c").over(before) - F.col("_c"), "total": F.sum("_c").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).drop("_c")
