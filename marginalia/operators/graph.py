@@ -180,16 +180,44 @@ def neighbourhood(edges: DataFrame, center, depth: int = 2) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, missing: int = 999, most: int | None = None) -> DataFrame:
     """a, b, shortest_path: undirected distance of each pair, `missing` if there is none.
 
-    Searches from the side with fewer different nodes, only while pairs are
-    open, and for sources that still have one.
+    Pairs that are linked, or that no path joins, are told by joins. The others
+    are searched from the side with fewer different nodes, only while pairs are
+    open and for sources that still have one: in tasks that hold a component,
+    or by rounds where it is too large.
     """
+    pairs = keep(pairs, "pairs")
     sides = pairs.agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).first()
     near, far = ("a", "b") if sides["a"] <= sides["b"] else ("b", "a")
     asked = keep(pairs.select(F.col(near).alias("source"), F.col(far).alias("id")).distinct(), "asked")
     both = keep(undirected(edges), "both")
-    seen = front = asked.select("source").distinct().select("source", F.col("source").alias("id"))
-    found, step = asked.where("source = id").withColumn("distance", F.lit(0)), 0
-    open_ = keep(asked.where("source <> id"), "open")
+    found = asked.where("source = id").withColumn("distance", F.lit(0))
+    if most is None or most > 0:
+        linked = both.select(F.col("src").alias("source"), F.col("dst").alias("id"))
+        found = found.unionByName(asked.join(linked, ["source", "id"], "left_semi").withColumn("distance", F.lit(1)))
+        parts = keep(components(nodes_of(both), both), "components")
+        e, sizes = walks.sizes(both, parts)
+        inside = asked.where("source <> id").join(linked, ["source", "id"], "left_anti").join(parts.withColumnRenamed("id", "source"), "source")
+        open_ = keep(inside.join(parts, ["id", "component"]).select("component", "source", "id"), "open")
+        kind = dict(parts.dtypes)["id"]
+
+        def between(edges: pa.Table, asked: pa.Table) -> pa.Table:
+            walk = Walk(edges, [asked["source"], asked["id"]])
+            return pa.table({"source": asked["source"], "id": asked["id"], "distance": pa.array(walk.between(*walk.codes, most))})
+
+        met = walks.searched(e, sizes, open_, "source", between, f"source {kind}, id {kind}, distance long").where("distance >= 0")
+        found = found.unionByName(met.withColumn("distance", F.col("distance").cast("int")))
+        large = sizes.where(F.col("m") > walks.LOCAL_EDGES)
+        if not large.isEmpty():
+            found = found.unionByName(_by_rounds(e.join(large, "component", "left_semi").select("src", "dst"), open_.join(large, "component", "left_semi").select("source", "id"), most))
+    out = found.select(F.col("source").alias(near), F.col("id").alias(far), "distance")
+    return pairs.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("distance", F.lit(missing)).alias("shortest_path"))
+
+
+def _by_rounds(both: DataFrame, asked: DataFrame, most: int | None) -> DataFrame:
+    """source, id, distance of the pairs asked that a path joins within `most` steps, a round of joins for each step."""
+    both, open_ = keep(both, "both"), keep(asked, "open")
+    seen = front = open_.select("source").distinct().select("source", F.col("source").alias("id"))
+    found, step = open_.limit(0).withColumn("distance", F.lit(0)), 0
     while (most is None or step < most) and not open_.isEmpty():
         step += 1
         alive = front.join(open_.select("source").distinct(), "source", "left_semi")
@@ -201,8 +229,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, missing: int = 999, most:
         found = found.unionByName(met)
         open_ = keep(open_.join(met, ["source", "id"], "left_anti"), "open")
         seen = seen.unionByName(front)
-    out = found.select(F.col("source").alias(near), F.col("id").alias(far), "distance")
-    return pairs.join(out, ["a", "b"], "left").select("a", "b", F.coalesce("distance", F.lit(missing)).alias("shortest_path"))
+    return found
 
 
 @tidied("diameter")

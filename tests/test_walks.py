@@ -46,6 +46,16 @@ def test_path_metrics_anywhere(spark, place):
         assert tuple(got[t])[1:] == pytest.approx(want)
 
 
+def test_shortest_paths_anywhere(spark, place):
+    rows, e = some_edges(spark)
+    both = rows + [(b, a) for a, b in rows]
+    asked = [(a, b) for a in (0, 1, 2, 3, 100, 107, 999) for b in (0, 1, 5, 9, 13, 101, 106, 998, 999)]
+    for most in (None, 3):
+        got = {(r["a"], r["b"]): r["shortest_path"] for r in graph.shortest_paths(e, spark.createDataFrame(asked, "a long, b long"), most=most).collect()}
+        want = {(a, b): brute(both, a).get(b, 999) for a, b in asked}
+        assert got == {p: d if most is None or d <= most else 999 for p, d in want.items()}
+
+
 def test_long_chains_take_few_jobs(spark):
     e = spark.range(800).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src % 400 <> 399")
     context = spark.sparkContext
