@@ -6,8 +6,11 @@ short and a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,17 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.select("nodes", "edges", F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 2, (n * F.col("_m") - F.col("_s")) / ((n - 1) * (n - 2))).otherwise(0.0).alias("centralization")).join(F.broadcast(parts))  # one row each
 
 
+@contextmanager
+def held(edges: DataFrame, key: str) -> Iterator[DataFrame]:
+    """Edges (src, dst) worked out once, and held on executors' disks dealt by a key for as long as the block: joins of a loop on it send the other side only."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(edges.select("src", "dst"), "edges").repartition(parts, key).persist(StorageLevel.DISK_ONLY)
+    try:
+        yield dealt
+    finally:
+        dealt.unpersist()
+
+
 @tidied("pagerank")
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """id, rank: power iteration; the mass of nodes without out-edges is spread evenly. With a tolerance it ends once the change is below n times it."""
@@ -93,13 +107,24 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 50, tolerance:
 
 @tidied("katz")
 def katz(nodes: DataFrame, edges: DataFrame, rounds: int = 30, beta: float = 1.0) -> DataFrame:
-    """id, score: alpha is a tenth of the inverse of the greatest degree; normalised to length one."""
-    top = undirected(edges).groupBy("src").count().agg(F.max("count")).first()[0] or 1
-    alpha = 0.1 / top
-    scores = nodes.select("id", F.lit(0.0).alias("score"))
-    for _ in range(rounds):
-        flow = edges.join(scores, edges["src"] == scores["id"]).groupBy("dst").agg(F.sum("score").alias("flow"))
-        scores = keep(nodes.join(flow, nodes["id"] == flow["dst"], "left").select("id", (alpha * F.coalesce("flow", F.lit(0.0)) + beta).alias("score")), "scores")
+    """id, score: alpha is a tenth of the inverse of the greatest degree; normalised to length one.
+
+    No node has more in-edges than that degree, so a round changes scores by a
+    tenth of what the last one did at most. Rounds end before their number
+    where the rest of them together could move no score by more than about
+    1e-15 of itself, which is what doubles tell apart.
+    """
+    with held(edges, "src") as dealt:
+        top = undirected(dealt).groupBy("src").count().agg(F.max("count")).first()[0] or 1
+        alpha = 0.1 / top
+        scores = keep(nodes.select("id", F.lit(0.0).alias("score")), "scores")
+        for _ in range(rounds):
+            flow = dealt.join(scores, dealt["src"] == scores["id"]).groupBy("dst").agg(F.sum("score").alias("flow"))
+            new = keep(scores.join(flow, scores["id"] == flow["dst"], "left").select("id", (alpha * F.coalesce("flow", F.lit(0.0)) + beta).alias("score"), F.col("score").alias("before")), "scores")
+            change = new.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
+            scores = new.select("id", "score")
+            if change <= 1e-14 * abs(beta):
+                break
     length = scores.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
     return scores.select("id", (F.col("score") / length).alias("score"))
 

@@ -65,6 +65,28 @@ def test_long_chains_take_few_jobs(spark):
     context.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_edges_of_loops_are_made_once(spark):
+    for run in (graph.katz,):
+        made = spark.sparkContext.accumulator(0)
+
+        def passed(batches, made=made):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        rows = [(a, b) for a in range(12) for b in range(12) if a != b]
+        nodes = spark.range(12).select("id")
+        e = spark.createDataFrame(rows, "src long, dst long").mapInArrow(passed, "src long, dst long")
+        run(nodes, e).collect()
+        assert made.value <= 2 * len(rows)
+
+
+def test_katz_stops_where_nothing_moves(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3)], "src long, dst long")
+    scores = [sorted(tuple(r) for r in graph.katz(graph.nodes_of(e), e, rounds).collect()) for rounds in (30, 300)]
+    assert np.allclose(scores[0], scores[1], rtol=1e-14, atol=0)
+
+
 def test_walk_numbers_any_ids():
     edges = pa.table({"src": ["x", "y"], "dst": ["y", "z"]})
     walk = walks.Walk(edges, [pa.chunked_array([["x", "z"]])])
