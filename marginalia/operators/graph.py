@@ -130,19 +130,23 @@ def katz(nodes: DataFrame, edges: DataFrame, rounds: int = 30, beta: float = 1.0
 
 
 def closed_wedges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(triangles u, v, w with the degrees ku, kv and kw, each triangle once; id and degree of all nodes) of the undirected graph.
+    """(triangles u, v, w, each once; id and degree of all nodes) of the undirected graph.
 
     Each edge points to its end of higher degree (ties by id), so a hub of any
-    degree makes few wedges.
+    degree makes few wedges. A wedge goes round as its three ids alone.
     """
-    both = keep(undirected(edges), "both")
+    return _closed(keep(undirected(edges), "both"))
+
+
+def _closed(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """closed_wedges of both directions of the edges."""
     degree = keep(both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "degrees")
     a, b = degree.select(F.col("id").alias("src"), F.col("degree").alias("_a")), degree.select(F.col("id").alias("dst"), F.col("degree").alias("_b"))
     ranked = both.where("src < dst").join(a, "src").join(b, "dst")
     first = (F.col("_a") < F.col("_b")) | ((F.col("_a") == F.col("_b")) & (F.col("src") < F.col("dst")))
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    arcs = keep(ranked.select(pick("src", "dst").alias("u"), pick("_a", "_b").alias("ku"), pick("dst", "src").alias("v"), pick("_b", "_a").alias("kv")), "arcs")
-    wedges = arcs.alias("x").join(arcs.alias("y"), F.expr("x.u = y.u and (x.kv, x.v) < (y.kv, y.v)")).select("x.u", "x.ku", "x.v", "x.kv", F.col("y.v").alias("w"), F.col("y.kv").alias("kw"))
+    arcs = keep(ranked.select(pick("src", "dst").alias("u"), pick("dst", "src").alias("v"), pick("_b", "_a").alias("kv")), "arcs")
+    wedges = arcs.alias("x").join(arcs.alias("y"), F.expr("x.u = y.u and (x.kv, x.v) < (y.kv, y.v)")).select("x.u", "x.v", F.col("y.v").alias("w"))
     return wedges.join(arcs.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"]), degree
 
 
@@ -167,10 +171,13 @@ def constraint(edges: DataFrame) -> DataFrame:
     Mutual neighbours come from the triangles, each of which gives its three
     edges the third node, so no hub meets all pairs of its neighbours.
     """
-    closed, degree = closed_wedges(edges)
-    third = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v"), (1.0 / F.col(k)).alias("s")) for x, y, k in (("u", "v", "kw"), ("v", "u", "kw"), ("u", "w", "kv"), ("w", "u", "kv"), ("v", "w", "ku"), ("w", "v", "ku"))])
-    mutual = closed.select(F.explode(third).alias("t")).groupBy("t.u", "t.v").agg(F.sum("t.s").alias("s"))
-    e = undirected(edges).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    both = keep(undirected(edges), "both")
+    closed, degree = _closed(both)
+    third = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v"), F.col(m).alias("m")) for x, y, m in (("u", "v", "w"), ("u", "w", "v"), ("v", "w", "u"))])
+    found = closed.select(F.explode(third).alias("t")).select("t.*").join(degree.select(F.col("id").alias("m"), (1.0 / F.col("degree")).alias("s")), "m").groupBy("u", "v").agg(F.sum("s").alias("s"))
+    found = keep(found, "mutual")
+    mutual = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
+    e = both.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     parts = e.join(mutual, ["u", "v"], "left").join(degree.select(F.col("id").alias("u"), F.col("degree").alias("k")), "u")
     one = (1.0 + F.coalesce("s", F.lit(0.0))) / F.col("k")
     return parts.groupBy(F.col("u").alias("id")).agg(F.sum(one * one).alias("c"), F.first("k").alias("k")).select("id", F.when(F.col("k") > 1, F.least(F.lit(1.0), F.col("c"))).otherwise(1.0).alias("constraint"))

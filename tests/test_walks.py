@@ -87,6 +87,12 @@ def test_katz_stops_where_nothing_moves(spark):
     assert np.allclose(scores[0], scores[1], rtol=1e-14, atol=0)
 
 
+def test_wedges_hold_ids_alone(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long")
+    closed, *_ = graph.closed_wedges(e)
+    assert closed.columns and set(closed.columns) == {"u", "v", "w"} and closed.count() == 1
+
+
 def test_walk_numbers_any_ids():
     edges = pa.table({"src": ["x", "y"], "dst": ["y", "z"]})
     walk = walks.Walk(edges, [pa.chunked_array([["x", "z"]])])
