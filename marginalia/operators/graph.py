@@ -91,16 +91,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float
 @tidied("eigenvector")
 def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 50, tolerance: float | None = None) -> DataFrame:
     """id, score: power iteration of x + A'x on in-edges, normalised to length one. With a tolerance it ends once the change is below n times it."""
-    n = nodes.count()
-    scores = keep(nodes.select("id", F.lit(1.0 / max(1, n)).alias("score")), "scores")
-    for _ in range(rounds if n else 0):
-        flow = edges.join(scores, edges["src"] == scores["id"]).groupBy("dst").agg(F.sum("score").alias("flow"))
-        new = keep(scores.join(flow, scores["id"] == flow["dst"], "left").select("id", (F.col("score") + F.coalesce("flow", F.lit(0.0))).alias("score")), "scores")
-        length = new.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
-        last, scores = scores, new.select("id", (F.col("score") / length).alias("score"))
-        if tolerance is not None:
-            moved = scores.join(last.select("id", F.col("score").alias("before")), "id")
-            if moved.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < n * tolerance:
+    scores = keep(nodes.select("id"), "scores")
+    n = scores.count()
+    scores = scores.withColumn("score", F.lit(1.0 / max(1, n)))
+    with held(edges, "src") as dealt:
+        for _ in range(rounds if n else 0):
+            flow = dealt.join(scores, dealt["src"] == scores["id"]).groupBy("dst").agg(F.sum("score").alias("flow"))
+            new = keep(scores.join(flow, scores["id"] == flow["dst"], "left").select("id", (F.col("score") + F.coalesce("flow", F.lit(0.0))).alias("score"), F.col("score").alias("before")), "scores")
+            length = new.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+            moved = new.withColumn("score", F.col("score") / length)
+            scores = moved.select("id", "score")
+            if tolerance is not None and moved.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < n * tolerance:
                 break
     return scores
 

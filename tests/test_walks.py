@@ -66,7 +66,7 @@ def test_long_chains_take_few_jobs(spark):
 
 
 def test_edges_of_loops_are_made_once(spark):
-    for run in (graph.katz,):
+    for run in (graph.katz, lambda n, e: graph.eigenvector(n, e, 5)):
         made = spark.sparkContext.accumulator(0)
 
         def passed(batches, made=made):
