@@ -56,6 +56,13 @@ def test_shortest_paths_anywhere(spark, place):
         assert got == {p: d if most is None or d <= most else 999 for p, d in want.items()}
 
 
+def test_betweenness_anywhere(spark, place, monkeypatch):
+    rows, e = some_edges(spark)
+    few = {r["id"]: r["betweenness"] for r in graph.betweenness(e, graph.nodes_of(e)).collect()}
+    monkeypatch.setattr(graph, "FEW", -1)
+    assert few == pytest.approx({r["id"]: r["betweenness"] for r in graph.betweenness(e, graph.nodes_of(e)).collect()})
+
+
 def test_long_chains_take_few_jobs(spark):
     e = spark.range(800).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src % 400 <> 399")
     context = spark.sparkContext
@@ -66,7 +73,7 @@ def test_long_chains_take_few_jobs(spark):
 
 
 def test_edges_of_loops_are_made_once(spark):
-    for run in (graph.katz, lambda n, e: graph.eigenvector(n, e, 5)):
+    for run in (graph.katz, lambda n, e: graph.eigenvector(n, e, 5), lambda n, e: graph.betweenness(e.unionByName(e), n)):
         made = spark.sparkContext.accumulator(0)
 
         def passed(batches, made=made):
