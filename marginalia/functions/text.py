@@ -117,6 +117,7 @@ def vocabulary_richness(c: Column) -> Column:
 #: The technical and concept patterns without backtracking over words: a word that holds a part is found from the part on.
 _TECHNICAL = [f"(?<!{_W})[A-Z][a-z]*(?:[A-Z][a-z]*)+(?!{_W})", f"(?<!{_W})[A-Z]{{2,}}(?!{_W})", f"(?<!{_W}){_W}+?_{_W}++", f"[Tt]ech{_W}*+", f"[Aa]lgorithm{_W}*+", f"[Dd]ata{_W}*+"]
 _CONCEPT = [f"(?i)(?<!{_W})[a-z]{{2,}}+(?!{_W})", "(?i)" + one_of(["concept", "theory", "principle", "framework", "model", "approach"], _W), "(?i)" + one_of(["analysis", "synthesis", "evaluation", "application"], _W)]
+CONCEPT_WORDS = ["concept", "theory", "principle", "framework", "model", "approach", "analysis", "synthesis", "evaluation", "application"]
 
 
 def matches(c: Column, patterns: list[str]) -> Column:
@@ -161,6 +162,60 @@ def structure_counts(c: Column) -> dict[str, Column]:
     return {"heading_count": count_of(c, line + "#"), "max_heading_depth": F.coalesce(depth, F.lit(0)), "list_count": count_of(c, line + r"(?:[-*+]|\d+\.)"), "code_block_count": F.floor(count_of(c, line + "```") / 2).cast("int")}
 
 
+def runs(c: Column) -> Column:
+    """Runs of letters, digits and underscores of any language."""
+    return F.regexp_extract_all(text_of(c), F.lit(f"({_W}+)"), F.lit(1))
+
+
+def among(found: Column, listed: list[str]) -> Column:
+    return F.filter(found, lambda w: w.isin(*listed))
+
+
+def plain_of(found: Column) -> Column:
+    """plain_words() from the runs of the lower-cased text."""
+    return F.filter(found, lambda w: w.rlike("^[a-z]++$"))
+
+
+def technical_of(found: Column) -> Column:
+    """What matches() counts by the technical patterns, from the runs of the text: each of them finds a run once at most."""
+    some = F.filter(found, lambda w: w.rlike("^[A-Z]|_|[Tt]ech|[Aa]lgorithm|[Dd]ata"))
+    whole = ("^[A-Z][a-z]*(?:[A-Z][a-z]*)+$", "^[A-Z]{2,}$", "^.+?_.", "[Tt]ech", "[Aa]lgorithm", "[Dd]ata")
+    return F.aggregate(some, F.lit(0), lambda n, w: n + sum((w.rlike(p).cast("int") for p in whole[1:]), w.rlike(whole[0]).cast("int")))
+
+
+def letters_of(found: Column) -> Column:
+    """Runs of two ASCII letters or more, lower-cased."""
+    return F.transform(F.filter(found, lambda w: w.rlike("^[A-Za-z]{2,}+$")), F.lower)
+
+
+def concept_of(letters: Column) -> Column:
+    """What matches() counts by the concept patterns, from letters_of() the runs of the text."""
+    return F.size(letters) + F.size(among(letters, CONCEPT_WORDS))
+
+
+def typed_of(found: Column) -> Column:
+    """Indicator words among the runs of the lower-cased text."""
+    return among(found, sorted({w for ws in CONTENT_TYPES.values() for w in ws}))
+
+
+def type_of(typed: Column) -> Column:
+    """content_type() from typed_of()."""
+    rows = [F.struct(F.size(among(typed, ws)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, ws) in enumerate(CONTENT_TYPES.items())]
+    return F.element_at(F.transform(F.array(F.array_max(F.array(*rows))), lambda top: F.when(top["n"] == 0, "general").otherwise(top["name"])), 1)
+
+
+def marked_lines(c: Column) -> Column:
+    """Lines that structure_counts() counts."""
+    return F.filter(F.split(text_of(c), "\n"), lambda line: line.rlike("^" + _BLANK + r"(?:#|[-*+]|\d+\.|```)"))
+
+
+def structure_of(lines: Column) -> dict[str, Column]:
+    """structure_counts() from marked_lines()."""
+    n = lambda pattern: F.size(F.filter(lines, lambda line: line.rlike("^" + _BLANK + pattern)))
+    depth = F.array_max(F.transform(lines, lambda line: F.length(F.regexp_extract(line, "^" + _BLANK + "(#+)", 1))))
+    return {"heading_count": n("#"), "max_heading_depth": F.coalesce(depth, F.lit(0)), "list_count": n(r"(?:[-*+]|\d+\.)"), "code_block_count": F.floor(n("```") / 2).cast("int")}
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_of(c), r"\s+", " "))
 
