@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import notes as N
+from marginalia.plans.catalog import QUERIES
 
 
 def test_content_features_equal_their_own_counts_on_odd_texts_with_few_patterns(spark):
@@ -15,3 +16,8 @@ def test_content_features_equal_their_own_counts_on_odd_texts_with_few_patterns(
     assert {r["id"]: tuple(r)[1:] for r in made.select("id", *want).collect()} == {r["id"]: tuple(r)[1:] for r in df.select("id", *want.values()).collect()}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_count(") + plan.count("regexp_extract_all(") <= 3
+
+
+def test_content_similarity_makes_features_once(spark, sf_dir):
+    plan = QUERIES["m10_content_similarity"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
