@@ -299,17 +299,30 @@ def same_topic(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) & (a != -1), F.lit(False))
 
 
-def enumerated(nodes: DataFrame, first: int = 0, most: int | None = None) -> DataFrame:
+def enumerated(nodes: DataFrame, first: int = 0, most: int | None = None, block: int | None = None) -> DataFrame:
     """a, b: unordered pairs of nodes by their number in one fixed order, from the first on; chunks of it make up all pairs.
 
-    Pair numbers are a range, each worked out to its two nodes, so that a chunk
-    costs what it holds and nothing is paired to be thrown away.
+    Pair j (j - 1) / 2 + i is that of the nodes i < j, so the pairs of a node j
+    have a run of numbers. Nodes meet as blocks of ids, only blocks that hold
+    pairs of the chunk, and pairs are made in the tasks that have two blocks:
+    what goes round are blocks, some 64 of them up to half a million nodes, and
+    nothing is paired to be thrown away.
     """
-    ranked = numbered(nodes.select("id"), "id")
+    ranked = numbered(nodes.select("id"), "id").select("id", "n")
     n = ranked.count()
+    block = block or min(8192, max(512, n // 64))
+    blocks = keep(ranked.groupBy(F.floor(F.col("n") / block).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("of")), "blocks")
     total = n * (n - 1) // 2
-    last = total if most is None else min(total, first + most)
-    k = nodes.sparkSession.range(first, max(first, last)).select(F.col("id").alias("k"))
-    k = keep(unranked(k, "k"), "pair-numbers")
-    side = lambda name, on: ranked.select(F.col("id").alias(name), F.col("n").alias(on))
-    return k.join(side("x", "i"), "i").join(side("y", "j"), "j").select(*canonical(F.col("x"), F.col("y")))
+    last = total if most is None else max(first, min(total, first + most))
+    below = lambda x: F.shiftright(x * (x - 1), 1)
+    side = lambda k: blocks.select(F.col("block").alias(f"block_{k}"), F.col("of").alias(f"of_{k}"))
+    met = blocks.select(F.col("block").alias("block_j")).withColumn("block_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block_j"))))
+    met = met.where((below((F.col("block_j") + 1) * block) > first) & (below(F.col("block_j") * block) < last))
+    both = met.join(side("i").hint("merge"), "block_i").join(side("j").hint("merge"), "block_j")
+    # As many tasks as the pairs need: the blocks are too small for that to be seen from their bytes.
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, (last - first) >> 23)
+    both = both.repartition(tasks).select((F.col("block_i") * block).alias("from"), F.transform("of_i", lambda x: x["id"]).alias("ids"), F.explode("of_j").alias("y"))
+    low = F.greatest(F.lit(first) - below(F.col("y.n")), F.col("from"), F.lit(0)) - F.col("from")
+    high = F.least(F.lit(last) - below(F.col("y.n")), F.col("y.n"), F.col("from") + block) - F.col("from")
+    own = F.slice("ids", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    return both.select(F.col("y.id").alias("y"), F.explode(own).alias("x")).select(*canonical(F.col("x"), F.col("y")))
