@@ -416,7 +416,7 @@ def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame | None:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the least id that is reachable in any direction."""
     found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return nodes.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def moved_labels(both: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame:
@@ -429,10 +429,10 @@ def moved_labels(both: DataFrame, labels: DataFrame, total: float, turn: int) ->
     so that neighbours do not swap for ever.
     """
     sizes = labels.groupBy("community").agg(F.sum("k").alias("degree"))
-    near = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("inside"))
+    near = both.join(labels.select(F.col("id").alias("dst"), "community").hint("merge"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("inside"))
     own = labels.select("id", "community").withColumn("inside", F.lit(0.0))
-    offers = near.unionByName(own).groupBy("id", "community").agg(F.sum("inside").alias("inside")).join(sizes, "community")
-    offers = offers.join(labels.select("id", "k", F.col("community").alias("old")), "id")
+    offers = near.unionByName(own).groupBy("id", "community").agg(F.sum("inside").alias("inside")).join(sizes.hint("merge"), "community")
+    offers = offers.join(labels.select("id", "k", F.col("community").alias("old")).hint("merge"), "id")
     rest = F.col("degree") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
     gain = F.round(F.col("inside") - F.col("k") * rest / total, 9)
     best = offers.groupBy("id").agg(F.max_by("community", F.struct(gain.alias("g"), (F.col("community") == F.col("old")).alias("stay"), -F.col("community"))).alias("new"), F.first("k").alias("k"), F.first("old").alias("old"))
@@ -443,7 +443,7 @@ def moved_labels(both: DataFrame, labels: DataFrame, total: float, turn: int) ->
 def connected_parts(links: DataFrame, labels: DataFrame) -> DataFrame:
     """id, community of labels (id, community): each community parted into its connected parts, named by their least ids."""
     a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("_a")), labels.select(F.col("id").alias("dst"), F.col("community").alias("_b"))
-    inside = links.select("src", "dst").join(a, "src").join(b, "dst").where(F.col("_a") == F.col("_b")).select("src", "dst")
+    inside = links.select("src", "dst").join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(F.col("_a") == F.col("_b")).select("src", "dst")
     return components(labels.select("id"), inside).select("id", F.col("component").alias("community"))
 
 
@@ -452,7 +452,7 @@ def moved_until_still(links: DataFrame, labels: DataFrame, total: float, rounds:
     labels, still = keep(labels, "labels"), 0
     for turn in range(rounds):
         new, before = keep(moved_labels(links, labels, total, turn), "labels"), labels
-        still = still + 1 if new.join(before, ["id", "community"], "left_anti").isEmpty() else 0
+        still = still + 1 if new.join(before.hint("merge"), ["id", "community"], "left_anti").isEmpty() else 0
         labels = new
         discard(before)
         if still == 2:
@@ -482,30 +482,30 @@ def modularity_communities(nodes: DataFrame, edges: DataFrame, levels: int = 10,
     for _ in range(levels):
         degree = keep(weighted.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degree")
         n = degree.count()
-        first = degree.select("id", "k", F.col("id").alias("community")) if start is None else degree.join(start, "id").select("id", "k", "community")
+        first = degree.select("id", "k", F.col("id").alias("community")) if start is None else degree.join(start.hint("merge"), "id").select("id", "k", "community")
         links = weighted.where("src <> dst")
         labels = moved_until_still(links, first, total, rounds)
         parts = labels.select("id", "community")
         if refined:
             a, b = parts.select(F.col("id").alias("src"), F.col("community").alias("_a")), parts.select(F.col("id").alias("dst"), F.col("community").alias("_b"))
-            inside = keep(links.join(a, "src").join(b, "dst").where(F.col("_a") == F.col("_b")).select("src", "dst", "w"), "inside")
+            inside = keep(links.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(F.col("_a") == F.col("_b")).select("src", "dst", "w"), "inside")
             fine = moved_until_still(inside, degree.select("id", "k", F.col("id").alias("community")), total, rounds)
             parts = connected_parts(inside, fine.select("id", "community"))
             if parts.select("community").distinct().count() == n:  # nothing to merge: the communities' connected parts do
                 parts = connected_parts(inside, labels.select("id", "community"))
         # A part is named by its least node, and begins in the community of its nodes, named by its least part.
-        named = parts.join(parts.groupBy("community").agg(F.min("id").alias("to")), "community").select("id", "to")
-        named = keep(named.join(labels.select("id", "community"), "id"), "parts")
-        start = keep(named.join(named.groupBy("community").agg(F.min("to").alias("least")), "community").select(F.col("to").alias("id"), F.col("least").alias("community")).distinct(), "start")
-        member = keep(member.join(named.select(F.col("id").alias("node"), "to"), "node", "left").select("id", F.coalesce("to", "node").alias("node")), "members")
+        named = parts.join(parts.groupBy("community").agg(F.min("id").alias("to")).hint("merge"), "community").select("id", "to")
+        named = keep(named.join(labels.select("id", "community").hint("merge"), "id"), "parts")
+        start = keep(named.join(named.groupBy("community").agg(F.min("to").alias("least")).hint("merge"), "community").select(F.col("to").alias("id"), F.col("least").alias("community")).distinct(), "start")
+        member = keep(member.join(named.select(F.col("id").alias("node"), "to").hint("merge"), "node", "left").select("id", F.coalesce("to", "node").alias("node")), "members")
         if start.count() == n:  # every part is one node
             break
         a, b = named.select(F.col("id").alias("src"), F.col("to").alias("s")), named.select(F.col("id").alias("dst"), F.col("to").alias("d"))
-        weighted = keep(weighted.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "weights")
-    labels = keep(member.join(start.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("community", "node").alias("community")), "labels")
+        weighted = keep(weighted.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "weights")
+    labels = keep(member.join(start.withColumnRenamed("id", "node").hint("merge"), "node", "left").select("id", F.coalesce("community", "node").alias("community")), "labels")
     if refined:
         return connected_parts(whole, labels)
-    return labels.join(labels.groupBy("community").agg(F.min("id").alias("to")), "community").select("id", F.col("to").alias("community"))
+    return labels.join(labels.groupBy("community").agg(F.min("id").alias("to")).hint("merge"), "community").select("id", F.col("to").alias("community"))
 
 
 @tidied("communities")
@@ -514,11 +514,11 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
     both = keep(undirected(edges), "both")
     labels = keep(nodes.select("id", F.col("id").alias("community")), "labels")
     for _ in range(rounds):
-        votes = both.join(labels, both["dst"] == labels["id"]).select(F.col("src").alias("id"), "community").unionByName(labels)
+        votes = both.join(labels.hint("merge"), both["dst"] == labels["id"]).select(F.col("src").alias("id"), "community").unionByName(labels)
         counted = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
         best = counted.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
         new = keep(best, "labels")
-        same = new.join(labels, ["id", "community"], "left_anti").isEmpty()
+        same = new.join(labels.hint("merge"), ["id", "community"], "left_anti").isEmpty()
         labels = new
         if same:
             break
