@@ -91,6 +91,16 @@ def test_topic_weights_are_those_of_the_term_tables(spark):
     assert got == pytest.approx(want)
 
 
+def test_only_terms_of_the_vocabulary_leave_the_texts(spark):
+    """All terms are counted where they are made; what goes on to the model is at most the vocabulary."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * 7 + k}" for k in range(50)) + " apple bread" * (1 + i % 3)) for i in range(30)], "id long, text string")
+    model = topics.fit(docs, topics=2, method="kmeans", rounds=2, max_features=3, max_df=1.0, starts=1)
+    assert model.stages[0].vocabulary[0] in ("apple", "bread") and set(model.stages[0].vocabulary) == {"apple", "bread", "apple bread"}
+    rows = topics._terms(docs, "text", model.stages[0].vocabulary).collect()
+    assert all(sorted(r["tokens"]) == sorted((1 + r["id"] % 3) * ["apple", "bread", "apple bread"]) for r in rows)
+    assert topics.predict(model, docs).count() == 30
+
+
 def test_cache():
     now = [0.0]
     c = Cache(2, 10, clock=lambda: now[0])
