@@ -6,6 +6,8 @@ it, so the same tables give the same pairs on any cluster.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,10 @@ def permuted(df: DataFrame, j: str, m: str, key: Column, out: str = "k", rounds:
     return df.withColumn(out, F.col("_u") * F.col("_columns") + F.col("_v")).drop("_rows", "_columns", "_u", "_v")
 
 
+#: Turns of a group that are made at once.
+TURNS = 1 << 16
+
+
 @tidied("draws")
 def drawn(members: DataFrame, taken: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """a, b: n pairs of different ids that share a group and are not taken, or all there are, drawn without repetition.
@@ -98,7 +104,8 @@ def drawn(members: DataFrame, taken: DataFrame, n: int, seed: int = 42) -> DataF
     were picked at random each time; turns of a group that has no pair left
     are void, and so are those of pairs taken or drawn before. Turns are made
     until there are n pairs; of the last turn those of the first groups, by
-    hash, stay.
+    hash, stay. Turns are dealt over the tasks in runs. The pairs of a single
+    group differ anyway, so only those taken are looked for.
     """
     empty = taken.limit(0).select("a", "b")
     if n < 1:
@@ -110,19 +117,24 @@ def drawn(members: DataFrame, taken: DataFrame, n: int, seed: int = 42) -> DataF
     if not size["g"]:
         return empty
     have, done, found = 0, 0, None
+    alone = size["g"] == 1
+    free = max(0.05, 1.0 - known.count() / size["most"]) if alone else 1.0
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * members.sparkSession.sparkContext.defaultParallelism)
     while have < n and done < size["most"]:
         # As many turns as would do if no draw were void, and more each time.
-        more = -(-(n - have) * (3 if done else 2) // size["g"]) + 1
+        more = math.ceil((n - have) / free * (1.1 if done else 1.01)) + 64 if alone else -(-(n - have) * (3 if done else 2) // size["g"]) + 1
         last = F.least(F.lit(done + more), (F.col("m") * (F.col("m") - 1) / 2).cast("long"))
-        draws = groups.where(last > done).withColumn("j", F.explode(F.sequence(F.lit(done).cast("long"), last - 1)))
+        runs = groups.where(last > done).withColumn("_last", last).withColumn("_from", F.explode(F.sequence(F.lit(done).cast("long"), F.col("_last") - 1, F.lit(TURNS).cast("long")))).repartition(tasks, "group", "_from")
+        draws = runs.withColumn("j", F.explode(F.sequence("_from", F.least(F.col("_from") + TURNS, "_last") - 1))).drop("_from", "_last")
         # Kept, as a filter of the joins would be written out over all these steps again.
         draws = keep(unranked(permuted(draws, "j", "m", F.concat_ws("|", F.lit(str(seed)), "group")), "k", "x", "y"), "draws")
         side = lambda name, on: ranked.select("group", F.col("id").alias(name), F.col("n").alias(on))
-        made = draws.join(side("p", "x").hint("merge"), ["group", "x"]).join(side("q", "y").hint("merge"), ["group", "y"]).select("j", "turn", *canonical(F.col("p"), F.col("q")))
-        made = made.groupBy("a", "b").agg(F.min(F.struct("j", "turn")).alias("at")).select("a", "b", "at.j", "at.turn")
+        made = draws.join(side("p", "x").hint("merge"), ["group", "x"]).join(side("q", "y").hint("merge"), ["group", "y"]).select(*canonical(F.col("p"), F.col("q")), "j", "turn")
+        if not alone:
+            made = made.groupBy("a", "b").agg(F.min(F.struct("j", "turn")).alias("at")).select("a", "b", "at.j", "at.turn")
         new = made.join(known, ["a", "b"], "left_anti")
         if found is not None:
-            new = new.join(found.select("a", "b"), ["a", "b"], "left_anti").unionByName(found)
+            new = (new if alone else new.join(found.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "j", "turn").unionByName(found)
         found, before = keep(new, "found"), found
         discard(draws, *([before] if before is not None else []))
         have, done = found.count(), done + more

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import markdown as M
 from marginalia.operators import domains, features, graph, pairs
 from marginalia.plans.base import AS_OF, DENSE, KIN, MARKED, NOTES, PARTS, SPARSE, dense, ends, kin, marked, notes, query, segments, six, sparse
-from marginalia.session import keep, table
+from marginalia.session import keep, table, tidied
 
 SN = f"{SPARSE}, nodes AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse)"
 
@@ -301,9 +301,15 @@ NO_GROUP = "SELECT '' AS grp, id FROM nodes"
 
 @query("t12_random_negatives", f"WITH {SN}, pos AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM sparse), {_drawn_sql('f', NO_GROUP, 'pos', 'SELECT least(count(*), (SELECT count(*) * (count(*) - 1) // 2 FROM nodes) - count(*)) FROM pos', '4 * (SELECT count(*) FROM pos)', 42)} SELECT a, b FROM f")
 def random_negatives(spark, sf_dir):
-    e = sparse(spark, sf_dir)
-    p = pairs.positives(e)
-    return pairs.random_negatives(ends(e), p, pairs.target_negatives(p.count(), ends(e).count(), 1.0))
+    return _negatives(sparse(spark, sf_dir))
+
+
+@tidied("negatives")
+def _negatives(edges):
+    """As many random pairs as are linked; the graph and its pairs are made once."""
+    p = keep(pairs.positives(edges), "positives")
+    n = keep(ends(p.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "nodes")
+    return pairs.random_negatives(n, p, pairs.target_negatives(p.count(), n.count(), 1.0))
 
 
 STRATA = ", ".join([
