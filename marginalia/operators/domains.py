@@ -16,7 +16,7 @@ from marginalia.session import keep
 
 def density_clusters(notes: DataFrame, similarity: float = 0.7, least: int = 3) -> DataFrame:
     """id, cluster: density clustering by cosine. Core notes have `least` notes within reach, themselves included; the rest join the least core near them or none (null)."""
-    near = similar_pairs(notes, similarity).select("a", "b")
+    near = keep(similar_pairs(notes, similarity).select("a", "b"), "near")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = both.groupBy("a").agg((F.count("*") + 1).alias("k")).where(F.col("k") >= least).select(F.col("a").alias("id"))
     inner = both.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
